@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, mixing, quality_rules, url_filter
+from terraspan.llm import exact_dedup, mixing, packing, quality_model, quality_rules, url_filter
+from terraspan.llm._spark import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,17 @@ FROM n
 """
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies (read at run time, never copied)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policy(entries, "v1")
@@ -113,11 +125,28 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
 FROM u LEFT JOIN (SELECT * FROM f WHERE n = 1) f ON u.k = f.k
 """
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, _table(spark, sf_dir, "labels"))
+    return _held_out(quality_model.score(docs, model), 5, 0, 0.3)
+
+
+def _held_out(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (crc_mod("doc_id", modulus) == remainder).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op9_quality_model": op9_quality_model,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
