@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, mixing, packing, quality_model, quality_rules, url_filter
+from terraspan.llm import exact_dedup, langid, mixing, packing, quality_model, quality_rules, toxicity, url_filter
 from terraspan.llm._spark import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,18 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
 FROM u LEFT JOIN (SELECT * FROM f WHERE n = 1) f ON u.k = f.k
 """
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _held_out(toxicity.score(docs, lexicon), 5, 0, 0.5)
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, _table(spark, sf_dir, "labels"))
@@ -144,8 +156,10 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_model": op9_quality_model,
 }
 ORACLE_SQL: dict[str, str] = {
