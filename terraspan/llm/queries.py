@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, langid, mixing, packing, quality_model, quality_rules, toxicity, url_filter
+from terraspan.llm import exact_dedup, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, url_filter
 from terraspan.llm._spark import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,36 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality_model.score(docs, model), 5, 0, 0.3)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * k >= 75 * (x.n + y.n - k)
+),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.c)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = w.doc_id
+"""
+
+
 def _held_out(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -161,9 +191,11 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_quality_model": op9_quality_model,
+    "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_url_filter": OP7_SQL,
+    "op10_minhash": OP10_SQL,
 }
