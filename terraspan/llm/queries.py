@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, url_filter
+from terraspan.llm import exact_dedup, html_extract, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, url_filter
 from terraspan.llm._spark import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,10 @@ FROM m
 """
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
@@ -188,6 +192,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_extract": op6_html_extract,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_quality_model": op9_quality_model,
