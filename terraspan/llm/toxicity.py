@@ -225,3 +225,20 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), s], ["id", "score"])
 
     return base.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score less than
+    ``threshold``."""
+    ensure_importable(docs.sparkSession)
+    parts = lexicon.parts()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from terraspan.llm.toxicity import Lexicon
+
+        own = Lexicon(*parts)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([own.score(t) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
