@@ -1,0 +1,29 @@
+"""Decimal rounding of the exact binary value.
+
+``round`` in SQL works on the shortest decimal text of a double, so 1.005 to
+two places gives 1.01; rounding the exact binary value gives 1.00.  Use this
+only where results have to agree digit for digit with such rounding.
+"""
+
+from __future__ import annotations
+
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def fixed(x: float, places: int) -> float:
+    """Half up (away from zero) on the exact binary value."""
+    return float(Decimal(x).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP))
+
+
+def js_fixed(col: Column, places: int) -> Column:
+    """``fixed`` as an Arrow function; null and non-finite values stay."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: fixed(x, places) if pd.notna(x) and abs(x) != float("inf") else x)
+
+    return run(col)
