@@ -10,8 +10,10 @@ side.  Only the last window of all can be short.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,9 @@ from terraspan.llm._spark import as_table, ensure_importable, text_or_empty
 
 LENGTH = 4096
 END_ID = 2
-#: Cached chunks and pieces per Python worker.
-CACHED = 500_000
+#: Cached chunks and pieces per Python worker: entries of each of the two
+#: generations of a cache (about 200 bytes an entry).
+CHUNKS, PIECES = 400_000, 600_000
 
 _SPACES = " \t\n\x0b\f\r"
 _BETWEEN = regex.compile(r"[\x20\x09-\x0D]+")
@@ -58,31 +61,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([END_ID], self.dtype).tobytes()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.end = self.raw([END_ID])
         self.chars = _byte_chars()
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # a full cache becomes the old one; what is used again moves to the new one
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def raw(self, ids: list[int]) -> bytes:
+        got = array(self.code, ids)
+        if sys.byteorder == "big":
+            got.byteswap()
+        return got.tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
         if (got := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            shown = "".join(map(self.chars.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = self.pieces[piece] = np.array(ids, self.dtype).tobytes()
+            if (got := self.old_pieces.get(piece)) is None:
+                shown = "".join(map(self.chars.__getitem__, piece.encode()))
+                got = self.raw([t.id for t in self.model.tokenize(shown)])
+            if len(self.pieces) >= PIECES:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk) or "<|" in chunk or "­" in chunk:
-            got = self.whole(chunk)
-        else:
-            got = b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
-        if len(self.chunks) >= CACHED:
-            self.chunks.clear()
+        if (got := self.old_chunks.get(chunk)) is None:
+            if not _PLAIN.fullmatch(chunk) or "<|" in chunk or "\u00ad" in chunk:
+                got = self.whole(chunk)
+            else:
+                got = b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
         if len(chunk) <= 64:
+            if len(self.chunks) >= CHUNKS:
+                self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = got
         return got
 
