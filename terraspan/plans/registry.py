@@ -1,6 +1,8 @@
-"""The registered queries and their SQL, by area."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from terraspan.plans import catalog_queries, search_queries  # noqa: F401
+from terraspan.plans._base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
