@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +28,34 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
+#: Up to this many links are joined up in one task (16 bytes each); any number
+#: beyond by the distributed steps.
+FEW = 15_000
+
+
+def _joined_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+        a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"node": list(parent), "comp": [root(k) for k in parent]}, dtype="int64")
+
+
 def components(links: DataFrame, most: int = 50) -> DataFrame:
     """node, comp for every node of ``links`` (a, b): comp is the smallest
     node reachable.  Nodes in no link are left out."""
     edges = cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    if edges.count() <= FEW:
+        return edges.groupBy().applyInPandas(_joined_up, "node long, comp long")
     seen = None
     for _ in range(most):
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

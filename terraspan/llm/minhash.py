@@ -42,6 +42,8 @@ MATCHES = 22
 FIRST_COORDS = 28
 HUBS = 3
 ROUNDS = 6
+#: A round has to link at least one in so many of its pairs for another to follow.
+YIELD = 20
 #: Bits of the filter that keeps most texts out of the second pass; its size
 #: doesn't depend on the data.
 FILTER_BITS = 1 << 23
@@ -234,8 +236,10 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def _pair(df: DataFrame) -> DataFrame:
-    """The member is a, the hub b (many pairs have the same hub)."""
-    return df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen")).select("a", "b")
+    """Each unordered pair once: lo, hi, and a, b as one of the lists has it
+    (member, hub); many pairs share a hub, so it is joined last."""
+    both = df.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p"))
+    return both.select("lo", "hi", "p.a", "p.b")
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
@@ -303,19 +307,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             ).select("a", "b")
         pairs = _pair(found)
         if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti").join(
-                checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-            )
+            pairs = pairs.join(checked, ["lo", "hi"], "left_anti")
         pairs = cut(pairs)
-        links = cut(_confirmed(_matching(pairs, sigs), sets, percent))
-        grew = not links.isEmpty()
-        if grew:
+        links = cut(_confirmed(_matching(pairs.select("a", "b"), sigs), sets, percent))
+        n_links = links.count()
+        if n_links:
             comps = merged(links)
         if last:
             break
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        done = pairs.select("lo", "hi")
+        checked = done if checked is None else checked.unionByName(done)
         turn += 1
-        last = not grew or turn >= ROUNDS
+        # the groups hardly grow any more: settle all that is left at once
+        last = n_links * YIELD < pairs.count() or turn >= ROUNDS
     return comps
 
 
