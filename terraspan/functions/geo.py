@@ -43,36 +43,55 @@ def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / RADIUS), F.degrees(lat)
 
 
-def utm_to_wgs84(x: Column, y: Column, zone: Column, south: Column, fourth_term: bool = True) -> tuple[Column, Column]:
-    """Longitude and latitude by the footpoint-latitude series; without
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used
+    (a plain expression would be written out at each use)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def utm_to_wgs84(x: Column, y: Column, zone: Column, south: Column, fourth_term: bool = True) -> Column:
+    """struct(lng, lat) by the footpoint-latitude series; without
     ``fourth_term`` the series for the latitude stops at sin 6mu."""
     e2 = FLATTENING * (2 - FLATTENING)
     ep2 = e2 / (1 - e2)
     root = math.sqrt(1 - e2)
     n = (1 - root) / (1 + root)
-    east = x - FALSE_EASTING
-    north = y - F.when(south, FALSE_NORTHING).otherwise(0.0)
-    mu = north / (SCALE * RADIUS * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
     series = [1.5 * n - 27 / 32 * n**3, 21 / 16 * n**2 - 55 / 32 * n**4, 151 / 96 * n**3, 1097 / 512 * n**4]
-    foot = mu
-    for k, c in enumerate(series if fourth_term else series[:3], start=1):
-        foot = foot + c * F.sin(mu * (2 * k))
-    sine, cosine, tangent = F.sin(foot), F.cos(foot), F.tan(foot)
-    w = 1 - e2 * sine * sine
-    across, along = RADIUS / F.sqrt(w), RADIUS * (1 - e2) / F.pow(w, F.lit(1.5))
-    t, c = tangent * tangent, ep2 * cosine * cosine
-    d = east / (across * SCALE)
-    lat = foot - across * tangent / along * (
-        d * d / 2
-        - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24
-        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, F.lit(6.0)) / 720
-    )
-    lng = (
-        d
-        - (1 + 2 * t + c) * F.pow(d, F.lit(3.0)) / 6
-        + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, F.lit(5.0)) / 120
-    ) / cosine
-    return (zone - 1) * 6 - 177 + F.degrees(lng), F.degrees(lat)
+
+    def footpoint(mu: Column) -> Column:
+        foot = mu
+        for k, c in enumerate(series if fourth_term else series[:3], start=1):
+            foot = foot + c * F.sin(mu * (2 * k))
+        return let(foot, parts)
+
+    def parts(foot: Column) -> Column:
+        w = 1 - e2 * F.sin(foot) * F.sin(foot)
+        across = RADIUS / F.sqrt(w)
+        return let(
+            F.struct(
+                foot.alias("foot"), across.alias("across"), (RADIUS * (1 - e2) / F.pow(w, F.lit(1.5))).alias("along"),
+                (F.tan(foot) * F.tan(foot)).alias("t"), (ep2 * F.cos(foot) * F.cos(foot)).alias("c"),
+                ((x - FALSE_EASTING) / (across * SCALE)).alias("d"),
+            ),
+            place,
+        )
+
+    def place(p: Column) -> Column:
+        t, c, d = p["t"], p["c"], p["d"]
+        lat = p["foot"] - p["across"] * F.tan(p["foot"]) / p["along"] * (
+            d * d / 2
+            - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24
+            + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, F.lit(6.0)) / 720
+        )
+        lng = (
+            d
+            - (1 + 2 * t + c) * F.pow(d, F.lit(3.0)) / 6
+            + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, F.lit(5.0)) / 120
+        ) / F.cos(p["foot"])
+        return F.struct(((zone - 1) * 6 - 177 + F.degrees(lng)).alias("lng"), F.degrees(lat).alias("lat"))
+
+    north = y - F.when(south, FALSE_NORTHING).otherwise(0.0)
+    return let(north / (SCALE * RADIUS * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)), footpoint)
 
 
 def to_wgs84(x: Column, y: Column, epsg: Column, profile: str = "archive", places: int = 6) -> Column:
@@ -84,11 +103,19 @@ def to_wgs84(x: Column, y: Column, epsg: Column, profile: str = "archive", place
     south = epsg.between(32701, 32760)
     utm = south | epsg.between(32601, 32660)
     zone = F.when(south, epsg - 32700).otherwise(epsg - 32600)
-    ulng, ulat = utm_to_wgs84(x, y, zone, south, profile == "archive")
     mlng, mlat = mercator_to_wgs84(x, y)
-    lng = cascade([(epsg == 4326, x), (epsg.isin(3857, 900913), F.round(mlng, places)), (utm, F.round(ulng, places))])
-    lat = cascade([(epsg == 4326, y), (epsg.isin(3857, 900913), F.round(mlat, places)), (utm, F.round(ulat, places))])
-    return F.when(lng.isNotNull(), F.struct(lng.alias("lng"), lat.alias("lat")))
+
+    def pair(lng: Column, lat: Column) -> Column:
+        return F.struct(lng.cast("double").alias("lng"), lat.cast("double").alias("lat"))
+
+    def rounded(p: Column) -> Column:
+        return pair(F.round(p["lng"], places), F.round(p["lat"], places))
+
+    return (
+        F.when(epsg == 4326, pair(x, y))
+        .when(epsg.isin(3857, 900913), pair(F.round(mlng, places), F.round(mlat, places)))
+        .when(utm, let(utm_to_wgs84(x, y, zone, south, profile == "archive"), rounded))
+    )
 
 
 def bounds_of(width: Column, height: Column, t: Column, epsg: Column) -> Column:
@@ -96,18 +123,24 @@ def bounds_of(width: Column, height: Column, t: Column, epsg: Column) -> Column:
     the smallest and largest corner."""
     zero = F.lit(0)
     corners = [pixel_to_projected(a, b, t) for a, b in ((zero, zero), (width, zero), (width, height), (zero, height))]
-    x0, x1 = F.least(*[c["x"] for c in corners]), F.greatest(*[c["x"] for c in corners])
-    y0, y1 = F.least(*[c["y"] for c in corners]), F.greatest(*[c["y"] for c in corners])
-    a, b = to_wgs84(x0, y0, epsg), to_wgs84(x1, y1, epsg)
-    return F.when(
-        (F.size(t) >= 6) & (width > 0) & (height > 0),
-        F.struct(
-            x0.alias("min_x"), y0.alias("min_y"), x1.alias("max_x"), y1.alias("max_y"),
-            F.least(a["lng"], b["lng"]).alias("min_lng"), F.least(a["lat"], b["lat"]).alias("min_lat"),
-            F.greatest(a["lng"], b["lng"]).alias("max_lng"), F.greatest(a["lat"], b["lat"]).alias("max_lat"),
-        ),
+    box = F.struct(
+        F.least(*[c["x"] for c in corners]).alias("min_x"), F.least(*[c["y"] for c in corners]).alias("min_y"),
+        F.greatest(*[c["x"] for c in corners]).alias("max_x"), F.greatest(*[c["y"] for c in corners]).alias("max_y"),
     )
 
+    def geographic(b: Column) -> Column:
+        low, high = to_wgs84(b["min_x"], b["min_y"], epsg), to_wgs84(b["max_x"], b["max_y"], epsg)
+        return let(
+            F.struct(low.alias("low"), high.alias("high")),
+            lambda c: F.struct(
+                *[b[k].alias(k) for k in ("min_x", "min_y", "max_x", "max_y")],
+                F.least(c["low"]["lng"], c["high"]["lng"]).alias("min_lng"), F.least(c["low"]["lat"], c["high"]["lat"]).alias("min_lat"),
+                F.greatest(c["low"]["lng"], c["high"]["lng"]).alias("max_lng"), F.greatest(c["low"]["lat"], c["high"]["lat"]).alias("max_lat"),
+            ),
+        )
+
+    return F.when((F.size(t) >= 6) & (width > 0) & (height > 0), let(box, geographic))
+
 
 def ground_area(pixels: Column, res_x: Column, res_y: Column, epsg: Column) -> Column:
     """struct(status, m2, ha, km2, reason); refused for no pixels, no

@@ -305,6 +305,10 @@ PAIR_WORDS = "change|temporal|before|after|expansion|growth|increase|decrease|tr
 RADAR_WORDS = "sar|radar|microwave|backscatter|speckle|polarization|c-band|all-weather"
 
 
+def _any_word(words: list[str]):
+    return lambda x: has(x, *words)
+
+
 def relevance(query: Column, text: Column, tags: Column, is_pair: Column, is_radar: Column) -> Column:
     """Keyword relevance (0 to 99) of a catalogue item for a query; 80 for a
     query without terms.  ``text`` is all the item's words, lower case."""
@@ -322,7 +326,7 @@ def relevance(query: Column, text: Column, tags: Column, is_pair: Column, is_rad
     radar_tag = F.exists(tags, lambda x: F.contains(x, F.lit("radar")))
     score = score + F.when(matches(q, RADAR_WORDS) & (is_radar | radar_tag), F.lit(25.0)).otherwise(F.lit(0.0))
     for pattern, gain, words in CONCEPTS:
-        tagged = F.exists(tags, lambda x, w=words: has(x, *w))
+        tagged = F.exists(tags, _any_word(words))
         score = score + F.when(matches(q, pattern) & tagged, F.lit(float(gain))).otherwise(F.lit(0.0))
     return F.when(F.size(terms) == 0, F.lit(80.0)).otherwise(F.least(F.lit(99.0), F.floor(score + 0.5).cast("double")))
 

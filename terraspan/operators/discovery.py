@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions import vectors
+from terraspan.lineage import cut
 
 #: Fixed values.
 DUPLICATE_IOU, MIN_SIMILARITY, ITERATIONS = 0.70, 0.40, 20
@@ -49,7 +50,7 @@ def spherical_kmeans(items: DataFrame, vector: Column, id_col: str, k: int, iter
     table; only the k centroids come to the driver, so any number of items
     can be clustered.  An empty cluster keeps its centroid.
     """
-    base = items.select(F.col(id_col).alias("id"), vectors.doubles(vector).alias("v")).persist()
+    base = cut(items.select(F.col(id_col).alias("id"), vectors.doubles(vector).alias("v")))
     first = base.orderBy("id").first()
     if first is None:
         return base.select(F.col("id").alias(id_col), F.lit(1).alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(True).alias("medoid"))
@@ -104,7 +105,7 @@ def discover(index: DataFrame, reference: int, k: int, clusters: int, *, id_col:
     if box is not None:
         cols = near.select(F.col(id_col).alias("id"), "rank", *[b.cast("double").alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
         near = near.join(greedy_dedup(cols).select(F.col("id").alias(id_col)), id_col, "left_semi")
-    near = near.orderBy("rank").limit(k).persist()
+    near = cut(near.orderBy("rank").limit(k))
     grouped = spherical_kmeans(near, F.col(vector), id_col, cluster_count(clusters, near.count()))
     found = near.select(id_col, F.round((F.col("similarity") + 1) / 2, 4).alias("similarity_to_reference"))
     return found.join(grouped.select(id_col, "cluster", "medoid"), id_col)

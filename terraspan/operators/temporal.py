@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terraspan.functions import gates
 from terraspan.functions.geo import bbox_join
 from terraspan.functions.rules import cascade
+from terraspan.lineage import cut
 
 #: Fixed value: overlap as a share of the smaller footprint that makes one place.
 SAME_PLACE = 0.35
@@ -112,19 +113,20 @@ def seed_groups(scenes: DataFrame, cell: float) -> DataFrame:
     scenes are followed together (components of the overlap graph), each
     worked through in order in one task.
     """
-    pairs = overlaps(scenes, cell)
-    edges = pairs.unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
+    pairs = cut(overlaps(scenes, cell))
+    edges = cut(pairs.unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))))
     label = scenes.select(F.col("id"), F.col("id").alias("comp"))
     while True:  # smallest id spreads over overlaps; a few steps for real footprints
         near = edges.join(label.select(F.col("id").alias("b_id"), "comp"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("comp").alias("m"))
         new = label.join(near, "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"), "comp").toDF("id", "comp", "was")
-        new = new.checkpoint() if scenes.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = cut(new)
         done = new.where("comp <> was").isEmpty()
         label = new.select("id", "comp")
         if done:
             break
     links = edges.groupBy(F.col("a_id").alias("id")).agg(F.collect_set("b_id").alias("near"))
-    rows = scenes.select("id", "ord").join(label, "id").join(links, "id", "left")
+    rows = scenes.select("id", "ord").join(label, "id").join(links, "id")
+    alone = scenes.join(links, "id", "left_anti").select("id", F.col("id").alias("seed"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "id"])
@@ -138,4 +140,4 @@ def seed_groups(scenes: DataFrame, cell: float) -> DataFrame:
         return pd.DataFrame({"id": list(seed), "seed": list(seed.values())})
 
     kind = scenes.schema["id"].dataType.simpleString()
-    return rows.groupBy("comp").applyInPandas(pick, f"id {kind}, seed {kind}")
+    return rows.groupBy("comp").applyInPandas(pick, f"id {kind}, seed {kind}").unionByName(alone)
