@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from terraspan.plans import catalog_queries, geo_queries, language_queries, search_queries, temporal_queries  # noqa: F401
+from terraspan.plans import (  # noqa: F401
+    catalog_queries,
+    geo_queries,
+    language_queries,
+    raster_queries,
+    review_queries,
+    search_queries,
+    temporal_queries,
+)
 from terraspan.plans._base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
