@@ -105,11 +105,12 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id"), "digest")
-    mark = docs.withColumn("__digest", sha256_hex(normalised(text_col)))
+    kept = exact_dedup(docs, id_col, text_col, **options).where("kept")
+    kept = kept.select(F.col(id_col).alias("__ts_id"), F.col("digest").alias("__ts_kept"))
+    mark = docs.withColumn("__ts_digest", sha256_hex(normalised(text_col)))
     joined = mark.join(
         kept,
-        F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("digest")),
+        F.col(id_col).eqNullSafe(F.col("__ts_id")) & (F.col("__ts_digest") == F.col("__ts_kept")),
         "left_semi",
     )
-    return joined.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return joined.dropDuplicates([id_col, "__ts_digest"]).drop("__ts_digest")

@@ -2,15 +2,17 @@
 
 A document is its set of word shingles; documents of equal sets are one
 *node*.  Every node has a signature of ``COORDS`` minima and is posted under
-each (coordinate, value).  Two sets of similarity 0.75 agree in three
-quarters of the coordinates on average; ``MATCHES`` of them are asked for,
-which misses such a pair once in about 300,000 times.
+each (coordinate, value) of the first ``POSTED``.  Two sets of similarity 0.75
+agree in three quarters of the coordinates on average; ``MATCHES`` of the
+posted ones are asked for, and ``FULL_MATCHES`` of all before the full sets
+are compared; that misses such a pair once in about 800,000 times, and more
+similar pairs far more rarely.
 
 Collisions are counted with prefix and skip merging.  A pair with ``MATCHES``
-common postings has one among the first COORDS - MATCHES + 1 of either node,
+common postings has one among the first POSTED - MATCHES + 1 of either node,
 in order of rising frequency, so only those are joined; a node that shares
 fewer than ``MATCHES`` postings with anyone is skipped before.  Rare postings
-come first, so passages that many documents share are hardly ever joined.
+come first, so passages that many documents share are seldom joined.
 
 Members of one posting list aren't all paired.  In each round every member is
 paired with a few seeded hubs of its list unless they are known to be
@@ -36,10 +38,16 @@ from terraspan.llm._spark import as_table, cut, ensure_importable, text_or_empty
 
 WORDS = 5
 PERCENT = 75
-COORDS = 48
-MATCHES = 22
+COORDS = 128
+#: Coordinates that are posted, and how many of them have to match.
+POSTED = 128
+#: Longs that hold the lowest four bits of every coordinate.
+NIBBLE_LONGS = COORDS // 16
+MATCHES = 72
+#: Of all coordinates so many have to match before the full sets are compared.
+FULL_MATCHES = 72
 #: Coordinates counted first, to find the nodes worth a closer look.
-FIRST_COORDS = 28
+FIRST_COORDS = 58
 HUBS = 3
 ROUNDS = 6
 #: A round has to link at least one in so many of its pairs for another to follow.
@@ -97,6 +105,24 @@ def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     return out
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """int64 array (sets, NIBBLE_LONGS): the lowest four bits of each coordinate."""
+    low = (sig.astype(np.int64) & 15).astype(_U).reshape(len(sig), NIBBLE_LONGS, 16)
+    return (low << (np.arange(16, dtype=_U) * _U(4))).sum(axis=2, dtype=_U).view(np.int64)
+
+
+def most_matches(a: str, b: str) -> Column:
+    """An upper bound of the coordinates that agree, from the nibbles (arrays
+    a and b): those whose nibbles differ don't.  Plain bit arithmetic."""
+    differ = F.lit(0)
+    for j in range(NIBBLE_LONGS):
+        z = f"({a}{j} ^ {b}{j})"
+        z = f"({z} | shiftrightunsigned({z}, 1))"
+        z = f"({z} | shiftrightunsigned({z}, 2))"
+        differ = differ + F.expr(f"bit_count({z} & {0x1111111111111111}L)")
+    return F.lit(COORDS) - differ
+
+
 def packed(s: np.ndarray) -> bytes:
     """A set as the upper six bytes of its hashes, in order."""
     return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -117,26 +143,28 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from terraspan.llm.minhash import shingle_sets, signatures
+        from terraspan.llm.minhash import nibbles, shingle_sets, signatures
 
         k = TaskContext.get().partitionId() << 36
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), words):
                 m = len(sets)
-                sig = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, COORDS * (m + 1), COORDS, dtype=np.int32)), pa.array(signatures(sets).ravel())
-                )
+                minima = signatures(sets)
+
+                def rows_of(x: np.ndarray) -> pa.ListArray:
+                    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(k, k + m, dtype=np.int64)), batch.column(0).slice(first, m),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), sig,
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), rows_of(minima), rows_of(nibbles(minima)),
                     ],
-                    ["k", "id", "n", "digest", "sig"],
+                    ["k", "id", "n", "digest", "sig", "low"],
                 )
                 k += m
 
-    schema = f"k long, id {id_type}, n long, digest binary, sig array<int>"
+    schema = f"k long, id {id_type}, n long, digest binary, sig array<int>, low array<bigint>"
     return as_table(docs.mapInArrow(run, schema), "signatures")
 
 
@@ -154,11 +182,11 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def prefix_lists(nodes: DataFrame) -> DataFrame:
     """token, k: the postings that have to be joined."""
-    need_first = MATCHES - (COORDS - FIRST_COORDS)
+    need_first = MATCHES - (POSTED - FIRST_COORDS)
     first = _shared(_postings(nodes, FIRST_COORDS)).groupBy("k").agg(F.count(F.lit(1)).alias("m"))
     near = nodes.join(first.where(F.col("m") >= need_first), "k", "left_semi")
     near = cut(near.select("k", "sig"))
-    mine = _shared(_postings(near, COORDS)).groupBy("k").agg(
+    mine = _shared(_postings(near, POSTED)).groupBy("k").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("p")
     )
     length = F.size("p") - (MATCHES - 1)  # prefix less the postings nobody shares
@@ -203,12 +231,12 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree in at least MATCHES coordinates."""
+    """Pairs (a, b) that agree in at least FULL_MATCHES coordinates."""
     sigs = nodes.select("k", "sig")
     both = pairs.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a")
     both = both.join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return both.where(same >= MATCHES).select("a", "b")
+    return both.where(same >= FULL_MATCHES).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -298,12 +326,17 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             # all of the lists' members outside their largest group against the members of other groups
             sizes = lab.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
             major = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("top")).select("token", F.col("top.c").alias("major"))
-            lab = lab.join(major, "token")
-            minor = lab.where("c <> major").select("token", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-            other = lab.select("token", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "major")
+            lab = lab.join(major, "token").join(near.select("k", "low"), "k")
+
+            def side(df: DataFrame, p: str) -> list[Column]:
+                lows = [F.get("low", F.lit(j)).alias(f"l{p}{j}") for j in range(NIBBLE_LONGS)]
+                return ["token", F.col("k").alias(p), F.col("c").alias(f"c{p}"), F.col("n").alias(f"n{p}"), *lows]
+
+            minor = lab.where("c <> major").select(*side(lab, "a"))
+            other = lab.select(*side(lab, "b"), "major")
             found = minor.join(other, "token").where(
                 (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-                & _fits(F.col("na"), F.col("nb"), percent)
+                & _fits(F.col("na"), F.col("nb"), percent) & (most_matches("la", "lb") >= FULL_MATCHES)
             ).select("a", "b")
         pairs = _pair(found)
         if checked is not None:
@@ -340,7 +373,7 @@ def near_duplicates(
     rows = _measure(base, words)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("rep"))
     placed = rows.join(classes, "digest", "left")
-    nodes = cut(placed.where("k = rep").select("k", "id", "n", "digest", "sig"))
+    nodes = cut(placed.where("k = rep").select("k", "id", "n", "digest", "sig", "low"))
     comps = linked_nodes(base, nodes, words, percent)
     members = placed.select("k", "id", "n", "rep")
     if comps is None:
