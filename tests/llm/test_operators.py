@@ -365,6 +365,15 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_judges_elements_by_their_own_names(spark):
+    rows = [(k, "http://one.com/", f"<body><div><article><p>Text {k}</article></div></body>") for k in range(20)]
+    rows += [(20, "http://one.com/", '<body><div id="cookie-notice">We use cookies</div><div><article><p>Text 20</article></div></body>')]
+    rows += [(30 + k, "http://two.com/", f'<body><div id="content"><p>Text {30 + k}</div><div id="comments"><p>Me too {k}</div></body>') for k in range(20)]
+    rows += [(60 + k, "http://three.com/", f'<body><div class="col main"><p>Text {60 + k}</div><div class="col sidebar"><p>More {k}</div></body>') for k in range(20)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
+
+
 def test_stages_keep_columns(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t)) for k, t, _ in labelled(lambda w, r: [*w, "scum", "loser", "trash", "moron"])]
     labels = [(k, 1, y) for k, _, y in labelled(lambda w, r: w)]
