@@ -374,6 +374,17 @@ def test_html_judges_elements_by_their_own_names(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
 
 
+def test_html_has_no_greatest_depth(spark):
+    def deep(n, k):
+        return "<div>" * n + f"<div><p>Text {k}</div><form>Send</form><nav>Menu</nav>" + "</div>" * n
+
+    rows = [(k, "http://deep.com/", deep(40, k)) for k in range(20)]
+    rows += [(k, "http://main.com/", f"<article>{deep(40, k)}</article>") for k in range(20, 40)]
+    rows += [(k, "http://abyss.com/", deep(3000, k)) for k in range(40, 44)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
+
+
 def test_stages_keep_columns(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t)) for k, t, _ in labelled(lambda w, r: [*w, "scum", "loser", "trash", "moron"])]
     labels = [(k, 1, y) for k, _, y in labelled(lambda w, r: w)]
