@@ -3,8 +3,9 @@
 Texts are folded first (lower case, look-alike letters and digit or symbol
 substitutions inside words to plain letters, everything else to single
 spaces).  An Aho-Corasick automaton then finds all terms in one pass: whole
-words and word beginnings, each with a weight, and exception phrases whose
-negative weights cancel the terms they contain.  The sums, alone and by
+words and word beginnings, each with a weight, and exceptions (words and
+phrases of two or three words) whose negative weights cancel the terms they
+contain, each at most once.  The sums, alone and by
 length, go through a small logistic curve.
 
 Terms, exceptions, weights and curve are learned from labelled rows.
@@ -27,12 +28,18 @@ from terraspan.llm._spark import crc_mod, ensure_importable, text_or_empty
 
 #: Labelled rows used for learning, at most (about: chosen by hash).
 TRAIN_ROWS = 12_000
-#: Terms that are always in the lexicon beside the learned ones.
+#: Terms in the lexicon beside the learned ones, unless labelled rows speak against them.
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 STEMS = range(3, 9)
 MAX_TERMS = 400
 #: Least log-likelihood ratio of a learned term (about one in a million by chance).
 EVIDENCE = 24.0
+#: Weight of a seed term that too few labelled rows have.
+SEED_WEIGHT = 3.0
+#: Words of an exception phrase, and its least log-likelihood ratio against
+#: the share of toxic documents among all that have the word in question.
+PHRASES = (2, 3)
+EXCEPTION_EVIDENCE = 10.0
 
 #: Look-alikes of a-z from other scripts.
 LOOKALIKES = {
@@ -90,7 +97,7 @@ class Lexicon:
         self.terms, self.curve, self.scale = terms, curve, scale
         self.automaton = ahocorasick.Automaton()
         for term, weight in terms.items():
-            self.automaton.add_word(term, weight)
+            self.automaton.add_word(term, (weight, len(term)))
         if terms:
             self.automaton.make_automaton()
 
@@ -101,10 +108,23 @@ class Lexicon:
         """Sum of weights found (not below 0), that per 100 words, words."""
         folded = fold(text or "")
         words = folded.count(" ") - 1
-        total = sum(w for _, w in self.automaton.iter(folded)) if self.terms else 0.0
-        total = max(total, 0.0)
+        total = max(self.total(folded), 0.0)
         return total, 100.0 * total / max(words, 20), max(words, 0)
 
+    def total(self, folded: str) -> float:
+        """Sum of the weights found; where exceptions overlap, a term that one
+        has cancelled isn't cancelled again."""
+        found = list(self.automaton.iter(folded)) if self.terms else []
+        out = sum(w for _, (w, _) in found if w > 0)
+        if all(w >= 0 for _, (w, _) in found):
+            return out
+        live = {(end - n, end): w for end, (w, n) in found if w > 0}
+        for end, (weight, n) in found:
+            if weight < 0:
+                inside = [span for span in live if span[0] >= end - n and span[1] <= end]
+                out -= min(-weight, sum(live.pop(span) for span in inside))
+        return out
+
     def shape(self, m: tuple[float, float, int]) -> list[float]:
         return [1.0, np.log1p(m[0]), np.log1p(m[1]), min(m[1], 60.0) / 10.0]
 
@@ -113,6 +133,64 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _phrases(words: list[str], k: int) -> list[str]:
+    """The exception phrases around the k-th word."""
+    return [f" {' '.join(words[a : a + n])} " for n in PHRASES for a in range(max(k - n + 1, 0), min(k, len(words) - n) + 1)]
+
+
+def learn_phrases(folded: list[str], labels: np.ndarray, is_term) -> tuple[list[str], dict[str, list[int]]]:
+    """Phrases of mostly clean documents around the words that ``is_term``,
+    and per such word how many clean and toxic documents have it elsewhere.
+
+    A phrase has to be in two clean documents at least and clearly less often
+    in toxic ones than its word is.  The best goes first; what it covers
+    doesn't count for the others.
+    """
+    label = labels.tolist()
+    at: list[tuple[int, str]] = []  # document and word of each occurrence
+    where: dict[str, list[int]] = {}
+    for d, text in enumerate(folded):
+        words = text.split()
+        for k, w in enumerate(words):
+            if is_term(w):
+                for phrase in _phrases(words, k):
+                    where.setdefault(phrase, []).append(len(at))
+                at.append((d, w))
+    n_docs = (label.count(0), label.count(1))
+    share: dict[str, set[int]] = {}
+    for d, w in at:
+        share.setdefault(w, set()).add(d)
+    toxic = {w: (sum(label[d] for d in ds) + 0.5) / (len(ds) + 1) for w, ds in share.items()}
+    live = [True] * len(at)
+
+    def strength(phrase: str) -> float:
+        """0 if the phrase is no exception."""
+        left = [o for o in where[phrase] if live[o]]
+        ds = {at[o][0] for o in left}
+        b = sum(label[d] for d in ds)
+        a, n = len(ds) - b, len(ds)
+        if a < 2:
+            return 0.0
+        odds = [np.log((k + 0.5) / (m + 0.5 - k + 0.5)) for k, m in ((b, n_docs[1]), (a, n_docs[0]))]
+        q = min(toxic[at[o][1]] for o in left)
+        if odds[0] - odds[1] >= 0.5 or b / n >= q:
+            return 0.0
+        out = 2 * (a * np.log(a / n / (1 - q)) + (b * np.log(b / n / q) if b else 0.0))
+        return float(out) if out >= EXCEPTION_EVIDENCE else 0.0
+
+    ranked = {p: x for p in where if len(where[p]) > 1 and (x := strength(p))}
+    chosen = []
+    for p in sorted(ranked, key=lambda p: (-round(ranked[p], 6), p.count(" "), p)):
+        if strength(p):
+            chosen.append(p)
+            for o in where[p]:
+                live[o] = False
+    elsewhere: dict[str, list[int]] = {w: [0, 0] for w in share}
+    for d, w in {x for x, alive in zip(at, live, strict=True) if alive}:
+        elsewhere[w][label[d]] += 1
+    return chosen, elsewhere
+
+
 def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[str, float]:
     """Terms whose share of documents differs most between the labels.
 
@@ -120,12 +198,16 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
     at least ``least`` toxic documents have it and its smoothed log-odds
     exceed 1; a longer candidate only if it is clearly better than a kept
     beginning of it.  Exceptions are whole words that contain a kept beginning
-    but aren't themselves more frequent in toxic documents.
+    but aren't themselves more frequent in toxic documents, and phrases around
+    kept terms (``learn_phrases``).  A seed term that at least ``least``
+    documents have outside of exceptions weighs its log-odds there; it is
+    dropped if they aren't positive.
     """
     yes, no = Counter(), Counter()
     n_yes, n_no = int(labels.sum()), int((1 - labels).sum())
-    for text, y in zip(texts, labels, strict=True):
-        words = set(fold(text).split())
+    folded = [fold(text) for text in texts]
+    for each, y in zip(folded, labels, strict=True):
+        words = set(each.split())
         keys = {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
         (yes if y else no).update(keys)
 
@@ -156,14 +238,26 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
         kept[t] = odds(t)
         if len(kept) >= MAX_TERMS:
             break
-    for term in SEED_TERMS:
-        kept.setdefault(f" {term} ", 3.0)
+    seeds = [term for term in SEED_TERMS if f" {term} " not in kept]
+    kept |= {f" {term} ": SEED_WEIGHT for term in seeds}
+    starts = tuple(t for t in kept if not t.endswith(" "))
+    phrases, elsewhere = learn_phrases(folded, labels, lambda w: f" {w} " in kept or f" {w}".startswith(starts))
+    for term in seeds:
+        b, a = elsewhere.get(term, (0, 0))
+        if a + b >= least:
+            shares = (a + 0.5) / (n_yes + 1), (b + 0.5) / (n_no + 1)
+            weight = float(np.log(shares[0] / (1 - shares[0])) - np.log(shares[1] / (1 - shares[1])))
+            if weight > 0:
+                kept[f" {term} "] = weight
+            else:
+                del kept[f" {term} "]
     stems = [t for t in kept if not t.endswith(" ")]
     for word in [w for w in no if w.endswith(" ") and no[w] >= 2 and w not in kept]:
         inside = sum(kept[t] for t in stems if word.startswith(t))
         if inside > 0 and odds(word) < 0.5:
             kept[word] = -inside
-    return kept
+    terms = Lexicon(kept, [], [])
+    return kept | {p: -inside for p in phrases if (inside := terms.total(p)) > 0}
 
 
 def train(texts: list[str | None], labels: np.ndarray) -> Lexicon:
@@ -172,7 +266,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> Lexicon:
     texts = [t or "" for t in texts]
     if len(set(labels.tolist())) < 2:
         prior = (labels.sum() + 0.5) / (len(labels) + 1.0)
-        return Lexicon({f" {t} ": 3.0 for t in SEED_TERMS}, [float(np.log(prior / (1 - prior))) - 1.0, 1.0, 1.0, 0.0], [])
+        return Lexicon({f" {t} ": SEED_WEIGHT for t in SEED_TERMS}, [float(np.log(prior / (1 - prior))) - 1.0, 1.0, 1.0, 0.0], [])
     own = np.arange(len(texts)) % 3 != 0
     terms = learn_terms([t for t, o in zip(texts, own, strict=True) if o], labels[own])
     lexicon = Lexicon(terms, [0.0] * 4, [])

@@ -279,6 +279,30 @@ def test_exceptions_cancel_terms():
     assert lex.measure("grumble and grumpy")[0] == 4.0 and lex.measure("grumble")[0] == 0.0
 
 
+def test_toxicity_learns_phrases_and_weighs_seeds(spark):
+    rng = random.Random(3)
+    vocab = [f"{a}{b}{c}" for a in "bdgkm" for b in "aeiou" for c in "lnrst"]
+
+    def doc(*own):
+        words = [rng.choice(vocab) for _ in range(30)]
+        k = rng.randrange(30)
+        return " ".join([*words[:k], *own, *words[k:]])
+
+    kinds = [(("you", "grumph"), 1), (("big", "grumph", "fish"), 0), (("the", "clown"), 1), (("clown", "fish"), 0), (("such", "trash"), 1), (("trash", "can"), 0), (("pathetic",), 0), ((), 0)]
+    rows = [(8 * k + j, doc(*own), y) for k in range(90) for j, (own, y) in enumerate(kinds)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    assert " pathetic " not in lexicon.terms and lexicon.terms[" scum "] == toxicity.SEED_WEIGHT
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    assert all((got[k] >= 0.5) == (y == 1) for k, _, y in rows)
+    assert lexicon.score(doc("trash", "can", "such", "trash")) >= 0.5 > lexicon.score(doc("a", "clown", "fish", "in", "a", "trash", "can"))
+
+
+def test_a_term_is_cancelled_once():
+    lex = toxicity.Lexicon({" trash ": 3.0, " scum ": 2.0, " big trash ": -3.0, " trash can ": -3.0}, [0.0] * 4, [])
+    assert lex.measure("scum and a big trash can")[0] == 2.0 and lex.measure("big trash, trash")[0] == 3.0
+
+
 def shingles(t, n=5):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
