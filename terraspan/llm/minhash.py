@@ -208,8 +208,10 @@ def _bitmap_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """k, bag: the packed sets of the given nodes (k, id), from their texts."""
-    rows = _bitmap_filter(docs, nodes.select("id")).join(nodes.select("k", "id", "digest"), "id")
+    """k, bag: the packed sets of the given nodes (k, id, digest), from their
+    texts; those of nodes without an id by the digest."""
+    named, nameless = nodes.where("id IS NOT NULL"), nodes.where("id IS NULL").select("k", "digest")
+    rows = _bitmap_filter(docs, named.select("id")).join(named.select("k", "id", "digest"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from terraspan.llm.minhash import packed, shingle_sets
@@ -226,8 +228,20 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 )
                 yield out.filter(pa.array(own))
 
-    found = rows.select("k", "digest", "text").mapInArrow(run, "k long, bag binary")
-    return as_table(found.dropDuplicates(["k"]), "sets")
+    def by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from terraspan.llm.minhash import packed, shingle_sets
+
+        for batch in batches:
+            for _, sets in shingle_sets(batch.column(0), words):
+                own = [s for s in sets if len(s)]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([packed(s) for s in own], pa.binary())], ["digest", "bag"])
+
+    found = rows.select("k", "digest", "text").mapInArrow(run, "k long, bag binary").dropDuplicates(["k"])
+    if not nameless.isEmpty():
+        bags = docs.where("id IS NULL").select("text").mapInArrow(by_digest, "digest binary, bag binary")
+        found = found.unionByName(bags.dropDuplicates(["digest"]).join(nameless, "digest").select("k", "bag"))
+    return as_table(found, "sets")
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -371,7 +385,9 @@ def near_duplicates(
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = _measure(base, words)
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("rep"))
+    # a row with an id stands for its class, if there is any
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "k"))
+    classes = rows.where("n > 0").groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.k").alias("rep"))
     placed = rows.join(classes, "digest", "left")
     nodes = cut(placed.where("k = rep").select("k", "id", "n", "digest", "sig", "low"))
     comps = linked_nodes(base, nodes, words, percent)

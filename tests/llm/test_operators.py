@@ -363,6 +363,18 @@ def test_near_duplicates(spark, monkeypatch, few):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_of_rows_without_an_id(spark):
+    def text(k, n):
+        return " ".join([f"t{k}w{j}" for j in range(60)] + [f"t{k}end{n}"])
+
+    # the first row of a class without an id, classes of such rows only, and a link between two of these
+    rows = [(None, text(1, 0)), (7, text(1, 0)), (5, text(1, 1)), (None, text(2, 0)), (None, text(2, 0)), (9, text(2, 1)), (3, text(2, 2))]
+    rows += [(None, text(3, 0)), (None, text(3, 1)), (1, text(4, 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == near_expected(rows)
+
+
 def test_near_duplicates_without_any(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == [(1, 2, 1, True), (2, 0, 2, True)]
