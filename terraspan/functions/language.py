@@ -471,9 +471,9 @@ def bytes_text(n: Column) -> Column:
     kb = 1024.0
     return cascade([
         (n < kb, F.concat(n.cast("string"), F.lit(" B"))),
-        (n < kb**2, F.concat(F.format_number(n / kb, 1), F.lit(" KB"))),
-        (n < kb**3, F.concat(F.format_number(n / kb**2, 1), F.lit(" MB"))),
-    ], F.concat(F.format_number(n / kb**3, 2), F.lit(" GB")))
+        (n < kb**2, F.format_string("%.1f KB", n / kb)),
+        (n < kb**3, F.format_string("%.1f MB", n / kb**2)),
+    ], F.format_string("%.2f GB", n / kb**3))
 
 
 def answer_matches(predicted: Column, truth: Column) -> Column:

@@ -216,6 +216,14 @@ def str_byte_format(spark, sf):
                     F.length(F.col("n_chars").cast("string")).cast("long").alias("digits"))
 
 
+@query()
+def str_byte_format_all(spark, sf):
+    """Every size as it is written, KB and more too."""
+    from terraspan.functions.language import bytes_text
+
+    return table(spark, sf, "documents").select("doc_id", bytes_text(F.col("n_chars")).alias("format"))
+
+
 @query("""WITH s AS (SELECT unnest(['GeoTIFF', 'PNG', 'JPEG', 'UNKNOWN']) AS format), d AS (
  SELECT CASE WHEN lang = 'en' THEN 'GeoTIFF' WHEN lang = 'de' THEN 'PNG' ELSE 'UNKNOWN' END AS format FROM documents)
 SELECT s.format, count(d.format) AS n FROM s LEFT JOIN d USING (format) GROUP BY s.format""")

@@ -121,6 +121,23 @@ def str_search_intent(spark, sf):
     return lang.with_plan(q.where((F.col("id") >= 1000000) | ~near)).select("id", "plan.intent")
 
 
+@query()
+def str_spatial_relation_all(spark, sf):
+    """All questions and conversations; RE2 has no look-ahead, so no SQL."""
+    p = lang.with_plan(_questions(spark, sf))
+    return p.select("id", F.col("plan.spatial_relation.relation").alias("relation"), F.col("plan.spatial_relation.feature").alias("feature"))
+
+
+@query()
+def str_semantic_query_all(spark, sf):
+    return lang.with_plan(_questions(spark, sf)).select("id", "plan.semantic_query")
+
+
+@query()
+def str_search_intent_all(spark, sf):
+    return lang.with_plan(_questions(spark, sf)).select("id", "plan.intent")
+
+
 CHANGE, SEEN = any_of(lang.CHANGE_WORDS), "(" + any_of(lang.VISIBLE_WORDS) + " OR " + " OR ".join(f"starts_with(q, '{w}')" for w in lang.VISIBLE_STARTS) + ")"
 INTENT_SQL = "CASE " + " ".join(f"WHEN {any_of(w)} THEN '{n}'" for n, w in lang.INTENT_WORDS.items()) + f""" WHEN {SEEN} AND NOT {CHANGE} THEN 'VISUAL_OBSERVATION'
  WHEN {CHANGE} THEN 'TEMPORAL_CHANGE' WHEN {SEEN} OR {any_of(lang.LOOK_WORDS)} THEN 'VISUAL_OBSERVATION' ELSE 'GENERAL' END"""

@@ -101,3 +101,33 @@ def test_audit_stream(spark, tmp_path):
     events = observations.read_events(spark, str(tmp_path / "in"), df.schema)
     observations.append_audit(observations.distinct_events(events), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_language_queries_take_every_row(spark, tmp_path):
+    import re
+
+    from terraspan.functions import language as lang
+    from terraspan.plans import catalog_queries, language_queries  # noqa: F401
+    from terraspan.plans._base import QUERIES
+
+    said = ["Houses near the river", "ships along the coast in 2021", "fields  within  a delta during monsoon", "roads near indus plain", "hello you there", "", None]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(said)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    asked = dict(enumerate(language_queries.QUESTIONS)) | {1_000_000 + 1000 * k: t for k, t in enumerate(said)}
+
+    def rows(name):
+        return {r[0]: r[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    pattern = r"(near|along|around|close to|adjacent to|within)\s+([a-z\s]+?)(?=\s+(?:between|from|in|using|with|during)\b|\s*$)"
+    found = {k: re.search(pattern, (t or "").strip().lower()) for k, t in asked.items()}
+    relations = rows("str_spatial_relation_all")
+    assert relations == {k: (m[1], m[2].strip()) if m else (None, None) for k, m in found.items()}
+    assert relations[1_000_000] == ("near", "the river") and relations[1] == ("near", "rivers")
+    meaning, intent = rows("str_semantic_query_all"), rows("str_search_intent_all")
+    assert meaning.keys() == intent.keys() == asked.keys()
+    stops = r"\b(" + "|".join(lang.STOP_WORDS) + r")\b"
+    assert meaning[1_004_000][0] == re.sub(r"\s+", " ", re.sub(stops, " ", said[4])).strip()
+    assert intent[1_003_000][0] == "RELATIONAL_SEARCH" and intent[1_004_000][0] == "GENERAL_SEMANTIC"
+
+    sizes = [0, 1023, 1024, 1280, 1_048_064, 1_048_576, 1_073_000_000, 2 << 30, 1300 << 30]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [x[0] for _, x in sorted(rows("str_byte_format_all").items())] == ["0 B", "1023 B", "1.0 KB", "1.3 KB", "1023.5 KB", "1.0 MB", "1023.3 MB", "2.00 GB", "1300.00 GB"]
