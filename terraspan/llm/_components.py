@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm._spark import cut
 
+#: A node that holds at least one in so many of all links is a hub; there are
+#: at most twice as many hubs, so their minima may be broadcast.
+HUB_SHARE = 256
+HUB_LINKS = 200
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One step on edges (u, v), u > v: every node's neighbours move to its
-    smallest one.  The minimum is aggregated before it is joined back, so a
-    node with very many neighbours is never gathered."""
+    smallest one.  The minimum is aggregated before it is joined back, and the
+    links of hubs are joined where they lie, so a node with very many
+    neighbours is never gathered."""
     if large:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.withColumn("m", F.least("u", "m"))
-    moved = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = cut(least.withColumn("m", F.least("u", "m")))
+    hub = F.col("n") >= max(HUB_LINKS, -(-2 * total // HUB_SHARE))
+    marked = near.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    moved = marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m"))
+    rest = marked.where("hub_m IS NULL").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    moved = moved.unionByName(rest)
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -28,41 +37,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
-#: Up to this many links are joined up in one task (16 bytes each); any number
-#: beyond by the distributed steps.
-FEW = 15_000
-
-
-def _joined_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
-        a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
-        parent[max(a, b)] = min(a, b)
-    return pd.DataFrame({"node": list(parent), "comp": [root(k) for k in parent]}, dtype="int64")
-
-
 def components(links: DataFrame, most: int = 50) -> DataFrame:
     """node, comp for every node of ``links`` (a, b): comp is the smallest
     node reachable.  Nodes in no link are left out."""
     edges = cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    if edges.count() <= FEW:
-        return edges.groupBy().applyInPandas(_joined_up, "node long, comp long")
     seen = None
     for _ in range(most):
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(cut(_stars(edges, True, state[0])), False, state[0]))
     else:
         raise RuntimeError(f"components did not settle in {most} steps")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()

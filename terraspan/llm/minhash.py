@@ -15,11 +15,15 @@ fewer than ``MATCHES`` postings with anyone is skipped before.  Rare postings
 come first, so passages that many documents share are seldom joined.
 
 Members of one posting list aren't all paired.  In each round every member is
-paired with a few seeded hubs of its list unless they are known to be
-connected; pairs are kept if enough coordinates match, then confirmed on the
-full sets.  Groups of copies grow together in a few rounds; what is left, the
-members outside their list's largest group, is then paired with all members
-of other groups once, so no link between groups is lost.
+paired with one seeded hub of its list unless both are known to be connected;
+pairs are kept if enough coordinates match, then confirmed on the full sets.
+Copies grow together in these rounds.  The nodes whose lists still hold more
+than one group are settled in ``_settled``: a list (long ones as pairs of
+blocks of bounded size) is one unit of work that counts the collisions of its
+members, confirms those above the threshold on the full sets by an inverted
+index of its shingles, and returns links between different groups only, at
+most one fewer than it has members.  So a passage that thousands of documents
+share makes no row per pair, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -41,17 +45,18 @@ PERCENT = 75
 COORDS = 128
 #: Coordinates that are posted, and how many of them have to match.
 POSTED = 128
-#: Longs that hold the lowest four bits of every coordinate.
-NIBBLE_LONGS = COORDS // 16
 MATCHES = 72
 #: Of all coordinates so many have to match before the full sets are compared.
 FULL_MATCHES = 72
 #: Coordinates counted first, to find the nodes worth a closer look.
 FIRST_COORDS = 58
-HUBS = 3
-ROUNDS = 6
-#: A round has to link at least one in so many of its pairs for another to follow.
-YIELD = 20
+#: Rounds of pairing members with a hub of their list.
+ROUNDS = 2
+#: Coordinates whose lists settle what the rounds leave: two sets of similarity
+#: 0.75 agree in none of them once in 16 million times.
+LAST_COORDS = 12
+#: Members, and shingles of all members, of a block of a list at most.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Bits of the filter that keeps most texts out of the second pass; its size
 #: doesn't depend on the data.
 FILTER_BITS = 1 << 23
@@ -105,26 +110,10 @@ def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     return out
 
 
-def nibbles(sig: np.ndarray) -> np.ndarray:
-    """int64 array (sets, NIBBLE_LONGS): the lowest four bits of each coordinate."""
-    low = (sig.astype(np.int64) & 15).astype(_U).reshape(len(sig), NIBBLE_LONGS, 16)
-    return (low << (np.arange(16, dtype=_U) * _U(4))).sum(axis=2, dtype=_U).view(np.int64)
-
-
-def most_matches(a: str, b: str) -> Column:
-    """An upper bound of the coordinates that agree, from the nibbles (arrays
-    a and b): those whose nibbles differ don't.  Plain bit arithmetic."""
-    differ = F.lit(0)
-    for j in range(NIBBLE_LONGS):
-        z = f"({a}{j} ^ {b}{j})"
-        z = f"({z} | shiftrightunsigned({z}, 1))"
-        z = f"({z} | shiftrightunsigned({z}, 2))"
-        differ = differ + F.expr(f"bit_count({z} & {0x1111111111111111}L)")
-    return F.lit(COORDS) - differ
-
-
 def packed(s: np.ndarray) -> bytes:
-    """A set as the upper six bytes of its hashes, in order."""
+    """A set as the upper six bytes of its hashes, in order.  Two sets of m
+    and n different shingles seem to share one with odds of m * n / 2**48:
+    1 in 10**10 for 150 each, 1 in 700,000 for 20,000 each."""
     return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
@@ -143,7 +132,7 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from terraspan.llm.minhash import nibbles, shingle_sets, signatures
+        from terraspan.llm.minhash import shingle_sets, signatures
 
         k = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -158,19 +147,19 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(k, k + m, dtype=np.int64)), batch.column(0).slice(first, m),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), rows_of(minima), rows_of(nibbles(minima)),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), rows_of(minima),
                     ],
-                    ["k", "id", "n", "digest", "sig", "low"],
+                    ["k", "id", "n", "digest", "sig"],
                 )
                 k += m
 
-    schema = f"k long, id {id_type}, n long, digest binary, sig array<int>, low array<bigint>"
+    schema = f"k long, id {id_type}, n long, digest binary, sig array<int>"
     return as_table(docs.mapInArrow(run, schema), "signatures")
 
 
 def _postings(nodes: DataFrame, coords: int) -> DataFrame:
-    each = nodes.select("k", F.posexplode(F.slice("sig", 1, coords)).alias("c", "v"))
-    token = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    each = nodes.select(F.col("k"), F.posexplode(F.slice("sig", 1, coords)).alias("i", "v"))
+    token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     return each.select("k", token.alias("token"))
 
 
@@ -284,6 +273,124 @@ def _pair(df: DataFrame) -> DataFrame:
     return both.select("lo", "hi", "p.a", "p.b")
 
 
+class _List:
+    """The members of one list (or of two of its blocks) in a task."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.k, self.c, self.n, side = (rows.column(j).to_numpy(zero_copy_only=False) for j in range(4))
+        self.second = side == 1
+        self.sig = rows.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(self.k), -1)
+        self.bags = [unpacked(x.as_buffer()) for x in rows.column(5)]
+        self.index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that the row has in common with each of the others."""
+        mine = self.bags[row]
+        if len(others) <= 4:
+            return np.array([len(np.intersect1d(mine, self.bags[x], assume_unique=True)) for x in others], np.int64)
+        if self.index is None:
+            values = np.concatenate(self.bags)
+            order = np.argsort(values, kind="stable")
+            owners = np.repeat(np.arange(len(self.bags)), [len(b) for b in self.bags])[order]
+            distinct, starts = np.unique(values[order], return_index=True)
+            self.index = distinct, np.append(starts, len(values)), owners
+        distinct, starts, owners = self.index
+        at = np.searchsorted(distinct, mine)
+        sizes = starts[at + 1] - starts[at]
+        ends = np.cumsum(sizes)
+        posts = owners[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        return np.bincount(posts, minlength=len(self.bags))[others]
+
+    def links(self, coord: int, percent: int) -> list[tuple[int, int]]:
+        """Links that join the groups ``c`` of the members; none that follows
+        from the others.  A pair counts in the list of the first coordinate in
+        which it agrees, so it is looked at once."""
+        names, group, sizes = np.unique(self.c, return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            return []
+        two = self.second.any()
+        major = group == np.argmax(sizes)
+        found = []
+        for row in np.flatnonzero(~major):
+            other = group != group[row]
+            # of two members outside the largest group, the later one meets the earlier
+            other[row:] &= major[row:]
+            if two:
+                other &= self.second != self.second[row]
+            x = np.flatnonzero(other)
+            small, large = np.minimum(self.n[x], self.n[row]), np.maximum(self.n[x], self.n[row])
+            x = x[100 * small >= percent * large]
+            if not len(x):
+                continue
+            same = self.sig[x] == self.sig[row]
+            x = x[(np.count_nonzero(same, axis=1) >= MATCHES) & ~same[:, :coord].any(axis=1)]
+            if not len(x):
+                continue
+            inter = self.common(row, x)
+            for y in x[100 * inter >= percent * (self.n[x] + self.n[row] - inter)]:
+                if group[y] != group[row]:
+                    found.append((int(self.k[row]), int(self.k[y])))
+                    group[group == group[row]] = group[y]
+        return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first key, rows) of each run of equal values in the first columns."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(j).to_numpy() for j in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for x in cols:
+            new[1:] |= x[1:] != x[:-1]
+        new[0] = last is not None and tuple(x[0] for x in cols) != last
+        at = 0
+        for cut_at in np.flatnonzero(new):
+            rows = [*held, *([batch.slice(at, cut_at - at)] if cut_at > at else [])]
+            held, at = [], cut_at
+            whole = pa.concat_batches(rows) if len(rows) > 1 else rows[0]
+            yield int(whole.column(0)[0].as_py()), whole
+        held.append(batch.slice(at))
+        last = tuple(x[-1] for x in cols)
+    if held:
+        whole = pa.concat_batches(held)
+        yield int(whole.column(0)[0].as_py()), whole
+
+
+def _settled(left: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different groups among the nodes ``left`` (k, c, n)."""
+    posts = _postings(left.join(sigs, "k"), LAST_COORDS).join(left, "k")
+    size, shingles = F.count(F.lit(1)), F.sum("n")
+    blocks = F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    lists = posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks"))
+    posts = cut(posts.join(lists.where("lo <> hi").select("token", "blocks"), "token"))
+    own = F.pmod(F.xxhash64("k", "token"), F.col("blocks")).cast("int")
+    # a member goes to the pairs of its block with every block
+    posts = posts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    units = posts.select(
+        "k", "c", "n", "token", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"),
+        (F.col("own") > F.col("to")).cast("int").alias("side"),
+    )
+    units = units.join(sigs, "k").join(sets, "k").select("token", "i", "j", "k", "c", "n", "side", "sig", "bag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from terraspan.llm.minhash import _List, _runs
+
+        found: list[tuple[int, int]] = []
+        for token, rows in _runs(batches, 3):
+            found += _List(pa.RecordBatch.from_arrays(rows.columns[3:], names=list("kcnsxy"))).links(token >> 32, percent)
+            if len(found) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    units = units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return units.mapInArrow(run, "a long, b long")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
     """k, comp for the nodes that are linked with any other; None if none is.
 
@@ -307,8 +414,10 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             df = members.withColumn("c", F.col("k"))
         else:
             df = members.join(comps, "k", "left").withColumn("c", F.coalesce("comp", "k")).drop("comp")
-        open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        return cut(df.join(open_lists, "token", "left_semi"))
+        open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
+        # after a round the one pair of a list of two is known
+        open_lists = open_lists.where("lo <> hi").where(F.col("m") > (1 if checked is None else 2))
+        return cut(df.join(open_lists.select("token"), "token", "left_semi"))
 
     def merged(links: DataFrame) -> DataFrame:
         """The groups after the links are added."""
@@ -323,51 +432,23 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
         added = top.select(F.col("node").alias("k"), "comp").join(comps, "k", "left_anti")
         return cut(moved.unionByName(added))
 
-    turn, last = 0, False
-    while True:
+    for turn in range(ROUNDS):
         lab = labelled()
-        if lab.isEmpty():
-            break
-        if not last:
-            draws = [F.xxhash64(F.lit(1000 * turn + j), "k") for j in range(HUBS)]
-            hubs = lab.groupBy("token").agg(
-                *[F.min(F.struct(d.alias("h"), F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias(f"x{j}") for j, d in enumerate(draws)]
-            ).select("token", F.explode(F.array(*[f"x{j}" for j in range(HUBS)])).alias("x")).select("token", "x.*").drop("h")
-            found = lab.join(hubs, "token").where(
-                (F.col("c") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent)
-            ).select(F.col("k").alias("a"), "b")
-        else:
-            # all of the lists' members outside their largest group against the members of other groups
-            sizes = lab.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-            major = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("top")).select("token", F.col("top.c").alias("major"))
-            lab = lab.join(major, "token").join(near.select("k", "low"), "k")
-
-            def side(df: DataFrame, p: str) -> list[Column]:
-                lows = [F.get("low", F.lit(j)).alias(f"l{p}{j}") for j in range(NIBBLE_LONGS)]
-                return ["token", F.col("k").alias(p), F.col("c").alias(f"c{p}"), F.col("n").alias(f"n{p}"), *lows]
-
-            minor = lab.where("c <> major").select(*side(lab, "a"))
-            other = lab.select(*side(lab, "b"), "major")
-            found = minor.join(other, "token").where(
-                (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-                & _fits(F.col("na"), F.col("nb"), percent) & (most_matches("la", "lb") >= FULL_MATCHES)
-            ).select("a", "b")
-        pairs = _pair(found)
+        draw = F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+        hubs = lab.groupBy("token").agg(F.min(draw).alias("x")).select("token", "x.b", "x.cb", "x.nb")
+        found = lab.join(hubs, "token").where((F.col("c") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
+        pairs = _pair(found.select(F.col("k").alias("a"), "b"))
         if checked is not None:
             pairs = pairs.join(checked, ["lo", "hi"], "left_anti")
         pairs = cut(pairs)
         links = cut(_confirmed(_matching(pairs.select("a", "b"), sigs), sets, percent))
-        n_links = links.count()
-        if n_links:
+        if not links.isEmpty():
             comps = merged(links)
-        if last:
-            break
         done = pairs.select("lo", "hi")
         checked = done if checked is None else checked.unionByName(done)
-        turn += 1
-        # the groups hardly grow any more: settle all that is left at once
-        last = n_links * YIELD < pairs.count() or turn >= ROUNDS
-    return comps
+    left = cut(labelled().select("k", "c", "n").distinct())
+    links = cut(_settled(left, sigs, sets, percent))
+    return comps if links.isEmpty() else merged(links)
 
 
 def near_duplicates(
@@ -389,7 +470,7 @@ def near_duplicates(
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "k"))
     classes = rows.where("n > 0").groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.k").alias("rep"))
     placed = rows.join(classes, "digest", "left")
-    nodes = cut(placed.where("k = rep").select("k", "id", "n", "digest", "sig", "low"))
+    nodes = cut(placed.where("k = rep").select("k", "id", "n", "digest", "sig"))
     comps = linked_nodes(base, nodes, words, percent)
     members = placed.select("k", "id", "n", "rep")
     if comps is None:

@@ -353,9 +353,11 @@ def near_rows():
     return out + [(None, out[6][1]), (out[9][0], out[9][1]), (None, "only here and nowhere else at all")]
 
 
-@pytest.mark.parametrize("few", [0, 15_000])
-def test_near_duplicates(spark, monkeypatch, few):
-    monkeypatch.setattr(_components, "FEW", few)
+@pytest.mark.parametrize("rounds, block, hub_links", [(2, 2048, 200), (0, 2048, 4), (0, 9, 4), (1, 5, 200)])
+def test_near_duplicates(spark, monkeypatch, rounds, block, hub_links):
+    monkeypatch.setattr(_components, "HUB_LINKS", hub_links)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = near_rows()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, k int").repartition(3)
     got = minhash.near_duplicates(df).collect()
