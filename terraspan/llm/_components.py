@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm._spark import cut
+from terraspan.llm._spark import as_table, drop_tables
 
 #: A node that holds at least one in so many of all links is a hub; there are
 #: at most twice as many hubs, so their minima may be broadcast.
@@ -23,7 +23,7 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     else:
         near = edges
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    least = cut(least.withColumn("m", F.least("u", "m")))
+    least = least.withColumn("m", F.least("u", "m"))
     hub = F.col("n") >= max(HUB_LINKS, -(-2 * total // HUB_SHARE))
     marked = near.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
     moved = marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m"))
@@ -40,8 +40,8 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
 def components(links: DataFrame, most: int = 50) -> DataFrame:
     """node, comp for every node of ``links`` (a, b): comp is the smallest
     node reachable.  Nodes in no link are left out."""
-    edges = cut(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = as_table(
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     seen = None
     for _ in range(most):
@@ -49,7 +49,10 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        edges = cut(_stars(cut(_stars(edges, True, state[0])), False, state[0]))
+        half = as_table(_stars(edges, True, state[0]), "links")
+        drop_tables(edges)
+        edges = as_table(_stars(half, False, state[0]), "links")
+        drop_tables(half)
     else:
         raise RuntimeError(f"components did not settle in {most} steps")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()

@@ -50,8 +50,9 @@ MATCHES = 72
 FULL_MATCHES = 72
 #: Coordinates counted first, to find the nodes worth a closer look.
 FIRST_COORDS = 58
-#: Rounds of pairing members with a hub of their list.
-ROUNDS = 2
+#: Rounds of pairing members with a hub of their list; any number gives the
+#: same groups, more leave less for the last step and cost more by themselves.
+ROUNDS = 1
 #: Coordinates whose lists settle what the rounds leave: two sets of similarity
 #: 0.75 agree in none of them once in 16 million times.
 LAST_COORDS = 12
@@ -267,10 +268,9 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def _pair(df: DataFrame) -> DataFrame:
-    """Each unordered pair once: lo, hi, and a, b as one of the lists has it
-    (member, hub); many pairs share a hub, so it is joined last."""
+    """Each unordered pair once, as one of the lists has it (member a, hub b)."""
     both = df.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "b")).alias("p"))
-    return both.select("lo", "hi", "p.a", "p.b")
+    return both.select("p.a", "p.b")
 
 
 class _List:
@@ -406,9 +406,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
     sigs = near.select("k", "sig")
     members = cut(lists.join(near.select("k", "n"), "k"))
     comps: DataFrame | None = None
-    checked: DataFrame | None = None
 
-    def labelled() -> DataFrame:
+    def labelled(turn: int) -> DataFrame:
         """Members of the lists that still hold more than one group."""
         if comps is None:
             df = members.withColumn("c", F.col("k"))
@@ -416,13 +415,13 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             df = members.join(comps, "k", "left").withColumn("c", F.coalesce("comp", "k")).drop("comp")
         open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
         # after a round the one pair of a list of two is known
-        open_lists = open_lists.where("lo <> hi").where(F.col("m") > (1 if checked is None else 2))
+        open_lists = open_lists.where("lo <> hi").where(F.col("m") > (2 if turn else 1))
         return cut(df.join(open_lists.select("token"), "token", "left_semi"))
 
     def merged(links: DataFrame) -> DataFrame:
         """The groups after the links are added."""
         if comps is None:
-            return cut(components(links).select(F.col("node").alias("k"), "comp"))
+            return as_table(components(links).select(F.col("node").alias("k"), "comp"), "groups")
         known = comps.withColumnRenamed("comp", "c")
         up = links.join(known.withColumnRenamed("k", "a").withColumnRenamed("c", "ca"), "a", "left")
         up = up.join(known.withColumnRenamed("k", "b").withColumnRenamed("c", "cb"), "b", "left")
@@ -430,23 +429,18 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
         moved = comps.join(top.withColumnRenamed("comp", "top"), F.col("comp") == F.col("node"), "left")
         moved = moved.select("k", F.coalesce("top", "comp").alias("comp"))
         added = top.select(F.col("node").alias("k"), "comp").join(comps, "k", "left_anti")
-        return cut(moved.unionByName(added))
+        return as_table(moved.unionByName(added), "groups")
 
     for turn in range(ROUNDS):
-        lab = labelled()
+        lab = labelled(turn)
         draw = F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
         hubs = lab.groupBy("token").agg(F.min(draw).alias("x")).select("token", "x.b", "x.cb", "x.nb")
         found = lab.join(hubs, "token").where((F.col("c") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
         pairs = _pair(found.select(F.col("k").alias("a"), "b"))
-        if checked is not None:
-            pairs = pairs.join(checked, ["lo", "hi"], "left_anti")
-        pairs = cut(pairs)
-        links = cut(_confirmed(_matching(pairs.select("a", "b"), sigs), sets, percent))
+        links = cut(_confirmed(_matching(pairs, sigs), sets, percent))
         if not links.isEmpty():
             comps = merged(links)
-        done = pairs.select("lo", "hi")
-        checked = done if checked is None else checked.unionByName(done)
-    left = cut(labelled().select("k", "c", "n").distinct())
+    left = cut(labelled(ROUNDS).select("k", "c", "n").distinct())
     links = cut(_settled(left, sigs, sets, percent))
     return comps if links.isEmpty() else merged(links)
 
