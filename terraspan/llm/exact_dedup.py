@@ -12,8 +12,9 @@ normalised text beside its digest, so equal digests alone never merge rows:
 3. globally: the salt winners of hot digests are combined; other groups are
    complete after step 2, and their text isn't moved again.
 
-The text is shuffled once.  The result is mapped back to all rows by digest
-where a digest has one text (always, for SHA-256), else by digest and text.
+The text is shuffled once, that of a hot digest's salt winners twice.  The
+result is mapped back to all rows by digest where a digest has one text
+(always, for SHA-256), else by digest and text.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ def exact_dedup(
 
     ``digest`` may be replaced by a weaker function; the result stays exact.
     """
+    found = _deduped(docs, id_col, text_col, digest, salts, hot_share, hot_rows)
+    return found.drop("content").withColumnRenamed("id", id_col)
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], salts: int, hot_share: int, hot_rows: int) -> DataFrame:
+    """id, keep_id, group_size, kept, digest, copy, and ``content``: the
+    normalised text, if digests stand for several texts (else null)."""
     base = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
     base = base.withColumn("digest", digest(F.col("norm")))
     ids = cut(base.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")))
@@ -66,51 +74,55 @@ def exact_dedup(
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(-1))
         return df.join(hot, "digest", "left").withColumn("salt", salt.cast("int")).drop("hot")
 
-    rows = salted(base)
-    groups = rows.groupBy("salt", "digest", "norm").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    is_hot = F.col("salt") >= 0
-    winners = groups.select(
-        "digest",
-        "id",
-        "n",
-        is_hot.alias("hot"),
-        F.when(is_hot, F.col("norm")).alias("content"),
-        F.when(~is_hot, F.xxhash64("norm")).alias("solo"),
-        F.when(~is_hot, F.col("id")).alias("solo_id"),
-    )
-    classes = winners.groupBy("digest", "hot", "content", "solo", "solo_id").agg(
-        F.min("id").alias("keep_id"), F.sum("n").alias("group_size")
-    )
-    classes = cut(classes.select("digest", "hot", "keep_id", "group_size"))
-    clash = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+    def classes(*keys: str) -> DataFrame:
+        """The texts with hot, keep_id, group_size and the given keys."""
+        least, number = F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        groups = salted(base).groupBy("salt", "digest", "norm").agg(least, number)
+        ready = groups.where("salt < 0").select(*keys, F.lit(False).alias("hot"), "keep_id", "group_size")
+        winners = groups.where("salt >= 0").groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return ready.unionByName(winners.select(*keys, F.lit(True).alias("hot"), "keep_id", "group_size"))
 
     spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
+    each = cut(classes("digest"))
+    clash = each.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     if clash.isEmpty():
-        targets = classes.select("digest", F.explode(spread).alias("salt"), "keep_id", "group_size")
-        out = salted(ids).join(targets, ["digest", "salt"], "left")
+        targets = each.select("digest", F.explode(spread).alias("salt"), "keep_id", "group_size")
+        out = salted(ids).join(targets, ["digest", "salt"], "left").withColumn("content", F.lit(None).cast("string"))
     else:  # different texts under one digest: map back by the text as well
-        exact = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        counted = rows.groupBy("id", "digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-        out = counted.join(exact, ["digest", "norm"], "left")
+        targets = classes("digest", "norm").select("digest", "norm", F.explode(spread).alias("salt"), "keep_id", "group_size")
+        counted = salted(base.groupBy("id", "digest", "norm").agg(F.count(F.lit(1)).alias("n")))
+        out = counted.join(targets, ["digest", "norm", "salt"], "left").withColumnRenamed("norm", "content")
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"),
         "digest",
         "copy",
+        "content",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept")
-    kept = kept.select(F.col(id_col).alias("__ts_id"), F.col("digest").alias("__ts_kept"))
-    mark = docs.withColumn("__ts_digest", sha256_hex(normalised(text_col)))
-    joined = mark.join(
-        kept,
-        F.col(id_col).eqNullSafe(F.col("__ts_id")) & (F.col("__ts_digest") == F.col("__ts_kept")),
-        "left_semi",
-    )
-    return joined.dropDuplicates([id_col, "__ts_digest"]).drop("__ts_digest")
+def drop_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest: Callable[[Column], Column] = sha256_hex,
+    salts: int = 64,
+    hot_share: int = 512,
+    hot_rows: int = 1000,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    One row per text, the one with the smallest id; of rows that repeat id and
+    text (also with other values elsewhere) any one.  Null ids lose against
+    any other.  An empty table gives an empty one.
+    """
+    kept = _deduped(docs, id_col, text_col, digest, salts, hot_share, hot_rows).where("kept")
+    kept = kept.select(F.col("id").alias("__ts_id"), F.col("digest").alias("__ts_kept"), F.col("content").alias("__ts_content"))
+    norm = normalised(text_col)
+    mark = docs.withColumn("__ts_digest", digest(norm))
+    same = F.col("__ts_content").isNull() | (F.col("__ts_content") == norm)
+    joined = mark.join(kept, F.col(id_col).eqNullSafe(F.col("__ts_id")) & (F.col("__ts_digest") == F.col("__ts_kept")) & same)
+    return joined.dropDuplicates([id_col, "__ts_digest", "__ts_content"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,7 @@ side.  Only the last window of all can be short.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 import zlib
@@ -28,13 +29,17 @@ from terraspan.llm._spark import as_table, ensure_importable, text_or_empty
 LENGTH = 4096
 END_ID = 2
 #: Cached chunks and pieces per Python worker: entries of each of the two
-#: generations of a cache (about 200 bytes an entry).
-CHUNKS, PIECES = 400_000, 600_000
+#: generations of a cache.  Chunks and pieces have ``CACHED`` characters at
+#: most, so an entry takes about 200 bytes and all four caches about 48 MB.
+CHUNKS, PIECES, CACHED = 60_000, 60_000, 64
 
 _SPACES = " \t\n\x0b\f\r"
 _BETWEEN = regex.compile(r"[\x20\x09-\x0D]+")
 #: Fixed value: how the tokenizer file splits lower-cased text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The steps of a tokenizer file that this module does itself.
+_NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_PRE_TOKENIZERS = [("Split", _PIECES.pattern), ("ByteLevel", None)]
 #: Chunks of these characters only are split here; any other goes through the
 #: tokenizer whole.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ɏ]+")
@@ -47,12 +52,25 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _known_steps(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+
+    def steps(part: str, inner: str) -> list[tuple[str, str | None]]:
+        return [(x["type"], x.get("pattern", {}).get("Regex")) for x in (file.get(part) or {}).get(inner, ())]
+
+    special = all(x["content"].startswith("<|") and not x["normalized"] for x in file["added_tokens"])
+    return special and steps("normalizer", "normalizers") == _NORMALIZERS and steps("pre_tokenizer", "pretokenizers") == _PRE_TOKENIZERS
+
+
 class Encoder:
     """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)``
     gives them, with a cache of white-space-free chunks.
 
     The tokenizer drops white space and never joins characters across it, so
-    a text's ids are its chunks' ids in turn.
+    a text's ids are its chunks' ids in turn.  That holds for files whose steps
+    are ``_NORMALIZERS`` and ``_PRE_TOKENIZERS``; with any other file every
+    text goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -60,6 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known = _known_steps(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self.raw([END_ID])
@@ -82,26 +101,33 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         if (got := self.pieces.get(piece)) is None:
             if (got := self.old_pieces.get(piece)) is None:
-                shown = "".join(map(self.chars.__getitem__, piece.encode()))
+                shown = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
                 got = self.raw([t.id for t in self.model.tokenize(shown)])
-            if len(self.pieces) >= PIECES:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = got
+            if len(piece) <= CACHED:
+                if len(self.pieces) >= PIECES:
+                    self.old_pieces, self.pieces = self.pieces, {}
+                self.pieces[piece] = got
         return got
 
     def chunk(self, chunk: str) -> bytes:
         if (got := self.old_chunks.get(chunk)) is None:
-            if not _PLAIN.fullmatch(chunk) or "<|" in chunk or "\u00ad" in chunk:
+            if chunk.isascii() and chunk.isalpha():
+                got = self.piece(chunk.lower())  # one run of letters
+            elif chunk.isascii() and chunk[-1] in ".," and chunk[:-1].isalpha():
+                got = self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
+            elif not _PLAIN.fullmatch(chunk) or "<|" in chunk or "\u00ad" in chunk:
                 got = self.whole(chunk)
             else:
                 got = b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
-        if len(chunk) <= 64:
+        if len(chunk) <= CACHED:
             if len(self.chunks) >= CHUNKS:
                 self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return self.whole(text) + self.end
         parts = text.split(" ") if text.isascii() and not regex.search(r"[\x09-\x0D]", text) else _BETWEEN.split(text)
         get, chunk = self.chunks.get, self.chunk
         out = [got if (got := get(p)) is not None else chunk(p) for p in parts if p]

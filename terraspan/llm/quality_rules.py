@@ -1,17 +1,19 @@
 """Quality rules as a bitmask ledger, DataFrame operations only.
 
-``ledger`` measures each document once and stores the measurements with one
-failure bit per rule.  A policy is a version and a mask of the rules it
-enforces; ``apply_policy`` and ``ablation`` work on the bits alone, so a new
-policy or a what-if count never reads a text again.
+``ledger`` measures each document once and writes the measurements with one
+failure bit per rule to a table.  A policy is a version and a mask of the
+rules it enforces; ``apply_policy`` and ``ablation`` work on the table's bits
+alone, so a new policy, a filter or a what-if count never reads a text again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm._spark import SPACE, text_or_empty
+from terraspan.llm._spark import SPACE, as_table, text_or_empty
 
 WINDOW = 8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -61,10 +63,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("h1").cast("long").alias("n_words"),
-        F.transform("h1", lambda x, i: F.xxhash64(x, F.get("h1", i + 1))).alias("h2"),
+        _with_next("h1", 1, _hash).alias("h2"),
     )
-    df = df.withColumn("h4", F.transform("h2", lambda x, i: F.xxhash64(x, F.get("h2", i + 2)))).drop("h2")
-    df = df.withColumn("h8", F.transform("h4", lambda x, i: F.xxhash64(x, F.get("h4", i + 4)))).drop("h4")
+    df = df.withColumn("h4", _with_next("h2", 2, _hash)).drop("h2")
+    df = df.withColumn("h8", _with_next("h4", 4, _hash)).drop("h4")
     df = df.withColumn("h8", F.slice("h8", F.lit(1), F.greatest(F.col("n_words").cast("int") - (WINDOW - 1), F.lit(0))))
     df = df.withColumn(
         "by_hash",
@@ -73,25 +75,39 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.sort_array(F.transform("h8", lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
         ),
     ).drop("h8")
-
-    def twice(x: Column, k: Column) -> Column:
-        before, after = F.get("by_hash", k - 1), F.get("by_hash", k + 1)
-        return (x["h"] == before["h"]) | (x["h"] == after["h"])
-
-    df = df.withColumn("starts", F.sort_array(F.transform(F.filter("by_hash", twice), lambda x: x["i"]))).drop("by_hash")
-    covered = F.transform("starts", lambda p, k: F.least(F.coalesce(F.get("starts", k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
+    twins = _with_next("by_hash", 1, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    df = df.withColumn("starts", starts).drop("by_hash")
+    covered = _with_next("starts", 1, lambda p, q: F.least(F.coalesce(q - p, F.lit(WINDOW)), F.lit(WINDOW)))
     repeat = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     return df.withColumn("n_repeat_words", F.coalesce(repeat, F.lit(0).cast("long"))).drop("starts")
 
 
+def _hash(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _with_next(array: str, ahead: int, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each element and the one ``ahead`` places later (null at the end)."""
+    return F.zip_with(array, F.slice(array, F.lit(ahead + 1), F.greatest(F.size(array), F.lit(0))), f)
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, str] | None = None) -> DataFrame:
-    """The measurements and ``failed``, a long with a bit for each failed rule."""
+    """The measurements and ``failed``, a long with a bit for each failed rule,
+    as a written table: what is asked of it later never measures again.
+
+    One row per input row.  Null texts measure as empty, and empty ones fail
+    ``few_words``; repeated rows and null ids have an entry each; an empty
+    table gives an empty ledger.  Texts of any length are measured whole, by
+    one task.  Extra columns are ignored.
+    """
     rules = rules or RULES
     bits = [F.when(F.expr(c), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(rules.values())]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measured(docs, id_col, text_col).withColumn("failed", failed).withColumnRenamed("id", id_col)
+    entries = measured(docs, id_col, text_col).withColumn("failed", failed).withColumnRenamed("id", id_col)
+    return as_table(entries, "ledger")
 
 
 def apply_policy(entries: DataFrame, version: str = "v1", policies: dict[str, int] | None = None) -> DataFrame:

@@ -175,6 +175,23 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.ledger(none).count() == 0
 
 
+def test_ledger_filters(spark):
+    """Filters on any measurement end, for very long texts too."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["ab", "cd", "ef", "gh#", "ij"]) + str(rng.randrange(50)) for _ in range(100_000))
+    rows = [(1, long), (2, "a b c"), (3, None), (None, "one two three four five six seven eight nine ten " * 3)]
+    entries = quality_rules.ledger(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, kept int"))
+    assert "kept" not in entries.columns
+    judged = quality_rules.apply_policy(entries, "v1")
+    want = {i: rules_expected(t) for i, t in rows}
+    for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
+        for i, t in rows:
+            got = {r.doc_id for r in judged.where(F.col(name) == want[i][k]).collect()}
+            assert got == {j for j, v in want.items() if v[k] == want[i][k]}
+    assert {r.doc_id for r in judged.where("kept").collect()} <= {1}
+    assert {r.doc_id for r in judged.where("NOT kept").collect()} >= {2, 3, None}
+
+
 def url_expected(url, rules):
     at = (url or "").find("://")
     rest = (url or "")[at + 3 :] if at >= 0 else ""
@@ -423,6 +440,33 @@ def test_html_has_no_greatest_depth(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
 
 
+def test_drop_copies_by_any_digest(spark, docs):
+    want = sorted((r.doc_id, SPACE.sub(" ", r.text or "")) for r in exact_dedup.drop_copies(docs).collect() if r.doc_id is not None)
+    assert len({t for _, t in want}) == len(want)
+    for weak in (lambda c: F.md5(c.cast("binary")), lambda c: F.substring(c, 1, 1)):
+        for hot in (1000, 2):
+            got = exact_dedup.drop_copies(docs, digest=weak, hot_rows=hot)
+            assert got.columns == docs.columns
+            assert sorted((r.doc_id, SPACE.sub(" ", r.text or "")) for r in got.collect() if r.doc_id is not None) == want
+
+
+def test_stages_take_null_and_repeated_ids_and_clashing_names(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join(base), " ".join(f"z{k}" for k in range(60))
+    rows = [(5, near, "a"), (5, far, "b"), (None, near + " more", "a"), (None, far + " more", "a"), (7, near + " again", "b"), (8, None, None), (8, "", "a"), (9, "x y", "c")]
+    df = spark.createDataFrame([(*r, 1, 1, "g", "m", 2) for r in rows], "doc_id long, text string, source string, copies int, gone int, `size` string, id string, k int")
+    left = stages.drop_near_copies(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, [(5, near), (5, far), (8, None), (8, ""), (9, "x y")]))
+    twice = df.union(df)
+    mixed = stages.mix(spark, twice, "")
+    assert mixed.columns == df.columns
+    granted = mixing.mix_sources(twice).agg(F.sum("copies")).first()[0]
+    assert mixed.count() == granted
+    for name, stage in stages.STAGES[1:4]:
+        assert stage(spark, df.limit(0), "").count() == 0
+
+
 def test_stages_keep_columns(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t)) for k, t, _ in labelled(lambda w, r: [*w, "scum", "loser", "trash", "moron"])]
     labels = [(k, 1, y) for k, _, y in labelled(lambda w, r: w)]

@@ -61,3 +61,15 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, PATH).count() == 0
+
+
+def test_other_tokenizer_files_are_used_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["A b", "The  Cat's\tHAT 12", "", "naïve café — x²"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.pack(df, path, with_ids=True).orderBy("doc_id").collect()}
+    plain = Tokenizer.from_file(path)
+    assert got == {k: [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for k, t in enumerate(texts)}
