@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import _features as ft
-from terraspan.llm._components import components
+from terraspan.llm._components import HUB_LINKS, HUB_SHARE, components
 from terraspan.llm._spark import as_table, cut, ensure_importable, text_or_empty
 
 WORDS = 5
@@ -473,8 +473,13 @@ def near_duplicates(
         group = members.join(comps.withColumnRenamed("k", "rep"), "rep", "left").withColumn("g", F.coalesce("comp", "rep"))
     # rows without shingles are groups of their own; negative, so no other has the number
     group = cut(group.select("id", "n", F.coalesce("g", -1 - F.col("k")).alias("g")))
-    least = group.groupBy("g").agg(F.min("id").alias("component_id"))
-    return group.join(least, "g").select(
+    least = group.groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    # groups of a 256th of all rows and more, so 256 at most, are joined where their rows lie
+    large = F.col("m") >= max(HUB_LINKS, -(-group.count() // HUB_SHARE))
+    marked = group.join(F.broadcast(least.where(large).select("g", "component_id", F.lit(True).alias("large"))), "g", "left")
+    few = marked.where("large IS NULL").drop("component_id").join(least.where(~large).drop("m"), "g")
+    placed = marked.where("large").select("id", "n", "component_id").unionByName(few.select("id", "n", "component_id"))
+    return placed.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "component_id",
