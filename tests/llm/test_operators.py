@@ -429,6 +429,60 @@ def test_html_judges_elements_by_their_own_names(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
 
 
+def test_html_evidence_and_names(spark):
+    one = '<div id="nav">Home About {k}</div><div id="content">Text of page {k}</div>'
+    two = '<article><div class="post-header"><h1>Headline {k}</h1></div><p>Text of page {k}</p><div class="ad">Buy {k}</div></article>'
+    three = '<div id="content">Welcome to our site, read on</div><div class="x"><p>Text of page {k}</p></div>'  # names against the tree
+    four = '<body class="has-sidebar no-menu"><div class="page menu-open"><article><p>Text of page {k}</p></article></div></body>'
+    five = '<div class="item-{k}"><p>Always the same words</p></div><div class="item-{k} text"><p>Text of page {k}</p></div>'
+    wide = "<div>" + "".join(f"<p>Number {j} of page {{k}}</p><ul><li>x</ul>" for j in range(80)) + "</div>"
+    pages, want = [], {}
+    for n, (html, text) in enumerate([
+        (one, "Text of page {k}"), (two, "Headline {k}\nText of page {k}"), (three, "Text of page {k}"), (four, "Text of page {k}"), (five, "Text of page {k}"),
+        (wide, "\n".join(f"Number {j} of page {{k}}" for j in range(80))),
+    ]):
+        for k in range(20):
+            pages.append((100 * n + k, f"http://h{n}.com/{k}", html.format(k=k)))
+            want[100 * n + k] = text.format(k=k)
+    # the same page many times proves nothing
+    pages += [(900 + k, "http://same.com/", one.format(k=1)) for k in range(20)]
+    want |= {900 + k: "Text of page 1" for k in range(20)}
+    got = html_extract.extract(spark.createDataFrame([(*p, 0, 0) for p in pages], "page_id long, url string, html string, host int, nodes int")).collect()
+    for r in got:
+        assert r.text == want[r.page_id], (r.page_id, r.text)
+
+
+def test_html_importances_are_entropies(spark):
+    rng = random.Random(2)
+    pages = [(f"h{k % 3}", f"<body><div class='c{k % 2}'><p>{rng.choice('abc')}</p><p>same</p></div><ul>{'<li>x' * rng.randrange(1, 3)}</ul>{rng.choice(['', '<b>t</b>'])}</body>") for k in range(60)]
+    seen = {}
+    for host, page in pages:
+        nodes, blocks = html_extract.parse(page)
+        per = {0: ([], [text for _, text in blocks])}
+        for x in nodes[1:]:
+            per.setdefault(x.key, ([], []))[0].append(tuple(x.children))
+        for x, text in blocks:
+            per[x.key][1].append(text)
+        for key, (style, text) in per.items():
+            at = seen.setdefault((host, key), ([], []))
+            at[0].append(tuple(style))
+            at[1].append(tuple(text))
+
+    def spread(values, m):
+        values = [v for v in values if v]
+        shares = [values.count(v) / len(values) for v in set(values)]
+        return -sum(p * np.log(p) for p in shares) / np.log(m) if values else 0.0
+
+    got = {(r.host, r.path): r for r in html_extract.importances(html_extract.style_counts(spark.createDataFrame(pages, "host string, html string"))).collect()}
+    assert got.keys() == {k for k, (s, _) in seen.items() if k[1] and len(s) > 1}
+    for (host, key), r in got.items():
+        style, text = seen[host, key]
+        m = len(style)
+        proof = spread(seen[host, 0][1], len(seen[host, 0][1])) * (1 - 1 / m)
+        assert abs(r.content - (1 - proof * (1 - spread(text, m)))) < 1e-9
+        assert abs(r.style - (1 - proof * (1 - spread(style, m)))) < 1e-9 and r.styles == len(set(style))
+
+
 def test_html_has_no_greatest_depth(spark):
     def deep(n, k):
         return "<div>" * n + f"<div><p>Text {k}</div><form>Send</form><nav>Menu</nav>" + "</div>" * n
