@@ -1,4 +1,4 @@
-"""Vectorised text features: joined byte buffers, word hashes, byte n-grams."""
+"""Vectorised text features: joined buffers, characters, word hashes."""
 
 from __future__ import annotations
 
@@ -61,6 +61,13 @@ def joined(texts: pa.Array, step: int = STEP) -> Iterator[tuple[int, int, np.nda
         first = last
 
 
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of joined texts, and the offsets in these."""
+    texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
 def is_space(buf: np.ndarray) -> np.ndarray:
     return (buf == 32) | ((buf >= 9) & (buf <= 13))
 
@@ -76,7 +83,7 @@ def words(buf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes (or characters)."""
     up, down = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, U64)
     np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])

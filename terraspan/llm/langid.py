@@ -91,7 +91,8 @@ def counted(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[n
             if not letter[a:b].any():
                 yield None
                 continue
-            own = np.concatenate([ids[a:b][valid[a:b]] for valid, ids in kinds])
+            # what starts at the space behind the text would reach into the next one
+            own = np.concatenate([ids[a : b - 1][valid[a : b - 1]] for valid, ids in kinds])
             counts = np.bincount(own, minlength=buckets)
             u = np.flatnonzero(counts)
             yield u, counts[u]
@@ -216,7 +217,9 @@ def fit(
 ) -> Model:
     """Learns from the rows with a language whose crc32 of the id isn't
     ``held_out[1]`` modulo ``held_out[0]``: document frequencies from all of
-    them, weights from about ``train_rows`` at most.  No such row: a model that
+    them, weights from about ``train_rows`` distinct ones at most, in a fixed
+    order.  Null ids are not held out; null texts count as empty and teach
+    nothing; an id with two languages teaches both.  No such row: a model that
     answers ``und`` with score 0."""
     ensure_importable(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & (crc_mod(id_col, held_out[0]) != held_out[1])).select(
@@ -227,7 +230,7 @@ def fit(
     df[found["bucket"].to_numpy()] = found["df"].to_numpy()
     total = int(df[-1])
     idf = np.log((1.0 + total) / (1.0 + df[:-1])) + 1.0
-    rows = bounded_sample(known, "id", train_rows, total).orderBy("id", "text", "lang").collect()
+    rows = bounded_sample(known, ("id", "text"), train_rows, total).orderBy("id", "text", "lang").collect()
     return train([r.text for r in rows], [r.lang for r in rows], idf)
 
 
@@ -235,7 +238,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id, lang_pred, score for every row's whole text.
 
     Null texts and texts without a letter are ``und`` with score 0; score is
-    the calibrated probability.  Repeated rows are predicted each.
+    the calibrated probability.  Of languages with equal scores the first by
+    code point is named.  Texts of any length are predicted whole; repeated
+    rows and null ids are predicted each; an empty table gives an empty one;
+    extra columns are ignored.
     """
     ensure_importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(

@@ -20,18 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm._sample import bounded_sample
+from terraspan.llm._sample import labelled_rows
 from terraspan.llm._spark import crc_mod, ensure_importable, text_or_empty
 
 #: Labelled rows used for learning, at most (about: chosen by hash).
 TRAIN_ROWS = 12_000
 #: Terms in the lexicon beside the learned ones, unless labelled rows speak against them.
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
+#: Letters of the word beginnings that are candidates beside whole words.
 STEMS = range(3, 9)
-MAX_TERMS = 400
 #: Least log-likelihood ratio of a learned term (about one in a million by chance).
 EVIDENCE = 24.0
 #: Weight of a seed term that too few labelled rows have.
@@ -52,12 +53,13 @@ LOOKALIKES = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 _LOOKALIKE = str.maketrans(LOOKALIKES)
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]")
 _SUBST = str.maketrans(SUBSTITUTES)
 #: runs of substitutes before a letter
-_INSIDE = re.compile(r"[0134578@$!9]+(?=[^\W\d_])")
-_OTHER = re.compile(r"[\W\d_]+")
-_FANCY = re.compile("[！-～\U0001d400-\U0001d7ff①-⓿̀-ͯ]")
+_INSIDE = regex.compile(r"[0134578@$!9]+(?=\p{L})")
+_OTHER = regex.compile(r"\P{L}+")
+#: letters in fancy forms, or with combining marks
+_FANCY = re.compile("[！-～\U0001d400-\U0001d7ff①-⓿]|[^\u0300-\u036f]?[\u0300-\u036f]+", re.S)
 
 
 #: Latin-1 bytes: letters lower-cased, the rest white space.
@@ -75,18 +77,27 @@ def _letters(m: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    """The folded text: words of letters, a space around each."""
+    """The folded text: words of letters, a space around each.
+
+    Fancy forms are composed, invisible characters go, letters are lower-cased
+    and look-alikes and substitutes replaced; all that isn't a letter then
+    parts words.
+    """
+    text = _INVISIBLE.sub("", text)
     try:
         plain = _INSIDE.sub(_letters, text).encode("latin-1")
     except UnicodeEncodeError:
-        if _FANCY.search(text):
-            text = unicodedata.normalize("NFKC", text)
-        text = _INVISIBLE.sub("", text).lower().translate(_LOOKALIKE)
-        text = _INSIDE.sub(_letters, text)
-        return f" {_OTHER.sub(' ', text).strip()} "
+        return _fold_any(text)
+    # the same as below for these characters: none is fancy or a look-alike
     return f" {b' '.join(plain.translate(_TABLE).split()).decode('latin-1')} "
 
 
+def _fold_any(text: str) -> str:
+    text = _FANCY.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+    text = _INSIDE.sub(_letters, text.lower().translate(_LOOKALIKE))
+    return f" {_OTHER.sub(' ', text).strip()} "
+
+
 class Lexicon:
     """``terms``: folded string -> weight.  A string starts with a space; one
     that ends with a space is a whole word or phrase, any other a beginning."""
@@ -194,7 +205,7 @@ def learn_phrases(folded: list[str], labels: np.ndarray, is_term) -> tuple[list[
 def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[str, float]:
     """Terms whose share of documents differs most between the labels.
 
-    Candidates are whole words and word beginnings.  A candidate is kept if
+    Candidates are whole words and word beginnings of ``STEMS`` letters.  A candidate is kept if
     at least ``least`` toxic documents have it and its smoothed log-odds
     exceed 1; a longer candidate only if it is clearly better than a kept
     beginning of it.  Exceptions are whole words that contain a kept beginning
@@ -236,8 +247,6 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
         if longer and yes[t] < 1.5 * longer:
             continue
         kept[t] = odds(t)
-        if len(kept) >= MAX_TERMS:
-            break
     seeds = [term for term in SEED_TERMS if f" {term} " not in kept]
     kept |= {f" {term} ": SEED_WEIGHT for term in seeds}
     starts = tuple(t for t in kept if not t.endswith(" "))
@@ -291,20 +300,21 @@ def fit(
 ) -> Lexicon:
     """Learns from at most about ``train_rows`` labelled rows whose crc32 of
     the id isn't ``held_out[1]`` modulo ``held_out[0]``; rows with null id or
-    label are left out, of repeated labels the largest counts."""
+    label are left out, of repeated labels the largest counts, documents that
+    repeat an id with other texts count each.  With no labelled row, or one
+    label only, the terms are the seeds."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     known = known.where(crc_mod(id_col, held_out[0]) != held_out[1])
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label"))
-    chosen = bounded_sample(known, "id", train_rows, known.count())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "id"
-    ).orderBy("id", "text").collect()
+    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, train_rows).collect()
     return train([r.text for r in rows], np.array([r.label for r in rows], np.int64))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of every row's whole text; null and empty texts
-    get the score of a text without terms.  Repeated rows are scored each."""
+    get the score of a text without terms.  Texts of any length are scored
+    whole; repeated rows and null ids are scored each; an empty table gives an
+    empty one; extra columns are ignored."""
     ensure_importable(docs.sparkSession)
     parts = lexicon.parts()
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

@@ -8,10 +8,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terraspan.llm import (
     _components,
+    _sample,
     exact_dedup,
     html_extract,
     langid,
@@ -239,6 +243,89 @@ def test_language(spark):
     assert langid.predict(df, empty).where("lang_pred = 'und' AND score = 0").count() == len(rows)
 
 
+def plain_grams(text, buckets):
+    """Bucket counts of the n-grams, in plain Python integers."""
+    low = (text or "").lower() + " "
+    codes = [ord(c) if c.isalpha() else 0 for c in low]
+    m32, out = 0xFFFFFFFF, {}
+    for n in langid.GRAMS:
+        for i in range(len(codes) - n + 1):
+            g = codes[i : i + n]
+            if (n == 1 and not g[0]) or (n == 2 and not any(g)) or (n == 3 and not g[1]):
+                continue
+            h = sum(c * int(t) for c, t in zip(g, langid._TAPS, strict=False)) + (n * 0x68E31DA4 & m32) & m32
+            h ^= h >> 16
+            h = h * 0x7FEB352D & m32
+            h ^= h >> 15
+            h = h * 0x846CA68B & m32
+            h >>= 32 - buckets.bit_length() + 1
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_language_scores_against_plain_loops(spark):
+    rows = list(language_rows())[:90]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs, buckets=1 << 10)
+    known = [r for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 4 != 2]
+    df = np.zeros(1 << 10)
+    for _, t, _ in known:
+        for b in plain_grams(t, 1 << 10):
+            df[b] += 1
+    assert np.allclose(model.idf, np.log((1 + len(known)) / (1 + df)) + 1, atol=1e-5)
+    odd = [(500, "Das der " * 30_000), (501, "x"), (502, "éÉ1é"), (503, None)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(*r[:2],) for r in rows + odd], "doc_id long, text string"), model).collect()}
+    for k, t, *_ in rows + odd:
+        counts = plain_grams(t, 1 << 10)
+        if not counts:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        x = {b: np.log1p(n) * float(model.idf[b]) for b, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * float(model.weights[b][y]) for b, v in x.items()) + float(model.bias[y])) / model.temperature for y in range(len(model.langs))]
+        p = np.exp(z) / np.exp(z).sum()
+        assert got[k].score == pytest.approx(p.max(), abs=1e-4) and got[k].lang_pred == model.langs[int(np.argmax(p))]
+
+
+def test_language_training_is_ftrl_proximal():
+    texts, langs, buckets = ["ab ba", "ca ac c", "ab", "cc ca", "bab", "acc"], ["x", "y", "x", "y", "x", "y"], 1 << 6
+    idf = np.ones(buckets)
+    got = langid.train(texts, langs, idf, alpha=0.5, beta=1.0, l1=0.02, l2=0.02, epochs=2, seed=5)
+    z, s = np.zeros((buckets + 1, 2)), np.zeros((buckets + 1, 2))
+
+    def weight(i, y):
+        if abs(z[i, y]) <= 0.02:
+            return 0.0
+        return -(z[i, y] - np.sign(z[i, y]) * 0.02) / ((1.0 + np.sqrt(s[i, y])) / 0.5 + 0.02)
+
+    fit = [k for k in range(6) if k % 5]
+    rng = np.random.default_rng(5)
+    for _ in range(2):
+        for k in rng.permutation(len(fit)):
+            counts = plain_grams(texts[fit[k]], buckets)
+            x = {b: np.log1p(n) for b, n in counts.items()}
+            norm = np.sqrt(sum(v * v for v in x.values()))
+            x = {b: v / norm for b, v in x.items()} | {buckets: 1.0}
+            scores = np.array([sum(v * weight(b, y) for b, v in x.items()) for y in range(2)])
+            p = np.exp(scores) / np.exp(scores).sum()
+            steps = {(b, y): v * (p[y] - (langs[fit[k]] == "xy"[y])) for b, v in x.items() for y in range(2)}
+            for (b, y), g in steps.items():
+                sigma = (np.sqrt(s[b, y] + g * g) - np.sqrt(s[b, y])) / 0.5
+                z[b, y] += g - sigma * weight(b, y)
+                s[b, y] += g * g
+    assert np.allclose(got.weights, [[weight(b, y) for y in range(2)] for b in range(buckets)], atol=1e-5)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """Null, repeated and equal rows don't make the sample larger."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("id"), F.lit("same").alias("text"))
+    assert _sample.bounded_sample(docs, ("id", "text"), 100, 20_000).count() <= 51
+    docs = docs.withColumn("text", F.rand(1).cast("string"))
+    assert 20 <= _sample.bounded_sample(docs, ("id", "text"), 100, 20_000).count() <= 250
+    known = spark.range(50).select("id", F.lit(1).alias("label"))
+    assert _sample.labelled_rows(docs, known, 100).count() <= 400
+
+
 def labelled(bad):
     rng = random.Random(7)
     good = ["the", "quiet", "river", "bends", "north", "again", "slowly"]
@@ -262,18 +349,47 @@ def test_quality_model(spark):
 
 def test_quality_features_match_a_plain_count():
     text = "ab  AB ab ab\n é#"
-    (buf, offsets) = [(b, o) for _, _, b, o in quality_model.ft.joined(pa.array([text]))][0]
-    kinds = list(quality_model.features(buf))
+    (buf, offsets) = [quality_model.ft.characters(b, o) for _, _, b, o in quality_model.ft.joined(pa.array([text]))][0]
+    assert bytes(buf.astype("<u4")).decode("utf-32-le") == text + " " and offsets.tolist() == [0, len(text) + 1]
+    kinds = list(quality_model.features(buf, offsets))
     assert len(kinds[0][0]) == len(text.split()) and len(kinds[1][0]) == 1
-    spaced = (text + " ").encode()
-    for n, (_, valid, _) in zip((2, 3, 4), kinds[2:], strict=True):
-        want = 0
+    spaced = text + " "
+    for n, (_, valid, ids) in zip((2, 3, 4), kinds[2:], strict=True):
         for i in range(len(spaced) - n + 1):
             g = spaced[i : i + n]
             inner = g[1:-1]
-            ok = not any(c in b" \t\n\x0b\f\r" for c in inner) and not (n == 2 and all(c in b" \t\n" for c in g))
-            want += ok
-        assert int(valid.sum()) == want
+            assert bool(valid[i]) == (i < len(text) and not any(c in " \t\n\x0b\f\r" for c in inner) and not (n == 2 and all(c in " \t\n" for c in g)))
+            same = [j for j in range(len(spaced) - n + 1) if SPACE.sub(" ", spaced[j : j + n]) == SPACE.sub(" ", g) and valid[j]]
+            assert not valid[i] or {int(ids[j]) for j in same} == {int(ids[i])}
+
+
+def test_quality_scores_are_means_of_bucket_weights():
+    rng = np.random.default_rng(1)
+    model = quality_model.Model(rng.normal(size=1 << 10), 0.3, 0.25)
+    texts = ["ab ab  cd é", None, "", " ", "x" * 300_000, "ünï çödé\n" * 30, "ab ab  cd é"] + ["w%d q" % k for k in range(50)]
+    got = model.scores(pa.array(texts))
+    for t, s, (u, share) in zip(texts, got, quality_model.document_features(texts, 1 << 10), strict=True):
+        z = float(sum(float(model.weights[b]) * float(p) for b, p in zip(u, share, strict=True))) + 0.3
+        assert s == (pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4) if words(t) else 0.25)
+
+
+def test_texts_share_no_features_with_their_neighbours():
+    texts = ["ab cd", "cd", "cd ef", "x"]
+    for k, t in enumerate(texts):
+        u, share = quality_model.document_features(texts, 1 << 12)[k]
+        v, alone = quality_model.document_features([t], 1 << 12)[0]
+        assert np.array_equal(u, v) and np.array_equal(share, alone)
+        a, b = list(langid.counted(texts))[k], list(langid.counted([t]))[0]
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
+def test_quality_training_descends():
+    """One epoch on one row is one gradient step of the log loss."""
+    texts, labels = ["good words here", "bad ### here"], np.array([1, 0])
+    model = quality_model.train(texts, labels, dim=4, epochs=40, buckets=1 << 10)
+    assert model.scores(pa.array(texts))[0] > 0.9 and model.scores(pa.array(texts))[1] < 0.1
+    again = quality_model.train(texts, labels, dim=4, epochs=40, buckets=1 << 10)
+    assert np.array_equal(model.weights, again.weights)
 
 
 def test_toxicity(spark):
@@ -291,6 +407,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), lexicon).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30) | st.text(alphabet="aIoxß²½ª\xad10@$!9— é\u0301аｉ①\u200b\n", max_size=20))
+def test_fold_has_one_definition(text):
+    assert toxicity.fold(text + " —") == toxicity.fold(text) == toxicity.fold("① " + text).removeprefix("  ").rjust(2)
+    assert toxicity.fold(text) == toxicity._fold_any(toxicity._INVISIBLE.sub("", text))
+    assert regex.fullmatch(r"[\p{L} ]*", toxicity.fold(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text(alphabet="ab ", min_size=1, max_size=4).map(lambda t: " " + " ".join(t.split())).filter(lambda t: t != " "), st.floats(0.5, 5), max_size=6), st.text(alphabet="abc ", max_size=40))
+def test_automaton_finds_every_term(terms, text):
+    whole = {f"{t} ": w for t, w in terms.items()}
+    lexicon = toxicity.Lexicon({**terms, **whole}, [0.0] * 4, [])
+    folded = toxicity.fold(text)
+    plain = sum(w for t, w in lexicon.terms.items() for k in range(len(folded)) if folded.startswith(t, k))
+    assert lexicon.total(folded) == pytest.approx(plain)
+
+
 def test_exceptions_cancel_terms():
     lex = toxicity.Lexicon({" grum": 4.0, " grumble ": -4.0}, [0.0, 1.0, 0.0, 0.0], [])
     assert lex.measure("grumble and grumpy")[0] == 4.0 and lex.measure("grumble")[0] == 0.0
