@@ -250,18 +250,39 @@ def task_class(query: Column, n_images: Column, n_optical: Column, n_sar: Column
     return cascade(rules, "SCENE_INTERPRETATION")
 
 
-def evidence_plan(query: Column) -> Column:
-    """struct(measurements, tools, indices) that a question needs."""
-    q = clean(query)
-    ndvi = has(q, "ndvi", "vegetation", "crop", "green")
-    ndwi = has(q, "ndwi", "water", "flood")
-    ndbi = has(q, "ndbi", "built", "urban")
-    change, radar = has(q, *CHANGE_WORDS), has(q, "sar", "radar", "backscatter")
+#: Tools that every plan has.
+FIRST_TOOLS = ["validateRaster", "inspectBands"]
+
+
+def evidence_plan(query: Column, task: Column, n_images: Column, n_optical: Column, n_sar: Column) -> Column:
+    """struct(measurements, tools, deterministic, indices) that a question of
+    a task needs, about ``n_images`` images of which so many are optical and
+    radar.  Tools are listed as often as a rule asks for them."""
+    q = F.lower(query)
+    facts = has(q, "dimension", "resolution", "crs", "epsg", "how many bands")
+    plants = has(q, "vegetation", "ndvi", "crop", "forest")
+    water = has(q, "water", "flood", "lake", "ocean")
+    two = n_images == 2
+    change = two & (task.isin("BI_TEMPORAL_ANALYSIS", "CHANGE_VQA") | has(q, "change", "increase"))
+    radar = (task == "SAR_ANALYSIS") | (n_sar > 0) | has(q, "sar", "radar")
+    mixed = (task == "OPTICAL_SAR_ANALYSIS") | (two & (n_optical > 0) & (n_sar > 0))
+    #: Condition, measurements, tools, indices of each rule.
+    rules = [
+        (facts, ["Dimensions", "BandCount", "GeospatialCRS"], [], []),
+        (plants, ["NDVI", "ExcessGreenProxy", "VegetationCandidateRegions"], ["computeSpectralIndex", "analyzeOpticalEvidence"], ["NDVI"]),
+        (water, ["WaterLowReflectanceThreshold", "SpecularRadarBackscatter"], ["analyzeOpticalEvidence", "computeSpectralIndex"], ["NDWI"]),
+        (change, ["TemporalRegistration", "MeanAbsoluteDifference", "ConfounderScreening"], ["registerTemporalImages", "computeChange"], []),
+        (radar, ["SARBackscatterMoments", "SpeckleENL", "PolarizationCheck"], ["analyzeSAREvidence"], []),
+        (mixed, ["CommonSpatialGridAlignment", "CrossSensorAgreementCheck"], ["calculateSpatialOverlap"], []),
+    ]
+
+    def listed(k: int, first: list[str]) -> Column:
+        none = F.array().cast("array<string>")
+        parts = [F.when(rule[0], F.array(*map(F.lit, rule[k]))).otherwise(none) for rule in rules if rule[k]]
+        return F.concat(F.array(*map(F.lit, first)).cast("array<string>"), *parts)
+
     return F.struct(
-        labels([(ndvi | ndwi | ndbi, "SPECTRAL_INDEX"), (change, "TEMPORAL_DIFFERENCE"), (radar, "BACKSCATTER_STATISTICS"),
-                (has(q, "area", "hectare", "square"), "GROUND_AREA")]).alias("measurements"),
-        labels([(ndvi | ndwi | ndbi, "spectral"), (change, "temporal"), (radar, "sar"), (F.lit(True), "validation")]).alias("tools"),
-        labels([(ndvi, "NDVI"), (ndwi, "NDWI"), (ndbi, "NDBI")]).alias("indices"),
+        listed(1, []).alias("measurements"), listed(2, FIRST_TOOLS).alias("tools"), F.coalesce(facts, F.lit(False)).alias("deterministic"), listed(3, []).alias("indices"),
     )
 
 

@@ -56,9 +56,7 @@ def _dates(group: int, tail: str) -> str:
     b = pick.format(r"between\s+(\d{4})(?:-\d{2})?\s+and\s+(\d{4})", group)
     f = pick.format(r"from\s+(\d{4})\s+to\s+(\d{4})", group)
     s = pick.format(r"(?:in|during|for)\s+(20\d{2})", 1)
-    return "(" + DATES.format(b=b, f=f, s=s).replace("{{", "{").replace("}}", "}") + f") || '{tail}'" if False else (
-        "(" + DATES.replace("{b}", b).replace("{f}", f).replace("{s}", s) + f") || '{tail}'"
-    )
+    return "(" + DATES.replace("{b}", b).replace("{f}", f).replace("{s}", s) + f") || '{tail}'"
 
 
 @query(f"WITH {ALL_SQL} SELECT id, {_dates(1, '-01-01')} AS start_date, {_dates(2, '-12-31')} AS end_date FROM q")
@@ -148,37 +146,86 @@ def str_question_intent(spark, sf):
     return _questions(spark, sf).select("id", lang.question_intent(F.col("query")).alias("intent"))
 
 
-def _task_sql() -> str:
-    starts = " OR ".join(f"starts_with(q, '{w}')" for w in lang.RETRIEVAL_STARTS)
-    out = "CASE"
-    for n, w in lang.TASK_WORDS.items():
-        out += f" WHEN {any_of(w)}" + (f" OR {starts}" if n == "SEMANTIC_RETRIEVAL" else "") + f" THEN '{n}'"
-    return out + f""" WHEN {any_of(["sar ", " sar", "radar"])} THEN 'SAR_ANALYSIS' WHEN {any_of(["count", "how many"])} THEN 'COUNTING'
- WHEN {any_of(["where is", "locate", "ground", "bbox"])} THEN 'TEXT_GUIDED_GROUNDING' ELSE 'SCENE_INTERPRETATION' END"""
-
-
-@query(f"WITH {ALL_SQL} SELECT id, {_task_sql()} AS task FROM q")
+#: Setups of images: (setup, task, images, optical, radar, before and after, session).
+SETUPS = [
+    ("one optical", "SCENE_INTERPRETATION", 1, 1, 0, False, False), ("one radar", "SAR_ANALYSIS", 1, 0, 1, False, False),
+    ("one of neither", "SCENE_INTERPRETATION", 1, 0, 0, False, True), ("two optical", "SCENE_INTERPRETATION", 2, 2, 0, False, False),
+    ("two dates", "BI_TEMPORAL_ANALYSIS", 2, 2, 0, True, True), ("optical and radar", "OPTICAL_SAR_ANALYSIS", 2, 1, 1, False, False),
+    ("mixed dates", "CHANGE_VQA", 2, 1, 1, True, False), ("none", "SCENE_INTERPRETATION", 0, 0, 0, False, False),
+    ("none, asked before", "FOLLOW_UP", 0, 0, 0, False, True), ("three", "CHANGE_VQA", 3, 2, 1, True, False),
+]
+SETUP_SQL = ALL_SQL + ", u AS (SELECT * FROM q, (VALUES " + ", ".join(str(x) for x in SETUPS) + ") v(setup, task, n, opt, rad, ba, ses))"
+
+
+def _set_up(spark, sf):
+    """Every question in every setup."""
+    names = ["setup", "task", "n", "opt", "rad", "ba", "ses"]
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x, strict=True)]) for x in SETUPS])
+    return _questions(spark, sf).select("*", F.inline(each))
+
+
+#: The rules once more, word by word, so that a wrong word in the engine shows.
+TASK_SQL = """CASE
+ WHEN regexp_matches(q, 'similar to this|find more like this|similar site|similar locations|comparable sites|locations similar|cluster similar|more like this|find similar') THEN 'SIMILAR_SITE_DISCOVERY'
+ WHEN regexp_matches(q, '^(find |search |retrieve )|find (areas|scenes|newly|locations|structures|vehicles)|search archive|search for scenes|show scenes showing|locate scenes|retrieve imagery') THEN 'SEMANTIC_RETRIEVAL'
+ WHEN regexp_matches(q, 'acquisition date|sensor and source|(show|inspect|acquisition) metadata|what (sensor|satellite)|provenance|epsg|crs|resolution|pixel dimension|dimensions and bands') THEN 'METADATA_PROVENANCE'
+ WHEN regexp_matches(q, 'seasonal|false alarm|illumination|sun angle|shadow artifact|sensor artifact|misregistration|registration error|cloud shadow|haze|radiometric') THEN 'FALSE_ALARM_ASSESSMENT'
+ WHEN regexp_matches(q, 'did (construction|building|structure) appear|did (construction|change) occur|(verify|confirm) change|assess possible construction|assess water extent change|did it appear between|did expansion happen') THEN 'CHANGE_VERIFICATION'
+ WHEN regexp_matches(q, 'what changed|difference between|compare observations|before and after|temporal change|review change evidence|what differs|between these (observations|dates)') THEN 'MULTITEMPORAL_CHANGE'
+ WHEN regexp_matches(q, 'analyst review|review queue|audit status|mark (confirmed|rejected)') THEN 'ANALYST_REVIEW'
+ WHEN n = 2 AND opt > 0 AND rad > 0 AND regexp_matches(q, 'sar|optical|radar|cross-modal|complementary|compare') THEN 'OPTICAL_SAR_ANALYSIS'
+ WHEN NOT (n = 2 AND opt > 0 AND rad > 0) AND (regexp_matches(q, 'sar | sar|radar') OR (n = 1 AND rad = 1)) THEN 'SAR_ANALYSIS'
+ WHEN n = 0 AND ses THEN 'FOLLOW_UP' WHEN n = 0 AND contains(q, 'show scenes') THEN 'SEMANTIC_RETRIEVAL' WHEN n = 0 THEN 'UNSUPPORTED_QUERY'
+ WHEN ses AND regexp_matches(q, 'what did you mean|why|expand on|tell me more|previous') THEN 'FOLLOW_UP'
+ WHEN n = 2 AND intent = 'VISUAL_OBSERVATION' AND regexp_matches(q, 'describe|what is happening|caption|what is visible') THEN 'SCENE_DESCRIPTION'
+ WHEN n = 2 AND intent = 'VISUAL_OBSERVATION' AND opt > 0 AND rad > 0 THEN 'OPTICAL_SAR_ANALYSIS'
+ WHEN n = 2 AND intent = 'VISUAL_OBSERVATION' THEN 'SINGLE_IMAGE_VQA'
+ WHEN n = 2 AND (ba OR regexp_matches(q, 'change|difference|temporal|expand')) THEN 'BI_TEMPORAL_ANALYSIS'
+ WHEN n = 2 AND opt > 0 AND rad > 0 THEN 'OPTICAL_SAR_ANALYSIS' WHEN n = 2 THEN 'BI_TEMPORAL_ANALYSIS'
+ WHEN regexp_matches(q, 'count|how many') THEN 'COUNTING' WHEN regexp_matches(q, 'where is|locate|ground|bbox') THEN 'TEXT_GUIDED_GROUNDING'
+ ELSE 'SCENE_INTERPRETATION' END"""
+
+
+@query(f"WITH {SETUP_SQL}, k AS (SELECT *, {INTENT_SQL} AS intent FROM u) SELECT id, setup, {TASK_SQL} AS task_class FROM k")
 def str_task_class(spark, sf):
-    one, zero, no = F.lit(1), F.lit(0), F.lit(False)
-    return _questions(spark, sf).select("id", lang.task_class(F.col("query"), one, one, zero, no, no).alias("task"))
-
-
-@query(f"""WITH {ALL_SQL} SELECT id, {any_of(["ndvi", "vegetation", "crop", "green"])} AS ndvi, {any_of(["ndwi", "water", "flood"])} AS ndwi, {CHANGE} AS temporal FROM q""")
+    task = lang.task_class(F.col("query"), F.col("n"), F.col("opt"), F.col("rad"), F.col("ba"), F.col("ses"))
+    return _set_up(spark, sf).select("id", "setup", task.alias("task_class"))
+
+
+PLAN_SQL = """SELECT id, setup, array_to_string(list_concat(
+  CASE WHEN facts THEN ['Dimensions', 'BandCount', 'GeospatialCRS'] ELSE [] END,
+  CASE WHEN plants THEN ['NDVI', 'ExcessGreenProxy', 'VegetationCandidateRegions'] ELSE [] END,
+  CASE WHEN water THEN ['WaterLowReflectanceThreshold', 'SpecularRadarBackscatter'] ELSE [] END,
+  CASE WHEN change THEN ['TemporalRegistration', 'MeanAbsoluteDifference', 'ConfounderScreening'] ELSE [] END,
+  CASE WHEN radar THEN ['SARBackscatterMoments', 'SpeckleENL', 'PolarizationCheck'] ELSE [] END,
+  CASE WHEN mixed THEN ['CommonSpatialGridAlignment', 'CrossSensorAgreementCheck'] ELSE [] END), '|') AS measurements,
+ 'validateRaster|inspectBands' || CASE WHEN plants THEN '|computeSpectralIndex|analyzeOpticalEvidence' ELSE '' END
+  || CASE WHEN water THEN '|analyzeOpticalEvidence|computeSpectralIndex' ELSE '' END || CASE WHEN change THEN '|registerTemporalImages|computeChange' ELSE '' END
+  || CASE WHEN radar THEN '|analyzeSAREvidence' ELSE '' END || CASE WHEN mixed THEN '|calculateSpatialOverlap' ELSE '' END AS tools,
+ facts AS deterministic, CASE WHEN plants AND water THEN 'NDVI|NDWI' WHEN plants THEN 'NDVI' WHEN water THEN 'NDWI' ELSE '' END AS indices
+FROM (SELECT id, setup, regexp_matches(q, 'dimension|resolution|crs|epsg|how many bands') AS facts, regexp_matches(q, 'vegetation|ndvi|crop|forest') AS plants,
+  regexp_matches(q, 'water|flood|lake|ocean') AS water, n = 2 AND (task IN ('BI_TEMPORAL_ANALYSIS', 'CHANGE_VQA') OR regexp_matches(q, 'change|increase')) AS change,
+  task = 'SAR_ANALYSIS' OR rad > 0 OR regexp_matches(q, 'sar|radar') AS radar, task = 'OPTICAL_SAR_ANALYSIS' OR (n = 2 AND opt > 0 AND rad > 0) AS mixed FROM u)"""
+
+
+@query(f"WITH {SETUP_SQL} {PLAN_SQL}")
 def str_evidence_plan(spark, sf):
-    p = _questions(spark, sf).withColumn("p", lang.evidence_plan(F.col("query")))
-    return p.select(
-        "id", F.array_contains("p.indices", "NDVI").alias("ndvi"), F.array_contains("p.indices", "NDWI").alias("ndwi"),
-        F.array_contains("p.measurements", "TEMPORAL_DIFFERENCE").alias("temporal"),
-    )
-
-
-@query(f"""WITH {ALL_SQL} SELECT id, CASE WHEN {any_of(["sar", "radar", "backscatter", "roughness"])} THEN 'SAR'
- WHEN {any_of(["cyclone", "rainfall", "weather", "sea surface temperature", "sst", "ocean color"])} THEN 'METEOROLOGICAL'
- WHEN {any_of(["ndvi", "vegetation", "chlorophyll", "multispectral"])} THEN 'MULTISPECTRAL' ELSE 'OPTICAL' END AS modality,
- CASE WHEN {any_of(["mumbai", "bombay", "maharashtra", "western ghats"])} THEN 72.8 ELSE 68.0 END::DOUBLE AS west FROM q""")
+    plan = lang.evidence_plan(F.col("query"), F.col("task"), F.col("n"), F.col("opt"), F.col("rad"))
+    p = _set_up(spark, sf).withColumn("p", plan)
+    return p.select("id", "setup", *[F.array_join(f"p.{c}", "|").alias(c) for c in ("measurements", "tools", "indices")], "p.deterministic")
+
+
+@query(f"""WITH {ALL_SQL} SELECT id, CASE WHEN regexp_matches(q, 'sar|radar|backscatter|roughness') THEN 'SAR'
+ WHEN regexp_matches(q, 'cyclone|rainfall|weather|sea surface temperature|sst|ocean color') THEN 'METEOROLOGICAL'
+ WHEN regexp_matches(q, 'ndvi|vegetation|chlorophyll|multispectral') THEN 'MULTISPECTRAL' ELSE 'OPTICAL' END AS modality,
+ CASE WHEN regexp_matches(q, 'sar|radar|backscatter|roughness') THEN 'SENTINEL-1' WHEN regexp_matches(q, 'cyclone|rainfall|weather|sea surface temperature|sst|ocean color') THEN 'INSAT-3D' END AS satellite,
+ CASE WHEN regexp_matches(q, 'mumbai|bombay|maharashtra|western ghats') THEN 'Mumbai / Western Coastal Zone 72.8 18.9 73.1 19.2'
+  WHEN regexp_matches(q, 'gujarat|arabian sea') THEN 'Gujarat / Arabian Sea Sector 68.0 20.0 73.0 24.0' ELSE 'Indian Subcontinent Reference Sector 68.0 8.0 96.0 36.0' END AS aoi,
+ CASE WHEN regexp_matches(q, 'change|increase|decrease|flood|temporal|before|after') THEN 'BI_TEMPORAL_ANALYSIS' END AS target_task, 20 AS max_cloud FROM q""")
 def str_discovery_plan(spark, sf):
     p = _questions(spark, sf).withColumn("p", lang.discovery_plan(F.col("query")))
-    return p.select("id", "p.modality", F.get("p.aoi_bbox", F.lit(0)).alias("west"))
+    aoi = F.concat_ws(" ", "p.aoi_name", F.transform("p.aoi_bbox", lambda x: x.cast("string")))
+    return p.select("id", "p.modality", "p.satellite", aoi.alias("aoi"), "p.target_task", "p.max_cloud")
 
 
 @query("""WITH d AS (SELECT doc_id, lower(text) AS text, [lower(source), lower(lang), 'license'] AS tags, doc_id % 2 = 0 AS pair FROM documents),

@@ -223,11 +223,40 @@ def flt_facets(spark, sf):
     return faceted(_products(spark, sf), open_access=True, modality="SAR", max_cloud=10, cloud="cloud").select("l_orderkey", "l_linenumber")
 
 
-@query()
+def _product_values() -> str:
+    from terraspan.sources.catalogs import sample_products
+
+    def literal(x) -> str:
+        return "[" + ", ".join(map(literal, x)) + "]" if isinstance(x, list) else "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return "VALUES " + ", ".join("(" + ", ".join(map(literal, p)) + ")" for p in sample_products())
+
+
+SEARCHES = ["Urban suburb, before after", "radar quay port ships at night", "vegetation growth in Coro", "cloud weather storm", "reservoir flood level", "?"]
+
+
+@query(f"""WITH p AS (SELECT * FROM ({_product_values()}) v(source, product_id, title, satellite, sensor, t, bbox, resolution, product_type, access, dl, cloud, pair, description, tags)),
+s AS (SELECT unnest({SEARCHES!r}) AS query), t AS (SELECT *, lower(query) AS q, [x FOR x IN regexp_split_to_array(lower(query), '[\s,.;:!?]+') IF length(x) > 1] AS terms,
+ lower(concat_ws(' ', title, description, array_to_string(tags, ' '), satellite, sensor, product_type)) AS words, array_to_string(tags, '|') AS tag FROM p, s),
+r AS (SELECT query, product_id, 20 + coalesce(list_sum([CASE WHEN NOT contains(words, x) THEN 0 WHEN contains(tag, x) THEN 15 ELSE 8 END FOR x IN terms]), 0)
+ + CASE WHEN len(terms) > 0 THEN len([x FOR x IN terms IF contains(words, x)]) / len(terms) * 25 ELSE 0 END
+ + CASE WHEN pair AND regexp_matches(q, 'change|temporal|before|after|expansion|growth|increase|decrease|transition|difference|over time|year') THEN 30 ELSE 0 END
+ + CASE WHEN (contains(sensor, 'SAR') OR contains(tag, 'radar')) AND regexp_matches(q, 'sar|radar|microwave|backscatter|speckle|polarization|c-band|all-weather') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(q, 'urban|city|building|construction|road|infrastructure|built|expansion|settlement') AND regexp_matches(tag, 'urban|built-up') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(q, 'port|harbor|coastal|ship|vessel|dock|pier|breakwater|sea|ocean|maritime') AND regexp_matches(tag, 'port|coastal|breakwater') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(q, 'agri|vegetation|ndvi|crop|farm|chlorophyll|forest|green') AND regexp_matches(tag, 'agri|vegetation|ndvi') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(q, 'cloud|monsoon|penetration|obscured|weather') AND regexp_matches(tag, 'cloud') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(q, 'flood|water|inundation|river|lake|overflow') AND regexp_matches(tag, 'flood|inundation') THEN 25 ELSE 0 END AS s, len(terms) AS n FROM t),
+f AS (SELECT query, product_id, CASE WHEN n = 0 THEN 80 ELSE least(99, floor(s + 0.5)) END::DOUBLE AS score FROM r)
+SELECT query, product_id, score FROM f WHERE score >= 35""")
 def src_eo_catalogue_search(spark, sf):
     from terraspan.sources.catalogs import eo_products, search_products
 
-    return search_products(eo_products(spark), "urban expansion change near Ahmedabad").select("product_id", "score")
+    found = [search_products(eo_products(spark), q).select(F.lit(q).alias("query"), "product_id", "score") for q in SEARCHES]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @query("""SELECT facet, value, count(*) AS n FROM (SELECT 'lang' AS facet, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'all', NULL FROM documents) GROUP BY 1, 2""")
