@@ -163,9 +163,10 @@ def markdown(queue: DataFrame) -> DataFrame:
     return queue.select("candidate_id", body.alias("report"))
 
 
-def events_where(events: DataFrame, limit: int = 100, **equal: str | None) -> DataFrame:
-    """Newest audit or feedback rows with the given values."""
+def events_where(events: DataFrame, limit: int = 100, tie: str | None = None, **equal: str | None) -> DataFrame:
+    """Newest audit or feedback rows with the given values; ``tie``: the column
+    that orders rows of one time."""
     for k, v in equal.items():
         if asked(v):
             events = events.where(F.col(k) == v)
-    return events.orderBy(F.col("timestamp").desc()).limit(limit)
+    return events.orderBy(F.col("timestamp").desc(), *([tie] if tie else [])).limit(limit)

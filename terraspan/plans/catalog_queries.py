@@ -66,12 +66,15 @@ def flt_date_range_keep_null(spark, sf):
     return orders.where(catalog.in_range(F.col("d"), start, end, keep_null=True)).select("o_orderkey")
 
 
-@query("SELECT e.vec_id, coalesce(nullif('', ''), 'src3') AS sensor FROM embeddings e")
+@query("""SELECT doc_id FROM documents WHERE lower(source) LIKE '%src3%' AND lower(lang) = 'fr'""")
 def flt_override(spark, sf):
-    from terraspan.operators.search import Plan
+    """Filters override what a query implies where they are set: the sensor is
+    the plan's, the modality the filter's."""
+    from terraspan.operators.search import Plan, prefilter
 
-    plan = Plan(sensor="src3").with_filters(sensor="", modality="fr")
-    return table(spark, sf, "embeddings").select("vec_id", F.lit(plan.sensor).alias("sensor"))
+    plan = Plan(sensor="src3", modality="en").with_filters(sensor="", modality="fr")
+    docs = table(spark, sf, "documents")
+    return prefilter(docs, plan, {"sensor": "source", "modality": "lang", "acquisition_date": "lang"}).select("doc_id")
 
 
 @query("""SELECT doc_id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents

@@ -78,15 +78,24 @@ def st_audit_events(spark, sf):
     return review.decision_events(e).select(F.col("run_id").cast("long").alias("seq"), "candidate_id", "operation")
 
 
-@query("SELECT event_id, ts::VARCHAR AS at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")
+@query("""SELECT event_id, ts::VARCHAR AS at FROM events WHERE event_type = 'view' AND user_id % 5 = 2 AND event_id % 7 = 1 ORDER BY ts DESC, event_id LIMIT 100""")
 def flt_audit_events(spark, sf):
-    e = table(spark, sf, "events").withColumnsRenamed({"ts": "timestamp"})
-    return review.events_where(e, 100, event_type="error").select("event_id", F.col("timestamp").cast("string").alias("at"))
+    e = table(spark, sf, "events").select(
+        "event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("operation"), (F.col("user_id") % 5).cast("string").alias("scene_id"), (F.col("event_id") % 7).cast("string").alias("run_id"),
+    )
+    got = review.events_where(e, 100, tie="event_id", operation="view", scene_id="2", run_id="1", candidate_id="ALL")
+    return got.select("event_id", F.col("timestamp").cast("string").alias("at"))
 
 
-@query("""SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND toxic = 1""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'CONFIRMED' ELSE 'REJECTED' END AS decision, ts::VARCHAR AS at FROM events
+WHERE event_type = 'click' AND event_id % 3 = 0 AND user_id % 4 = 1 ORDER BY ts DESC, event_id LIMIT 50""")
 def flt_feedback(spark, sf):
-    return table(spark, sf, "labels").where("quality = 1 AND toxic = 1").select("doc_id", "quality", "toxic")
+    decision = F.when(F.col("event_id") % 3 == 0, "CONFIRMED").otherwise("REJECTED")
+    f = table(spark, sf, "events").select(
+        "event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("change_type"), decision.alias("analyst_decision"), (F.col("user_id") % 4).cast("string").alias("reference_scene_id"),
+    )
+    got = review.events_where(f, 50, tie="event_id", analyst_decision="CONFIRMED", change_type="click", reference_scene_id="1")
+    return got.select("event_id", F.col("analyst_decision").alias("decision"), F.col("timestamp").cast("string").alias("at"))
 
 
 @query("""SELECT event_id, 'RUN-' || strftime(ts, '%Y%m%d-%H%M%S') || '-' || upper(substr(sha256(event_id::VARCHAR), 1, 4)) AS run_id FROM events""")
@@ -98,46 +107,54 @@ def dt_run_id(spark, sf):
 def _candidates(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
-    null = F.lit(None).cast("string")
+    n, null = F.col("o_orderkey"), F.lit(None).cast("string")
+    stamp = F.when(n % 3 == 0, F.lit("2024-05-06 07:08:09")).cast("timestamp")
     return o.select(
-        k.alias("candidate_id"), F.lit("NEW").alias("status"), F.lit("SEARCH").alias("source_type"), F.concat(F.lit("R"), k).alias("source_run_id"),
-        F.struct(F.concat(F.lit('Lo"c '), k).alias("location_name"), F.when(F.col("o_orderkey") % 2 == 0, "EPSG:32643").alias("crs"),
+        k.alias("candidate_id"), F.when(n % 3 == 0, "CONFIRMED").otherwise("NEW").alias("status"), F.lit("SEARCH").alias("source_type"), F.concat(F.lit("R"), k).alias("source_run_id"),
+        F.struct(F.concat(F.lit('Lo"c '), k).alias("location_name"), F.when(n % 2 == 0, "EPSG:32643").alias("crs"),
                  F.array(F.lit("MSI"), F.lit("C-SAR")).alias("sensors"), F.lit("optical").alias("modality"), F.array(F.lit("2020"), F.lit("2024")).alias("acquisition_dates")).alias("identity"),
-        F.struct((F.col("o_orderkey") % 1000 / 1000.0).alias("similarity_score")).alias("retrieval"), F.struct(null.alias("earliest_supported")).alias("temporal"),
-        F.struct(F.lit("ROAD").alias("change_classification"), (F.col("o_orderkey") % 100 / 1.0).alias("change_percentage"), F.lit(5).alias("changed_pixel_count"),
+        F.struct((n % 1000 / 1000.0).alias("similarity_score")).alias("retrieval"), F.struct(F.when(n % 5 == 0, "2021-06").alias("earliest_supported")).alias("temporal"),
+        F.struct(F.lit("ROAD").alias("change_classification"), (n % 100 / 1.0).alias("change_percentage"), F.lit(5).alias("changed_pixel_count"),
                  F.lit(100).alias("total_scene_pixels")).alias("change"),
-        F.struct(F.lit("USABLE").alias("overall_status"), F.lit("ALIGNED").alias("registration_status"), null.alias("seasonal_severity"), null.alias("cloud_status")).alias("quality"),
-        F.struct(null.alias("decision"), F.lit(None).cast("timestamp").alias("timestamp"), null.alias("rejection_reason")).alias("analyst_decision"),
+        F.struct(F.lit("USABLE").alias("overall_status"), F.lit("ALIGNED").alias("registration_status"), F.when(n % 4 == 1, "HIGH").alias("seasonal_severity"), null.alias("cloud_status")).alias("quality"),
+        F.struct(F.when(n % 3 == 0, "CONFIRMED").alias("decision"), stamp.alias("timestamp"), F.when(n % 7 == 0, 'too "cloudy"').alias("rejection_reason")).alias("analyst_decision"),
     )
 
 
-@query("""SELECT o_orderkey::VARCHAR AS candidate_id, '"' || o_orderkey || '","NEW","SEARCH","ROAD","' || (o_orderkey % 100) || '.0","N/A","MSI; C-SAR","2020 to 2024","Lo""c ' || o_orderkey || '","'
- || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'UNREFERENCED' END || '","0.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '","USABLE","ALIGNED","PENDING","","","R' || o_orderkey || '"' AS line FROM orders""")
+@query("""SELECT o_orderkey::VARCHAR AS candidate_id, '"' || o_orderkey || '","' || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'NEW' END || '","SEARCH","ROAD","' || (o_orderkey % 100) || '.0","'
+ || CASE WHEN o_orderkey % 5 = 0 THEN '2021-06' ELSE 'N/A' END || '","MSI; C-SAR","2020 to 2024","Lo""c ' || o_orderkey || '","'
+ || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'UNREFERENCED' END || '","0.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '","USABLE","ALIGNED","'
+ || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED","2024-05-06T07:08:09Z' ELSE 'PENDING","' END || '","' || CASE WHEN o_orderkey % 7 = 0 THEN 'too ""cloudy""' ELSE '' END || '","R' || o_orderkey || '"' AS line FROM orders""")
 def snk_csv_export(spark, sf):
     return review.csv_lines(_candidates(spark, sf))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS candidate_id, 'NEW' AS status, (o_orderkey % 1000 / 1000.0)::DOUBLE AS score FROM orders""")
-def snk_json_export(spark, sf):
-    j = review.json_lines(_candidates(spark, sf))
-    return j.select("candidate_id", F.get_json_object("json", "$.status").alias("status"), F.get_json_object("json", "$.retrieval.similarity_score").cast("double").alias("score"))
+#: Every leaf of the exported JSON, in order.
+LEAVES = """status source_type source_run_id identity.location_name identity.crs identity.sensors identity.modality identity.acquisition_dates retrieval.similarity_score
+temporal.earliest_supported change.change_classification change.change_percentage change.changed_pixel_count change.total_scene_pixels quality.overall_status
+quality.registration_status quality.seasonal_severity quality.cloud_status analyst_decision.decision analyst_decision.timestamp analyst_decision.rejection_reason""".split()
 
 
-@query("""SELECT o_orderkey::VARCHAR AS candidate_id, true AS has_decision, printf('- Extent: %.2f%% (5 of 100 pixels)', (o_orderkey % 100)::DOUBLE) AS extent FROM orders""")
+@query("""SELECT o_orderkey::VARCHAR AS candidate_id, concat_ws('|', CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'NEW' END, 'SEARCH', 'R' || o_orderkey, 'Lo"c ' || o_orderkey,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE '-' END, '["MSI","C-SAR"]', 'optical', '["2020","2024"]', (o_orderkey % 1000 / 1000.0)::DOUBLE, CASE WHEN o_orderkey % 5 = 0 THEN '2021-06' ELSE '-' END,
+ 'ROAD', (o_orderkey % 100)::DOUBLE, 5, 100, 'USABLE', 'ALIGNED', CASE WHEN o_orderkey % 4 = 1 THEN 'HIGH' ELSE '-' END, '-', CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE '-' END,
+ CASE WHEN o_orderkey % 3 = 0 THEN '2024-05-06T07:08:09.000Z' ELSE '-' END, CASE WHEN o_orderkey % 7 = 0 THEN 'too "cloudy"' ELSE '-' END) AS leaves FROM orders""")
+def snk_json_export(spark, sf):
+    j = review.json_lines(_candidates(spark, sf))
+    leaves = [F.coalesce(F.get_json_object("json", f"$.{x}"), F.lit("-")) for x in LEAVES]
+    k = LEAVES.index("retrieval.similarity_score"), LEAVES.index("change.change_percentage")
+    leaves = [x.cast("double").cast("string") if i in k else x for i, x in enumerate(leaves)]
+    return j.select(F.get_json_object("json", "$.candidate_id").alias("candidate_id"), F.concat_ws("|", *leaves).alias("leaves"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS candidate_id, '# Evidence and audit report ' || o_orderkey || chr(10) || '- Location: Lo"c ' || o_orderkey || chr(10)
+ || '- CRS: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'Unreferenced' END || chr(10) || '- Dates: 2020 → 2024' || chr(10) || '- Sensors: MSI, C-SAR (OPTICAL)' || chr(10)
+ || '## Change' || chr(10) || '- Class: ROAD' || chr(10) || printf('- Extent: %.2f%% (5 of 100 pixels)', (o_orderkey % 100)::DOUBLE) || chr(10)
+ || '- First supported: ' || CASE WHEN o_orderkey % 5 = 0 THEN '2021-06' ELSE 'Single Observation' END || chr(10) || '## Quality' || chr(10) || '- Overall: USABLE, registration: ALIGNED' || chr(10)
+ || '- Season: ' || CASE WHEN o_orderkey % 4 = 1 THEN 'HIGH' ELSE 'NONE' END || ', cloud: n/a' || chr(10) || '## Decision' || chr(10)
+ || CASE WHEN o_orderkey % 3 = 0 THEN '- CONFIRMED, CONFIRMED' ELSE '- NEW, PENDING ANALYST VERIFICATION' END AS report FROM orders""")
 def snk_markdown_report(spark, sf):
-    m = review.markdown(_candidates(spark, sf))
-    return m.select("candidate_id", F.contains("report", F.lit("PENDING ANALYST VERIFICATION")).alias("has_decision"),
-                    F.regexp_extract("report", r"(?m)^(- Extent: .*)$", 1).alias("extent"))
-
-
-def _claims(spark, sf):
-    c = table(spark, sf, "customer")
-    n = F.col("c_nationkey") % 3
-    return c.select(
-        F.col("c_custkey").alias("claim_id"), F.col("c_name").alias("query"),
-        F.when(F.col("c_acctbal") > 5000, "VERIFIED").when(F.col("c_acctbal") < 0, "EVIDENCE_CONFLICT").otherwise("INCONCLUSIVE").alias("status"),
-        F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("req "), i.cast("string"))).alias("requirements"), F.array(F.col("c_mktsegment")).alias("measurements"),
-    )
+    return review.markdown(_candidates(spark, sf))
 
 
 @query("""SELECT node_type, count(*) AS n FROM (SELECT unnest(['QUERY', 'CLAIM', 'DECISION', 'MEASUREMENT']) AS node_type FROM customer
