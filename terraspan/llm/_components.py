@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 from terraspan.llm._spark import as_table, drop_tables
 
-#: A node that holds at least one in so many of all links is a hub; there are
-#: at most twice as many hubs, so their minima may be broadcast.
+#: A key that holds at least one in so many of all rows is large; there are
+#: at most that many, so what is joined to them may be broadcast.
 HUB_SHARE = 256
 HUB_LINKS = 200
 
 
+def join_in_place(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once with the number
+    ``__ts_n`` of its rows; ``total``: the number of all rows.  Rows of large
+    keys are joined where they lie, so that no task gathers them."""
+    large = F.col("__ts_n") >= max(HUB_LINKS, -(-total // HUB_SHARE))
+    hot = keyed.where(large).drop("__ts_n")
+    marked = rows.join(F.broadcast(hot.withColumn("__ts_hot", F.lit(True))), key, "left")
+    found = marked.where("__ts_hot").drop("__ts_hot")
+    rest = marked.where("__ts_hot IS NULL").select(*rows.columns).join(keyed.where(~large).drop("__ts_n"), key)
+    return found.unionByName(rest)
+
+
 def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One step on edges (u, v), u > v: every node's neighbours move to its
     smallest one.  The minimum is aggregated before it is joined back, and the
@@ -22,13 +34,9 @@ def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__ts_n"))
     least = least.withColumn("m", F.least("u", "m"))
-    hub = F.col("n") >= max(HUB_LINKS, -(-2 * total // HUB_SHARE))
-    marked = near.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
-    moved = marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m"))
-    rest = marked.where("hub_m IS NULL").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
-    moved = moved.unionByName(rest)
+    moved = join_in_place(near, least, "u", 2 * total if large else total)
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

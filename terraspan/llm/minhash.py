@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import _features as ft
-from terraspan.llm._components import HUB_LINKS, HUB_SHARE, components
+from terraspan.llm._components import components, join_in_place
 from terraspan.llm._spark import as_table, cut, ensure_importable, text_or_empty
 
 WORDS = 5
@@ -364,8 +364,8 @@ def _settled(left: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     posts = _postings(left.join(sigs, "k"), LAST_COORDS).join(left, "k")
     size, shingles = F.count(F.lit(1)), F.sum("n")
     blocks = F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
-    lists = posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks"))
-    posts = cut(posts.join(lists.where("lo <> hi").select("token", "blocks"), "token"))
+    lists = posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks"), size.alias("__ts_n"))
+    posts = cut(join_in_place(posts, lists.where("lo <> hi").select("token", "blocks", "__ts_n"), "token", LAST_COORDS * left.count()))
     own = F.pmod(F.xxhash64("k", "token"), F.col("blocks")).cast("int")
     # a member goes to the pairs of its block with every block
     posts = posts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
@@ -405,6 +405,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
     sets = _full_sets(docs, near, words)
     sigs = near.select("k", "sig")
     members = cut(lists.join(near.select("k", "n"), "k"))
+    n_members = members.count()
     comps: DataFrame | None = None
 
     def labelled(turn: int) -> DataFrame:
@@ -413,10 +414,10 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
             df = members.withColumn("c", F.col("k"))
         else:
             df = members.join(comps, "k", "left").withColumn("c", F.coalesce("comp", "k")).drop("comp")
-        open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
+        open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("__ts_n"))
         # after a round the one pair of a list of two is known
-        open_lists = open_lists.where("lo <> hi").where(F.col("m") > (2 if turn else 1))
-        return cut(df.join(open_lists.select("token"), "token", "left_semi"))
+        open_lists = open_lists.where("lo <> hi").where(F.col("__ts_n") > (2 if turn else 1))
+        return cut(join_in_place(df, open_lists.select("token", "__ts_n"), "token", n_members))
 
     def merged(links: DataFrame) -> DataFrame:
         """The groups after the links are added."""
@@ -434,8 +435,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
     for turn in range(ROUNDS):
         lab = labelled(turn)
         draw = F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-        hubs = lab.groupBy("token").agg(F.min(draw).alias("x")).select("token", "x.b", "x.cb", "x.nb")
-        found = lab.join(hubs, "token").where((F.col("c") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
+        hubs = lab.groupBy("token").agg(F.min(draw).alias("x"), F.count(F.lit(1)).alias("__ts_n")).select("token", "x.b", "x.cb", "x.nb", "__ts_n")
+        found = join_in_place(lab, hubs, "token", n_members).where((F.col("c") != F.col("cb")) & _fits(F.col("n"), F.col("nb"), percent))
         pairs = _pair(found.select(F.col("k").alias("a"), "b"))
         links = cut(_confirmed(_matching(pairs, sigs), sets, percent))
         if not links.isEmpty():
@@ -473,12 +474,8 @@ def near_duplicates(
         group = members.join(comps.withColumnRenamed("k", "rep"), "rep", "left").withColumn("g", F.coalesce("comp", "rep"))
     # rows without shingles are groups of their own; negative, so no other has the number
     group = cut(group.select("id", "n", F.coalesce("g", -1 - F.col("k")).alias("g")))
-    least = group.groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    # groups of a 256th of all rows and more, so 256 at most, are joined where their rows lie
-    large = F.col("m") >= max(HUB_LINKS, -(-group.count() // HUB_SHARE))
-    marked = group.join(F.broadcast(least.where(large).select("g", "component_id", F.lit(True).alias("large"))), "g", "left")
-    few = marked.where("large IS NULL").drop("component_id").join(least.where(~large).drop("m"), "g")
-    placed = marked.where("large").select("id", "n", "component_id").unionByName(few.select("id", "n", "component_id"))
+    least = group.groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("__ts_n"))
+    placed = join_in_place(group, least, "g", group.count())
     return placed.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

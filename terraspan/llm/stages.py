@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.llm import exact_dedup, minhash, mixing, packing, toxicity
-from terraspan.llm._spark import text_or_empty
+from terraspan.llm._spark import cut, text_or_empty
 from terraspan.llm.queries import tokenizer_path
 
 #: Documents that score this or more are rejected as toxic.
@@ -61,12 +61,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(keyed, id_col="__ts_key").groupBy("__ts_key").agg(
         F.sum("copies").alias("__ts_sum"), F.count(F.lit(1)).alias("__ts_rows")
     )
-    rows = keyed.join(taken.where("__ts_sum > 0"), "__ts_key")
+    taken = cut(taken.where("__ts_sum > 0"))
     each, more = F.floor(F.col("__ts_sum") / F.col("__ts_rows")).cast("int"), F.pmod("__ts_sum", "__ts_rows")
-    even = rows.where(more == 0).withColumn("__ts_copies", each)
-    place = F.row_number().over(W.partitionBy("__ts_key").orderBy("__ts_key"))
-    odd = rows.where(more > 0).withColumn("__ts_copies", each + (place <= more).cast("int"))
-    out = even.unionByName(odd).where("__ts_copies > 0")
+    out = keyed.join(taken.where(more == 0), "__ts_key").withColumn("__ts_copies", each)
+    odd = taken.where(more > 0)
+    if not odd.isEmpty():  # repeated rows of which only some get one copy more
+        place = F.row_number().over(W.partitionBy("__ts_key").orderBy("__ts_key"))
+        out = out.unionByName(keyed.join(odd, "__ts_key").withColumn("__ts_copies", each + (place <= more).cast("int")))
+    out = out.where("__ts_copies > 0")
     return out.select(*_names(docs), F.explode(F.sequence(F.lit(1), F.col("__ts_copies"))).alias("__ts_copy")).drop("__ts_copy")
 
 
