@@ -11,6 +11,7 @@ side.  Only the last window of all can be short.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 import zlib
@@ -29,12 +30,13 @@ from terraspan.llm._spark import as_table, ensure_importable, text_or_empty
 LENGTH = 4096
 END_ID = 2
 #: Cached chunks and pieces per Python worker: entries of each of the two
-#: generations of a cache.  Chunks and pieces have ``CACHED`` characters at
-#: most, so an entry takes about 200 bytes and all four caches about 48 MB.
-CHUNKS, PIECES, CACHED = 60_000, 60_000, 64
+#: generations, of CACHED characters at most, so of about 200 bytes and 50 MB
+#: in all.
+ENTRIES, CACHED = 125_000, 64
 
-_SPACES = " \t\n\x0b\f\r"
 _BETWEEN = regex.compile(r"[\x20\x09-\x0D]+")
+#: What str.split() takes for white space and the tokenizer doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
 #: Fixed value: how the tokenizer file splits lower-cased text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The steps of a tokenizer file that this module does itself.
@@ -42,6 +44,7 @@ _NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 _PRE_TOKENIZERS = [("Split", _PIECES.pattern), ("ByteLevel", None)]
 #: Chunks of these characters only are split here; any other goes through the
 #: tokenizer whole.
+_LAST = "\u024f"
 _PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ɏ]+")
 
 
@@ -82,12 +85,10 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self.raw([END_ID])
-        self.chars = _byte_chars()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.shown = {b: c for b, c in _byte_chars().items() if b != ord(c)}
         # a full cache becomes the old one; what is used again moves to the new one
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
         got = array(self.code, ids)
@@ -98,39 +99,50 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def kept(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= CACHED:
+            if len(self.ids) >= ENTRIES:
+                self.old, self.ids = self.ids, {}
+            self.ids[text] = ids
+        return ids
+
     def piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            if (got := self.old_pieces.get(piece)) is None:
-                shown = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
-                got = self.raw([t.id for t in self.model.tokenize(shown)])
-            if len(piece) <= CACHED:
-                if len(self.pieces) >= PIECES:
-                    self.old_pieces, self.pieces = self.pieces, {}
-                self.pieces[piece] = got
-        return got
+        """Ids of one piece: a run of lower-cased letters, a digit, a run of
+        other characters.  As a chunk it has the same ids, so both share a cache."""
+        if (got := self.ids.get(piece)) is not None:
+            return got
+        if (got := self.old.get(piece)) is None:
+            got = self.tokenised(piece)
+        return self.kept(piece, got)
+
+    def tokenised(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return self.raw([t.id for t in self.model.tokenize(shown)])
 
     def chunk(self, chunk: str) -> bytes:
-        if (got := self.old_chunks.get(chunk)) is None:
-            if chunk.isascii() and chunk.isalpha():
-                got = self.piece(chunk.lower())  # one run of letters
-            elif chunk.isascii() and chunk[-1] in ".," and chunk[:-1].isalpha():
-                got = self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
+        if (got := self.old.get(chunk)) is None:
+            body, end = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,!?" else (chunk, "")
+            if body.isalpha() and (body.isascii() or (max(body) <= _LAST and "\u0130" not in body)):
+                low = body.lower()  # one run of letters, perhaps with one mark behind it
+                if low is chunk or low == chunk:
+                    got = self.tokenised(low)
+                else:
+                    got = self.piece(low) + self.piece(end) if end else self.piece(low)
             elif not _PLAIN.fullmatch(chunk) or "<|" in chunk or "\u00ad" in chunk:
                 got = self.whole(chunk)
             else:
                 got = b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
-        if len(chunk) <= CACHED:
-            if len(self.chunks) >= CHUNKS:
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[chunk] = got
-        return got
+        return self.kept(chunk, got)
 
     def encode(self, text: str) -> bytes:
         if not self.known:
             return self.whole(text) + self.end
-        parts = text.split(" ") if text.isascii() and not regex.search(r"[\x09-\x0D]", text) else _BETWEEN.split(text)
-        get, chunk = self.chunks.get, self.chunk
-        out = [got if (got := get(p)) is not None else chunk(p) for p in parts if p]
+        parts = text.split() if _ODD.search(text) is None else [p for p in _BETWEEN.split(text) if p]
+        chunk = self.chunk
+        out: list[bytes] = []
+        for k in range(0, len(parts), ENTRIES // 4):  # a full cache is another one
+            get = self.ids.get
+            out += [got if (got := get(p)) is not None else chunk(p) for p in parts[k : k + ENTRIES // 4]]
         out.append(self.end)
         return b"".join(out)
 
