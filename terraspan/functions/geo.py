@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.functions.rules import cascade, has
+from terraspan.functions.rules import cascade, has, let
 
 #: WGS84 and UTM.
 RADIUS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
@@ -43,12 +43,6 @@ def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / RADIUS), F.degrees(lat)
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often it is used
-    (a plain expression would be written out at each use)."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def utm_to_wgs84(x: Column, y: Column, zone: Column, south: Column, fourth_term: bool = True) -> Column:
     """struct(lng, lat) by the footpoint-latitude series; without
     ``fourth_term`` the series for the latitude stops at sin 6mu."""

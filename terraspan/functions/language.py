@@ -7,10 +7,12 @@ projection without Python workers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.functions.rules import begins, cascade, has, labels, matches
+from terraspan.functions.rules import begins, cascade, has, labels, let, matches
 
 #: Fixed values: (trigger pattern, label).
 OBJECTS = [
@@ -81,7 +83,7 @@ def sensor_of(q: Column, which: str) -> Column:
 def spatial_relation(q: Column, compat: bool = False) -> Column:
     """struct(relation, feature), or null.  A feature ends before a stop word;
     with ``compat`` a feature at the end of the query isn't found."""
-    stop = r"(?=\s+(?:between|from|in|using|with|during|$))" if compat else r"(?=\s+(?:between|from|in|using|with|during)\b|\s*$)"
+    stop = r"(?=\s+(?:between|from|in|using|with|during|$))" if compat else r"(?=\s+(?:between|from|in|using|with|during)(?![A-Za-z0-9_])|\s*$)"
     pattern = rf"(near|along|around|close to|adjacent to|within)\s+([a-z\s]+?){stop}"
     return F.when(
         matches(q, pattern),
@@ -92,52 +94,70 @@ def spatial_relation(q: Column, compat: bool = False) -> Column:
     )
 
 
-def parse_query(query: Column, compat: bool = False) -> Column:
-    """The structured search plan of a query as one struct."""
-    q = clean(query)
-    objects = labels([(matches(q, p), x) for p, x in OBJECTS])
-    actions = labels([(matches(q, p), x) for p, x in ACTIONS])
-    places = labels([(matches(q, p), x) for p, x in ENVIRONMENT])
-    dates = date_range(q)
-    sensor, satellite, modality = (sensor_of(q, w) for w in ("sensor", "satellite", "modality"))
-    relation = spatial_relation(q, compat)
-    temporal = dates.isNotNull() | F.arrays_overlap(actions, F.array(*map(F.lit, TEMPORAL_ACTIONS))) | matches(q, TEMPORAL_WORDS)
-    radar = F.coalesce(modality == "sar", F.lit(False)) | matches(q, "sar|radar|microwave|backscatter")
-    intent = cascade(
-        [
-            (q == "", "GENERAL_SEMANTIC"),
-            (matches(q, MULTIMODAL_WORDS), "MULTIMODAL_SEARCH"),
-            (temporal, "TEMPORAL_CHANGE_DISCOVERY"),
-            (radar | sensor.isNotNull() | satellite.isNotNull(), "SENSOR_CONSTRAINED_SEARCH"),
-            (relation.isNotNull(), "RELATIONAL_SEARCH"),
-            (F.size(objects) > 0, "OBJECT_SCENE_SEARCH"),
-        ],
-        "GENERAL_SEMANTIC",
-    )
-    stops = r"\b(" + "|".join(STOP_WORDS) + r")\b"
-    bare = F.trim(F.regexp_replace(F.regexp_replace(q, stops, " "), r"\s+", " "))
-    concepts = F.concat(actions, objects, places)
-    steps = ["METADATA_FILTER", "TEXT_EMBEDDING", "VECTOR_SEARCH"]
-    more = ["CANDIDATE_RERANKING", "QUALITY_FILTERING"]
-    late = ["TEMPORAL_OBSERVATION_COLLECTION", "TEMPORAL_CHANGE_DETECTION", "EARLIEST_CHANGE_VERIFICATION"]
-    operations = F.when(q == "", F.array(*map(F.lit, steps))).when(
-        intent == "TEMPORAL_CHANGE_DISCOVERY", F.array(*map(F.lit, steps + more + late))
-    ).otherwise(F.array(*map(F.lit, steps + more)))
-    return F.struct(
-        query.alias("raw_query"),
-        intent.alias("intent"),
-        F.when(F.size(concepts) > 0, F.array_join(concepts, " ")).otherwise(bare).alias("semantic_query"),
-        objects.alias("objects"),
-        actions.alias("actions"),
-        places.alias("environment"),
-        relation.alias("spatial_relation"),
-        dates.alias("date_range"),
-        sensor.alias("sensor"),
-        satellite.alias("satellite"),
-        modality.alias("modality"),
-        F.initcap(cascade([(has(q, p), p) for p in PLACES])).alias("aoi_hint"),
-        operations.alias("operations"),
-    )
+#: Fields of a search plan, and the parts that are found first for each.
+PLAN_FIELDS = {
+    "raw_query": [], "intent": ["objects", "actions", "spatial_relation", "date_range", "sensor", "satellite", "modality"],
+    "semantic_query": ["actions", "objects", "environment"], "objects": ["objects"], "actions": ["actions"], "environment": ["environment"],
+    "spatial_relation": ["spatial_relation"], "date_range": ["date_range"], "sensor": ["sensor"], "satellite": ["satellite"], "modality": ["modality"],
+    "aoi_hint": [], "operations": ["objects", "actions", "spatial_relation", "date_range", "sensor", "satellite", "modality"],
+}
+
+
+def parse_query(query: Column, compat: bool = False, only: Sequence[str] | None = None) -> Column:
+    """The structured search plan of a query as one struct, with all fields or
+    those named in ``only``.  The cleaned query and each part that several
+    fields need are bound once, not written out at each use."""
+    wanted = [f for f in PLAN_FIELDS if only is None or f in only]
+    needed = sorted({part for f in wanted for part in PLAN_FIELDS[f]})
+
+    def part(name: str, q: Column) -> Column:
+        if name in ("objects", "actions", "environment"):
+            return labels([(matches(q, p), x) for p, x in {"objects": OBJECTS, "actions": ACTIONS, "environment": ENVIRONMENT}[name]])
+        if name == "date_range":
+            return date_range(q)
+        return spatial_relation(q, compat) if name == "spatial_relation" else sensor_of(q, name)
+
+    def intent(q: Column, p: Column) -> Column:
+        temporal = p["date_range"].isNotNull() | F.arrays_overlap(p["actions"], F.array(*map(F.lit, TEMPORAL_ACTIONS))) | matches(q, TEMPORAL_WORDS)
+        radar = F.coalesce(p["modality"] == "sar", F.lit(False)) | matches(q, "sar|radar|microwave|backscatter")
+        return cascade(
+            [
+                (q == "", "GENERAL_SEMANTIC"),
+                (matches(q, MULTIMODAL_WORDS), "MULTIMODAL_SEARCH"),
+                (temporal, "TEMPORAL_CHANGE_DISCOVERY"),
+                (radar | p["sensor"].isNotNull() | p["satellite"].isNotNull(), "SENSOR_CONSTRAINED_SEARCH"),
+                (p["spatial_relation"].isNotNull(), "RELATIONAL_SEARCH"),
+                (F.size(p["objects"]) > 0, "OBJECT_SCENE_SEARCH"),
+            ],
+            "GENERAL_SEMANTIC",
+        )
+
+    def field(name: str, q: Column, p: Column) -> Column:
+        if name == "raw_query":
+            return query
+        if name == "intent":
+            return intent(q, p)
+        if name == "semantic_query":
+            # a word's boundary goes by ASCII letters
+            stops = r"(?<![A-Za-z0-9_])(" + "|".join(STOP_WORDS) + r")(?![A-Za-z0-9_])"
+            bare = F.trim(F.regexp_replace(F.regexp_replace(q, stops, " "), r"\s+", " "))
+            concepts = F.concat(p["actions"], p["objects"], p["environment"])
+            return F.when(F.size(concepts) > 0, F.array_join(concepts, " ")).otherwise(bare)
+        if name == "aoi_hint":
+            return F.initcap(cascade([(has(q, x), x) for x in PLACES]))
+        if name == "operations":
+            steps = ["METADATA_FILTER", "TEXT_EMBEDDING", "VECTOR_SEARCH"]
+            more = ["CANDIDATE_RERANKING", "QUALITY_FILTERING"]
+            late = ["TEMPORAL_OBSERVATION_COLLECTION", "TEMPORAL_CHANGE_DETECTION", "EARLIEST_CHANGE_VERIFICATION"]
+            lists = [F.array(*map(F.lit, x)) for x in (steps, steps + more + late, steps + more)]
+            return F.when(q == "", lists[0]).when(intent(q, p) == "TEMPORAL_CHANGE_DISCOVERY", lists[1]).otherwise(lists[2])
+        return p[name]
+
+    def plan(q: Column) -> Column:
+        parts = F.struct(*[part(n, q).alias(n) for n in needed]) if needed else F.struct(q.alias("q"))
+        return let(parts, lambda p: F.struct(*[field(n, q, p).alias(n) for n in wanted]))
+
+    return let(clean(query), plan)
 
 
 #: Words of each question class, in order of precedence.
@@ -503,5 +523,5 @@ def answer_matches(predicted: Column, truth: Column) -> Column:
     return (p == t) | F.contains(p, t)
 
 
-def with_plan(queries: DataFrame, text: str = "query", compat: bool = False) -> DataFrame:
-    return queries.withColumn("plan", parse_query(F.col(text), compat))
+def with_plan(queries: DataFrame, text: str = "query", compat: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    return queries.withColumn("plan", parse_query(F.col(text), compat, only))

@@ -73,13 +73,13 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return run(vector)
 
 
-def top_k(index: DataFrame, query: Column, k: int, vector: str = "embedding", id_col: str = "vec_id", places: int = 4) -> DataFrame:
+def top_k(index: DataFrame, query: list[float], k: int, vector: str = "embedding", id_col: str = "vec_id", places: int = 4) -> DataFrame:
     """The k nearest rows by cosine, rounded before the sort; ties by id.
 
-    Sort and limit together keep k rows per task: one narrow scan, no shuffle
-    of vectors.
+    Sort and limit together keep k rows per task: one narrow scan with a
+    matrix product per Arrow batch, no shuffle of vectors.
     """
-    found = index.withColumn("similarity", F.round(cosine(doubles(F.col(vector)), query), places))
+    found = index.withColumn("similarity", F.round(cosine_to(F.col(vector), query), places))
     return found.orderBy(F.col("similarity").desc(), F.col(id_col)).limit(k)
 
 

@@ -95,7 +95,7 @@ def discover(index: DataFrame, reference: int, k: int, clusters: int, *, id_col:
     if ref is None:
         raise ValueError(f"no vector for scene {reference}")
     ref_hash = index.where(F.col(id_col) == reference).select(hash_col.alias("h")).first()["h"]
-    near = vectors.top_k(index.withColumn("__hash", hash_col), vectors.literal(ref[vector]), 3 * k, vector, id_col)
+    near = vectors.top_k(index.withColumn("__hash", hash_col), [float(x) for x in ref[vector]], 3 * k, vector, id_col)
     near = near.where((F.col(id_col) != reference) & (F.col("__hash") != F.lit(ref_hash)))
     near = distinct_hits(near, "__hash", [F.col("similarity").desc(), F.col(id_col)])
     if keep is not None:

@@ -38,7 +38,7 @@ def over_fetch(k: int) -> int:
     return max(2 * k, 20)
 
 
-def vector_hits(index: DataFrame, allowed: DataFrame, query: Column, k: int, key: str, vector: str, compat: bool = False) -> DataFrame:
+def vector_hits(index: DataFrame, allowed: DataFrame, query: list[float], k: int, key: str, vector: str, compat: bool = False) -> DataFrame:
     """The over-fetched nearest vectors among the allowed scenes.  With
     ``compat`` an empty set of allowed scenes stands for all scenes."""
     if compat and allowed.isEmpty():

@@ -208,23 +208,15 @@ def jn_lookup(spark, sf):
     return c.join(dim, c.c_nationkey == dim.n_nationkey).select("c_custkey", "n_name", "r_name")
 
 
-@query("""SELECT doc_id, format, raw, digits FROM (SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE 'KB+' END AS format,
-  n_chars AS raw, length(n_chars::VARCHAR) AS digits FROM documents)""")
+@query("""SELECT doc_id, times, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10)
+ WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.2f GB', floor(n / 1073741824 * 100 + 0.5) / 100) END AS size
+FROM (SELECT doc_id, times, n_chars * times AS n FROM documents, (VALUES (1), (300), (90000), (30000000)) v(times))""")
 def str_byte_format(spark, sf):
     from terraspan.functions.language import bytes_text
 
-    d = table(spark, sf, "documents")
-    text = bytes_text(F.col("n_chars"))
-    return d.select("doc_id", F.when(F.endswith(text, F.lit(" B")), text).otherwise("KB+").alias("format"), F.col("n_chars").alias("raw"),
-                    F.length(F.col("n_chars").cast("string")).cast("long").alias("digits"))
-
-
-@query()
-def str_byte_format_all(spark, sf):
-    """Every size as it is written, KB and more too."""
-    from terraspan.functions.language import bytes_text
-
-    return table(spark, sf, "documents").select("doc_id", bytes_text(F.col("n_chars")).alias("format"))
+    each = F.explode(F.array(*[F.lit(x) for x in (1, 300, 90000, 30000000)]))
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", each.alias("times"))
+    return d.select("doc_id", "times", bytes_text(F.col("n_chars").cast("long") * F.col("times")).alias("size"))
 
 
 @query("""WITH s AS (SELECT unnest(['GeoTIFF', 'PNG', 'JPEG', 'UNKNOWN']) AS format), d AS (

@@ -43,7 +43,7 @@ TAG_SQL = f"""WITH {ALL_SQL} SELECT id, {tags(lang.OBJECTS)} AS objects, {tags(l
 
 @query(TAG_SQL)
 def str_concept_tags(spark, sf):
-    p = lang.with_plan(_questions(spark, sf))
+    p = lang.with_plan(_questions(spark, sf), only=["objects", "actions", "environment"])
     return p.select("id", *[F.array_join(f"plan.{c}", "|").alias(c) for c in ("objects", "actions", "environment")])
 
 
@@ -61,7 +61,7 @@ def _dates(group: int, tail: str) -> str:
 
 @query(f"WITH {ALL_SQL} SELECT id, {_dates(1, '-01-01')} AS start_date, {_dates(2, '-12-31')} AS end_date FROM q")
 def str_date_range(spark, sf):
-    p = lang.with_plan(_questions(spark, sf))
+    p = lang.with_plan(_questions(spark, sf), only=["date_range"])
     return p.select("id", F.col("plan.date_range.start").alias("start_date"), F.col("plan.date_range.end").alias("end_date"))
 
 
@@ -74,66 +74,45 @@ def _case(rows, k: int) -> str:
 
 @query(f"WITH {ALL_SQL} SELECT id, {_case(lang.SATELLITES, 0)} AS satellite, {_case(lang.SATELLITES, 1)} AS sensor, {_case(lang.SATELLITES, 2)} AS modality FROM q")
 def str_sensor_cascade(spark, sf):
-    p = lang.with_plan(_questions(spark, sf))
+    p = lang.with_plan(_questions(spark, sf), only=["satellite", "sensor", "modality"])
     return p.select("id", "plan.satellite", "plan.sensor", "plan.modality")
 
 
-REL = r"(near|along|around|close to|adjacent to|within)\s+([a-z\s]+?)\s+(between|from|in|using|with|during)"
+#: The pattern of the engine, with the end of the feature matched instead of looked at.
+REL = r"(near|along|around|close to|adjacent to|within)\s+([a-z\s]+?)(\s+(between|from|in|using|with|during)\b|\s*$)"
 
 
-@query(f"""WITH {ALL_SQL} SELECT id, nullif(trim(regexp_extract(q, '{REL}( |$)', 1)), '') AS relation,
- nullif(trim(regexp_extract(q, '{REL}( |$)', 2)), '') AS feature FROM q WHERE id < 1000000 AND NOT regexp_matches(q, '(near|along|around|close to|adjacent to|within)\\s+[a-z\\s]+$')""")
+@query(f"""WITH {ALL_SQL} SELECT id, nullif(trim(regexp_extract(q, '{REL}', 1)), '') AS relation, CASE WHEN regexp_matches(q, '{REL}') THEN trim(regexp_extract(q, '{REL}', 2)) END AS feature FROM q""")
 def str_spatial_relation(spark, sf):
-    p = lang.with_plan(_questions(spark, sf).where("id < 1000000"))
-    ends = F.lower(F.trim("query")).rlike(r"(near|along|around|close to|adjacent to|within)\s+[a-z\s]+$")
-    return p.where(~ends).select("id", F.col("plan.spatial_relation.relation").alias("relation"), F.col("plan.spatial_relation.feature").alias("feature"))
+    p = lang.with_plan(_questions(spark, sf), only=["spatial_relation"])
+    return p.select("id", F.col("plan.spatial_relation.relation").alias("relation"), F.col("plan.spatial_relation.feature").alias("feature"))
 
 
 STOPS = r"\b(" + "|".join(lang.STOP_WORDS) + r")\b"
 
 
 @query(f"""WITH {ALL_SQL}, t AS (SELECT id, q, array_to_string([x FOR x IN [{tags(lang.ACTIONS)}, {tags(lang.OBJECTS)}, {tags(lang.ENVIRONMENT)}] IF x <> ''], '|') AS tags FROM q)
-SELECT id, CASE WHEN tags <> '' THEN replace(tags, '|', ' ') ELSE trim(regexp_replace(regexp_replace(q, '{STOPS}', ' ', 'g'), '\\s+', ' ', 'g')) END AS semantic_query FROM t WHERE id < 1000000""")
+SELECT id, CASE WHEN tags <> '' THEN replace(tags, '|', ' ') ELSE trim(regexp_replace(regexp_replace(q, '{STOPS}', ' ', 'g'), '\\s+', ' ', 'g')) END AS semantic_query FROM t""")
 def str_semantic_query(spark, sf):
-    return lang.with_plan(_questions(spark, sf).where("id < 1000000")).select("id", "plan.semantic_query")
+    return lang.with_plan(_questions(spark, sf), only=["semantic_query"]).select("id", "plan.semantic_query")
 
 
 @query(f"WITH {ALL_SQL} SELECT id, CASE " + " ".join(f"WHEN contains(q, '{p}') THEN '{p.title()}'" for p in lang.PLACES) + " END AS aoi_hint FROM q")
 def str_aoi_hint(spark, sf):
-    return lang.with_plan(_questions(spark, sf)).select("id", "plan.aoi_hint")
+    return lang.with_plan(_questions(spark, sf), only=["aoi_hint"]).select("id", "plan.aoi_hint")
 
 
 TEMPORAL = "(" + _dates(1, "") + f") IS NOT NULL OR regexp_matches(q, 'newly built|new construction|construction|building|expansion|expanding|growth|growing|clearance|clearing|cleared|deforestation|tree loss|flood|inundation|water spread') OR regexp_matches(q, '{lang.TEMPORAL_WORDS}')"
 
 
-@query(f"""WITH {ALL_SQL}, k AS (SELECT id, q, {_case(lang.SATELLITES, 1)} AS sensor, {_case(lang.SATELLITES, 2)} AS modality, {tags(lang.OBJECTS)} AS objects FROM q WHERE id >= 1000000
- OR NOT regexp_matches(q, '(near|along|around|close to|adjacent to|within)\\s'))
+@query(f"""WITH {ALL_SQL}, k AS (SELECT id, q, {_case(lang.SATELLITES, 1)} AS sensor, {_case(lang.SATELLITES, 2)} AS modality, {tags(lang.OBJECTS)} AS objects FROM q)
 SELECT id, CASE WHEN q = '' THEN 'GENERAL_SEMANTIC' WHEN regexp_matches(q, '{lang.MULTIMODAL_WORDS}') THEN 'MULTIMODAL_SEARCH'
  WHEN {TEMPORAL} THEN 'TEMPORAL_CHANGE_DISCOVERY'
  WHEN modality = 'sar' OR regexp_matches(q, 'sar|radar|microwave|backscatter') OR sensor IS NOT NULL THEN 'SENSOR_CONSTRAINED_SEARCH'
- WHEN regexp_matches(q, '{REL}( |$)') OR regexp_matches(q, '(near|along|around|close to|adjacent to|within)\\s+[a-z\\s]+$') THEN 'RELATIONAL_SEARCH'
+ WHEN regexp_matches(q, '{REL}') THEN 'RELATIONAL_SEARCH'
  WHEN objects <> '' THEN 'OBJECT_SCENE_SEARCH' ELSE 'GENERAL_SEMANTIC' END AS intent FROM k""")
 def str_search_intent(spark, sf):
-    q = _questions(spark, sf)
-    near = F.lower(F.trim("query")).rlike(r"(near|along|around|close to|adjacent to|within)\s")
-    return lang.with_plan(q.where((F.col("id") >= 1000000) | ~near)).select("id", "plan.intent")
-
-
-@query()
-def str_spatial_relation_all(spark, sf):
-    """All questions and conversations; RE2 has no look-ahead, so no SQL."""
-    p = lang.with_plan(_questions(spark, sf))
-    return p.select("id", F.col("plan.spatial_relation.relation").alias("relation"), F.col("plan.spatial_relation.feature").alias("feature"))
-
-
-@query()
-def str_semantic_query_all(spark, sf):
-    return lang.with_plan(_questions(spark, sf)).select("id", "plan.semantic_query")
-
-
-@query()
-def str_search_intent_all(spark, sf):
-    return lang.with_plan(_questions(spark, sf)).select("id", "plan.intent")
+    return lang.with_plan(_questions(spark, sf), only=["intent"]).select("id", "plan.intent")
 
 
 CHANGE, SEEN = any_of(lang.CHANGE_WORDS), "(" + any_of(lang.VISIBLE_WORDS) + " OR " + " OR ".join(f"starts_with(q, '{w}')" for w in lang.VISIBLE_STARTS) + ")"

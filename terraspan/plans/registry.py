@@ -5,6 +5,7 @@ from __future__ import annotations
 from terraspan.plans import (  # noqa: F401
     catalog_queries,
     geo_queries,
+    ingest_queries,
     language_queries,
     raster_queries,
     review_queries,

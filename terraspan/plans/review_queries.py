@@ -253,7 +253,7 @@ SEARCHES = ["Urban suburb, before after", "radar quay port ships at night", "veg
 
 
 @query(f"""WITH p AS (SELECT * FROM ({_product_values()}) v(source, product_id, title, satellite, sensor, t, bbox, resolution, product_type, access, dl, cloud, pair, description, tags)),
-s AS (SELECT unnest({SEARCHES!r}) AS query), t AS (SELECT *, lower(query) AS q, [x FOR x IN regexp_split_to_array(lower(query), '[\s,.;:!?]+') IF length(x) > 1] AS terms,
+s AS (SELECT unnest({SEARCHES!r}) AS query), t AS (SELECT *, lower(query) AS q, [x FOR x IN regexp_split_to_array(lower(query), '[\\s,.;:!?]+') IF length(x) > 1] AS terms,
  lower(concat_ws(' ', title, description, array_to_string(tags, ' '), satellite, sensor, product_type)) AS words, array_to_string(tags, '|') AS tag FROM p, s),
 r AS (SELECT query, product_id, 20 + coalesce(list_sum([CASE WHEN NOT contains(words, x) THEN 0 WHEN contains(tag, x) THEN 15 ELSE 8 END FOR x IN terms]), 0)
  + CASE WHEN len(terms) > 0 THEN len([x FOR x IN terms IF contains(words, x)]) / len(terms) * 25 ELSE 0 END

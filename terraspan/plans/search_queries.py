@@ -21,18 +21,18 @@ def _query_vector(spark, sf, vec_id: int = 0) -> list[float]:
 ORDER BY similarity DESC, e.vec_id LIMIT 20""")
 def vector_topk_filtered(spark, sf):
     e = table(spark, sf, "embeddings").where(F.col("label").isin(1, 3, 5))
-    return vectors.top_k(e, vectors.literal(_query_vector(spark, sf)), 20, places=6).select("vec_id", "label", "similarity")
+    return vectors.top_k(e, _query_vector(spark, sf), 20, places=6).select("vec_id", "label", "similarity")
 
 
 @query(f"""WITH {Q0} SELECT e.vec_id, round({COS}, 4) AS similarity FROM embeddings e, q ORDER BY similarity DESC, e.vec_id LIMIT 10""")
 def top_cosine(spark, sf):
-    return vectors.top_k(table(spark, sf, "embeddings"), vectors.literal(_query_vector(spark, sf)), 10).select("vec_id", "similarity")
+    return vectors.top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 10).select("vec_id", "similarity")
 
 
 @query(f"""WITH {Q0} SELECT vec_id, similarity FROM (SELECT e.vec_id, round({COS}, 4) AS similarity FROM embeddings e, q
 ORDER BY similarity DESC, e.vec_id LIMIT 11) WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 10""")
 def vec_image_to_image(spark, sf):
-    near = vectors.top_k(table(spark, sf, "embeddings"), vectors.literal(_query_vector(spark, sf)), 11)
+    near = vectors.top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 11)
     return near.where("vec_id <> 0").orderBy(F.col("similarity").desc(), "vec_id").limit(10).select("vec_id", "similarity")
 
 
@@ -84,7 +84,7 @@ def _scored(spark, sf):
     plan = search.Plan(sensor="src1", modality="en")
     allowed = search.prefilter(docs, search.Plan(modality="en"), {"modality": "lang", "sensor": "source"})
     index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    hits = search.vector_hits(index, allowed, vectors.literal(_query_vector(spark, sf)), 15, "doc_id", "embedding")
+    hits = search.vector_hits(index, allowed, _query_vector(spark, sf), 15, "doc_id", "embedding")
     return search.rerank(hits, docs, plan, 15, "doc_id", sensor="source", modality="lang", ts="ts", completeness=F.col("n_chars") % 101)
 
 
