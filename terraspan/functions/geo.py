@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,23 +198,40 @@ def _box(prefix: str) -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1"))
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float, prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
-    """All pairs of touching boxes: an equi-join on grid cells, not a nested
-    loop.
+#: Cells of a box at most, and parts that each cell's right side is split into.
+MOST_CELLS, SPLITS = 10_000, 4
+
+
+def bbox_join(left: DataFrame, right: DataFrame, cell: float, prefix: tuple[str, str] = ("a_", "b_"), keys: Sequence[str] = ()) -> DataFrame:
+    """All pairs of touching boxes with equal ``keys``: an equi-join on grid
+    cells, not a nested loop.
 
     Both sides have columns id, x0, y0, x1, y1 (after their prefix).  A pair
     is reported in one cell only, that of the lower left corner of the
     boxes' intersection, so no distinct is needed.
+
+    A box lies in about (side / cell + 1)**2 cells, a cell holds the boxes
+    around it: choose ``cell`` near the usual side.  A box of over MOST_CELLS
+    cells raises.  Cells that many boxes share are split over SPLITS parts of
+    the right side, to each of which the left side goes.
     """
     sides = []
     for df, p in ((left, prefix[0]), (right, prefix[1])):
         x0, y0, x1, y1 = _box(p)
-        df = df.withColumn("__cx", F.explode(F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))))
+        number = (F.floor(x1 / cell) - F.floor(x0 / cell) + 1) * (F.floor(y1 / cell) - F.floor(y0 / cell) + 1)
+        wide = F.raise_error(F.concat(F.lit("a box lies in more cells than MOST_CELLS: "), number.cast("string")))
+        df = df.withColumn("__cx", F.explode(F.when(number > MOST_CELLS, wide).otherwise(F.sequence(F.floor(x0 / cell), F.floor(x1 / cell)))))
         sides.append(df.withColumn("__cy", F.explode(F.sequence(F.floor(y0 / cell), F.floor(y1 / cell)))))
     a, b = _box(prefix[0]), _box(prefix[1])
-    joined = sides[0].join(sides[1], ["__cx", "__cy"]).where(intersects(a, b))
+    part = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
+    left, right = sides[0].withColumn("__part", part), sides[1].withColumn("__part", F.pmod(F.xxhash64(*b), F.lit(SPLITS)).cast("int"))
+    right = right.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry", "__part": "__rp"})
+    same = (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & (F.col("__part") == F.col("__rp"))
+    for k in keys:
+        same = same & (F.col(f"{prefix[0]}{k}") == F.col(f"{prefix[1]}{k}"))
+    joined = left.join(right, same).where(intersects(a, b))
     first = (F.col("__cx") == F.floor(F.greatest(a[0], b[0]) / cell)) & (F.col("__cy") == F.floor(F.greatest(a[1], b[1]) / cell))
-    return joined.where(first).drop("__cx", "__cy")
+    return joined.where(first).drop("__cx", "__cy", "__part", "__rx", "__ry", "__rp")
 
 
 #: Words of a label that allow a box over the whole image.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,44 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return run(vector)
 
 
+def nearest(vector: Column, centroids: list[list[float]]) -> Column:
+    """struct(cluster, similarity): the centroid with the largest dot product,
+    the first of equal ones."""
+    c = np.asarray(centroids, float)
+
+    @F.pandas_udf("cluster int, similarity double")
+    def run(s: pd.Series) -> pd.DataFrame:
+        if not len(s):
+            return pd.DataFrame({"cluster": np.zeros(0, np.int32), "similarity": np.zeros(0)})
+        dots = np.stack([np.asarray(x, float) for x in s]) @ c.T
+        best = dots.argmax(1)
+        return pd.DataFrame({"cluster": best.astype(np.int32), "similarity": dots[np.arange(len(best)), best]})
+
+    return run(vector)
+
+
+def cluster_sums(items: DataFrame, vector: str, centroids: list[list[float]]) -> DataFrame:
+    """cluster, total: the sum of the vectors nearest to each centroid; a task
+    gives one row per cluster."""
+    c = np.asarray(centroids, float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros_like(c)
+        seen = np.zeros(len(c), bool)
+        for pdf in frames:
+            if len(pdf):
+                m = np.stack([np.asarray(x, float) for x in pdf[vector]])
+                best = (m @ c.T).argmax(1)
+                np.add.at(sums, best, m)
+                seen[best] = True
+        yield pd.DataFrame({"cluster": np.flatnonzero(seen).astype(np.int32), "part": [list(x) for x in sums[seen]]})
+
+    parts = items.select(vector).mapInPandas(run, "cluster int, part array<double>")
+    each = parts.select("cluster", F.posexplode("part").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"))
+    ordered = F.sort_array(F.collect_list(F.struct("d", "x")))
+    return each.groupBy("cluster").agg(F.transform(ordered, lambda e: e["x"]).alias("total"))
+
+
 def top_k(index: DataFrame, query: list[float], k: int, vector: str = "embedding", id_col: str = "vec_id", places: int = 4) -> DataFrame:
     """The k nearest rows by cosine, rounded before the sort; ties by id.
 
@@ -151,4 +190,4 @@ def missing_embeddings(targets: DataFrame, cache: DataFrame, key: Column) -> Dat
     return targets.withColumn("cache_key", key).join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-__all__ = ["CONCEPTS", "DIMENSION", "cache_key", "clean", "concept_table", "cosine", "cosine_to", "dot", "embed_image", "embed_text", "literal", "missing_embeddings", "norm", "top_k", "unit"]
+__all__ = ["CONCEPTS", "DIMENSION", "cache_key", "clean", "cluster_sums", "concept_table", "cosine", "cosine_to", "dot", "embed_image", "embed_text", "literal", "missing_embeddings", "nearest", "norm", "top_k", "unit"]

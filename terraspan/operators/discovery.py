@@ -13,11 +13,15 @@ from terraspan.lineage import cut
 
 #: Fixed values.
 DUPLICATE_IOU, MIN_SIMILARITY, ITERATIONS = 0.70, 0.40, 20
+MOST_HITS = 10_000
 
 
 def greedy_dedup(hits: DataFrame, limit: float = DUPLICATE_IOU) -> DataFrame:
     """Hits (id, rank, x0, y0, x1, y1) less those that overlap a kept one of
-    better rank; a fold over the ranked list, which a search keeps short."""
+    better rank; a fold over the ranked list of a search, in one task, so of
+    MOST_HITS hits at most."""
+    if (n := hits.count()) > MOST_HITS:
+        raise ValueError(f"{n} hits; a ranked list has at most {MOST_HITS}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
@@ -46,9 +50,10 @@ def spherical_kmeans(items: DataFrame, vector: Column, id_col: str, k: int, iter
     """id, cluster, similarity, medoid of every item.
 
     Seeds: the first item by id, then always the item farthest from all seeds
-    (ties: first).  Assignment and centroid sums are aggregates over the whole
-    table; only the k centroids come to the driver, so any number of items
-    can be clustered.  An empty cluster keeps its centroid.
+    (ties: first).  Items are assigned by a matrix product per Arrow batch, and
+    every task sums its items per cluster before anything is shuffled; only
+    the k centroids come to the driver, so any number of items can be
+    clustered.  An empty cluster keeps its centroid.
     """
     base = cut(items.select(F.col(id_col).alias("id"), vectors.doubles(vector).alias("v")))
     first = base.orderBy("id").first()
@@ -57,28 +62,21 @@ def spherical_kmeans(items: DataFrame, vector: Column, id_col: str, k: int, iter
     centroids = [list(first["v"])]
     n = base.count()
     while len(centroids) < min(k, n):
-        far = F.least(*[1.0 - vectors.dot(F.col("v"), vectors.literal(c)) for c in centroids], F.lit(1e18))
-        centroids.append(list(base.orderBy(far.desc(), "id").first()["v"]))
-
-    def assigned() -> DataFrame:
-        options = [F.struct(vectors.dot(F.col("v"), vectors.literal(c)).alias("s"), F.lit(-j).alias("j")) for j, c in enumerate(centroids)]
-        best = F.greatest(*options) if len(options) > 1 else options[0]
-        return base.withColumn("best", best).select("id", "v", (-F.col("best.j")).alias("cluster"), F.col("best.s").alias("similarity"))
-
+        nearest = vectors.nearest(F.col("v"), centroids)["similarity"]
+        centroids.append(list(base.orderBy(nearest, "id").first()["v"]))
     for _ in range(iterations if len(centroids) > 1 else 0):
-        sums = assigned().select("cluster", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"))
-        rows = sums.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("m")).collect()
         new = [list(c) for c in centroids]
-        for r in rows:
-            m = np.array([e["x"] for e in r["m"]])
+        for r in vectors.cluster_sums(base, "v", centroids).collect():  # k rows
+            m = np.array(r["total"])
             new[r["cluster"]] = list(m / (np.sqrt(m @ m) or 1.0))
         moved = max(float(np.abs(np.array(a) - np.array(b)).max()) for a, b in zip(new, centroids, strict=True))
         centroids = new
         if moved < 1e-12:
             break
-    final = assigned()
-    medoid = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("similarity").desc(), "id")) == 1
-    return final.select(F.col("id").alias(id_col), (F.col("cluster") + 1).alias("cluster"), "similarity", medoid.alias("medoid"))
+    final = cut(base.withColumn("best", vectors.nearest(F.col("v"), centroids)).select("id", "best.cluster", "best.similarity"))
+    medoids = final.groupBy("cluster").agg(F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("middle"))
+    out = final.join(F.broadcast(medoids), "cluster")  # k rows
+    return out.select(F.col("id").alias(id_col), (F.col("cluster") + 1).alias("cluster"), "similarity", (F.col("id") == F.col("middle")).alias("medoid"))
 
 
 def distinct_hits(hits: DataFrame, hash_col: str, order: list[Column]) -> DataFrame:

@@ -126,11 +126,33 @@ def _footprints(spark, sf):
     return o.select("id", "x0", "y0", (F.col("x0") + F.col("side")).alias("x1"), (F.col("y0") + F.col("side")).alias("y1"))
 
 
-@query(f"""WITH {FOOT} SELECT a.id AS a_id, b.id AS b_id FROM g a JOIN g b ON a.id < b.id AND a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0
-WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))
- / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.35""")
+def _share(a: str, b: str, p: str = "") -> str:
+    x0, y0, x1, y1 = (f"{p}{c}" for c in ("x0", "y0", "x1", "y1"))
+    return f"""greatest(0, least({a}.{x1}, {b}.{x1}) - greatest({a}.{x0}, {b}.{x0})) * greatest(0, least({a}.{y1}, {b}.{y1}) - greatest({a}.{y0}, {b}.{y0}))
+ / least(({a}.{x1} - {a}.{x0}) * ({a}.{y1} - {a}.{y0}), ({b}.{x1} - {b}.{x0}) * ({b}.{y1} - {b}.{y0})) >= 0.35"""
+
+
+#: Scenes with a geographic box (three of five), a projected one under one of
+#: three codes (three of four), and a stem.
+PLACED = FOOT + f""", s AS (SELECT id, CASE WHEN id % 5 < 3 THEN x0 END AS x0, CASE WHEN id % 5 < 3 THEN y0 END AS y0, CASE WHEN id % 5 < 3 THEN x1 END AS x1, CASE WHEN id % 5 < 3 THEN y1 END AS y1,
+ CASE WHEN id % 4 < 3 THEN 32640 + id % 3 END AS epsg, CASE WHEN id % 4 < 3 THEN x0 * 1000 END AS px0, CASE WHEN id % 4 < 3 THEN y0 * 1000 END AS py0,
+ CASE WHEN id % 4 < 3 THEN x1 * 1000 END AS px1, CASE WHEN id % 4 < 3 THEN y1 * 1000 END AS py1, CASE WHEN id % 7 = 0 THEN '' ELSE 'site' || (id % 997) END AS stem FROM g),
+pairs AS (SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.id < b.id AND a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 WHERE {_share('a', 'b')}
+ UNION ALL SELECT a.id, b.id FROM s a JOIN s b ON a.id < b.id AND a.epsg = b.epsg AND a.px0 <= b.px1 AND a.px1 >= b.px0 AND a.py0 <= b.py1 AND a.py1 >= b.py0
+ WHERE (a.x0 IS NULL OR b.x0 IS NULL) AND {_share('a', 'b', 'p')}
+ UNION ALL SELECT a.id, b.id FROM s a JOIN s b ON a.id < b.id AND a.stem = b.stem AND a.stem <> '' WHERE (a.x0 IS NULL OR b.x0 IS NULL) AND NOT coalesce(a.epsg = b.epsg, false))"""
+
+
+def _placed(spark, sf):
+    f, i = _footprints(spark, sf), F.col("id")
+    cols = {c: F.when(i % 5 < 3, F.col(c)) for c in ("x0", "y0", "x1", "y1")} | {f"p{c}": F.when(i % 4 < 3, F.col(c) * 1000) for c in ("x0", "y0", "x1", "y1")}
+    epsg, stem = F.when(i % 4 < 3, 32640 + i % 3), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("site"), (i % 997).cast("string")))
+    return f.select("id", *[c.alias(n) for n, c in cols.items()], epsg.alias("epsg"), stem.alias("stem"), i.alias("ord"))
+
+
+@query(f"WITH {PLACED} SELECT a_id, b_id FROM pairs")
 def jn_spatial_overlap(spark, sf):
-    return temporal.overlaps(_footprints(spark, sf), 8.0)
+    return temporal.overlaps(_placed(spark, sf), 8.0, 8000.0)
 
 
 @query(f"""WITH {FOOT}, q AS (SELECT s_suppkey AS q, (s_suppkey * 13 % 336)::DOUBLE AS x0, (s_suppkey * 29 % 336)::DOUBLE AS y0 FROM supplier)
@@ -146,8 +168,8 @@ def flt_bbox_intersects(spark, sf):
 
 @query()
 def gr_location_groups(spark, sf):
-    f = _footprints(spark, sf).withColumn("ord", F.col("id"))
-    return temporal.seed_groups(f, 8.0)
+    """Greedy, so without SQL; tested against the plain loop."""
+    return temporal.seed_groups(_placed(spark, sf), 8.0, 8000.0)
 
 
 def _check_sql(mode: str) -> str:
