@@ -2,85 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import sys
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from terraspan.lineage import as_table, cut, drop_tables, shared_dir
+
+__all__ = ["SPACE", "WORD", "as_table", "crc_mod", "cut", "drop_tables", "ensure_importable", "shared_dir", "text_or_empty"]
+
 #: Fixed value: the white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Read from ``spark.checkpoint.dir``; only where that is unset in local mode
-    (tests) a temporary folder is made.  On a cluster it has to be set.
-    """
-    global _own_dir
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="terraspan-")
-    return "file://" + _own_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint and cut its lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Unlike a checkpoint, later reads load only the columns they need, and the
-    planner knows the table's size; loops need that, since the size estimate
-    of a checkpoint of joins grows with every turn.  The folder is removed by
-    ``drop_tables`` or when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._terraspan_path = path
-    return table
-
-
-def drop_tables(*tables: DataFrame | None) -> None:
-    """Removes tables that ``as_table`` has written and nobody reads again."""
-    for t in tables:
-        if t is not None and (path := getattr(t, "_terraspan_path", None)):
-            _remove(t.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jvm is None:
-        return  # the session has ended
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # at the driver's end the JVM may be gone already
-        pass
-
-
 _shipped: set[str] = set()
 
 
@@ -111,9 +50,4 @@ def crc_mod(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def pandas_safe(name: str) -> str:
-    """A column name that no input column is likely to have."""
-    return f"__ts_{name}"
-
-
 assert sys.version_info >= (3, 10)
