@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions.rules import cascade
+from terraspan.lineage import as_table
 
 #: Channel means and deviations of the embedding's input.
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -66,23 +67,47 @@ def band_statistics(pixels: DataFrame, by: list[str], value: str = "value", noda
     )
 
 
-def floor_percentiles(pixels: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at place floor(n * share) of each group in order.
+def in_ranges(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` dealt in order over as many ranges as there are partitions, with
+    the range's number ``__p``; a group may lie in many of them.  A table, so
+    that the ranges stay the same."""
+    return as_table(df.repartitionByRange(*by, order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def running_counts(pixels: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, __upto, __all: the distinct finite values with the number of
+    pixels up to them and in the group.
 
-    Values are counted first, so the running sum is over distinct values
-    rather than pixels, whatever the size of a group.
+    Values are counted first and summed up range by range, so neither a large
+    group nor one with nearly as many values as pixels meets in one task.
     """
-    counts = pixels.where(finite(F.col(value))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = in_ranges(pixels.where(finite(F.col(value))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), by, value)
+    sums = counts.groupBy(*by, "__p").agg(F.sum("__n").alias("__sum"))
     group = W.partitionBy(*by)
-    counts = counts.withColumns({
-        "__upto": F.sum("__n").over(group.orderBy(value)),
-        "__all": F.sum("__n").over(group),
-    })
+    sums = sums.withColumns({"__base": F.sum("__sum").over(group.orderBy("__p")) - F.col("__sum"), "__all": F.sum("__sum").over(group)})
+    placed = counts.join(as_table(sums.drop("__sum"), "sums"), [*by, "__p"])
+    return placed.select(*by, value, (F.col("__base") + F.sum("__n").over(W.partitionBy(*by, "__p").orderBy(value))).alias("__upto"), "__all")
+
+
+def value_at(place: Column, value: str) -> Column:
+    """Aggregate over ``running_counts``: the value at a place, counted from 0."""
+    return F.min(F.when(F.col("__upto") > place, F.col(value)))
+
+
+def floor_percentiles(pixels: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The value at place floor(n * share) of each group in order."""
+    counts = running_counts(pixels, by, value)
+    return counts.groupBy(*by).agg(*[value_at(F.floor(F.col("__all") * share), value).alias(name) for name, share in shares.items()])
+
+
+def linear_percentiles(pixels: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles between the two values around place (n - 1) * share."""
     picks = []
     for name, share in shares.items():
-        place = F.floor(F.col("__all") * share)
-        picks.append(F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name))
-    return counts.groupBy(*by).agg(*picks)
+        at = (F.col("__all") - 1) * share
+        picks += [value_at(F.floor(at), value).alias(f"__{name}0"), value_at(F.ceil(at), value).alias(f"__{name}1"), F.max(at - F.floor(at)).alias(f"__{name}f")]
+    found = running_counts(pixels, by, value).groupBy(*by).agg(*picks)
+    return found.select(*by, *[(F.col(f"__{n}0") + (F.col(f"__{n}1") - F.col(f"__{n}0")) * F.col(f"__{n}f")).alias(n) for n in shares])
 
 
 def looks(mean: Column, std: Column) -> Column:
@@ -122,7 +147,8 @@ def backscatter_regions(pixels: DataFrame, by: list[str], value: str = "value",
     """Boxes of the pixels at or over p95 and at or under p5."""
     cuts = floor_percentiles(pixels, by, value, {"p5": 0.05, "p95": 0.95})
     v = F.col(value)
-    joined = pixels.where(finite(v)).join(F.broadcast(cuts) if not by else cuts, by) if by else pixels.where(finite(v)).crossJoin(cuts)
+    cuts = as_table(cuts, "cuts")  # a row per group: broadcast if it is small
+    joined = pixels.where(finite(v)).join(cuts, by) if by else pixels.where(finite(v)).crossJoin(cuts)  # without groups, one row
     kinds = F.array_compact(F.array(
         F.when(v >= F.col("p95"), F.struct(F.lit("HIGH_BACKSCATTER_DOUBLE_BOUNCE").alias("kind"), F.col("p95").alias("level"))),
         F.when(v <= F.col("p5"), F.struct(F.lit("LOW_BACKSCATTER_SPECULAR").alias("kind"), F.col("p5").alias("level"))),
@@ -138,8 +164,12 @@ def image_metrics(pixels: DataFrame, by: list[str], order: str = "i") -> DataFra
     """Brightness, contrast and the shares of vegetation, dark, bright and
     rough pixels of each image; columns r, g, b and the sample's order."""
     lum = luminance(F.col("r"), F.col("g"), F.col("b"))
-    df = pixels.withColumn("lum", lum)
-    df = df.withColumn("after", F.lead("lum").over(W.partitionBy(*by).orderBy(order)))
+    df = in_ranges(pixels.select(*by, "r", "g", "b", F.col(order).alias("__o")).withColumn("lum", lum), by, "__o")
+    # a pixel's successor is in its range, or the first of the group's next one
+    edges = df.groupBy(*by, "__p").agg(F.min_by("lum", "__o").alias("__first"))
+    edges = edges.select(*by, "__p", F.lead("__first").over(W.partitionBy(*by).orderBy("__p")).alias("__next"))
+    inside = F.lead("lum").over(W.partitionBy(*by, "__p").orderBy("__o"))
+    df = df.join(as_table(edges, "edges"), [*by, "__p"]).withColumn("after", F.coalesce(inside, F.col("__next")))
     r, g, b, x = F.col("r"), F.col("g"), F.col("b"), F.col("lum")
 
     def share(c: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions.language import answer_matches
-from terraspan.functions.raster import byte
+from terraspan.functions.raster import byte, linear_percentiles
 from terraspan.functions.rules import cascade
+from terraspan.lineage import as_table
 
 MODALITIES = ["optical", "sar", "multispectral", "RGB", "S1", "S2"]
 
@@ -62,10 +63,12 @@ def reflectance_byte(x: Column, top: float = 4000.0) -> Column:
 
 
 def percentile_stretch(pixels: DataFrame, by: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Adds ``stretched`` (0-255) between two percentiles of each group."""
-    cuts = pixels.groupBy(*by).agg(
-        F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"),
-    )
+    """Adds ``stretched`` (0-255) between two percentiles of each group.
+
+    The cut values are a small table, which the planner broadcasts if its size
+    allows that; pixels aren't shuffled for them then.
+    """
+    cuts = as_table(linear_percentiles(pixels, by, value, {"__lo": low, "__hi": high}), "cuts")
     df = pixels.join(cuts, by)
     x = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 255
     return df.withColumn("stretched", F.when(F.col("__hi") > F.col("__lo"), byte(x)).otherwise(F.lit(0.0))).drop("__lo", "__hi")

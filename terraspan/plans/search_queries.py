@@ -178,8 +178,17 @@ def sc_token_cost(spark, sf):
     return g.select("conv_id", F.round("cost.actual", 9).alias("actual"), F.round("cost.baseline", 9).alias("baseline"))
 
 
-@query()
+WORDS = ", ".join(f"('{w}', {first}, {count}, {weight})" for w, (first, count, weight) in vectors.CONCEPTS.items())
+
+
+@query(f"""WITH t AS (SELECT item_id, unnest([x FOR x IN regexp_split_to_array(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13))), '[\\s,.;:!?_/\\-]+') IF x <> '']) AS token FROM benchmark),
+k AS (SELECT row_number() OVER () AS k, * FROM t), c AS (SELECT * FROM (VALUES {WORDS}) v(word, first, n, weight)),
+h AS (SELECT k, item_id, first, n, weight FROM k JOIN c ON contains(token, word) OR contains(word, token)),
+p AS (SELECT item_id, (first + d) % 512 AS dim, weight * cos(d * pi() / n) AS v FROM (SELECT *, unnest(range(n)) AS d FROM h)
+ UNION ALL SELECT item_id, 440 + (b + i * 17) % 72, (b / 128.0 - 1) * 0.5 FROM (SELECT item_id, i, ('0x' || substr(md5(token), (i * 2 + 1)::INT, 2))::INT AS b FROM k, range(16) r(i) WHERE k NOT IN (SELECT k FROM h))),
+s AS (SELECT item_id, dim, sum(v) AS v FROM p GROUP BY ALL), l AS (SELECT item_id, sqrt(sum(v * v)) AS length FROM s GROUP BY 1)
+SELECT item_id, dim::INT AS dim, round(v / length * 1000000)::BIGINT AS millionths FROM s JOIN l USING (item_id) WHERE abs(v / length) > 0.001""")
 def vec_text_embedding(spark, sf):
-    b = table(spark, sf, "benchmark")
-    v = vectors.embed_text(b, "item_id", "text")
-    return v.select("item_id", F.size("vector").alias("dimension"), F.round(vectors.norm(F.col("vector")), 3).alias("length"))
+    v = vectors.embed_text(table(spark, sf, "benchmark"), "item_id", "text")
+    each = v.where(F.size("vector") == vectors.DIMENSION).select("item_id", F.posexplode("vector").alias("dim", "x"))
+    return each.where(F.abs("x") > 0.001).select("item_id", "dim", F.round(F.col("x") * 1000000).cast("long").alias("millionths"))
