@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions.language import clean, tokens
+from terraspan.functions.rules import let
 
 DIMENSION = 512
 #: Word -> (first dimension, dimensions, weight) of the text embedding.
@@ -49,8 +50,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column, places: int | None = 6) -> Column:
     """The vector scaled to length one (a zero vector stays)."""
-    n = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
-    return F.transform(a, lambda x: F.round(x / n, places) if places is not None else x / n)
+
+    def scaled(v: Column) -> Column:
+        n = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+        return let(n, lambda m: F.transform(v, lambda x: F.round(x / m, places) if places is not None else x / m))
+
+    return let(a, scaled)
 
 
 def literal(v: list[float]) -> Column:
