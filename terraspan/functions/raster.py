@@ -253,3 +253,20 @@ def pair_metrics(pairs: DataFrame, by: list[str], before: str, after: str, thres
 
 
 TWO_PI = 2 * math.pi
+
+
+#: The bands behind red, green and blue of each composite.
+COMPOSITES = {"TRUE_COLOR": ("RED", "GREEN", "BLUE"), "FALSE_COLOR": ("NIR", "RED", "GREEN")}
+
+
+def color_composite(bands: Column, mode: str = "TRUE_COLOR") -> Column:
+    """struct(status, red, green, blue) of a pixel from its bands (map of band
+    to value); values are cut to 0-255 without a stretch, a missing value is 0.
+    A mode whose bands aren't all there is unavailable."""
+    names = COMPOSITES[mode]
+    there = F.lit(True)
+    for n in names:
+        there = there & F.map_contains_key(bands, n)
+    cut = [F.when(there, F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.coalesce(F.nanvl(F.element_at(bands, n), F.lit(0.0)), F.lit(0.0))).cast("double")))) for n in names]
+    status = F.when(there, "GENERATED").otherwise("UNAVAILABLE_REQUIRED_BANDS_NOT_FOUND")
+    return F.struct(status.alias("status"), *[c.alias(k) for c, k in zip(cut, ("red", "green", "blue"), strict=True)])

@@ -134,3 +134,12 @@ def consistency(scenes: DataFrame, index: DataFrame, key: str = "scene_id") -> D
 
 def newest(rows: DataFrame, n: int, ts: str, id_col: str) -> DataFrame:
     return rows.orderBy(F.col(ts).desc(), F.col(id_col).desc()).limit(n)
+
+
+def match_by_name(images: DataFrame, image: str, scenes: DataFrame, name: str, id_col: str) -> DataFrame:
+    """The scene of each image: the first (by id) whose file name equals the
+    image's but for case, else the first of all; ``named`` says which."""
+    first = scenes.groupBy(F.lower(name).alias("__name")).agg(F.min(id_col).alias(id_col))
+    least = F.broadcast(scenes.agg(F.min(id_col).alias("__first")))  # one row
+    found = images.join(first, F.lower(image) == F.col("__name"), "left").join(least)
+    return found.withColumn("named", F.col(id_col).isNotNull()).withColumn(id_col, F.coalesce(id_col, "__first")).drop("__name", "__first")

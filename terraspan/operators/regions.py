@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions.rules import cascade
@@ -69,3 +70,15 @@ def region_table(labelled: DataFrame, scene: str = "scene", least: int = 15) ->
     return g.withColumns({
         "coherence": graded(F.col("pixels"), F.col("density")), "meaning": meaning(F.col("pixels"), F.col("density"), w, h),
     })
+
+
+def largest(table: DataFrame, n: int | None = None) -> DataFrame:
+    """Regions by pixels, largest first; ties by number."""
+    ordered = table.orderBy(F.col("pixels").desc(), "region")
+    return ordered.limit(n) if n is not None else ordered
+
+
+def first_in_scan(table: DataFrame, n: int = 8, scene: str = "scene") -> DataFrame:
+    """The first regions of each scene in row order, whatever their size."""
+    place = F.row_number().over(W.partitionBy(scene).orderBy("region"))
+    return table.withColumn("place", place).where(F.col("place") <= n)

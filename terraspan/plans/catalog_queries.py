@@ -191,14 +191,12 @@ def jn_manifest_annotations(spark, sf):
     return with_annotations(docs, ann, "doc_id", ["score", "origin"])
 
 
-@query("""SELECT p.p_partkey, s.s_suppkey, lower(p.p_brand) = lower('BRAND#' || s.s_nationkey) AS same FROM part p
-LEFT JOIN supplier s ON lower(p.p_brand) = lower('BRAND#' || s.s_nationkey)""")
+@query("""SELECT p.p_partkey, coalesce(s.s_suppkey, (SELECT min(s_suppkey) FROM supplier)) AS s_suppkey, s.s_suppkey IS NOT NULL AS named FROM part p
+LEFT JOIN (SELECT lower('Brand#' || (s_suppkey % 60)) AS brand, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) s ON lower(p.p_brand) = s.brand""")
 def jn_text_match(spark, sf):
-    p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
-    key = F.lower(F.concat(F.lit("BRAND#"), F.col("s_nationkey").cast("string")))
-    s = s.select("s_suppkey", key.alias("brand"))
-    j = p.join(s, F.lower("p_brand") == F.col("brand"), "left")
-    return j.select("p_partkey", "s_suppkey", (F.lower("p_brand") == F.col("brand")).alias("same"))
+    scenes = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("BRAND#"), (F.col("s_suppkey") % 60).cast("string")).alias("file_name"))
+    images = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("image"))
+    return catalog.match_by_name(images, "image", scenes, "file_name", "s_suppkey").select("p_partkey", "s_suppkey", "named")
 
 
 @query("""SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey""")

@@ -151,6 +151,30 @@ def gr_connected_regions(spark, sf):
     return regions.region_table(lab).select("pixels", "min_x", "max_x", "min_y", "max_y")
 
 
+@query(f"""WITH RECURSIVE {SMALL}, e AS (SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM m a JOIN m b ON (a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1)),
+r AS (SELECT x, y, y * 48 + x AS c FROM m UNION SELECT e.x2, e.y2, r.c FROM r JOIN e ON r.x = e.x AND r.y = e.y),
+l AS (SELECT x, y, min(c) AS c FROM r GROUP BY x, y), t AS (SELECT c, count(*) AS pixels, min(x)::INT AS min_x, min(y)::INT AS min_y FROM l GROUP BY c HAVING count(*) >= 2)
+SELECT 'largest' AS list, pixels, min_x, min_y FROM (SELECT * FROM t ORDER BY pixels DESC, c LIMIT 5) UNION ALL SELECT 'first', pixels, min_x, min_y FROM (SELECT * FROM t ORDER BY c LIMIT 8)""")
+def top_regions(spark, sf):
+    g = raster.grid(spark, 48, 48).where((F.col("x") * F.col("x") + F.col("y") * 3) % 17 > 6)
+    t = regions.region_table(regions.components(g.select(F.lit(1).alias("scene"), "x", "y", F.lit(1.0).alias("delta"))), least=2)
+    cols = ["pixels", "min_x", "min_y"]
+    return regions.largest(t, 5).select(F.lit("largest").alias("list"), *cols).unionByName(regions.first_in_scan(t).select(F.lit("first").alias("list"), *cols))
+
+
+@query(f"""WITH {PX}, m AS (SELECT *, v AS mode, n % 4 > 0 AS nir FROM p, (VALUES ('TRUE_COLOR'), ('FALSE_COLOR')) t(v))
+SELECT o, n, mode, CASE WHEN mode = 'TRUE_COLOR' OR nir THEN 'GENERATED' ELSE 'UNAVAILABLE_REQUIRED_BANDS_NOT_FOUND' END AS status,
+ CASE WHEN mode = 'TRUE_COLOR' THEN least(255, greatest(0, floor(r))) WHEN nir THEN least(255, greatest(0, floor(price / 100))) END::DOUBLE AS red,
+ CASE WHEN mode = 'TRUE_COLOR' THEN least(255, greatest(0, floor(g))) WHEN nir THEN least(255, greatest(0, floor(r))) END::DOUBLE AS green,
+ CASE WHEN mode = 'TRUE_COLOR' THEN least(255, greatest(0, floor(b))) WHEN nir THEN least(255, greatest(0, floor(g))) END::DOUBLE AS blue FROM m""")
+def ras_false_color(spark, sf):
+    p = _pixels(spark, sf)
+    seen = F.create_map(*[x for k, c in (("RED", "r"), ("GREEN", "g"), ("BLUE", "b")) for x in (F.lit(k), F.col(c).cast("double"))])
+    p = p.withColumn("bands", F.when(F.col("n") % 4 > 0, F.map_concat(seen, F.create_map(F.lit("NIR"), (F.col("price") / 100).cast("double")))).otherwise(seen))
+    both = [p.select("o", "n", F.lit(m).alias("mode"), raster.color_composite(F.col("bands"), m).alias("c")) for m in raster.COMPOSITES]
+    return both[0].unionByName(both[1]).select("o", "n", "mode", "c.*")
+
+
 @query(f"""WITH {GRID}, d AS (SELECT x, y, {DELTA} AS d FROM g), m AS (SELECT *, CASE WHEN y <= 128 * 0.44 THEN 1 ELSE 2 END AS c FROM d WHERE d >= 30),
 r AS (SELECT c, count(*) AS pixels, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM m GROUP BY c)
 SELECT pixels, round(pixels::DOUBLE / (w * h), 3) AS density, CASE WHEN pixels >= 100 AND round(pixels::DOUBLE / (w * h), 3) >= 0.4 THEN 'STRONG' WHEN pixels >= 40 THEN 'MODERATE' ELSE 'WEAK' END AS coherence,

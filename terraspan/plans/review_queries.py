@@ -47,6 +47,42 @@ def top_review_relevance_compat(spark, sf):
     return review.query_queue(_queue(spark, sf), columns=COLS, compat=True).limit(25).select("candidate_id", "similarity")
 
 
+#: Sort, order and the SQL of both forms: as it should be, and with the signs that four sorts turn round.
+SORTS = [
+    ("RELEVANCE", "DESC", "o_totalprice DESC", "o_totalprice"), ("RELEVANCE", "ASC", "o_totalprice", "o_totalprice DESC"), ("CHANGE_PERCENTAGE", "DESC", "o_totalprice DESC", "o_totalprice"),
+    ("NEWEST", "DESC", "o_orderdate DESC", "o_orderdate"), ("NEWEST", "ASC", "o_orderdate", "o_orderdate DESC"), ("OLDEST", "DESC", "o_orderdate", "o_orderdate DESC"),
+    ("STATUS", "ASC", "s", "s"), ("STATUS", "DESC", "s DESC", "s DESC"), ("QUALITY", "ASC", "o_orderstatus", "o_orderstatus"), ("QUALITY", "DESC", "o_orderstatus DESC", "o_orderstatus DESC"),
+]
+
+
+def _sort_sql(k: int) -> str:
+    parts = [f"SELECT '{x[0]} {x[1]}' AS sorted, o_orderkey AS candidate_id FROM (SELECT *, {STATUS} AS s FROM orders ORDER BY {x[k]}, o_orderkey LIMIT 40)" for x in SORTS]
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _sorted(spark, sf, compat):
+    q, out = _queue(spark, sf), None
+    for by, order, *_ in SORTS:
+        part = review.query_queue(q, sort_by=by, order=order, columns=COLS, compat=compat).limit(40).select(F.lit(f"{by} {order}").alias("sorted"), "candidate_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_sort_sql(2))
+def top_review_sorts(spark, sf):
+    return _sorted(spark, sf, False)
+
+
+@query(_sort_sql(3))
+def top_review_sorts_compat(spark, sf):
+    return _sorted(spark, sf, True)
+
+
+@query("""SELECT o_orderkey AS candidate_id FROM orders WHERE contains(o_orderkey::VARCHAR, '12') OR contains(o_custkey::VARCHAR, '12') OR contains(lower(o_orderpriority), '12')""")
+def flt_review_search(spark, sf):
+    return review.query_queue(_queue(spark, sf), search="12", columns=COLS).select("candidate_id")
+
+
 EV = """ev AS (SELECT event_id AS seq, user_id AS candidate_id, ts, CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'UNCERTAIN' ELSE 'NOTE' END AS decision FROM events),
 qq AS (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 10 = 0 THEN 'ARCHIVED' ELSE 'NEW' END AS status FROM customer)"""
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from terraspan.operators.review import DECISIONS
+
 
 def read_events(spark: SparkSession, path: str, schema, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """A stream of Parquet files with a watermark on ``ts``."""
@@ -34,3 +36,29 @@ def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
+
+
+def latest_decisions(events: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """The state of each candidate over a stream of decisions (key, ts, seq,
+    decision): the last allowed one by time, whatever order they come in."""
+    allowed = events.where(F.col("decision").isin(*DECISIONS))
+    return allowed.groupBy(key).agg(F.max_by("decision", F.struct("ts", "seq")).alias("decision"), F.max("ts").alias("decided_at"), F.count(F.lit(1)).alias("decisions"))
+
+
+def keep_decisions(events: DataFrame, path: str, checkpoint: str, key: str = "candidate_id") -> StreamingQuery:
+    """Writes the candidates that a micro-batch changes, with their new state,
+    to ``path``/batch=N, and stops when all present input is read.  A batch
+    that runs again replaces its own folder, so states are kept exactly once."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    states = latest_decisions(events, key)
+    return states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decided(spark: SparkSession, path: str, key: str = "candidate_id") -> DataFrame:
+    """The newest state of each candidate that ``keep_decisions`` has written."""
+    rows = spark.read.parquet(path)
+    fields = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in fields])
