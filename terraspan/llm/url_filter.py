@@ -21,9 +21,6 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Rule lists up to this many rows are broadcast (64 bytes of digest and the
-#: rule text each); longer ones are joined by shuffle.
-BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,29 +50,34 @@ def judge_urls(
 
     A rule fits its host and all subdomains if the path starts with the
     rule's.  Longest rule wins; of equal length the longer host, then block.
-    No fit: rule null, verdict ``default``.  Rows that repeat an id and URL
-    are judged once and returned as often as they occur.  Null URLs have
-    empty host and path.  Extra columns are ignored.
+    No fit, or no rules at all: rule null, verdict ``default``.  Rules without
+    host or path (null) fit nothing; one without a verdict gives ``default``.
+    Rows that repeat an id and URL are judged once and returned as often as
+    they occur, with null ids as well.  Null URLs have empty host and path.
+    Extra columns are ignored, whatever their names.  An empty table gives an
+    empty one.
+
+    The planner broadcasts the rules if their size allows that; else the join
+    is on hash prefixes, of which those of short expressions (``org/``) are
+    frequent: only the join reads by them, so adaptive execution splits them.
     """
     rule = F.concat("host", "path")
+    # host and path stay apart in the digest
+    key = F.concat("host", F.lit("\n"), "path")
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
         rule.alias("rule"),
-        F.sha2(rule.cast("binary"), 256).alias("digest"),
+        F.sha2(key.cast("binary"), 256).alias("digest"),
         F.length("host").alias("host_chars"),
         F.size(F.split("host", r"\.", -1)).alias("labels"),
         F.length("path").alias("path_chars"),
         F.col("verdict").alias("rule_verdict"),
     )
-    shape = rules.agg(
-        F.count(F.lit(1)), F.collect_set("labels"), F.collect_set("path_chars")
-    ).first()
+    shape = rules.agg(F.collect_set("labels"), F.collect_set("path_chars")).first()
     known = rules.select(
         F.substring("digest", 1, prefix_chars).alias("short"), F.col("digest").alias("rule_digest"),
         "rule", "host_chars", "rule_verdict",
     )
-    if shape[0] <= BROADCAST_RULES:
-        known = F.broadcast(known)
-    labels, lengths = sorted(shape[1]) or [1], sorted(shape[2]) or [1]
+    labels, lengths = sorted(shape[0]) or [1], sorted(shape[1]) or [1]
 
     urls = pages.groupBy(F.col(id_col).alias("id"), F.col(url_col).alias("url")).agg(F.count(F.lit(1)).alias("n"))
     host, path = host_and_path(F.col("url"))
@@ -92,7 +94,7 @@ def judge_urls(
     prefixes = F.array_compact(
         F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths])
     )
-    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
     each = urls.select("id", "url", "n", "host", "path", F.explode_outer(expressions).alias("expression"))
     each = each.withColumn("digest", F.sha2(F.col("expression").cast("binary"), 256))
     hits = each.join(known, F.substring("digest", 1, prefix_chars) == F.col("short"), "left")

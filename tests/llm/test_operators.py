@@ -212,7 +212,7 @@ def test_url_filter(spark):
         None, "", "no scheme", "http://example.org/es/x", "http://A.Example.ORG/en/17?x#y", "https://example.org", "https://org/", "http://x.com/fr/1", "http://x.com/de/",
         "http://x.com:80/fr/", "http://notexample.org/es/", "a://b.com?q=/fr/", "http://sub.example.org/en/", "http://ex.com/fr", "http://é.org/ü/..//", "http://example.org/es/x",
     ]
-    rules = [*url_filter.RULES, ("com", "/fr/1", "block"), ("x.com", "/fr/", "block"), ("", "", "allow")]
+    rules = [*url_filter.RULES, ("com", "/fr/1", "block"), ("x.com", "/fr/", "block"), ("", "", "allow"), ("ex", "ample.org/e", "block"), ("example", ".org/es/", "block")]
     df = spark.createDataFrame([(k % 14, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
     got = url_filter.judge_urls(df, url_filter.rules_frame(spark, rules)).collect()
     want = sorted([(k % 14, *url_expected(u, rules)) for k, u in enumerate(urls)], key=repr)
