@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing column names."""
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terraspan.llm import (
     _components,
     _sample,
@@ -21,6 +23,7 @@ from terraspan.llm import (
     langid,
     minhash,
     mixing,
+    packing,
     quality_model,
     quality_rules,
     stages,
@@ -267,7 +270,7 @@ def test_language_scores_against_plain_loops(spark):
     rows = list(language_rows())[:90]
     docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string")
     model = langid.fit(docs, buckets=1 << 10)
-    known = [r for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 4 != 2]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
     df = np.zeros(1 << 10)
     for _, t, _ in known:
         for b in plain_grams(t, 1 << 10):
@@ -669,3 +672,53 @@ def test_stages_keep_columns(spark, tmp_path):
             assert docs.columns == before.columns
         sizes.append(docs.count())
     assert sizes[0] == 122 and sizes[1] == 121 and docs.count() > 0
+
+
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    rng = random.Random(12)
+    vocab = [f"word{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(30, 90))) for _ in range(60)]
+    texts += [t + " again" for t in texts[:8]] + [texts[9].replace(" ", "  "), texts[10], None, "", "scum idiot moron loser " * 6]
+    texts += [texts[k] + " scum idiot moron loser trash" * 5 for k in range(20, 40)]
+    rows = [(k * 3, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1, int("scum" in (t or ""))) for i, t, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = [r for r in rows if lexicon.score(r[1]) < stages.TOXIC]
+    assert {r[0] for r in rows if "scum" in (r[1] or "")}.isdisjoint(r[0] for r in want) and len(want) > 60
+    seen = {}
+    for r in want:
+        seen.setdefault(SPACE.sub(" ", r[1] or ""), r)
+    near = {i: c for i, _, c in near_expected([(r[0], r[1]) for r in seen.values()])}
+    kept = [r for r in seen.values() if near[r[0]] == r[0]]
+    assert len(kept) < len(seen) < len(want)
+    mixed = {r.doc_id: r.copies for r in mixing.mix_sources(spark.createDataFrame(kept, docs.schema)).collect()}
+    enc = packing.Encoder(stages.tokenizer_path())
+    ids = {r[0]: np.frombuffer(enc.encode(r[1] or ""), enc.dtype) for r in kept}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    got = {}
+    for p in pieces:
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.length == len(part) > 0 and p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(part.astype("<u4").tobytes())
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    # which of two documents of one size the mix takes is its choice, how many words it takes of a source isn't
+    assert set(got) <= set(mixed) and all(n % len(ids[i]) == 0 and n // len(ids[i]) <= 3 for i, n in got.items())
+    assert got == {i: n * len(ids[i]) for i, n in mixed.items() if n}
+    places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    assert [a * packing.LENGTH + b for a, b, _ in places] == [sum(n for *_, n in places[:k]) for k in range(len(places))]
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(13)
+    long = " ".join(f"v{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, None)]
+    names = ["start", "length", "ids", "part", "at", "width", "n", "k", "sig", "token", "score", "label"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    pieces = packing.pack(df, stages.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(pieces) == 4 and all(p.n == p["all"] for p in pieces)
+    lexicon = toxicity.Lexicon({" scum ": 3.0}, [-2.0, 1.0, 0.5, 0.5], [])
+    got = {r.doc_id: r.score for r in toxicity.score(df, lexicon).collect()}
+    assert got[1] == got[3] == got[4] < 0.5
