@@ -206,6 +206,20 @@ def jn_lookup(spark, sf):
     return c.join(dim, c.c_nationkey == dim.n_nationkey).select("c_custkey", "n_name", "r_name")
 
 
+@query("""SELECT doc_id FROM documents WHERE source = 'src3' AND lang = 'en' AND contains(lower(text), 'the')""")
+def flt_format_status(spark, sf):
+    columns = {"format": "source", "status": "lang", "file_name": "text", "scene_id": "lang", "sensor": "lang", "satellite": "lang"}
+    return catalog.filter_scenes(table(spark, sf, "documents"), format="src3", status="en", search="THE", columns=columns).select("doc_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN a > 1000000 THEN format('{:,.2f} km²', round(a / 1000000, 2)) ELSE format('{:,}', round(a)::BIGINT) || ' m²' END AS area
+FROM (SELECT p_partkey, p_partkey * 1237.0::DOUBLE AS a FROM part)""")
+def str_area_text(spark, sf):
+    from terraspan.functions.language import area_text
+
+    return table(spark, sf, "part").select("p_partkey", area_text(F.col("p_partkey") * F.lit(1237.0)).alias("area"))
+
+
 @query("""SELECT doc_id, times, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10)
  WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.2f GB', floor(n / 1073741824 * 100 + 0.5) / 100) END AS size
 FROM (SELECT doc_id, times, n_chars * times AS n FROM documents, (VALUES (1), (300), (90000), (30000000)) v(times))""")

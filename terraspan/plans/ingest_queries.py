@@ -96,3 +96,36 @@ def src_ingest(spark, sf):
     known = files.where("o_orderkey % 2 = 0 AND length(content) > 100").select(F.sha2("content", 256).alias("file_hash"))
     rows = ingest.scene_rows(files.drop("o_orderkey"), known)
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("outcome") == "NEW", F.col("band_count"))).alias("bands"))
+
+
+@query("""WITH a AS (SELECT x, y, (x * 7 + y * 3) % 50 AS v FROM range(12) b(x), range(8) c(y)), b AS (SELECT x, y, (x * 5 + y) % 40 AS v FROM range(6) b(x), range(4) c(y)),
+d AS (SELECT x // 2 AS x, y // 2 AS y, avg(v) AS v FROM a GROUP BY ALL)
+SELECT count(*) AS pixels, round(avg(abs(d.v - b.v)), 6) AS mad, round(max(abs(d.v - b.v)), 6) AS most FROM d JOIN b USING (x, y)""")
+def jn_common_grid(spark, sf):
+    """Two images of one place, the finer brought to the coarser one's grid."""
+    def image(w, h, value):
+        p = spark.range(w * h).select(F.lit(1).alias("s"), (F.col("id") % w).alias("x"), F.floor(F.col("id") / w).alias("y"))
+        return p.withColumn("value", value(F.col("x"), F.col("y")).cast("double"))
+
+    fine, coarse = image(12, 8, lambda x, y: (x * 7 + y * 3) % 50), image(6, 4, lambda x, y: (x * 5 + y) % 40)
+    down = rasters.resample(fine, (F.lit(12), F.lit(8)), (6, 4), ["s"])
+    diff = F.abs(F.col("value") - F.col("other"))
+    return down.join(coarse.withColumnRenamed("value", "other"), ["s", "x", "y"]).agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.avg(diff), 6).alias("mad"), F.round(F.max(diff), 6).alias("most")
+    )
+
+
+@query("""SELECT o_orderkey::VARCHAR AS candidate_id, 20 AS fields, 'Share: ' || printf('%.2f%%', (o_orderkey % 100)::DOUBLE) AS share, 'CRS: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'Not available' END AS crs,
+ 'Analyst: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS analyst, 'Reason: ' || CASE WHEN o_orderkey % 7 = 0 THEN 'too "cloudy"' ELSE 'Not available' END AS reason FROM orders""")
+def snk_audit_text(spark, sf):
+    from terraspan.plans.review_queries import _candidates
+
+    r = ingest.audit_text(_candidates(spark, sf))
+
+    def line(name):
+        return F.regexp_extract("report", rf"(?m)^({name}: .*)$", 1)
+
+    return r.select(
+        "candidate_id", F.regexp_count("report", F.lit(r"(?m)^[A-Z][A-Za-z ]*: ")).alias("fields"), line("Share").alias("share"), line("CRS").alias("crs"),
+        line("Analyst").alias("analyst"), line("Reason").alias("reason"),
+    )

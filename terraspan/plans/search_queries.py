@@ -95,6 +95,13 @@ def search_composite(spark, sf):
     return _scored(spark, sf).select("doc_id", "source", F.round("sim", 6).alias("sim"), "meta", "temp", "qual", "score", "quality_band", F.col("rank").cast("long").alias("rank"))
 
 
+@query(SCORED + """ SELECT doc_id, array_to_string([x FOR x IN ['similarity ' || printf('%.1f', floor(sim * 1000 + 0.5) / 10) || '%', CASE WHEN contains(lower(source), 'src1') THEN 'sensor ' || source END,
+ 'modality EN', 'quality ' || CASE WHEN qual >= 0.75 THEN 'USABLE' WHEN qual >= 0.5 THEN 'DEGRADED' ELSE 'UNUSABLE' END] IF x IS NOT NULL], '; ') AS why
+FROM r ORDER BY score DESC, doc_id LIMIT 15""")
+def str_match_reasons(spark, sf):
+    return _scored(spark, sf).select("doc_id", F.array_join("why", "; ").alias("why"))
+
+
 FEEDBACK_SQL = SCORED + """, top AS (SELECT * FROM r ORDER BY score DESC, doc_id LIMIT 15),
 f AS (SELECT t.*, CASE WHEN l.toxic = 1 THEN 'REJECTED' WHEN l.quality = 1 THEN 'CONFIRMED' WHEN l.doc_id IS NOT NULL THEN 'UNCERTAIN' END AS decision
  FROM top t LEFT JOIN labels l USING (doc_id)),
