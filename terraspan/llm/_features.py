@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,6 @@ _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 #: Bytes of text handled at once; longer texts are handled alone.
 STEP = 1 << 18
 
-_powers = np.ones(1, U64)
-_inverse = np.ones(1, U64)
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(33))
@@ -28,15 +26,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    back = pow(int(_BASE), -1, 1 << 64)
+    return tuple(np.concatenate([np.ones(1, U64), np.multiply.accumulate(np.full(n, x, U64))]) for x in (_BASE, U64(back)))
+
+
+@lru_cache(1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _all_powers(2 * STEP)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, 8 * STEP)
-        back = pow(int(_BASE), -1, 1 << 64)
-        _powers = np.concatenate([np.ones(1, U64), np.multiply.accumulate(np.full(n, _BASE, U64))])
-        _inverse = np.concatenate([np.ones(1, U64), np.multiply.accumulate(np.full(n, U64(back), U64))])
-    return _powers, _inverse
+    """Powers of the base and of its inverse modulo 2**64; those for usual
+    runs of rows are kept (8 MB), longer ones go after use."""
+    return _usual_powers() if n <= 2 * STEP else _all_powers(n)
 
 
 def joined(texts: pa.Array, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -57,7 +57,7 @@ ROUNDS = 1
 #: 0.75 agree in none of them once in 16 million times.
 LAST_COORDS = 12
 #: Members, and shingles of all members, of a block of a list at most.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 #: Bits of the filter that keeps most texts out of the second pass; its size
 #: doesn't depend on the data.
 FILTER_BITS = 1 << 23
@@ -361,11 +361,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[int, p
 
 def _settled(left: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different groups among the nodes ``left`` (k, c, n)."""
-    posts = _postings(left.join(sigs, "k"), LAST_COORDS).join(left, "k")
+    posts = cut(_postings(left.join(sigs, "k"), LAST_COORDS).join(left, "k"))
     size, shingles = F.count(F.lit(1)), F.sum("n")
     blocks = F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
     lists = posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks"), size.alias("__ts_n"))
-    posts = cut(join_in_place(posts, lists.where("lo <> hi").select("token", "blocks", "__ts_n"), "token", LAST_COORDS * left.count()))
+    posts = cut(join_in_place(posts, lists.where("lo <> hi").select("token", "blocks", "__ts_n"), "token", posts.count()))
     own = F.pmod(F.xxhash64("k", "token"), F.col("blocks")).cast("int")
     # a member goes to the pairs of its block with every block
     posts = posts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
@@ -413,7 +413,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent:
         if comps is None:
             df = members.withColumn("c", F.col("k"))
         else:
-            df = members.join(comps, "k", "left").withColumn("c", F.coalesce("comp", "k")).drop("comp")
+            df = cut(members.join(comps, "k", "left").withColumn("c", F.coalesce("comp", "k")).drop("comp"))
         open_lists = df.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("__ts_n"))
         # after a round the one pair of a list of two is known
         open_lists = open_lists.where("lo <> hi").where(F.col("__ts_n") > (2 if turn else 1))
