@@ -457,7 +457,8 @@ def near_duplicates(
     with a null id take part, but never give a component its id; a component
     of such rows only has component_id null.  Rows that repeat an id and text
     are returned each; kept is true for every row whose id is its
-    component_id.  Extra columns are ignored.
+    component_id.  Texts of any length count whole.  An empty table gives an
+    empty one.  Extra columns are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = _measure(base, words)

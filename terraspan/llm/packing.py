@@ -247,8 +247,9 @@ def pack(
     """Packs all rows into sequences of ``length`` tokens.
 
     Null and empty texts are the end id alone.  Repeated rows and null ids
-    are packed like any other.  Extra columns are ignored.  An empty table
-    gives no piece.
+    are packed like any other.  Texts of any length are encoded whole and cut
+    where sequences end.  Extra columns are ignored, whatever their names.  An
+    empty table gives no piece.
     """
     tokens = as_table(tokenised(docs, tokenizer, id_col, text_col), "tokens")
     return concat_and_cut(tokens, length, with_ids).withColumnRenamed("id", id_col)
