@@ -95,10 +95,11 @@ def agg_archive_stats(spark, sf):
     return catalog.archive_stats(docs, "lang", "source", "n_chars", F.col("n_chars") % 2 == 0, "doc_id")
 
 
-@query("SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE sha256(text) = (SELECT min(sha256(text)) FROM documents)")
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id = 42)")
 def src_point_lookup_hash(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
-    return docs.join(F.broadcast(docs.agg(F.min("file_hash").alias("file_hash"))), "file_hash").select("doc_id", "file_hash")
+    key = F.broadcast(docs.where("doc_id = 42").select("file_hash"))  # one row, found by a filter at the scan
+    return docs.join(key, "file_hash", "left_semi").select("doc_id", "file_hash")
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id = 42")

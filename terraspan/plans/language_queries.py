@@ -267,11 +267,11 @@ def str_csv_escape(spark, sf):
 
 
 @query("""SELECT a.item_id, b.item_id AS other, lower(trim(a.text)) = lower(trim(b.text)) OR contains(lower(trim(a.text)), lower(trim(b.text))) AS correct
-FROM benchmark a JOIN benchmark b ON a.item_id % 10 = b.item_id % 10""")
+FROM benchmark a JOIN benchmark b ON a.item_id // 4 = b.item_id // 4""")
 def str_answer_match(spark, sf):
     a = table(spark, sf, "benchmark")
     b = a.select(F.col("item_id").alias("other"), F.col("text").alias("truth"))
-    j = a.join(b, F.col("item_id") % 10 == F.col("other") % 10)
+    j = a.join(b, F.floor(F.col("item_id") / 4) == F.floor(F.col("other") / 4))  # four answers each
     return j.select("item_id", "other", lang.answer_matches(F.col("text"), F.col("truth")).alias("correct"))
 
 
