@@ -301,8 +301,9 @@ def str_contract_normalizer(spark, sf):
     raw_s = F.when(n % 4 == 0, "very strong").when(n % 4 == 1, "weak").when(n % 4 == 2, "Conflict found").otherwise("sufficient")
     raw_d = F.when(n % 3 == 0, "verified").when(n % 3 == 1, "need more data").otherwise("inconclusive")
     one, none = F.array(F.lit("x")), F.array().cast("array<string>")
-    k = normalise_contract(F.col("text"), lang.question_intent(F.col("text")), raw_s, raw_d, F.lit("high"), one, one, none, none, F.lit(None).cast("string"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", k["sufficiency"].alias("sufficiency"), k["decision"].alias("decision"))
+    said = table(spark, sf, "conversations").withColumn("intent", lang.question_intent(F.col("text")))
+    k = normalise_contract(F.col("text"), F.col("intent"), raw_s, raw_d, F.lit("high"), one, one, none, none, F.lit(None).cast("string"))
+    return said.select("conv_id", "turn", k["sufficiency"].alias("sufficiency"), k["decision"].alias("decision"))
 
 
 @query(f"""WITH {CONTRACT}, s AS (SELECT conv_id, turn, q, {INTENT_SQL} AS intent FROM obs)
@@ -315,5 +316,6 @@ def gt_abstention(spark, sf):
     from terraspan.functions.gates import abstention
 
     no = F.lit(False)
-    gate = abstention(lang.question_intent(F.col("text")), F.col("text"), F.lit(1), no, no)
-    return table(spark, sf, "conversations").select("conv_id", "turn", gate.alias("gate"))
+    said = table(spark, sf, "conversations").withColumn("intent", lang.question_intent(F.col("text")))
+    gate = abstention(F.col("intent"), F.col("text"), F.lit(1), no, no)
+    return said.select("conv_id", "turn", gate.alias("gate"))
