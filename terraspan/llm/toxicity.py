@@ -202,6 +202,12 @@ def learn_phrases(folded: list[str], labels: np.ndarray, is_term) -> tuple[list[
     return chosen, elsewhere
 
 
+def _candidates(folded: str) -> set[str]:
+    """The words of a text, and their beginnings."""
+    words = set(folded.split())
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
+
+
 def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[str, float]:
     """Terms whose share of documents differs most between the labels.
 
@@ -217,10 +223,14 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
     yes, no = Counter(), Counter()
     n_yes, n_no = int(labels.sum()), int((1 - labels).sum())
     folded = [fold(text) for text in texts]
-    for each, y in zip(folded, labels, strict=True):
-        words = set(each.split())
-        keys = {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
-        (yes if y else no).update(keys)
+    toxic = [each for each, y in zip(folded, labels, strict=True) if y]
+    clean = [each for each, y in zip(folded, labels, strict=True) if not y]
+    for each in toxic:
+        yes.update(_candidates(each))
+    # of clean documents only what may become a term is counted
+    likely = {t for t, n in yes.items() if n >= least}
+    for each in clean:
+        no.update(_candidates(each) & likely)
 
     def odds(t: str) -> float:
         a, b = (yes[t] + 0.5) / (n_yes + 1), (no[t] + 0.5) / (n_no + 1)
@@ -237,7 +247,7 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
         return out
 
     kept: dict[str, float] = {}
-    seen = [t for t in yes if yes[t] >= least and odds(t) > 1.0 and evidence(t) >= EVIDENCE]
+    seen = [t for t in likely if odds(t) > 1.0 and evidence(t) >= EVIDENCE]
     # whole words before beginnings of the same evidence, shorter beginnings before longer ones
     for t in sorted(seen, key=lambda t: (-round(evidence(t), 6), not t.endswith(" "), len(t), t)):
         shorter = [kept[t[:k]] for k in range(2, len(t)) if t[:k] in kept]
@@ -260,9 +270,13 @@ def learn_terms(texts: list[str], labels: np.ndarray, least: int = 4) -> dict[st
                 kept[f" {term} "] = weight
             else:
                 del kept[f" {term} "]
-    stems = [t for t in kept if not t.endswith(" ")]
-    for word in [w for w in no if w.endswith(" ") and no[w] >= 2 and w not in kept]:
+    stems = tuple(t for t in kept if not t.endswith(" "))
+    inner: Counter = Counter()  # clean documents of words that begin like a term
+    for each in clean:
+        inner.update({w for x in set(each.split()) if (w := f" {x} ").startswith(stems)})
+    for word in sorted(w for w, n in inner.items() if n >= 2 and w not in kept):
         inside = sum(kept[t] for t in stems if word.startswith(t))
+        no[word] = inner[word]
         if inside > 0 and odds(word) < 0.5:
             kept[word] = -inside
     terms = Lexicon(kept, [], [])
@@ -306,8 +320,8 @@ def fit(
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     known = known.where(crc_mod(id_col, held_out[0]) != held_out[1])
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label"))
-    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, train_rows).collect()
-    return train([r.text for r in rows], np.array([r.label for r in rows], np.int64))
+    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, train_rows).toArrow()
+    return train(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
