@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions import gates, geo
@@ -47,6 +47,43 @@ def graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.drop("claim"), edges
 
 
+#: Part of a claim, its node type, and the edge that ties it (from the part's owner, or to it).
+PARTS = {
+    "requirements": ("REQUIRED_EVIDENCE", "REQUIRES"), "measurements": ("MEASURED_EVIDENCE", "PROVES"), "regions": ("SPATIAL_REGION", "LOCATED_AT"),
+    "gates": ("VERIFICATION_GATE", "VERIFIED_BY"), "decisions": ("DECISION", "YIELDS"),
+}
+
+
+def audit_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the full audit graph of claims.
+
+    ``claims``: claim_id, text, status, requirements (array of text), and
+    arrays of struct(of, label, status): measurements prove the requirement
+    number ``of``; regions and gates belong to a measurement, decisions to a
+    gate.  Nodes: claim_id, node_id, node_type, label, status.  Edges:
+    claim_id, source, target, edge_type.  Missing arrays (null) give nothing.
+    """
+    def name(kind: str, place) -> Column:
+        return F.concat_ws("/", F.lit("claim"), F.col("claim_id").cast("string"), F.lit(kind.lower()), place.cast("string"))
+
+    root = F.concat(F.lit("claim/"), F.col("claim_id").cast("string"))
+    nodes = claims.select("claim_id", root.alias("node_id"), F.lit("CLAIM").alias("node_type"), F.col("text").alias("label"), "status")
+    edges = None
+    owner = {"measurements": "requirements", "regions": "measurements", "gates": "measurements", "decisions": "gates"}
+    for part, (kind, edge) in PARTS.items():
+        each = claims.select("claim_id", F.posexplode(part).alias("pos", "e"))
+        own = name(kind, F.col("pos"))
+        if part == "requirements":
+            label, status, above = F.col("e"), F.lit("PENDING"), root
+        else:
+            label, status, above = F.col("e.label"), F.col("e.status"), name(PARTS[owner[part]][0], F.col("e.of"))
+        nodes = nodes.unionByName(each.select("claim_id", own.alias("node_id"), F.lit(kind).alias("node_type"), label.alias("label"), status.alias("status")))
+        source, target = (own, above) if part == "measurements" else (above, own)
+        tied = each.select("claim_id", source.alias("source"), target.alias("target"), F.lit(edge).alias("edge_type"))
+        edges = tied if edges is None else edges.unionByName(tied)
+    return nodes, edges
+
+
 def summary(claims: DataFrame) -> DataFrame:
     s = F.col("status")
     return claims.agg(

@@ -215,6 +215,42 @@ def gr_evidence_edges(spark, sf):
     return evidence.graph(_claims(spark, sf))[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _audited(spark, sf):
+    c, n = table(spark, sf, "customer"), (F.col("c_nationkey") % 3).cast("int")
+
+    def parts(count, of, label, status):
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(of(i).alias("of"), F.concat(F.lit(label), i.cast("string")).alias("label"), status(i).alias("status")))
+
+    ok = F.when(F.col("c_acctbal") > 0, "VERIFIED").otherwise("FAILED")
+    return c.select(
+        F.col("c_custkey").alias("claim_id"), F.col("c_name").alias("text"), ok.alias("status"), F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("req "), i.cast("string"))).alias("requirements"),
+        parts(n, lambda i: i, "m", lambda i: ok).alias("measurements"), parts(n, lambda i: n - i, "r", lambda i: F.lit("VERIFIED")).alias("regions"),
+        parts(F.lit(1), lambda i: F.lit(0), "g", lambda i: ok).alias("gates"), parts(F.lit(0), lambda i: F.lit(1), "d", lambda i: ok).alias("decisions"),
+    )
+
+
+AUDITED = "c AS (SELECT c_custkey AS k, c_nationkey % 3 AS n, c_name, CASE WHEN c_acctbal > 0 THEN 'VERIFIED' ELSE 'FAILED' END AS ok FROM customer), p AS (SELECT *, unnest(range(n + 1)) AS i FROM c)"
+
+
+@query(f"""WITH {AUDITED} SELECT k AS claim_id, 'claim/' || k AS node_id, 'CLAIM' AS node_type, c_name AS label, ok AS status FROM c
+UNION ALL SELECT k, 'claim/' || k || '/required_evidence/' || i, 'REQUIRED_EVIDENCE', 'req ' || i, 'PENDING' FROM p
+UNION ALL SELECT k, 'claim/' || k || '/measured_evidence/' || i, 'MEASURED_EVIDENCE', 'm' || i, ok FROM p
+UNION ALL SELECT k, 'claim/' || k || '/spatial_region/' || i, 'SPATIAL_REGION', 'r' || i, 'VERIFIED' FROM p
+UNION ALL SELECT k, 'claim/' || k || '/verification_gate/' || i, 'VERIFICATION_GATE', 'g' || i, ok FROM c, range(2) r(i)
+UNION ALL SELECT k, 'claim/' || k || '/decision/0', 'DECISION', 'd0', ok FROM c""")
+def gr_audit_nodes(spark, sf):
+    return evidence.audit_graph(_audited(spark, sf))[0]
+
+
+@query(f"""WITH {AUDITED} SELECT k AS claim_id, 'claim/' || k AS source, 'claim/' || k || '/required_evidence/' || i AS target, 'REQUIRES' AS edge_type FROM p
+UNION ALL SELECT k, 'claim/' || k || '/measured_evidence/' || i, 'claim/' || k || '/required_evidence/' || i, 'PROVES' FROM p
+UNION ALL SELECT k, 'claim/' || k || '/measured_evidence/' || (n - i), 'claim/' || k || '/spatial_region/' || i, 'LOCATED_AT' FROM p
+UNION ALL SELECT k, 'claim/' || k || '/measured_evidence/0', 'claim/' || k || '/verification_gate/' || i, 'VERIFIED_BY' FROM c, range(2) r(i)
+UNION ALL SELECT k, 'claim/' || k || '/verification_gate/1', 'claim/' || k || '/decision/0', 'YIELDS' FROM c""")
+def gr_audit_edges(spark, sf):
+    return evidence.audit_graph(_audited(spark, sf))[1]
+
+
 @query("""SELECT count(*) AS claims, count(*) FILTER (WHERE c_acctbal > 5000) AS verified, count(*) FILTER (WHERE c_acctbal < 0) AS conflicts,
  count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS open FROM customer""")
 def agg_claim_summary(spark, sf):
