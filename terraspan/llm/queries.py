@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, html_extract, langid, minhash, mixing, packing, quality_model, quality_rules, toxicity, url_filter
+from terraspan.llm import (
+    exact_dedup, html_extract, langid, minhash, mixing, packing, quality_model, quality_rules, simhash, spelling, toxicity, url_filter, whitening,
+)
 from terraspan.llm._spark import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +179,18 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GROUP BY d)
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def _held_out(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -197,6 +211,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_model": op9_quality_model,
     "op10_minhash": op10_minhash,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
