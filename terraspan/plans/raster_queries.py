@@ -1,11 +1,12 @@
 """Raster queries; line items stand for pixels (quantity, price and discount
-as bands, return flag as scene) and generated grids for images."""
+as bands, return flag as scene), orders for images."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraspan.functions import raster
+from terraspan.functions import raster, vectors
+from terraspan.lineage import as_table
 from terraspan.operators import regions, training
 from terraspan.plans._base import query, table
 
@@ -116,52 +117,70 @@ def ras_exposure(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(f, ",").alias("flags"))
 
 
-GRID = "g AS (SELECT i % 128 AS x, i // 128 AS y FROM range(128 * 128) r(i))"
-DELTA = """CASE WHEN x >= 64 AND x <= 128 * 0.92 AND y >= 128 * 0.45 AND y <= 128 * 0.92 THEN 68.0 + sin(x * 0.3) * cos(y * 0.3) * 12.0
- WHEN x >= 128 * 0.10 AND x <= 128 * 0.95 AND y >= 128 * 0.40 AND y <= 128 * 0.44 THEN 55.0 ELSE abs(sin(x * 0.1) * 3.0) END"""
+def _delta(spark, sf):
+    """The three difference fields at the places of the line items."""
+    li = table(spark, sf, "lineitem").select((F.col("l_partkey") % 128).alias("x"), (F.col("l_suppkey") % 128).alias("y"), F.col("l_returnflag").alias("flag"))
+    x, y = F.col("x"), F.col("y")
+    kinds = [("A", "expansion"), ("N", "seasonal")]
+    delta = F.when(F.col("flag") == "A", raster.synthetic_delta(128, 128, x, y, "expansion")).when(F.col("flag") == "N", raster.synthetic_delta(128, 128, x, y, "seasonal"))
+    kind = F.when(F.col("flag") == kinds[0][0], kinds[0][1]).when(F.col("flag") == kinds[1][0], kinds[1][1]).otherwise("noise")
+    return li.select(kind.alias("kind"), delta.otherwise(raster.synthetic_delta(128, 128, x, y, "noise")).alias("delta"))
 
 
-def _delta(spark, kind):
-    g = raster.grid(spark, 128, 128)
-    return g.withColumn("delta", raster.synthetic_delta(128, 128, F.col("x"), F.col("y"), kind))
-
-
-@query(f"""WITH {GRID}, d AS (SELECT 'expansion' AS kind, {DELTA} AS d FROM g UNION ALL SELECT 'seasonal', 14.0 + sin(x * 0.05) * 5.0 FROM g
- UNION ALL SELECT 'noise', CASE WHEN (x * 37 + y * 73) % 100 > 85 THEN ((x * 37 + y * 73) % 100 - 85) * 2.0 ELSE 0 END FROM g)
+@query("""WITH g AS (SELECT l_returnflag AS flag, l_partkey % 128 AS x, l_suppkey % 128 AS y FROM lineitem),
+d AS (SELECT CASE flag WHEN 'A' THEN 'expansion' WHEN 'N' THEN 'seasonal' ELSE 'noise' END AS kind, CASE flag
+ WHEN 'A' THEN CASE WHEN x >= 64 AND x <= 128 * 0.92 AND y >= 128 * 0.45 AND y <= 128 * 0.92 THEN 68.0 + sin(x * 0.3) * cos(y * 0.3) * 12.0
+  WHEN x >= 128 * 0.10 AND x <= 128 * 0.95 AND y >= 128 * 0.40 AND y <= 128 * 0.44 THEN 55.0 ELSE abs(sin(x * 0.1) * 3.0) END
+ WHEN 'N' THEN 14.0 + sin(x * 0.05) * 5.0
+ ELSE CASE WHEN (x * 37 + y * 73) % 100 > 85 THEN ((x * 37 + y * 73) % 100 - 85) * 2.0 ELSE 0 END END AS d FROM g)
 SELECT kind, round(avg((d >= 30)::INT) * 100, 6) AS changed_pct, round(avg(d), 6) AS mean_delta, round(max(d), 6) AS max_delta FROM d GROUP BY kind""")
 def agg_change_metrics(spark, sf):
-    parts = [_delta(spark, k).withColumn("kind", F.lit(k)) for k in ("expansion", "seasonal", "noise")]
-    d = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return d.groupBy("kind").agg(
-        F.round(F.avg(F.when(F.col("delta") >= 30, 1.0).otherwise(0.0)) * 100, 6).alias("changed_pct"), F.round(F.avg("delta"), 6).alias("mean_delta"),
-        F.round(F.max("delta"), 6).alias("max_delta"),
-    )
+    m = regions.change_metrics(_delta(spark, sf), ["kind"])
+    return m.select("kind", *[F.round(c, 6).alias(c) for c in ("changed_pct", "mean_delta", "max_delta")])
+
+
+#: Half of the places of each scene are set; a scene is as long as there are parts.
+MASK = """m AS (SELECT l_linestatus AS scene, l_partkey::BIGINT AS x, (l_suppkey % 20)::BIGINT AS y, max(l_quantity) AS delta FROM lineitem WHERE l_quantity >= 6 GROUP BY ALL),
+e AS (SELECT scene, x, y, x + 1 AS x2, y AS y2 FROM m UNION ALL SELECT scene, x, y, x - 1, y FROM m UNION ALL SELECT scene, x, y, x, y + 1 FROM m UNION ALL SELECT scene, x, y, x, y - 1 FROM m),
+j AS (SELECT e.* FROM e JOIN m ON e.scene = m.scene AND e.x2 = m.x AND e.y2 = m.y),
+r AS (SELECT scene, x, y, y * 2147483648 + x AS c FROM m UNION SELECT j.scene, j.x2, j.y2, r.c FROM r JOIN j ON r.scene = j.scene AND r.x = j.x AND r.y = j.y),
+l AS (SELECT scene, x, y, min(c) AS c FROM r GROUP BY ALL),
+t AS (SELECT scene, c AS region, count(*) AS pixels, min(x)::INT AS min_x, max(x)::INT AS max_x, min(y)::INT AS min_y, max(y)::INT AS max_y, round(avg(delta), 6) AS mean_delta, max(delta) AS max_delta
+ FROM l JOIN m USING (scene, x, y) GROUP BY ALL)"""
 
 
-SMALL = "g AS (SELECT i % 48 AS x, i // 48 AS y FROM range(48 * 48) r(i)), m AS (SELECT x, y FROM g WHERE (x * x + y * 3) % 17 > 6)"
+def _mask(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_quantity >= 6")
+    return li.select(F.col("l_linestatus").alias("scene"), F.col("l_partkey").alias("x"), (F.col("l_suppkey") % 20).alias("y"), F.col("l_quantity").alias("delta"))
 
 
-@query(f"""WITH RECURSIVE {SMALL}, e AS (SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM m a JOIN m b ON (a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1)),
-r AS (SELECT x, y, y * 48 + x AS c FROM m UNION SELECT e.x2, e.y2, r.c FROM r JOIN e ON r.x = e.x AND r.y = e.y),
-l AS (SELECT x, y, min(c) AS c FROM r GROUP BY x, y)
-SELECT count(*) AS pixels, min(x)::INT AS min_x, max(x)::INT AS max_x, min(y)::INT AS min_y, max(y)::INT AS max_y FROM l GROUP BY c HAVING count(*) >= 15""")
+@query(f"WITH RECURSIVE {MASK} SELECT * FROM t WHERE pixels >= 15")
 def gr_connected_regions(spark, sf):
-    g = raster.grid(spark, 48, 48).where((F.col("x") * F.col("x") + F.col("y") * 3) % 17 > 6)
-    lab = regions.components(g.select(F.lit(1).alias("scene"), "x", "y", F.lit(1.0).alias("delta")))
-    return regions.region_table(lab).select("pixels", "min_x", "max_x", "min_y", "max_y")
+    t = regions.region_table(regions.region_runs(_mask(spark, sf)))
+    return t.select("scene", "region", "pixels", "min_x", "max_x", "min_y", "max_y", F.round("mean_delta", 6).alias("mean_delta"), "max_delta")
 
 
-@query(f"""WITH RECURSIVE {SMALL}, e AS (SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM m a JOIN m b ON (a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1)),
-r AS (SELECT x, y, y * 48 + x AS c FROM m UNION SELECT e.x2, e.y2, r.c FROM r JOIN e ON r.x = e.x AND r.y = e.y),
-l AS (SELECT x, y, min(c) AS c FROM r GROUP BY x, y), t AS (SELECT c, count(*) AS pixels, min(x)::INT AS min_x, min(y)::INT AS min_y FROM l GROUP BY c HAVING count(*) >= 2)
-SELECT 'largest' AS list, pixels, min_x, min_y FROM (SELECT * FROM t ORDER BY pixels DESC, c LIMIT 5) UNION ALL SELECT 'first', pixels, min_x, min_y FROM (SELECT * FROM t ORDER BY c LIMIT 8)""")
+@query(f"WITH RECURSIVE {MASK} SELECT l.scene, l.x::INT AS x, l.y::INT AS y, delta, c AS region FROM l JOIN m USING (scene, x, y)")
+def gr_region_pixels(spark, sf):
+    """Every pixel with its region, over tiles small enough to cut many."""
+    return regions.components(_mask(spark, sf), tile=16)
+
+
+@query(f"""WITH RECURSIVE {MASK} SELECT 'largest' AS list, * FROM (SELECT scene, region, pixels, min_x, min_y FROM t WHERE pixels >= 2 ORDER BY pixels DESC, region LIMIT 5)
+UNION ALL SELECT 'first', scene, region, pixels, min_x, min_y FROM t WHERE pixels >= 2 QUALIFY row_number() OVER (PARTITION BY scene ORDER BY region) <= 8""")
 def top_regions(spark, sf):
-    g = raster.grid(spark, 48, 48).where((F.col("x") * F.col("x") + F.col("y") * 3) % 17 > 6)
-    t = regions.region_table(regions.components(g.select(F.lit(1).alias("scene"), "x", "y", F.lit(1.0).alias("delta"))), least=2)
-    cols = ["pixels", "min_x", "min_y"]
+    t = as_table(regions.region_table(regions.region_runs(_mask(spark, sf)), least=2), "regions")
+    cols = ["scene", "region", "pixels", "min_x", "min_y"]
     return regions.largest(t, 5).select(F.lit("largest").alias("list"), *cols).unionByName(regions.first_in_scan(t).select(F.lit("first").alias("list"), *cols))
 
 
+@query(f"""WITH RECURSIVE {MASK}, d AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, round(pixels::DOUBLE / ((max_x - min_x + 1) * (max_y - min_y + 1)), 3) AS density FROM t WHERE pixels >= 15)
+SELECT scene, region, pixels, density, CASE WHEN pixels >= 100 AND density >= 0.4 THEN 'STRONG' WHEN pixels >= 40 THEN 'MODERATE' ELSE 'WEAK' END AS coherence,
+ CASE WHEN density > 0.45 AND pixels > 80 THEN 'CONSTRUCTION' WHEN w > 3 * h OR h > 3 * w THEN 'ROAD_DEVELOPMENT' ELSE 'VEGETATION_CHANGE' END AS meaning FROM d""")
+def gr_region_grading(spark, sf):
+    return regions.region_table(regions.region_runs(_mask(spark, sf))).select("scene", "region", "pixels", "density", "coherence", "meaning")
+
+
 @query(f"""WITH {PX}, m AS (SELECT *, v AS mode, n % 4 > 0 AS nir FROM p, (VALUES ('TRUE_COLOR'), ('FALSE_COLOR')) t(v))
 SELECT o, n, mode, CASE WHEN mode = 'TRUE_COLOR' OR nir THEN 'GENERATED' ELSE 'UNAVAILABLE_REQUIRED_BANDS_NOT_FOUND' END AS status,
  CASE WHEN mode = 'TRUE_COLOR' THEN least(255, greatest(0, floor(r))) WHEN nir THEN least(255, greatest(0, floor(price / 100))) END::DOUBLE AS red,
@@ -175,15 +194,6 @@ def ras_false_color(spark, sf):
     return both[0].unionByName(both[1]).select("o", "n", "mode", "c.*")
 
 
-@query(f"""WITH {GRID}, d AS (SELECT x, y, {DELTA} AS d FROM g), m AS (SELECT *, CASE WHEN y <= 128 * 0.44 THEN 1 ELSE 2 END AS c FROM d WHERE d >= 30),
-r AS (SELECT c, count(*) AS pixels, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM m GROUP BY c)
-SELECT pixels, round(pixels::DOUBLE / (w * h), 3) AS density, CASE WHEN pixels >= 100 AND round(pixels::DOUBLE / (w * h), 3) >= 0.4 THEN 'STRONG' WHEN pixels >= 40 THEN 'MODERATE' ELSE 'WEAK' END AS coherence,
- CASE WHEN round(pixels::DOUBLE / (w * h), 3) > 0.45 AND pixels > 80 THEN 'CONSTRUCTION' WHEN w > 3 * h OR h > 3 * w THEN 'ROAD_DEVELOPMENT' ELSE 'VEGETATION_CHANGE' END AS meaning FROM r""")
-def gr_region_grading(spark, sf):
-    d = _delta(spark, "expansion").where("delta >= 30").withColumn("scene", F.lit(1))
-    return regions.region_table(regions.components(d)).select("pixels", "density", "coherence", "meaning")
-
-
 @query(f"""WITH {PX} SELECT scene, round(avg(abs(r - g)), 6) AS mad, round(avg((abs(r - g) > 35)::INT), 6) AS changed, round(abs(avg(r) - avg(g)), 6) AS shift FROM p GROUP BY scene""")
 def agg_bitemporal(spark, sf):
     m = raster.pair_metrics(_pixels(spark, sf), ["scene"], "r", "g", F.lit(35))
@@ -198,36 +208,52 @@ def jn_pixel_aligned(spark, sf):
     return b.join(a, "c_custkey").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg(F.abs(F.col("b") - F.col("a"))), 6).alias("mad"))
 
 
-@query("""WITH p AS (SELECT i % 224 AS x, i // 224 AS y, (i * 7 % 256)::DOUBLE AS r, (i * 3 % 256)::DOUBLE AS g, (i // 224)::DOUBLE AS b FROM range(224 * 224) t(i)),
-l AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM p), e AS (SELECT *, lag(lum) OVER (PARTITION BY y ORDER BY x) AS pl FROM l)
-SELECT round(avg(lum), 5) AS mean_luminance, round(sum(abs(lum - pl)) / count(*), 5) AS edge_density, round((avg(g) - avg(r)) / (avg(g) + avg(r) + 1), 6) AS vegetation_proxy FROM e""")
-def agg_image_moments(spark, sf):
-    m = raster.image_moments(_image(spark), ["scene"])
-    return m.select(F.round("mean_luminance", 5).alias("mean_luminance"), F.round("edge_density", 5).alias("edge_density"), F.round("vegetation_proxy", 6).alias("vegetation_proxy"))
-
-
-def _image(spark):
-    i = F.col("id")
-    return spark.range(224 * 224).select(
-        F.lit(1).alias("scene"), (i % 224).cast("int").alias("x"), F.floor(i / 224).cast("int").alias("y"), (i * 7 % 256).cast("double").alias("r"),
-        (i * 3 % 256).cast("double").alias("g"), F.floor(i / 224).cast("double").alias("b"),
+#: Every order stands for eight pixels of square images, row by row.
+IMAGE = """i AS (SELECT o_orderkey * 8 + k AS i, floor(o_totalprice + 31 * k) % 256 AS r, ((o_custkey * 7 + 3 * k) % 256)::DOUBLE AS g, (o_orderkey * (3 + k) % 256)::DOUBLE AS b FROM orders, range(8) t(k)),
+p AS (SELECT i // 50176 AS scene, i % 224 AS x, i // 224 % 224 AS y, r, g, b, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM i),
+e AS (SELECT *, lag(lum) OVER (PARTITION BY scene, y ORDER BY x) AS pl FROM p),
+m AS (SELECT scene, avg(lum) AS mean_luminance, var_pop(lum) AS variance, CASE WHEN min(lum) > 0 THEN max(lum) / min(lum) ELSE max(lum) END AS contrast_ratio,
+ sum(abs(lum - pl)) / count(*) AS edge_density, (avg(g) - avg(r)) / (avg(g) + avg(r) + 1) AS vegetation_proxy, (avg(b) - avg(r)) / (avg(b) + avg(r) + 1) AS water_proxy,
+ sqrt(var_pop(lum)) / (avg(lum) + 1) AS roughness_proxy FROM e GROUP BY scene),
+c AS (SELECT scene, ((y // 56) * 4 + x // 56)::INT AS cell, avg((r / 255.0 - 0.485) / 0.229 + (g / 255.0 - 0.456) / 0.224 + (b / 255.0 - 0.406) / 0.225) AS mean_value
+ FROM p WHERE x % 8 = 0 AND y % 8 = 0 GROUP BY ALL)"""
+MOMENTS = ["mean_luminance", "variance", "contrast_ratio", "edge_density", "vegetation_proxy", "water_proxy", "roughness_proxy"]
+
+
+def _image(spark, sf):
+    o, k = table(spark, sf, "orders").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")), F.col("k")
+    i = F.col("o_orderkey") * 8 + k
+    return o.select(
+        F.floor(i / 50176).alias("scene"), (i % 224).alias("x"), (F.floor(i / 224) % 224).alias("y"), (F.floor(F.col("o_totalprice") + 31 * k) % 256).cast("double").alias("r"),
+        ((F.col("o_custkey") * 7 + 3 * k) % 256).cast("double").alias("g"), (F.col("o_orderkey") * (3 + k) % 256).cast("double").alias("b"),
     )
 
 
-@query("""WITH p AS (SELECT i % 224 AS x, i // 224 AS y, (i * 7 % 256)::DOUBLE AS r, (i * 3 % 256)::DOUBLE AS g, (i // 224)::DOUBLE AS b FROM range(224 * 224) t(i))
-SELECT ((y // 56) * 4 + x // 56)::INT AS cell, round(avg((r / 255.0 - 0.485) / 0.229 + (g / 255.0 - 0.456) / 0.224 + (b / 255.0 - 0.406) / 0.225), 6) AS mean_value
-FROM p WHERE x % 8 = 0 AND y % 8 = 0 GROUP BY 1""")
-def agg_grid_cells(spark, sf):
-    return raster.grid_cells(_image(spark), ["scene"]).select("cell", F.round("mean_value", 6).alias("mean_value"))
+@query(f"WITH {IMAGE} SELECT scene, {', '.join(f'round({c}, 5) AS {c}' for c in MOMENTS)} FROM m")
+def agg_image_moments(spark, sf):
+    return raster.image_moments(_image(spark, sf), ["scene"]).select("scene", *[F.round(c, 5).alias(c) for c in MOMENTS])
 
 
-@query()
+@query(f"WITH {IMAGE} SELECT scene, cell, round(mean_value, 6) AS mean_value FROM c")
+def agg_grid_cells(spark, sf):
+    return raster.grid_cells(_image(spark, sf), ["scene"]).select("scene", "cell", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(f"""WITH {IMAGE}, k AS (SELECT scene, round(edge_density, 2) AS edge, round(contrast_ratio, 2) AS contrast, round(water_proxy, 3) AS water, round(vegetation_proxy, 3) AS plants,
+ round(roughness_proxy, 3) AS rough, round(mean_luminance, 2) AS lum FROM m WHERE scene IN (SELECT scene FROM c)),
+a AS (SELECT scene, edge * 2.5 + CASE WHEN contrast > 5 THEN 1.5 ELSE 0.5 END AS built, CASE WHEN water > 0.05 THEN water * 3 + edge * 1.5 ELSE 0 END AS port,
+ water * 4 + CASE WHEN lum < 60 THEN 1.5 ELSE 0 END AS wet, CASE WHEN plants > 0.02 THEN plants * 5 ELSE 0 END AS green,
+ CASE WHEN rough > 0.4 THEN rough * 3.5 ELSE 0 END AS radar FROM k),
+v AS (SELECT a.scene, d, CASE WHEN d < 80 THEN built * sin(d * pi() / 40) WHEN d < 120 THEN port * cos((d - 80) * pi() / 20) WHEN d < 190 THEN wet * cos((d - 120) * pi() / 35)
+ WHEN d < 270 THEN green * sin((d - 190) * pi() / 40) WHEN d < 340 THEN radar * cos((d - 270) * pi() / 35) ELSE coalesce(mean_value, 0) * 0.4 END AS v
+ FROM a, range(500) t(d) LEFT JOIN c ON c.scene = a.scene AND c.cell = (d - 340) // 10),
+n AS (SELECT scene, sqrt(sum(v * v)) AS length FROM v GROUP BY 1)
+SELECT scene, d::INT AS dim, round(v / length * 1000000)::BIGINT AS millionths FROM v JOIN n USING (scene) WHERE abs(v / length) > 0.001""")
 def vec_image_embedding(spark, sf):
-    from terraspan.functions import vectors
-
-    img = _image(spark)
+    img = _image(spark, sf)
     v = vectors.embed_image(raster.image_moments(img, ["scene"]), raster.grid_cells(img, ["scene"]), ["scene"], F.lit(False))
-    return v.select("scene", F.size("vector").alias("dimension"), F.round(vectors.norm(F.col("vector")), 3).alias("length"))
+    each = v.where(F.size("vector") == vectors.DIMENSION).select("scene", F.posexplode("vector").alias("dim", "x"))
+    return each.where(F.abs("x") > 0.001).select("scene", "dim", F.round(F.col("x") * 1000000).cast("long").alias("millionths"))
 
 
 @query(f"""WITH {PX} SELECT scene, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS std_dev, count(*) AS n FROM p WHERE x BETWEEN 10 AND 90 AND y BETWEEN 20 AND 100 GROUP BY scene""")
