@@ -60,8 +60,10 @@ def _replacements(vocab: DataFrame) -> DataFrame:
 
 def _indels(vocab: DataFrame, length: int) -> DataFrame:
     """word, near, best from each deletion that is a word, for both words."""
-    deletions = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: _without(F.col("word"), i)))
-    longer = vocab.where(F.char_length("word") > length).select(F.col("word").alias("long_word"), F.col("n").alias("long_n"), F.explode(deletions).alias("word"))
+    at = vocab.where(F.char_length("word") > length).select("word", "n", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("i"))
+    # within a run of one letter every deletion gives the same: the last counts
+    at = at.where(F.substring(F.col("word"), F.col("i"), F.lit(1)) != F.substring(F.col("word"), F.col("i") + 1, F.lit(1)))
+    longer = at.select(F.col("word").alias("long_word"), F.col("n").alias("long_n"), _without(F.col("word"), F.col("i")).alias("word"))
     links = longer.join(vocab, "word")
     sides = F.array(
         F.struct(F.col("word"), F.struct((-F.col("long_n")).alias("m"), F.col("long_word").alias("word")).alias("best")),
@@ -92,7 +94,8 @@ def variants(
     order) if that is at least ``times`` the word's n, else null.  Null and
     empty texts have no words; a null id counts as an empty one in the
     checksum; rows that repeat an id and text count each; runs and texts of
-    any length count whole.  An empty table gives an empty one.  Extra columns
+    any length count whole (a word of L letters makes L keys of that length,
+    one row each).  An empty table gives an empty one.  Extra columns
     are ignored, whatever their names.
     """
     vocab = as_table(vocabulary(docs, id_col, text_col, length, least), "vocabulary")
