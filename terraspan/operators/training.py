@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions.language import answer_matches
 from terraspan.functions.raster import byte, linear_percentiles
+from terraspan.functions.resampling import resample
 from terraspan.functions.rules import cascade
 from terraspan.lineage import as_table
 
@@ -74,30 +73,30 @@ def percentile_stretch(pixels: DataFrame, by: list[str], value: str, low: float
     return df.withColumn("stretched", F.when(F.col("__hi") > F.col("__lo"), byte(x)).otherwise(F.lit(0.0))).drop("__lo", "__hi")
 
 
-def bicubic(band: np.ndarray, size: int, a: float = -0.5) -> np.ndarray:
-    """Cubic convolution to size x size, edges repeated."""
-    def weights(n: int) -> np.ndarray:
-        at = (np.arange(size) + 0.5) * n / size - 0.5
-        base = np.floor(at).astype(int)
-        out = np.zeros((size, n))
-        for k in range(-1, 3):
-            d = np.abs(at - (base + k))
-            w = np.where(d <= 1, (a + 2) * d**3 - (a + 3) * d**2 + 1, np.where(d < 2, a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a, 0.0))
-            np.add.at(out, (np.arange(size), np.clip(base + k, 0, n - 1)), w)
-        return out
-
-    m = np.asarray(band, float)
-    return weights(m.shape[0]) @ m @ weights(m.shape[1]).T
+def band_pixels(patches: DataFrame, key: str) -> DataFrame:
+    """key, band, side, x, y, value from bands (band, side, values row by row)."""
+    each = patches.select(key, "band", "side", F.posexplode("values").alias("k", "value"))
+    return each.select(key, "band", "side", (F.col("k") % F.col("side")).alias("x"), F.floor(F.col("k") / F.col("side")).alias("y"), F.col("value").cast("double").alias("value"))
 
 
 def stack_bands(patches: DataFrame, key: str, order: list[str], size: int = 120) -> DataFrame:
-    """key, stack (bands x rows x columns): each band (band, side, values row
-    by row) brought to one grid; a patch's bands are one small group."""
-    kind = patches.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {r.band: np.asarray(r.values, float).reshape(int(r.side), -1) for r in pdf.itertuples(index=False)}
-        full = [own[b] if own[b].shape[0] == size else bicubic(own[b], size) for b in order]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "stack": [[m.tolist() for m in full]]})
-
-    return patches.groupBy(key).applyInPandas(run, f"{key} {kind}, stack array<array<array<double>>>")
+    """key, missing, stack (bands x rows x columns): the bands (band, side,
+    values row by row) of each patch on one grid, by cubic interpolation where
+    they are coarser.  A patch that lacks a band has its names in ``missing``
+    and no stack.  Rows of an array are gathered first, then bands, then
+    patches, so a group is an image at most."""
+    wanted = patches.where(F.col("band").isin(order))
+    pixels = band_pixels(wanted, key)
+    fine = pixels.where(F.col("side") == size).select(key, "band", "x", "y", "value")
+    coarse = resample(pixels.where(F.col("side") != size), (F.col("side"), F.col("side")), (size, size), [key, "band"], kernel="cubic")
+
+    def listed(df: DataFrame, by: list[str], place: str, value: str) -> DataFrame:
+        items = F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col(value).alias("v"))))
+        return df.groupBy(*by).agg(F.transform(items, lambda s: s["v"]).alias(value))
+
+    rows = listed(fine.unionByName(coarse), [key, "band", "y"], "x", "value")
+    bands = listed(rows, [key, "band"], "y", "value").withColumn("place", F.array_position(F.lit(order), F.col("band")))
+    stacks = listed(bands, [key], "place", "value").withColumnRenamed("value", "stack")
+    lacking = wanted.groupBy(key).agg(F.array_except(F.lit(order), F.collect_set("band")).alias("missing"))
+    every = patches.select(key).distinct().join(lacking, key, "left").withColumn("missing", F.coalesce("missing", F.lit(order)))
+    return every.join(stacks, key, "left").select(key, "missing", F.when(F.size("missing") == 0, F.col("stack")).alias("stack"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraspan.functions import raster
+from terraspan.functions.resampling import resample
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, rasters
 from terraspan.sources.demo import tiff_bytes
@@ -73,18 +78,48 @@ def src_base64_image(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.decode(rasters.base64_bytes(sent), "UTF-8").alias("decoded"))
 
 
-@query("""WITH p AS (SELECT s, x, y, (x * 7 + y * 3 + s) % 50 AS value FROM range(4) a(s), range(12) b(x), range(8) c(y)),
-d AS (SELECT s, x // 3 AS x, y // 2 AS y, avg(value) AS value FROM p GROUP BY ALL),
-u AS (SELECT s, x * 2 + i AS x, y * 2 + j AS y, value::DOUBLE AS value FROM p, range(2) k(i), range(2) l(j))
-SELECT 'down' AS grid, s, x, y, round(value, 6) AS value FROM d UNION ALL SELECT 'up', s, x, y, round(value, 6) FROM u""")
+#: Orders as the pixels of images of two sizes, row by row.
+IMAGES = """i AS (SELECT o_orderkey // 384 AS s, o_orderkey % 384 AS k, CASE WHEN o_orderkey // 384 % 2 = 0 THEN 24 ELSE 16 END AS w, floor(o_totalprice) % 1000 AS value FROM orders),
+p AS (SELECT s, w, 384 // w AS h, k % w AS x, k // w AS y, value FROM i)"""
+
+
+def _weights_sql(name: str, n: str, new: int, kernel: str) -> str:
+    """The kernel along one axis, stated on its own: overlaps for box, else the
+    taps around a new place's centre, drawn in at the edges."""
+    lengths = f"(SELECT DISTINCT {n} AS n FROM p)"
+    if kernel == "box":
+        return f"""{name} AS (SELECT n, i, j, (least((j + 1.0) / n, (i + 1.0) / {new}) - greatest(j * 1.0 / n, i * 1.0 / {new})) * {new} AS weight
+ FROM {lengths}, range({new}) a(i), range(24) b(j) WHERE j < n AND (j + 1) * {new} > i * n AND j * {new} < (i + 1) * n)"""
+    reach, form = ("(0), (1)", "1 - d") if kernel == "bilinear" else (
+        "(-1), (0), (1), (2)", "CASE WHEN d <= 1 THEN 1.25 * pow(d, 3) - 2.25 * d * d + 1 WHEN d < 2 THEN -0.75 * pow(d, 3) + 3.75 * d * d - 6 * d + 3 ELSE 0 END")
+    return f"""{name} AS (SELECT n, i, least(n - 1, greatest(0, tap)) AS j, sum({form}) AS weight FROM (SELECT n, i, t + floor(c) AS tap, abs(c - (t + floor(c))) AS d
+ FROM (SELECT n, i, (i + 0.5) * n / {new} - 0.5 AS c FROM {lengths}, range({new}) a(i)), (VALUES {reach}) v(t)) GROUP BY ALL)"""
+
+
+def _resampled_sql(grid: tuple[int, int], kernel: str) -> str:
+    x, y = _weights_sql("wx", "w", grid[0], kernel), _weights_sql("wy", "h", grid[1], kernel)
+    return f"""WITH {IMAGES}, {x}, {y}, a AS (SELECT s, h, wx.i AS x, y, sum(value * weight) / sum(weight) AS value FROM p JOIN wx ON p.w = wx.n AND p.x = wx.j GROUP BY ALL HAVING sum(weight) >= 0.3)
+SELECT s, x, wy.i AS y, sum(value * weight) / sum(weight) AS value FROM a JOIN wy ON a.h = wy.n AND a.y = wy.j GROUP BY ALL HAVING sum(weight) >= 0.3"""
+
+
+GRIDS = [("box", (10, 7)), ("box", (48, 32)), ("bilinear", (40, 40)), ("cubic", (40, 40)), ("cubic", (9, 11))]
+
+
+def _images(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(F.floor(k / 384).alias("s"), (k % 384).alias("k"), F.when(F.floor(k / 384) % 2 == 0, 24).otherwise(16).alias("w"),
+                                          (F.floor("o_totalprice") % 1000).cast("double").alias("value"))
+    return o.select("s", "w", F.floor(384 / F.col("w")).alias("h"), (F.col("k") % F.col("w")).alias("x"), F.floor(F.col("k") / F.col("w")).alias("y"), "value")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kernel, '{g[0]}x{g[1]}' AS grid, s, x::INT AS x, y::INT AS y, round(value, 6) AS value FROM ({_resampled_sql(g, k)})" for k, g in GRIDS))
 def ras_resample(spark, sf):
-    i = F.col("id")
-    p = spark.range(4 * 12 * 8).select((i % 4).alias("s"), F.floor(i / 4 % 12).alias("x"), F.floor(i / 48).alias("y"))
-    p = p.withColumn("value", ((F.col("x") * 7 + F.col("y") * 3 + F.col("s")) % 50).cast("double"))
-    size = F.lit(12), F.lit(8)
-    down, up = rasters.resample(p, size, (4, 4), ["s"]), rasters.resample(p, size, (24, 16), ["s"])
-    both = down.withColumn("grid", F.lit("down")).unionByName(up.withColumn("grid", F.lit("up")))
-    return both.select("grid", "s", "x", "y", F.round("value", 6).alias("value"))
+    parts = [
+        resample(_images(spark, sf), (F.col("w"), F.col("h")), g, ["s"], kernel=k).select(
+            F.lit(k).alias("kernel"), F.lit(f"{g[0]}x{g[1]}").alias("grid"), "s", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.round("value", 6).alias("value"))
+        for k, g in GRIDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""WITH f AS (SELECT o_orderkey AS k, o_orderkey % 5 + 1 AS bands FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0)
@@ -98,21 +133,16 @@ def src_ingest(spark, sf):
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("outcome") == "NEW", F.col("band_count"))).alias("bands"))
 
 
-@query("""WITH a AS (SELECT x, y, (x * 7 + y * 3) % 50 AS v FROM range(12) b(x), range(8) c(y)), b AS (SELECT x, y, (x * 5 + y) % 40 AS v FROM range(6) b(x), range(4) c(y)),
-d AS (SELECT x // 2 AS x, y // 2 AS y, avg(v) AS v FROM a GROUP BY ALL)
-SELECT count(*) AS pixels, round(avg(abs(d.v - b.v)), 6) AS mad, round(max(abs(d.v - b.v)), 6) AS most FROM d JOIN b USING (x, y)""")
+@query(f"""WITH a AS ({_resampled_sql((8, 8), 'box')}), c AS (SELECT c_custkey // 64 AS s, c_custkey % 8 AS x, c_custkey // 8 % 8 AS y, floor(abs(c_acctbal)) % 1000 AS v FROM customer)
+SELECT s, count(*) AS pixels, round(avg(abs(a.value - c.v)), 5) AS mad, round(max(abs(a.value - c.v)), 5) AS most FROM a JOIN c USING (s, x, y) GROUP BY s""")
 def jn_common_grid(spark, sf):
-    """Two images of one place, the finer brought to the coarser one's grid."""
-    def image(w, h, value):
-        p = spark.range(w * h).select(F.lit(1).alias("s"), (F.col("id") % w).alias("x"), F.floor(F.col("id") / w).alias("y"))
-        return p.withColumn("value", value(F.col("x"), F.col("y")).cast("double"))
-
-    fine, coarse = image(12, 8, lambda x, y: (x * 7 + y * 3) % 50), image(6, 4, lambda x, y: (x * 5 + y) % 40)
-    down = rasters.resample(fine, (F.lit(12), F.lit(8)), (6, 4), ["s"])
-    diff = F.abs(F.col("value") - F.col("other"))
-    return down.join(coarse.withColumnRenamed("value", "other"), ["s", "x", "y"]).agg(
-        F.count(F.lit(1)).alias("pixels"), F.round(F.avg(diff), 6).alias("mad"), F.round(F.max(diff), 6).alias("most")
-    )
+    """Two images of each place, the finer (orders) brought to the grid of the
+    coarser one (customers)."""
+    k = F.col("c_custkey")
+    coarse = table(spark, sf, "customer").select(F.floor(k / 64).alias("s"), (k % 8).alias("x"), (F.floor(k / 8) % 8).alias("y"), (F.floor(F.abs("c_acctbal")) % 1000).alias("other"))
+    down = resample(_images(spark, sf), (F.col("w"), F.col("h")), (8, 8), ["s"])
+    m = raster.pair_metrics(down.join(coarse, ["s", "x", "y"]), ["s"], "value", "other", F.lit(35))
+    return m.select("s", "pixels", F.round("mad", 5).alias("mad"), F.round("max_delta", 5).alias("most"))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS candidate_id, 20 AS fields, 'Share: ' || printf('%.2f%%', (o_orderkey % 100)::DOUBLE) AS share, 'CRS: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'Not available' END AS crs,

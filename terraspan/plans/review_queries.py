@@ -383,12 +383,27 @@ def set_training_validation(spark, sf):
     return training.validated(r).select("id", "line", "rejected")
 
 
-@query()
+#: Fixed value: the bands of a stack.
+S2_BANDS = ["B01", "B02", "B05"]
+#: Customers as patches of three bands with 2, 8 and 4 pixels a side; every
+#: seventh lacks the second.
+BANDS = """b AS (SELECT c_custkey AS patch, band, side FROM customer, (VALUES ('B01', 2), ('B02', 8), ('B05', 4)) t(band, side) WHERE c_custkey % 7 <> 0 OR band <> 'B02'),
+v AS (SELECT patch, band, side, i, j, ((patch * 31 + i * 7 + j * 13 + side) % 200)::DOUBLE AS value FROM b, range(8) s(i), range(8) t(j) WHERE i < side AND j < side),
+k AS (SELECT side, n, least(side - 1, greatest(0, tap)) AS o, sum(CASE WHEN d <= 1 THEN 1.25 * pow(d, 3) - 2.25 * d * d + 1 WHEN d < 2 THEN -0.75 * pow(d, 3) + 3.75 * d * d - 6 * d + 3 ELSE 0 END) AS w
+ FROM (SELECT side, n, floor(c) + t AS tap, abs(c - floor(c) - t) AS d FROM (SELECT side, n, (n + 0.5) * side / 8 - 0.5 AS c FROM (VALUES (2), (4), (8)) a(side), range(8) b(n)), (VALUES (-1), (0), (1), (2)) e(t)) GROUP BY ALL),
+f AS (SELECT patch, band, y.n AS i, x.n AS j, sum(value * y.w * x.w) AS value FROM v JOIN k y ON v.side = y.side AND v.i = y.o JOIN k x ON v.side = x.side AND v.j = x.o GROUP BY ALL)"""
+
+
+@query(f"""WITH {BANDS} SELECT patch, CASE WHEN patch % 7 = 0 THEN 'B02' ELSE '' END AS missing, CASE WHEN patch % 7 <> 0 THEN string_agg(round(value * 1000)::BIGINT::VARCHAR, ',' ORDER BY band, i, j) END AS stack
+FROM f GROUP BY patch""")
 def ras_band_stack(spark, sf):
-    rows = [("p", "B02", 12, [1.0] * 144), ("p", "B05", 6, [2.0] * 36), ("p", "B01", 2, [3.0] * 4)]
-    p = spark.createDataFrame(rows, "patch string, band string, side int, values array<double>")
-    s = training.stack_bands(p, "patch", ["B02", "B05", "B01"], 12)
-    return s.select("patch", F.size("stack").alias("bands"), F.transform("stack", lambda m: F.round(F.get(F.get(m, F.lit(5)), F.lit(5)), 6)).alias("middle"))
+    names = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).alias("side")) for b, n in zip(S2_BANDS, (2, 8, 4), strict=True)])
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("patch"), F.explode(names).alias("b")).select("patch", "b.*").where("patch % 7 <> 0 OR band <> 'B02'")
+    places = F.sequence(F.lit(0), F.col("side") * F.col("side") - 1)
+    value = F.transform(places, lambda k: ((F.col("patch") * 31 + F.floor(k / F.col("side")) * 7 + k % F.col("side") * 13 + F.col("side")) % 200).cast("double"))
+    s = training.stack_bands(c.withColumn("values", value), "patch", S2_BANDS, 8)
+    text = F.array_join(F.transform(F.flatten(F.flatten("stack")), lambda v: F.round(v * 1000).cast("long").cast("string")), ",")
+    return s.select("patch", F.array_join("missing", ",").alias("missing"), text.alias("stack"))
 
 
 @query("SELECT doc_id, array_distinct_ AS n FROM (SELECT doc_id, CASE WHEN lang = source THEN 1 ELSE 2 END AS array_distinct_ FROM documents)")

@@ -256,14 +256,3 @@ def trimmed(files: DataFrame) -> DataFrame:
 
     return files.mapInArrow(run, files.schema)
 
-
-def resample(pixels: DataFrame, size: tuple[Column, Column], grid: tuple[int, int], by: list[str], value: str = "value") -> DataFrame:
-    """Pixels (x, y, value, and the columns ``by``) on a common grid: the mean
-    of all source pixels that a new one touches.  For whole factors that is
-    the block mean downwards, and the nearest pixel upwards."""
-    out = pixels
-    for axis, source, new in (("x", size[0], grid[0]), ("y", size[1], grid[1])):
-        first = F.floor(F.col(axis) * new / source)
-        last = F.ceil((F.col(axis) + 1) * new / source) - 1
-        out = out.withColumn(axis, F.explode(F.sequence(first, last)))
-    return out.groupBy(*by, "x", "y").agg(F.avg(value).alias(value))

@@ -131,11 +131,3 @@ def test_csv_file_has_the_lines_of_the_export(spark, tmp_path):
     assert sorted(lines[1:]) == sorted(r.line for r in review.csv_lines(q).collect())
     report = {r.candidate_id: r.report for r in ingest.audit_text(q).collect()}
     assert len(report) == 50 and all("Analyst: " in t and "None" not in t for t in report.values())
-
-
-def test_resample_counts_every_pixel(spark):
-    p = spark.createDataFrame([("s", x, y, float(x + 10 * y)) for x in range(6) for y in range(4)], "s string, x long, y long, value double")
-    down = {(r.x, r.y): r.value for r in rasters.resample(p, (F.lit(6), F.lit(4)), (3, 2), ["s"]).collect()}
-    assert down == {(i, j): sum(x + 10 * y for x in (2 * i, 2 * i + 1) for y in (2 * j, 2 * j + 1)) / 4 for i in range(3) for j in range(2)}
-    odd = rasters.resample(p, (F.lit(6), F.lit(4)), (4, 3), ["s"])
-    assert odd.count() == 12 and odd.where("value IS NULL").count() == 0
