@@ -198,40 +198,66 @@ def _box(prefix: str) -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1"))
 
 
-#: Cells of a box at most, and parts that each cell's right side is split into.
-MOST_CELLS, SPLITS = 10_000, 4
+#: Boxes of the right side in a cell from which its work is split.
+DENSE = 2048
+#: Levels of cells: sides of 2**-30 to 2**60.
+LEVELS = (-30, 60)
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float, prefix: tuple[str, str] = ("a_", "b_"), keys: Sequence[str] = ()) -> DataFrame:
-    """All pairs of touching boxes with equal ``keys``: an equi-join on grid
-    cells, not a nested loop.
+def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The smallest level whose cells are at least as wide as the box."""
+    side = F.greatest(x1 - x0, y1 - y0)
+    return F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.when(side > 0, F.ceil(F.log2(side))).otherwise(LEVELS[0]))).cast("int")
 
-    Both sides have columns id, x0, y0, x1, y1 (after their prefix).  A pair
-    is reported in one cell only, that of the lower left corner of the
-    boxes' intersection, so no distinct is needed.
 
-    A box lies in about (side / cell + 1)**2 cells, a cell holds the boxes
-    around it: choose ``cell`` near the usual side.  A box of over MOST_CELLS
-    cells raises.  Cells that many boxes share are split over SPLITS parts of
-    the right side, to each of which the left side goes.
+def _cells(level: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The cells of a level that a box lies in: four at most, if it is no wider."""
+    size = F.pow(F.lit(2.0), level)
+    along = [F.sequence(F.floor(a / size), F.floor(b / size)) for a, b in ((x0, x1), (y0, y1))]
+    return F.flatten(F.transform(along[0], lambda x: F.transform(along[1], lambda y: F.struct(level.alias("z"), x.alias("x"), y.alias("y")))))
+
+
+def bbox_join(left: DataFrame, right: DataFrame, prefix: tuple[str, str] = ("a_", "b_"), keys: Sequence[str] = ()) -> DataFrame:
+    """All pairs of touching boxes with equal ``keys``: an equi-join on cells,
+    not a nested loop.
+
+    Both sides have columns id, x0, y0, x1, y1 (after their prefix); boxes with
+    a missing or reversed side touch nothing.  A box is at home in the cells
+    of the level of its own size, four at most.  Of two boxes the larger one
+    is met at home, so a box also looks at the cells around it of every larger
+    level that occurs.  A pair is reported in one cell, that of the lower left
+    corner of the boxes' intersection.  Cells in which many boxes are at home
+    are split over several tasks; their number follows from a count.
     """
-    sides = []
+    sides, levels = [], []
     for df, p in ((left, prefix[0]), (right, prefix[1])):
-        x0, y0, x1, y1 = _box(p)
-        number = (F.floor(x1 / cell) - F.floor(x0 / cell) + 1) * (F.floor(y1 / cell) - F.floor(y0 / cell) + 1)
-        wide = F.raise_error(F.concat(F.lit("a box lies in more cells than MOST_CELLS: "), number.cast("string")))
-        df = df.withColumn("__cx", F.explode(F.when(number > MOST_CELLS, wide).otherwise(F.sequence(F.floor(x0 / cell), F.floor(x1 / cell)))))
-        sides.append(df.withColumn("__cy", F.explode(F.sequence(F.floor(y0 / cell), F.floor(y1 / cell)))))
+        box = _box(p)
+        df = df.where((box[0] <= box[2]) & (box[1] <= box[3])).withColumn(f"__z{p}", _level(*box))
+        sides.append(df)
+        levels.append({r[0] for r in df.select(f"__z{p}").distinct().collect()})  # of 91 at most
     a, b = _box(prefix[0]), _box(prefix[1])
-    part = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
-    left, right = sides[0].withColumn("__part", part), sides[1].withColumn("__part", F.pmod(F.xxhash64(*b), F.lit(SPLITS)).cast("int"))
-    right = right.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry", "__part": "__rp"})
-    same = (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & (F.col("__part") == F.col("__rp"))
-    for k in keys:
-        same = same & (F.col(f"{prefix[0]}{k}") == F.col(f"{prefix[1]}{k}"))
-    joined = left.join(right, same).where(intersects(a, b))
-    first = (F.col("__cx") == F.floor(F.greatest(a[0], b[0]) / cell)) & (F.col("__cy") == F.floor(F.greatest(a[1], b[1]) / cell))
-    return joined.where(first).drop("__cx", "__cy", "__part", "__rx", "__ry", "__rp")
+    za, zb = F.col(f"__z{prefix[0]}"), F.col(f"__z{prefix[1]}")
+    found = []
+    for home, away, z, other, own in ((sides[1], sides[0], zb, za, 1), (sides[0], sides[1], za, zb, 0)):
+        box, guest = (b, a) if own else (a, b)
+        there = sorted(levels[own])
+        # the right side is home to pairs of one level
+        larger = F.filter(F.array(*[F.lit(x) for x in there]).cast("array<int>"), lambda x: x >= other if own else x > other)
+        housed = home.withColumn("__cell", F.explode(_cells(z, *box)))
+        visits = away.withColumn("__at", F.explode(larger)).withColumn("__cell", F.explode(_cells(F.col("__at"), *guest))).drop("__at")
+        parts = housed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > DENSE)
+        parts = parts.select("__cell", F.ceil(F.col("__n") / DENSE).cast("int").alias("__parts"))
+        housed = housed.join(parts, "__cell", "left").withColumn("__part", F.pmod(F.xxhash64(*box), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+        visits = visits.join(parts, "__cell", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+        housed = housed.withColumnsRenamed({"__cell": "__home", "__part": "__hpart"})
+        same = (F.col("__cell") == F.col("__home")) & (F.col("__part") == F.col("__hpart"))
+        for k in keys:
+            same = same & (F.col(f"{prefix[0]}{k}") == F.col(f"{prefix[1]}{k}"))
+        size = F.pow(F.lit(2.0), F.col("__cell.z"))
+        first = (F.col("__cell.x") == F.floor(F.greatest(a[0], b[0]) / size)) & (F.col("__cell.y") == F.floor(F.greatest(a[1], b[1]) / size))
+        pairs = visits.join(housed, same).where(intersects(a, b) & first)
+        found.append(pairs.select(*left.columns, *right.columns))
+    return found[0].unionByName(found[1])
 
 
 #: Words of a label that allow a box over the whole image.

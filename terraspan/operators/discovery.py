@@ -3,43 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspan.functions import vectors
+from terraspan.functions.geo import bbox_join, iou
 from terraspan.lineage import cut
+from terraspan.operators.graph import first_come
 
 #: Fixed values.
 DUPLICATE_IOU, MIN_SIMILARITY, ITERATIONS = 0.70, 0.40, 20
-MOST_HITS = 10_000
 
 
 def greedy_dedup(hits: DataFrame, limit: float = DUPLICATE_IOU) -> DataFrame:
     """Hits (id, rank, x0, y0, x1, y1) less those that overlap a kept one of
-    better rank; a fold over the ranked list of a search, in one task, so of
-    MOST_HITS hits at most."""
-    if (n := hits.count()) > MOST_HITS:
-        raise ValueError(f"{n} hits; a ranked list has at most {MOST_HITS}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
-        box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        kept: list[int] = []
-        for k in range(len(pdf)):
-            if kept:
-                o = box[kept]
-                w = np.clip(np.minimum(o[:, 2], box[k, 2]) - np.maximum(o[:, 0], box[k, 0]), 0, None)
-                h = np.clip(np.minimum(o[:, 3], box[k, 3]) - np.maximum(o[:, 1], box[k, 1]), 0, None)
-                whole = size[kept] + size[k] - w * h
-                if np.any(np.divide(w * h, whole, out=np.zeros(len(kept)), where=whole > 0) > limit):
-                    continue
-            kept.append(k)
-        return pdf.iloc[kept]
-
-    return hits.groupBy().applyInPandas(run, hits.schema)
+    better rank; any number of them.  A hit without a box is kept."""
+    sides = [hits.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "y0", "x1", "y1")]) for p in ("a_", "b_")]
+    corners = [tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in ("a_", "b_")]
+    pairs = bbox_join(*sides).where("a_id < b_id").where(iou(*corners) > limit).select("a_id", "b_id")
+    chosen = first_come(pairs, hits.select("id", F.col("rank").alias("ord")))
+    return hits.join(chosen.where("id = seed").select("id"), "id", "left_semi")
 
 
 def cluster_count(asked: int, n: int) -> int:

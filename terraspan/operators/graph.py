@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.lineage import as_table, drop_tables
@@ -54,3 +57,120 @@ def _shortened(step: DataFrame) -> DataFrame:
         if moved.where("moved").isEmpty():
             return state
     raise RuntimeError(f"paths did not end in {ROUNDS} rounds")
+
+
+#: Rows (nodes and links) of a group that one task settles at once.
+WHOLE = 1_000_000
+#: Rounds in which nodes are settled by joins before groups are looked for.
+PEELED = 2
+#: Parts of a large group that is settled part by part.
+PARTS = 256
+
+
+def _agree(geo: Column, code: Column, other_geo: Column, other_code: Column) -> Column:
+    """Whether a common key pairs two nodes, by their classes."""
+    return ~(geo & other_geo) & ~F.coalesce(code == other_code, F.lit(False))
+
+
+def first_come(pairs: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """id, seed: in order of ``ord`` (ties by id) each node (id, ord) that isn't
+    taken yet is a seed and takes all later free nodes that it is paired with
+    (a_id, b_id).
+
+    If there are columns key, geo and code, nodes with the same key are paired
+    too, unless both are ``geo`` or have the same code; no row is made for
+    such a pair.
+
+    Only which nodes are seeds depends on the order.  Nodes that nobody before
+    them could take are seeds at once and take their neighbours; two such
+    rounds leave small groups of a set in no special order.  Connected groups
+    of the rest are settled whole, each in a task, by a pass in order; of one
+    of more than ``whole`` rows first the earliest part, whose seeds then take
+    nodes of the rest.
+    """
+    if "key" not in nodes.columns:
+        nodes = nodes.select("id", "ord", F.lit(None).cast("string").alias("key"), F.lit(False).alias("geo"), F.lit(None).cast("int").alias("code"))
+    nodes = as_table(nodes.select("id", "ord", "key", "geo", "code"), "nodes")
+    place = nodes.select("id", F.struct("ord", "id").alias("place"))
+    both = pairs.select("a_id", "b_id").unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
+    before = both.join(place.select(F.col("id").alias("a_id"), "place"), "a_id").join(place.select(F.col("id").alias("b_id"), F.col("place").alias("other")), "b_id")
+    before = as_table(before.where("other < place").select(F.col("a_id").alias("id"), F.col("b_id").alias("near"), "other"), "before")
+    free, links, seeds, turn = nodes, before.select("id", "near"), None, 0
+    while True:
+        if turn < PEELED:
+            first = free.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("ord", "id")).alias("first"))
+            ready = free.join(links.select("id").distinct(), "id", "left_anti").join(first, "key", "left").where("key IS NULL OR first.id = id")
+            settled = ready.select("id", F.lit(True).alias("seed"))
+        else:
+            settled = _settled(free, links, whole)
+        settled = as_table(settled, "settled")
+        new = as_table(free.join(settled.where("seed").select("id"), "id", "left_semi"), "seeds")
+        by_link = links.join(new.select(F.col("id").alias("near")), "near", "left_semi").select("id")
+        kept = new.where("key IS NOT NULL").select("key", F.col("geo").alias("g"), F.col("code").alias("c")).distinct()
+        by_key = free.join(kept, "key").where(_agree(F.col("geo"), F.col("code"), F.col("g"), F.col("c"))).select("id")
+        gone = as_table(settled.select("id").unionByName(by_link).unionByName(by_key).distinct(), "gone")
+        old, seeds = (free, links), new if seeds is None else as_table(seeds.unionByName(new), "seeds")
+        free = as_table(free.join(gone, "id", "left_anti"), "free")
+        links = as_table(links.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("near")), "near", "left_anti").select("id", "near"), "open")
+        drop_tables(settled, gone, *(old if turn else ()))
+        turn += 1
+        if free.isEmpty():
+            break
+    # a node goes to the first of the seeds before it that it is paired with
+    rank = F.struct("ord", "id")
+    named = before.join(seeds.select(F.col("id").alias("near")), "near", "left_semi").select("id", "other")
+    earliest = seeds.where("key IS NOT NULL").groupBy("key", F.col("geo").alias("g"), F.col("code").alias("c")).agg(F.min(rank).alias("other"))
+    alike = nodes.join(earliest, "key").where(_agree(F.col("geo"), F.col("code"), F.col("g"), F.col("c")) & (F.col("other") < rank)).select("id", "other")
+    taken = named.unionByName(alike).groupBy("id").agg(F.min("other").alias("other"))
+    own = seeds.select("id", F.lit(True).alias("own"))
+    every = nodes.select("id").join(own, "id", "left").join(taken, "id", "left")
+    return every.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("other.id")).alias("seed"))
+
+
+def _settled(free: DataFrame, links: DataFrame, whole: int) -> DataFrame:
+    """id, seed (whether it is one) for the groups of the free nodes, or of
+    large groups for their first part."""
+    first = free.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("b"))
+    stars = free.join(first, "key").select(F.col("id").alias("a"), "b")
+    groups = connected(links.select(F.col("id").alias("a"), F.col("near").alias("b")).unionByName(stars)).withColumnRenamed("node", "id")
+    # a node is a row without ``near``, which comes before its links
+    rows = free.select("id", F.lit(None).cast(links.schema["near"].dataType).alias("near")).unionByName(links.select("id", "near")).join(free, "id")
+    rows = as_table(rows.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "rows")
+    cuts = [k / PARTS for k in range(1, PARTS + 1)]
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ord", cuts).alias("cuts")).where(F.col("n") > whole)
+    limit = F.element_at("cuts", F.greatest(F.lit(1), F.floor(F.lit(whole) * PARTS / F.col("n"))).cast("int"))
+    rows = rows.join(sizes.select("group", limit.alias("limit")), "group", "left").where("limit IS NULL OR ord <= limit")
+    names = ["group", "ord", "id", "near", "key", "geo", "code"]
+    ordered = rows.select(*names).repartition("group").sortWithinPartitions("group", "ord", "id", F.col("near").isNotNull())
+    kind = free.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pass in order: a node is a seed unless one before it takes it."""
+        group, known, held = None, {}, {}
+        node = None
+
+        def close():
+            if node is not None and known[node[0]] and node[1] is not None:
+                held.setdefault(node[1], set()).add(node[2:])
+
+        for batch in batches:
+            done: dict = {}
+            for g, _, i, near, key, geo, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if near is None:
+                    close()
+                    if node is not None:
+                        done[node[0]] = known[node[0]]
+                    if g != group:
+                        group, known, held = g, {}, {}
+                    node = i, key, geo, code
+                    known[i] = not any(not (geo and x) and (code is None or code != c) for x, c in held.get(key, ())) if key is not None else True
+                elif known.get(near, True):
+                    known[i] = False
+            yield pa.RecordBatch.from_arrays([pa.array(list(done), out), pa.array(list(done.values()), pa.bool_())], ["id", "seed"])
+        if node is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([node[0]], out), pa.array([known[node[0]]], pa.bool_())], ["id", "seed"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = to_arrow_type(free.schema["id"].dataType)
+    return ordered.mapInArrow(run, f"id {kind}, seed boolean")

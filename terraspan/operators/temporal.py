@@ -10,7 +10,7 @@ from terraspan.functions import gates
 from terraspan.functions import geo as geo_functions
 from terraspan.functions.geo import bbox_join
 from terraspan.functions.rules import cascade
-from terraspan.lineage import as_table, drop_tables
+from terraspan.operators.graph import first_come
 
 #: Fixed value: overlap as a share of the smaller footprint that makes one place.
 SAME_PLACE = 0.35
@@ -93,68 +93,55 @@ def days_between(a: Column, b: Column) -> Column:
     return F.floor(F.abs(seconds) / 86400.0 + 0.5).cast("long")
 
 
-def overlaps(boxes: DataFrame, cell: float, projected_cell: float | None = None) -> DataFrame:
+def overlaps(boxes: DataFrame, names: bool = True) -> DataFrame:
     """a_id, b_id: distinct scenes at the same place.
 
     Scenes (id, x0, y0, x1, y1, and if there are such columns epsg, px0, py0,
     px1, py1, stem) are compared by the first rule that both allow: geographic
     boxes that share SAME_PLACE of the smaller one; projected boxes (px0 to
-    py1) likewise, under one EPSG code; equal stems of the file names.  All
-    three are equi-joins, of boxes on grid cells.
+    py1) likewise, under one EPSG code; equal stems of the file names, unless
+    ``names`` is false.  All three are equi-joins, of boxes on cells.
     """
-    columns = boxes.columns
-    geo = F.col("x0").isNotNull() & F.col("x1").isNotNull()
+    columns, geo, placed = boxes.columns, _geographic(), _projected(boxes)
 
-    def pairs(rows: DataFrame, names: list[str], size: float, extra: list[str]) -> DataFrame:
-        kept = rows.select("id", geo.alias("geo"), *extra, *[F.col(n).alias(c) for n, c in zip(names, ("x0", "y0", "x1", "y1"), strict=True)])
+    def pairs(rows: DataFrame, box: list[str], extra: list[str]) -> DataFrame:
+        kept = rows.select("id", geo.alias("geo"), *extra, *[F.col(n).alias(c) for n, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
         sides = [kept.select(*[F.col(c).alias(f"{p}{c}") for c in kept.columns]) for p in ("a_", "b_")]
-        found = bbox_join(sides[0], sides[1], size, keys=extra).where("a_id < b_id")
-        box = [tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in ("a_", "b_")]
-        return found.where(geo_functions.share_of_smaller(*box) >= SAME_PLACE)
+        found = bbox_join(sides[0], sides[1], keys=extra).where("a_id < b_id")
+        corners = [tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in ("a_", "b_")]
+        return found.where(geo_functions.share_of_smaller(*corners) >= SAME_PLACE)
 
-    out = pairs(boxes.where(geo), ["x0", "y0", "x1", "y1"], cell, []).select("a_id", "b_id")
-    placed = (F.col("epsg") > 0) & F.col("px0").isNotNull() & F.col("px1").isNotNull() if "epsg" in columns else F.lit(False)
+    out = pairs(boxes.where(geo), ["x0", "y0", "x1", "y1"], []).select("a_id", "b_id")
     if "epsg" in columns:
-        near = pairs(boxes.where(placed), ["px0", "py0", "px1", "py1"], projected_cell or cell, ["epsg"])
+        near = pairs(boxes.where(placed), ["px0", "py0", "px1", "py1"], ["epsg"])
         out = out.unionByName(near.where("NOT (a_geo AND b_geo)").select("a_id", "b_id"))
-    if "stem" in columns:
-        named = boxes.where(F.col("stem") != "").select("id", "stem", geo.alias("geo"), F.when(placed, F.col("epsg") if "epsg" in columns else F.lit(None)).alias("code"))
+    if names and "stem" in columns:
+        named = _named(boxes).where("key IS NOT NULL")
         a, b = (named.select(*[F.col(c).alias(f"{p}{c}") for c in named.columns]) for p in ("a_", "b_"))
-        alike = a.join(b, F.col("a_stem") == F.col("b_stem")).where("a_id < b_id AND NOT (a_geo AND b_geo) AND NOT coalesce(a_code = b_code, false)")
+        alike = a.join(b, F.col("a_key") == F.col("b_key")).where("a_id < b_id AND NOT (a_geo AND b_geo) AND NOT coalesce(a_code = b_code, false)")
         out = out.unionByName(alike.select("a_id", "b_id"))
     return out
 
 
-def first_come(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, seed: in order of ``ord`` (ties by id) each node (id, ord) that isn't
-    taken yet is a seed and takes all later free nodes that it is paired with
-    (a_id, b_id).
+def _geographic() -> Column:
+    return F.col("x0").isNotNull() & F.col("x1").isNotNull()
 
-    In rounds: a node is decided as soon as no undecided node before it could
-    change what happens to it.  Every round is a few joins over the pairs, so
-    no group of nodes is gathered; their number is that of the longest run of
-    nodes that wait for each other, a few for footprints in no special order.
-    """
-    both = pairs.unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
-    place = nodes.select("id", F.struct("ord", "id").alias("place"))
-    before = both.join(place.select(F.col("id").alias("a_id"), "place"), "a_id").join(place.select(F.col("id").alias("b_id"), F.col("place").alias("other")), "b_id")
-    before = as_table(before.where("other < place").select(F.col("a_id").alias("id"), F.col("b_id").alias("near"), F.col("other.ord").alias("ord")), "before")
-    waiting = before.select("id").distinct()
-    state = as_table(nodes.join(waiting, "id", "left_anti").select("id", F.col("id").alias("seed")), "decided")
-    while True:
-        known = before.join(state.select("id"), "id", "left_anti").join(state.select(F.col("id").alias("near"), "seed"), "near", "left")
-        rank = F.struct("ord", "near")
-        told = known.groupBy("id").agg(F.min(F.when(F.col("seed").isNull(), rank)).alias("open"), F.min(F.when(F.col("seed") == F.col("near"), rank)).alias("first"))
-        own = F.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open"))), F.col("first.near"))
-        own = own.when(F.col("open").isNull() & F.col("first").isNull(), F.col("id"))
-        new = as_table(told.select("id", own.alias("seed")).where("seed IS NOT NULL"), "decided")
-        if new.isEmpty():
-            return state
-        state, old = as_table(state.unionByName(new), "decided"), (state, new)
-        drop_tables(*old)
-
-
-def seed_groups(scenes: DataFrame, cell: float, projected_cell: float | None = None) -> DataFrame:
+
+def _projected(boxes: DataFrame) -> Column:
+    return F.coalesce((F.col("epsg") > 0) & F.col("px0").isNotNull() & F.col("px1").isNotNull(), F.lit(False)) if "epsg" in boxes.columns else F.lit(False)
+
+
+def _named(boxes: DataFrame) -> DataFrame:
+    """id, key (the stem), geo, code: what decides whether stems pair scenes."""
+    code = F.when(_projected(boxes), F.col("epsg") if "epsg" in boxes.columns else F.lit(None).cast("int"))
+    return boxes.select("id", F.when(F.col("stem") != "", F.col("stem")).alias("key"), _geographic().alias("geo"), code.alias("code"))
+
+
+def seed_groups(scenes: DataFrame) -> DataFrame:
     """id, seed: greedy groups of scenes (as for ``overlaps``, and ord) by place.
-    A group is a star around its seed: two members needn't overlap."""
-    return first_come(as_table(overlaps(scenes, cell, projected_cell), "overlaps"), scenes.select("id", "ord"))
+    A group is a star around its seed: two members needn't overlap.  Scenes of
+    one stem are kept together by that key, without a row per pair."""
+    nodes = scenes.select("id", "ord")
+    if "stem" in scenes.columns:
+        nodes = nodes.join(_named(scenes), "id")
+    return first_come(overlaps(scenes, names=False), nodes)

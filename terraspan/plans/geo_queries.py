@@ -152,7 +152,7 @@ def _placed(spark, sf):
 
 @query(f"WITH {PLACED} SELECT a_id, b_id FROM pairs")
 def jn_spatial_overlap(spark, sf):
-    return temporal.overlaps(_placed(spark, sf), 8.0, 8000.0)
+    return temporal.overlaps(_placed(spark, sf))
 
 
 @query(f"""WITH {FOOT}, q AS (SELECT s_suppkey AS q, (s_suppkey * 13 % 336)::DOUBLE AS x0, (s_suppkey * 29 % 336)::DOUBLE AS y0 FROM supplier)
@@ -163,13 +163,13 @@ def flt_bbox_intersects(spark, sf):
     q = q.withColumns({"a_x1": F.col("a_x0") + 20, "a_y1": F.col("a_y0") + 20})
     f = _footprints(spark, sf)
     f = f.select(*[F.col(c).alias(f"b_{c}") for c in f.columns])
-    return geo.bbox_join(q, f, 16.0).select(F.col("a_id").alias("q"), F.col("b_id").alias("id"))
+    return geo.bbox_join(q, f).select(F.col("a_id").alias("q"), F.col("b_id").alias("id"))
 
 
 @query()
 def gr_location_groups(spark, sf):
     """Greedy, so without SQL; tested against the plain loop."""
-    return temporal.seed_groups(_placed(spark, sf), 8.0, 8000.0)
+    return temporal.seed_groups(_placed(spark, sf))
 
 
 def _check_sql(mode: str) -> str:

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraspan.functions import vectors
+from terraspan.functions import geo, vectors
 from terraspan.functions.geo import bbox_join
-from terraspan.operators import discovery, temporal
+from terraspan.operators import discovery, graph, temporal
 
 
 def same_place(a, b):
@@ -38,7 +38,7 @@ def scenes(n, seed):
 def test_location_groups_are_greedy(spark, seed):
     rows = list(scenes(120, seed))
     df = spark.createDataFrame(rows, "id long, ord long, x0 double, y0 double, x1 double, y1 double, epsg int, px0 double, py0 double, px1 double, py1 double, stem string")
-    got = {(r.a_id, r.b_id) for r in temporal.overlaps(df, 6.0, 60.0).collect()}
+    got = {(r.a_id, r.b_id) for r in temporal.overlaps(df).collect()}
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and same_place(a, b)}
     want = {}
     order = sorted(rows, key=lambda r: (r[1], r[0]))
@@ -48,16 +48,75 @@ def test_location_groups_are_greedy(spark, seed):
             for b in order:
                 if b[0] not in want and same_place(a, b):
                     want[b[0]] = a[0]
-    assert {r.id: r.seed for r in temporal.seed_groups(df, 6.0, 60.0).collect()} == want
-    assert temporal.seed_groups(df.limit(0), 6.0, 60.0).count() == 0
-
-
-def test_boxes_of_too_many_cells_are_refused(spark):
-    df = spark.createDataFrame([(1, 0.0, 0.0, 500.0, 500.0)], "a_id long, a_x0 double, a_y0 double, a_x1 double, a_y1 double")
-    right = df.select(*[F.col(c).alias("b" + c[1:]) for c in df.columns])
-    with pytest.raises(Exception, match="MOST_CELLS"):
-        bbox_join(df, right, 1.0).collect()
-    assert bbox_join(df, right, 100.0).count() == 1
+    assert {r.id: r.seed for r in temporal.seed_groups(df).collect()} == want
+    assert temporal.seed_groups(df.limit(0)).count() == 0
+
+
+def test_boxes_of_all_sizes(spark, monkeypatch):
+    """Points, boxes from 1/1000 to 10,000 wide, reversed and missing ones."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        x, y, w = rng.uniform(-50, 50), rng.uniform(-50, 50), 10 ** rng.uniform(-3, 4) if k % 3 else rng.choice([0, 1, 2, 4])
+        rows.append((k, x, y, x + w, y + rng.choice([0, w / 2, w]), k % 2))
+    rows += [(200, 0.0, 0.0, 0.0, 0.0, 0), (201, 0.0, 0.0, 1.0, 1.0, 0), (202, 1.0, 1.0, 2.0, 2.0, 0), (203, 5.0, 5.0, 4.0, 6.0, 1), (204, None, 0.0, 1.0, 1.0, 0)]
+    whole = [r for r in rows if r[1] is not None and r[1] <= r[3] and r[2] <= r[4]]
+    want = sorted((a[0], b[0]) for a in whole for b in whole if a[5] == b[5] and a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2])
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, k int")
+    sides = [df.select(*[F.col(c).alias(p + c) for c in df.columns]) for p in ("a_", "b_")]
+    for dense in (geo.DENSE, 2):
+        monkeypatch.setattr(geo, "DENSE", dense)
+        assert sorted((r.a_id, r.b_id) for r in bbox_join(*sides, keys=["k"]).collect()) == want
+
+
+def plain_first_come(pairs, nodes, agree=None):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order, seed = sorted(nodes, key=lambda n: (n[1], n[0])), {}
+    for n in order:
+        if n[0] not in seed:
+            seed[n[0]] = n[0]
+            for m in order:
+                if m[0] not in seed and (m[0] in near.get(n[0], ()) or (agree is not None and agree(n, m))):
+                    seed[m[0]] = n[0]
+    return seed
+
+
+@pytest.mark.parametrize("whole", [10, 60, 10**6])
+def test_first_come_in_parts(spark, whole):
+    """Chains, cliques and random pairs; groups over the bound go part by part."""
+    rng = random.Random(9)
+    nodes = [(k, rng.randrange(30) if k > 80 else k, rng.choice(["", "s", "t"]), rng.random() < 0.5, rng.choice([None, 1, 2])) for k in range(140)]
+    pairs = [(k, k + 1) for k in range(80)] + [(k, k + 2) for k in range(0, 80, 3)] + [(rng.randrange(140), rng.randrange(140)) for _ in range(70)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    links = spark.createDataFrame(pairs, "a_id long, b_id long")
+    df = spark.createDataFrame(nodes, "id long, ord long, key string, geo boolean, code int").withColumn("key", F.nullif("key", F.lit("")))
+    got = {r.id: r.seed for r in graph.first_come(links, df.select("id", "ord"), whole).collect()}
+    assert got == plain_first_come(pairs, nodes)
+
+    def agree(a, b):
+        return a[2] == b[2] != "" and not (a[3] and b[3]) and (a[4] is None or a[4] != b[4])
+
+    assert {r.id: r.seed for r in graph.first_come(links, df, whole).collect()} == plain_first_come(pairs, nodes, agree)
+
+
+def test_a_long_strip_takes_few_rounds(spark, monkeypatch):
+    """10,000 footprints in a strip, each on its neighbours, in order."""
+    rounds = []
+    settled = graph._settled
+    monkeypatch.setattr(graph, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    n = 10_000
+    scenes_ = spark.range(n).select("id", F.col("id").alias("ord"), (F.col("id") * 0.5).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 0.5 + 1).alias("x1"), F.lit(1.0).alias("y1"))
+    got = {r.id: r.seed for r in temporal.seed_groups(scenes_).collect()}
+    assert got == {k: k - k % 2 for k in range(n)} and len(rounds) + graph.PEELED <= 20
+
+
+def test_one_stem_for_all_makes_no_pairs(spark):
+    n = 20_000
+    df = spark.range(n).select("id", F.col("id").alias("ord"), *[F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit("site").alias("stem"))
+    assert temporal.seed_groups(df).where("seed = 0").count() == n
 
 
 def test_kmeans_against_numpy(spark):
