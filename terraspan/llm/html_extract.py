@@ -17,9 +17,13 @@ say of it (``NAMES``), and a penalty if its importance is below ``THRESHOLD``.
 Branches with a negative score are removed.  So names decide where the site has one page or
 all its pages differ, and repetition overrules them: a ``content`` that is the
 same everywhere goes, a ``post-header`` inside an article that isn't stays.
+A name counts whole (``related``) or by its parts if the others only tell of
+layout (``related-box``); a compound with any other word (``market-share``)
+says little, and less than the main text around or below it.
 Elements that hold no text by their kind (``nav``, ``script``, forms) always go.
 
-Everything about nodes is grouped by (host, node); no task holds a host.
+Everything about nodes is grouped by (host, node).  A host's tree is sent to
+each of the host's groups of pages once, ahead of them.
 """
 
 from __future__ import annotations
@@ -35,17 +39,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm._spark import as_table, cut, ensure_importable, text_or_empty
+from terraspan.llm._spark import cut, ensure_importable, text_or_empty
 from terraspan.llm.url_filter import host_and_path
 
 THRESHOLD = 0.35
 GAMMA = 0.9
 #: Penalty of a node of no importance on very many pages that all differ.
 PENALTY = 5.0
-#: A node is part of the site's style if it is on one in so many of its pages.
-SHARE = 100
+#: A node is part of the site's style if it is on so many of its pages, or of a
+#: small site on a hundredth, but on two at least.
+PAGES, LEAST_PAGES = 10, 2
 #: What names say of an element, and what is left of a parent's score.
-NAMES = {"main": 2.0, "noise": -6.0, "doubtful": -1.5}
+NAMES = {"main": 2.0, "noise": -6.0, "compound": -2.4, "doubtful": -1.5}
 KEEPS, LEAST, MOST, START = 0.8, -4.0, 3.0, 1.0
 #: Key of the root.
 ROOT = 0
@@ -70,6 +75,10 @@ NOISE_WORDS = frozenset(
 )
 #: Of these, the words that say little inside main text.
 DOUBTFUL_WORDS = frozenset("header masthead notice notices alert hidden legal copyright disclaimer side search social skip".split())
+#: Words of compound names that only tell of layout.
+LAYOUT_WORDS = frozenset(
+    "area bar bars block blocks body bottom box boxes btn button buttons center col cols column columns container content entry fixed float form full global group head icon icons image images inner item items large layer left link links list lists main mobile module modules nav outer page panel pane post posts primary region right row secondary section site sitewide slot small stack sticky story tab tabs text title top unit units wide wrap wrapper zone user users reader readers visitor guest blog article news your our facebook twitter email".split()
+)
 #: Elements and words that tell of main text.
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
@@ -83,19 +92,22 @@ SIBLINGS = {
     "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "thead": ("tbody", "tfoot"), "tbody": ("tbody", "tfoot"),
 }
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z][^<>]*|!--.*)$", re.S
-)
+_OPENS = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOPS = re.compile("[>=]")
+_BLANK = re.compile(r"\s*")
+#: The rest of a tag whose quotes all hold values; anything else is looked at step by step.
+_PLAIN = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 _NAMED = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "key", "up", "children", "names", "words", "main")
+    __slots__ = ("tag", "label", "key", "up", "children", "names", "words", "main", "noise", "compound")
 
-    def __init__(self, tag: str, label: str, key: int, up: int, names: frozenset[str]):
-        self.tag, self.label, self.key, self.up, self.names = tag, label, key, up, names
+    def __init__(self, tag: str, label: str, key: int, up: int, names: frozenset[str] = frozenset(), noise: frozenset[str] = frozenset(), compound: bool = False):
+        self.tag, self.label, self.key, self.up, self.names, self.noise, self.compound = tag, label, key, up, names, noise, compound
         self.children: list[str] = []
         self.words = 0  # below it, itself included
         self.main = 0  # elements named as main text below it, itself included
@@ -111,23 +123,70 @@ def _key(parent: int, label: str) -> int:
 
 
 @lru_cache(1 << 14)
-def _label(tag: str, names: str) -> tuple[str, frozenset[str]]:
-    """The element's label, and the words of its names."""
+def _label(tag: str, names: str) -> tuple[str, frozenset[str], frozenset[str], bool]:
+    """The element's label, the words of its names, those that tell of noise,
+    and whether only a compound name with another word does."""
     found = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMED.findall(names)}
     parts = [tag]
     for mark, kind in (("#", "id"), ("@", "role"), (".", "class")):
         parts += [mark + _DIGITS.sub("0", x) for x in sorted(set(found.get(kind, "").split()))]
-    # the names of the whole page's elements tell of its layout
-    words = frozenset() if tag in ("html", "body") else frozenset(_WORDS.findall(" ".join(found.values())))
-    return "".join(parts), words
+    if tag in ("html", "body"):  # the names of the whole page's elements tell of its layout
+        return "".join(parts), frozenset(), frozenset(), False
+    noise: set[str] = set()
+    compound = False
+    for name in " ".join(found.values()).split():
+        words = {w for w in _PARTS.split(name) if w}
+        if words & NOISE_WORDS:
+            if words <= NOISE_WORDS | LAYOUT_WORDS:
+                noise |= words & NOISE_WORDS
+            else:
+                compound = True
+    return "".join(parts), frozenset(_WORDS.findall(" ".join(found.values()))), frozenset(noise), compound and not noise
+
+
+def tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag, -1 if there is none; a quote
+    holds a value only behind ``=``, and only if it is closed."""
+    while m := _STOPS.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = _BLANK.match(page, m.end()).end()
+        if page[at : at + 1] in ("'", '"') and at < len(page):
+            close = page.find(page[at], at + 1)
+            at = close + 1 if close >= 0 else at + 1
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, slash, tag, attributes, place behind) of every tag, in one
+    pass over the page; a comment or declaration has no tag, the last row
+    neither.  The receiver may send a place to go on from.
+
+    A tag without an end runs to the end of the page, and so does a comment;
+    without any ``>`` behind it, a ``<`` is text, but for a last unfinished
+    tag."""
+    at, text_from = 0, 0
+    while m := _OPENS.search(page, at):
+        if page.startswith("<!--", m.start()):
+            end = page.find("-->", m.start() + 4)
+            end = end + 2 if end >= 0 else -1
+        else:
+            plain = _PLAIN.match(page, m.end()) if m[2] else None
+            end = plain.end() - 1 if plain else tag_end(page, m.end()) if m[2] else page.find(">", m.end())
+        if end < 0:
+            rest = page.rfind("<") if not page.startswith("<!--", m.start()) and page.find(">", m.start()) < 0 else m.start()
+            yield page[text_from : rest if _OPENS.match(page, rest) else len(page)], "", "", "", len(page)
+            return
+        sent = yield page[text_from : m.start()], m[1] or "", (m[2] or "").lower(), page[m.end() : end] if m[2] else "", end + 1
+        at = text_from = end + 1 if sent is None else sent
+    yield page[text_from:], "", "", "", len(page)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """All block elements, parents before children, and the texts of the
     blocks in page order."""
-    root = Node("", "", ROOT, -1, frozenset())
+    root = Node("", "", ROOT, -1)
     nodes, blocks, stack, places, pending = [root], [], [root], [0], []
-    at, end = 0, len(page)
 
     def flush() -> None:
         if pending:
@@ -136,15 +195,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if text:
                 blocks.append((stack[-1], text))
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pending.append(page[at:])
+    found, go_on = tokens(page), None
+    while True:
+        try:
+            before, slash, tag, attributes, behind = found.send(go_on)
+        except StopIteration:
             break
-        if m.start() > at:
-            pending.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        go_on = None
+        if before:
+            pending.append(before)
         if not tag:
             continue
         if tag in INLINE:
@@ -152,7 +211,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 pending.append(" ")
             continue
         flush()
-        if m[1]:
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:], places[k:]
@@ -168,21 +227,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if len(stack) > 1 and tag in SIBLINGS.get(stack[-1].tag, ()):
             stack.pop()
             places.pop()
-        label, names = _label(tag, m[3] if m[3] and _NAMED.search(m[3]) else "")
+        label, names, noise, compound = _label(tag, attributes if attributes and _NAMED.search(attributes) else "")
         top = stack[-1]
-        node = Node(tag, label, _key(top.key, label), places[-1], names)
+        node = Node(tag, label, _key(top.key, label), places[-1], names, noise, compound)
         if not top.children or top.children[-1] != label:
             top.children.append(label)
         nodes.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         stack.append(node)
         places.append(len(nodes) - 1)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             stack.pop()
             places.pop()
-            at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, behind)
+            end = page.find(">", close.end()) if close else -1
+            go_on = end + 1 if end >= 0 else len(page)
     flush()
     for x, text in blocks:
         x.words += len(text.split())
@@ -250,8 +310,8 @@ def style_counts(pages: DataFrame) -> DataFrame:
 def importances(counts: DataFrame) -> DataFrame:
     """host, path, style, content, styles: importance (0 to 1) of the
     presentations and contents, and the number of presentations, of the nodes
-    that are on at least one in SHARE of their host's pages, from
-    ``style_counts``.  That is at most SHARE times the nodes of a mean page."""
+    that are on PAGES of their host's pages at least (of small hosts on fewer),
+    from ``style_counts``."""
     c = F.col("n").cast("double")
 
     def of(kind: str, x: Column) -> Column:
@@ -266,15 +326,10 @@ def importances(counts: DataFrame) -> DataFrame:
     own = own.withColumns({k: F.least(F.lit(1.0), F.col(k) / F.log("pages")) for k in ("style", "content")})
     site = own.where(F.col("path") == ROOT).select("host", F.col("pages").alias("site"), F.col("content").alias("differ"))
     proof = F.col("differ") * (1 - 1 / F.col("pages"))
-    nodes = own.where(F.col("path") != ROOT).join(site, "host").where(F.col("pages") * SHARE >= F.col("site"))
+    nodes = own.where(F.col("path") != ROOT).join(site, "host").where(F.col("pages") >= F.least(F.lit(PAGES), F.greatest(F.lit(LEAST_PAGES), F.col("site") / 100)))
     return nodes.select("host", "path", *[(1 - proof * (1 - F.col(k))).alias(k) for k in ("style", "content")], "styles")
 
 
-def site_styles(pages: DataFrame) -> DataFrame:
-    """host, nodes: the importances of each host's nodes."""
-    return importances(style_counts(pages)).groupBy("host").agg(F.collect_list(F.struct("path", "style", "content", "styles")).alias("nodes"))
-
-
 Site = dict[int, tuple[float, float, float]]
 
 
@@ -309,16 +364,18 @@ def main_text(page: str, site: Site) -> str:
             continue
         named = x.tag in MAIN_TAGS or bool(x.names & MAIN_WORDS)
         inside[k] = inside[x.up] or named
-        noise = x.names & NOISE_WORDS
-        if x.tag == "header":
-            noise |= {"header"}
+        noise = x.noise | {"header"} if x.tag == "header" else x.noise
         # a wrapper of nearly the whole page with all the main text inside isn't what its names say
-        wraps = x.main - named > 0 and x.main == nodes[0].main and 10 * x.words >= 9 * nodes[0].words
+        below = x.main - named
+        wraps = below > 0 and x.main == nodes[0].main and 10 * x.words >= 9 * nodes[0].words
         own = NAMES["main"] if named else 0.0
         if noise and not wraps:
             own = NAMES["noise"]
             if inside[x.up] and noise <= DOUBTFUL_WORDS:
                 own = NAMES["doubtful"] + (NAMES["main"] if named else 0.0)
+        elif x.compound and not noise and not below:
+            # it counts most beside main text that is named so, and not at all where none is
+            own += NAMES["doubtful"] if inside[x.up] else NAMES["compound"] if nodes[0].main else 0.0
         low = max(0.0, THRESHOLD - importance[k]) / THRESHOLD
         score[k] = max(LEAST, min(MOST, KEEPS * up + own - PENALTY * low))
     return "\n".join(text for x, text in blocks if score[place[id(x)]] >= 0)
@@ -333,7 +390,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     table gives an empty result.  Extra columns are ignored, whatever their
     names.
 
-    The tree has a row per host, which is joined to the host's pages; hosts
+    A host's tree goes ahead of its pages to the group that holds them; hosts
     with a ``HOT_SHARE``-th of all pages are dealt over ``SALTS`` groups.
     """
     ensure_importable(pages.sparkSession)
@@ -348,31 +405,38 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def salted(df: DataFrame, salts: Column) -> DataFrame:
         return df.join(hot, "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salts).drop("salts")
 
-    # a table: the planner knows its size, and broadcasts it if that allows it
-    styles = as_table(salted(site_styles(base), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "styles")
-    joined = salted(base, F.pmod(F.xxhash64("html"), F.col("salts")).cast("int")).join(styles, ["host", "salt"], "left")
+    tree = salted(importances(style_counts(base)), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     id_type = base.schema["id"].dataType.simpleString()
+    none = {"path": "long", "style": "double", "content": "double", "styles": "double"}
+    ahead = tree.select("host", "salt", *[F.col(k).cast(t) for k, t in none.items()], *[F.lit(None).cast(t).alias(k) for k, t in (("id", id_type), ("url", "string"), ("html", "string"))])
+    dealt = salted(base, F.pmod(F.xxhash64("html"), F.col("salts")).cast("int"))
+    rows = ahead.unionByName(dealt.select("host", "salt", *[F.lit(None).cast(t).alias(k) for k, t in none.items()], "id", "url", "html"))
+    rows = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from terraspan.llm.html_extract import main_text
 
-        known: dict[str, dict] = {}
+        at, site = None, {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = []
-                for row, (page, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    if host not in known:
-                        if len(known) >= 200:
-                            known.clear()
-                        nodes = part.column(4)[row].as_py() or ()
-                        known[host] = {x["path"]: (x["style"], x["content"], x["styles"]) for x in nodes}
-                    texts.append(main_text(page, known[host]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    ["id", "url", "text", "n_chars"],
-                )
-
-    return joined.select("id", "url", "html", "host", "nodes").mapInArrow(
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                texts, kept = [], []
+                told = (part.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 5, 8))
+                for row, (host, salt, path, style, content, styles, page) in enumerate(zip(*told, strict=True)):
+                    if (host, salt) != at:
+                        at, site = (host, salt), {}
+                    if page is None:
+                        site[path] = style, content, styles
+                    else:
+                        texts.append(main_text(page, site))
+                        kept.append(row)
+                if kept:
+                    pages = part.take(pa.array(kept))
+                    yield pa.RecordBatch.from_arrays(
+                        [pages.column(6), pages.column(7), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                        ["id", "url", "text", "n_chars"],
+                    )
+
+    return rows.select("host", "salt", "path", "style", "content", "styles", "id", "url", "html").mapInArrow(
         run, f"id {id_type}, url string, text string, n_chars long"
     ).withColumnRenamed("id", id_col)

@@ -589,6 +589,56 @@ def test_html_evidence_and_names(spark):
         assert r.text == want[r.page_id], (r.page_id, r.text)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p class=it's>Hello</p><p>We don't know</p></article><p>after</p>", "Hello\nWe don't know\nafter"),
+    ("<p title='a>b' id=x>one</p><p title = \"c>\">two</p><p class=\"open>three</p>", "one\ntwo\nthree"),
+    ("<p>1 < 2 and a<b</p>", "1 < 2 and a"),  # a tag b, as in browsers
+    ("if a < b and c", "if a < b and c"), ("<p>tail</p>rest <unfinished a='", "tail\nrest"), ("<p>x</p><!-- open <p>y", "x"),
+    ('<div class="market-share"><article><p>Shares rose</p></article></div>', "Shares rose"),
+    ('<article><p>a</p><section class="comments-policy">b</section><section class="related-work">c</section><div class="related-box">d</div><div class="login-flow">e</div></article>', "a\nb\nc\ne"),
+    ('<div class="share-buttons">x</div><div class="user-comments">no</div><div class="market-share">t</div>', "t"),
+    ('<article><p>t</p></article><div class="weekly-newsletter">no</div>', "t"),
+    ("<script>a</script x><p>t</p><script>never closed <p>z", "t"), ("<P CLASS=A/>t</P>", "t"),
+])
+def test_html_tags_and_names(page, text):
+    assert html_extract.main_text(page, {}) == text
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=\"a b\">", "</div>", "<a href='x>y'>", "</a>", "<br/>", "w ", "x<y", "=", "'", '"', ">", "<!-- c -->", "<!doctype html>", "<ul><li>", "</ul>", "&amp;"]), max_size=25).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_html_scanner_loses_nothing(page):
+    """Texts and tags of the scanner, put together, are the page up to its end."""
+    seen, at = [], 0
+    for before, _, tag, attributes, behind in html_extract.tokens(page):
+        assert page.startswith(before, at)
+        assert not tag or page[at + len(before)] == "<" and attributes in page[at:behind]
+        seen.append((before, tag))
+        at = behind
+    assert at == len(page)
+    plain = re.sub(r"<!--.*?-->|<[^>\"']*>", "", page)
+    if not re.search("[\"'=]", page) and page.count("<") == page.count(">"):
+        assert "".join(b for b, _ in seen) == plain or "x<y" in page
+
+
+@pytest.mark.parametrize("part", ["<div ", "a < b <c ", "<a b='", '<a b="', "<!-- ", "<", "</", 'a=<b ="', "<script>", "<p class='x' "])
+def test_html_of_a_megabyte_is_parsed_in_one_pass(part):
+    import time
+
+    page = part * (1_000_000 // len(part))
+    for text in (page, page + ">"):
+        began = time.perf_counter()
+        html_extract.parse(text)
+        assert time.perf_counter() - began < 2
+
+
+def test_html_tree_of_a_large_host(spark):
+    """A template on few of a host's pages is judged, whatever the host's size."""
+    rows = [(k, "http://big.com/", f"<div><p>Text {k}</p></div>") for k in range(2500)]
+    rows += [(5000 + k, "http://big.com/", f"<section><p>Always the same here</p></section><div><p>Text {5000 + k}</p></div>") for k in range(12)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k}" for k, _, _ in rows}
+
+
 def test_html_importances_are_entropies(spark):
     rng = random.Random(2)
     pages = [(f"h{k % 3}", f"<body><div class='c{k % 2}'><p>{rng.choice('abc')}</p><p>same</p></div><ul>{'<li>x' * rng.randrange(1, 3)}</ul>{rng.choice(['', '<b>t</b>'])}</body>") for k in range(60)]
