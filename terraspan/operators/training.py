@@ -75,8 +75,8 @@ def percentile_stretch(pixels: DataFrame, by: list[str], value: str, low: float
 
 def band_pixels(patches: DataFrame, key: str) -> DataFrame:
     """key, band, side, x, y, value from bands (band, side, values row by row)."""
-    each = patches.select(key, "band", "side", F.posexplode("values").alias("k", "value"))
-    return each.select(key, "band", "side", (F.col("k") % F.col("side")).alias("x"), F.floor(F.col("k") / F.col("side")).alias("y"), F.col("value").cast("double").alias("value"))
+    each = patches.select(key, "band", "side", F.posexplode("values").alias("__k", "value"))
+    return each.select(key, "band", "side", (F.col("__k") % F.col("side")).alias("x"), F.floor(F.col("__k") / F.col("side")).alias("y"), F.col("value").cast("double").alias("value"))
 
 
 def stack_bands(patches: DataFrame, key: str, order: list[str], size: int = 120) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
 from terraspan.plans._base import query, table
-from terraspan.sources import ingest, rasters
+from terraspan.sources import ingest, pixels, rasters
 from terraspan.sources.demo import tiff_bytes
 
 EPSG = "CASE o_orderkey % 3 WHEN 0 THEN 32643 WHEN 1 THEN 32767 ELSE 4326 END"
@@ -78,6 +78,59 @@ def src_base64_image(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.decode(rasters.base64_bytes(sent), "UTF-8").alias("decoded"))
 
 
+#: Customers as small images in one of six kinds of files; every 13th is cut.
+PIXEL_SQL = """f AS (SELECT c_custkey AS k, c_custkey % 4 + 5 AS w, c_custkey % 3 + 4 AS h, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END AS bands FROM customer WHERE c_custkey % 13 <> 0),
+p AS (SELECT k, x, y, b, ((k * 7 + x * 3 + y * 5 + b * 11) % 256)::DOUBLE AS value FROM f, range(8) i(x), range(6) j(y), range(3) l(b) WHERE x < w AND y < h AND b < bands)"""
+
+
+def _image_files(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from terraspan.sources import encoders
+
+        for batch in batches:
+            files = []
+            for k in batch.column(0).to_pylist():
+                y, x, b = np.meshgrid(np.arange(k % 3 + 4), np.arange(k % 4 + 5), np.arange(1 if k % 2 == 0 else 3), indexing="ij")
+                m = ((k * 7 + x * 3 + y * 5 + b * 11) % 256).astype(np.uint8 if k % 5 else np.uint16)
+                kinds = [
+                    lambda m: encoders.png(m), lambda m: encoders.png(m, (4,), True), lambda m: encoders.tiff(m), lambda m: encoders.tiff(m, 5, 2, rows=2),
+                    lambda m: encoders.tiff(m, 8, tile=(16, 16), order=">"), lambda m: encoders.tiff(m, 8, 2, rows=3, planar=2),
+                ]
+                data = kinds[k % 6](m)
+                files.append(data[: len(data) // 3] if k % 13 == 0 else data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["k", "content"])
+
+    return c.mapInArrow(run, "k long, content binary")
+
+
+@query(f"WITH {PIXEL_SQL} SELECT k, x::INT AS x, y::INT AS y, b::INT AS band, value FROM p")
+def src_pixels(spark, sf):
+    """All pixels of the whole files; a cut one gives some of its rows, which
+    ``src_pixel_problems`` reports and SQL can't foretell."""
+    found = pixels.pixels(pixels.decoded(_image_files(spark, sf), "k"), "k")
+    return found.where("k % 13 <> 0")
+
+
+@query("""SELECT c_custkey % 6 AS kind, count(*) AS files, count(*) FILTER (WHERE c_custkey % 13 = 0) AS damaged FROM customer GROUP BY 1""")
+def src_pixel_problems(spark, sf):
+    bad = pixels.problems(pixels.decoded(_image_files(spark, sf), "k"), "k").select("k").distinct().withColumn("bad", F.lit(1))
+    every = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).join(bad, "k", "left")
+    return every.groupBy((F.col("k") % 6).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.count("bad").alias("damaged"))
+
+
+@query(f"WITH {PIXEL_SQL} SELECT k, b::INT AS band, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_dev, count(*) AS n FROM p GROUP BY k, b")
+def agg_file_statistics(spark, sf):
+    """Band statistics straight from the files' pixels."""
+    found = pixels.pixels(pixels.decoded(_image_files(spark, sf).where("k % 13 <> 0"), "k"), "k")
+    s = raster.band_statistics(found, ["k", "band"], "value")
+    return s.select("k", "band", "min", "max", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), "n")
+
+
 #: Orders as the pixels of images of two sizes, row by row.
 IMAGES = """i AS (SELECT o_orderkey // 384 AS s, o_orderkey % 384 AS k, CASE WHEN o_orderkey // 384 % 2 = 0 THEN 24 ELSE 16 END AS w, floor(o_totalprice) % 1000 AS value FROM orders),
 p AS (SELECT s, w, 384 // w AS h, k % w AS x, k // w AS y, value FROM i)"""

@@ -33,25 +33,37 @@ RAW = (
 )
 
 
-def _tiff(data: bytes) -> dict:
+def tiff_fields(data: bytes, tags: set[int], whole: set[int]) -> dict[int, tuple]:
+    """The values of the tags in a TIFF's first directory; of those that aren't
+    in ``whole`` the first.  A count is believed only as far as the file goes."""
     order = "<" if data[:2] == b"II" else ">"
     big = struct.unpack_from(order + "H", data, 2)[0] == 43
     at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
     at, step, room, code = at + (8 if big else 2), 20 if big else 12, 8 if big else 4, "Q" if big else "I"
-    names, found = {v: k for k, v in TAGS.items()}, {}
+    found: dict[int, tuple] = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HH" + code, data, at + k * step)
-        if tag not in names or kind not in TYPES:
+        if tag not in tags or kind not in TYPES:
             continue
-        form = f"{count}s" if TYPES[kind] == "s" else TYPES[kind] * count
-        size = struct.calcsize(order + form)
+        size = struct.calcsize(order + TYPES[kind]) * count
+        if size > len(data):
+            raise struct.error("more values than bytes")
         place = at + k * step + step - room
         if size > room:
             place = struct.unpack_from(order + code, data, place)[0]
-        found[names[tag]] = struct.unpack_from(order + form, data, place)
+        if tag not in whole:
+            count = min(count, 1)
+        form = f"{count}s" if TYPES[kind] == "s" else TYPES[kind][0] * (count * len(TYPES[kind]))
+        found[tag] = struct.unpack_from(order + form, data, place)
+    return found
+
+
+def _tiff(data: bytes) -> dict:
+    names = {v: k for k, v in TAGS.items()}
     out: dict = {"kind": "TIFF"}
-    for name, values in found.items():
+    for tag, values in tiff_fields(data, set(names), {TAGS[k] for k in TEXTS | ARRAYS}).items():
+        name = names[tag]
         if name in TEXTS:
             first = values[0] if values and isinstance(values[0], bytes) else bytes(values)
             out[name] = first.split(b"\0")[0].decode("utf-8", "replace")
@@ -83,7 +95,7 @@ def header(data: bytes | None) -> dict:
             return {"kind": "PNG", "width": width, "height": height, "bits": bits, "samples": {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]} if width and height else {"kind": "BROKEN"}
         if data[:2] == b"\xff\xd8":
             return _jpeg(data)
-    except (struct.error, KeyError, IndexError, OverflowError, MemoryError):
+    except (struct.error, KeyError, IndexError, OverflowError, MemoryError, ValueError):
         return {"kind": "BROKEN"}
     return {"kind": "UNKNOWN"}
 
