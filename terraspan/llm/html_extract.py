@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm._spark import cut, ensure_importable, text_or_empty
+from terraspan.llm._spark import as_table, cut, ensure_importable, text_or_empty
 from terraspan.llm.url_filter import host_and_path
 
 THRESHOLD = 0.35
@@ -54,8 +54,8 @@ NAMES = {"main": 2.0, "noise": -6.0, "compound": -2.4, "doubtful": -1.5}
 KEEPS, LEAST, MOST, START = 0.8, -4.0, 3.0, 1.0
 #: Key of the root.
 ROOT = 0
-#: Hosts with one in so many of all pages are dealt over SALTS groups.
-HOT_SHARE, SALTS = 512, 32
+#: Pages of a group at most, about; larger hosts are dealt over several.
+GROUP = 4096
 
 #: Elements inside a block.
 INLINE = frozenset(
@@ -323,6 +323,7 @@ def importances(counts: DataFrame) -> DataFrame:
     own = counts.groupBy("host", "path").agg(
         of("page", c).alias("pages"), of("style", F.lit(1.0)).alias("styles"), entropy("style").alias("style"), entropy("content").alias("content")
     ).where("pages > 1")
+    own = cut(own)  # read twice
     own = own.withColumns({k: F.least(F.lit(1.0), F.col(k) / F.log("pages")) for k in ("style", "content")})
     site = own.where(F.col("path") == ROOT).select("host", F.col("pages").alias("site"), F.col("content").alias("differ"))
     proof = F.col("differ") * (1 - 1 / F.col("pages"))
@@ -391,19 +392,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     names.
 
     A host's tree goes ahead of its pages to the group that holds them; hosts
-    with a ``HOT_SHARE``-th of all pages are dealt over ``SALTS`` groups.
+    of more than ``GROUP`` pages are dealt over several groups.
     """
     ensure_importable(pages.sparkSession)
     host, _ = host_and_path(F.col(url_col))
     base = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), text_or_empty(html_col).alias("html")
     )
-    counts = cut(base.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    limit = -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = F.broadcast(counts.where(F.col("n") >= max(limit, 1000)).select("host", F.lit(SALTS).alias("salts")))
+    # a row for every GROUP pages at most; as a table, so that the planner knows its size
+    large = base.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    large = as_table(large.select("host", F.ceil(F.col("n") / GROUP).cast("int").alias("salts")), "hosts")
 
     def salted(df: DataFrame, salts: Column) -> DataFrame:
-        return df.join(hot, "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salts).drop("salts")
+        return df.join(large, "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salts).drop("salts")
 
     tree = salted(importances(style_counts(base)), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     id_type = base.schema["id"].dataType.simpleString()
