@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from terraspan.lineage import shared_dir
 from terraspan.operators import evidence, review, training
 from terraspan.plans._base import query, table
+from terraspan.streaming import reviews
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'NEW' WHEN 'P' THEN 'ARCHIVED' ELSE 'IN_REVIEW' END"
 
@@ -383,6 +387,42 @@ def set_training_validation(spark, sf):
     return training.validated(r).select("id", "line", "rejected")
 
 
+#: Events as reviews of a user's candidate: the type tells the action, every
+#: seventh one enqueues and every 31st archives.
+STEPS = """a AS (SELECT user_id AS candidate_id, event_id::VARCHAR AS event_id, ts, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'ENQUEUED' WHEN event_id % 31 = 0 THEN 'ARCHIVED' WHEN event_type = 'click' THEN 'CONFIRMED'
+ WHEN event_type = 'view' THEN 'REJECTED' WHEN event_type = 'purchase' THEN 'UNCERTAIN' ELSE upper(event_type) END AS action FROM events),
+b AS (SELECT *, coalesce(max((action = 'ENQUEUED')::INT) OVER (PARTITION BY candidate_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queued FROM a),
+c AS (SELECT *, coalesce(max((action = 'ARCHIVED' AND queued = 1)::INT) OVER (PARTITION BY candidate_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM b),
+d AS (SELECT *, CASE WHEN action NOT IN ('ENQUEUED', 'ARCHIVED', 'CONFIRMED', 'REJECTED', 'UNCERTAIN') THEN 'UNKNOWN_ACTION' WHEN action = 'ENQUEUED' AND queued = 1 THEN 'ALREADY_QUEUED'
+ WHEN action <> 'ENQUEUED' AND queued = 0 THEN 'NOT_FOUND' WHEN action <> 'ENQUEUED' AND closed = 1 THEN 'ARCHIVED' END AS reason FROM c),
+s AS (SELECT candidate_id, event_id, ts, action, last_value(CASE WHEN reason IS NULL THEN action END IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_status,
+ last_value(CASE WHEN reason IS NULL THEN action END IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY ts, seq) AS to_status, reason IS NULL AS accepted, reason,
+ count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY candidate_id ORDER BY ts, seq) AS step FROM d)"""
+STEP_COLUMNS = ["candidate_id", "event_id", "ts", "action", "from_status", "to_status", "accepted", "reason", "step"]
+
+
+def _review_events(events):
+    kind, i = F.col("event_type"), F.col("event_id")
+    action = F.when(i % 7 == 0, "ENQUEUED").when(i % 31 == 0, "ARCHIVED").when(kind == "click", "CONFIRMED").when(kind == "view", "REJECTED").when(kind == "purchase", "UNCERTAIN").otherwise(F.upper(kind))
+    return events.select(F.col("user_id").alias("candidate_id"), i.cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), i.alias("seq"), action.alias("action"))
+
+
+@query(f"WITH {STEPS} SELECT * FROM s")
+def st_review_steps(spark, sf):
+    return reviews.steps_of_log(_review_events(table(spark, sf, "events"))).select(*STEP_COLUMNS)
+
+
+@query(f"WITH {STEPS} SELECT * FROM s WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def st_review_stream(spark, sf):
+    """The same by the state machine over the table as a stream: all that the
+    watermark has passed."""
+    home = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # a pattern may also be one file
+    reviews.keep_steps(_review_events(stream), f"{home}/steps", f"{home}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{home}/steps").select(*STEP_COLUMNS)
+
+
 #: Fixed value: the bands of a stack.
 S2_BANDS = ["B01", "B02", "B05"]
 #: Customers as patches of three bands with 2, 8 and 4 pixels a side; every
