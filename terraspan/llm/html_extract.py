@@ -55,7 +55,7 @@ KEEPS, LEAST, MOST, START = 0.8, -4.0, 3.0, 1.0
 #: Key of the root.
 ROOT = 0
 #: Pages of a group at most, about; larger hosts are dealt over several.
-GROUP = 4096
+GROUP = 1024
 
 #: Elements inside a block.
 INLINE = frozenset(
