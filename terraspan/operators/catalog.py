@@ -94,11 +94,24 @@ def archive_stats(scenes: DataFrame, modality: str = "modality", format: str = "
         F.grouping_id("m", "f").alias("gid"), F.count(F.lit(1)).alias("scenes"), F.sum("b").alias("bytes"),
         F.count_if("g").alias("georeferenced"), F.max("t").alias("latest"),
     )
+    return _faceted(sets)
+
+
+def _faceted(sets: DataFrame) -> DataFrame:
     facet = F.when(F.col("gid") == 1, "modality").when(F.col("gid") == 2, "format").otherwise("all")
     value = F.when(F.col("gid") == 1, F.col("m")).when(F.col("gid") == 2, F.col("f"))
     return sets.select(facet.alias("facet"), value.alias("value"), "scenes", "bytes", "georeferenced", "latest")
 
 
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """What ``archive_stats`` gives, from partial sums (modality, format,
+    scenes, bytes, georeferenced, latest)."""
+    base = parts.withColumnsRenamed({"modality": "m", "format": "f"})
+    return _faceted(base.groupingSets([["m"], ["f"], []], "m", "f").agg(
+        F.grouping_id("m", "f").alias("gid"), *[F.sum(c).alias(c) for c in ("scenes", "bytes", "georeferenced")], F.max("latest").alias("latest")
+    ))
+
+
 def latest_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``."""
     rank = F.row_number().over(W.partitionBy(*key).orderBy(*order))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
+from terraspan.lineage import shared_dir
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, pixels, rasters
 from terraspan.sources.demo import tiff_bytes
+from terraspan.streaming import catalogue
 
 EPSG = "CASE o_orderkey % 3 WHEN 0 THEN 32643 WHEN 1 THEN 32767 ELSE 4326 END"
 BITS = "CASE o_orderkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END"
@@ -78,6 +81,35 @@ def src_base64_image(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.decode(rasters.base64_bytes(sent), "UTF-8").alias("decoded"))
 
 
+def _streamed(spark, sf):
+    """The orders' files, every fourth one twice, taken in as a stream of parts."""
+    home = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    files = _files(spark, sf).drop("o_orderkey")
+    again = F.when(F.pmod(F.xxhash64("file_name"), F.lit(4)) == 0, F.array(F.lit(""), F.lit("copy_of_"))).otherwise(F.array(F.lit("")))
+    files = files.select(F.explode(again).alias("prefix"), "file_name", "content").select(F.concat("prefix", "file_name").alias("file_name"), "content")
+    files.repartition(4).write.parquet(f"{home}/files")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/files")
+    catalogue.ingest_stream(stream, f"{home}/catalogue", f"{home}/checkpoint").awaitTermination()
+    return f"{home}/catalogue"
+
+
+#: A file's content depends on these columns alone.
+CONTENT = f"""c AS (SELECT DISTINCT o_orderkey % 4000 AS a, o_custkey % 3000 AS b, o_orderkey % 5 AS bands, o_orderkey % 4 AS bits, o_orderkey % 3 AS f, CAST(o_orderdate AS DATE) AS d, ({EPSG}) AS epsg FROM orders WHERE {WHOLE}),
+t AS (SELECT CASE WHEN bands = 0 THEN 'sar' WHEN bands = 1 THEN 'unknown' WHEN bands = 2 THEN 'optical' ELSE 'multispectral' END AS modality, epsg <> 32767 AS geo FROM c)"""
+
+
+@query(f"""WITH {CONTENT}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE geo) AS g FROM t) SELECT 'all' AS facet, NULL AS value, n AS scenes, n * 248 AS bytes, g AS georeferenced FROM s
+UNION ALL SELECT 'format', 'TIFF', n, n * 248, g FROM s""")
+def src_stream_totals(spark, sf):
+    t = catalogue.totals(spark, _streamed(spark, sf))
+    return t.where("facet <> 'modality'").select("facet", "value", "scenes", "bytes", "georeferenced")
+
+
+@query(f"""WITH {CONTENT} SELECT 'NEW' AS outcome, count(*) AS files FROM c""")
+def src_stream_ingest(spark, sf):
+    return catalogue.outcomes(spark, _streamed(spark, sf)).where("outcome = 'NEW'")
+
+
 #: Customers as small images in one of six kinds of files; every 13th is cut.
 PIXEL_SQL = """f AS (SELECT c_custkey AS k, c_custkey % 4 + 5 AS w, c_custkey % 3 + 4 AS h, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END AS bands FROM customer WHERE c_custkey % 13 <> 0),
 p AS (SELECT k, x, y, b, ((k * 7 + x * 3 + y * 5 + b * 11) % 256)::DOUBLE AS value FROM f, range(8) i(x), range(6) j(y), range(3) l(b) WHERE x < w AND y < h AND b < bands)"""

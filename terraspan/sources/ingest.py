@@ -14,32 +14,37 @@ from terraspan.operators import catalog
 from terraspan.sources import rasters
 
 
-def scene_rows(files: DataFrame, known: DataFrame) -> DataFrame:
-    """A row per file (file_name, content) with what its header and name tell
-    and its outcome: NEW, DUPLICATE (content known, or another of these files
-    has it), EMPTY_BUFFER, DAMAGED or UNSUPPORTED.  ``known``: file_hash.
-
-    The contents aren't shuffled: hash and header are taken where they are read.
-    """
+def described(files: DataFrame) -> DataFrame:
+    """A row per file (file_name, content) with what its header and name tell,
+    and why it can't be a scene (``refused``: EMPTY_BUFFER, UNSUPPORTED,
+    DAMAGED, else null).  Nothing is shuffled; files may be a stream."""
     df = files.withColumns({"file_hash": F.sha2("content", 256), "file_size_bytes": F.length("content").cast("long")})
     df = rasters.raw_headers(df, "file_name", "file_hash", "file_size_bytes")
     s, m, told = rasters.scene_header(F.col("h")), rasters.chat_metadata(F.col("h")), from_file_name(F.col("file_name"), F.coalesce(F.col("h.samples"), F.lit(3)))
     df = df.withColumns({"s": s, "m": m, "told": told})
     day = F.coalesce(F.substring("s.acquisition_date", 1, 10), F.col("told.date").cast("string"))
-    df = df.select(
+    refused = F.when(F.col("h.kind") == "EMPTY", "EMPTY_BUFFER").when(F.col("h.kind") == "UNKNOWN", "UNSUPPORTED").when(F.col("h.kind") == "BROKEN", "DAMAGED")
+    return df.select(
         scene_id(F.col("told.sensor"), day, F.col("file_hash")).alias("scene_id"), "file_name", "file_hash", "file_size_bytes", F.col("h.kind").alias("format"),
         "h.width", "h.height", F.coalesce("s.band_count", "m.bands").alias("band_count"), "s.bands", "s.crs", "s.epsg", "s.transform", "m.bounds",
         F.coalesce(F.to_timestamp("s.acquisition_date"), F.to_timestamp(day)).alias("acquisition_date"), "told.sensor", "told.satellite",
-        F.coalesce("told.modality", "s.modality").alias("modality"),
+        F.coalesce("told.modality", "s.modality").alias("modality"), refused.alias("refused"),
     )
+
+
+def scene_rows(files: DataFrame, known: DataFrame) -> DataFrame:
+    """A row per file (file_name, content) with what its header and name tell
+    and its outcome: NEW, DUPLICATE (content known, or another of these files
+    has it), EMPTY_BUFFER, DAMAGED or UNSUPPORTED.  ``known``: file_hash.
+
+    The contents aren't shuffled: hash and header are taken where they are read.
+    """
+    df = described(files)
     first = df.groupBy("file_hash").agg(F.min("file_name").alias("first_name"))
     seen = known.select("file_hash").distinct().withColumn("known", F.lit(True))
     df = df.join(first, "file_hash").join(seen, "file_hash", "left")
-    outcome = (
-        F.when(F.col("format") == "EMPTY", "EMPTY_BUFFER").when(F.col("format") == "UNKNOWN", "UNSUPPORTED").when(F.col("format") == "BROKEN", "DAMAGED")
-        .when(F.col("known") | (F.col("file_name") != F.col("first_name")), "DUPLICATE").otherwise("NEW")
-    )
-    return df.withColumn("outcome", outcome).drop("known", "first_name")
+    copy = F.when(F.col("known") | (F.col("file_name") != F.col("first_name")), "DUPLICATE").otherwise("NEW")
+    return df.withColumn("outcome", F.coalesce("refused", copy)).drop("known", "first_name", "refused")
 
 
 def append_scenes(rows: DataFrame, path: str) -> DataFrame:

@@ -12,12 +12,23 @@ from terraspan.functions.language import file_format, from_file_name, scene_id
 RASTERS = "*.{tif,tiff,geotiff,png,jpg,jpeg}"
 
 
+def _kept(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A table of the engine: empty if there is none yet, and without the
+    files that can't be read."""
+    s, where = schemas.schema(kind), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], s)
+    return spark.read.schema(s).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
+
+
 def scenes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.schema(schemas.SCENE)).parquet(path)
+    """The catalogue."""
+    return _kept(spark, path, schemas.SCENE)
 
 
 def vector_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.schema(schemas.EMBEDDING)).parquet(path)
+    """The embeddings of targets."""
+    return _kept(spark, path, schemas.EMBEDDING)
 
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:
