@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions import gates, geo
+from terraspan.operators.graph import reached
 
 #: Fixed values.
 OVERLAP_IOU, OVERLAP_PCT = 0.15, 25.0
@@ -84,6 +85,42 @@ def audit_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+#: Fixed value: version of the tools in a provenance record.
+TOOL_VERSION = "2.0.0-evidence-engine"
+#: Edges along which the target rests on the source; along others the source rests on the target.
+BACKWARDS = ("YIELDS", "VERIFIED_BY", "PROVES")
+
+
+def provenance(source_file: Column, content: Column, tool: Column, operation: Column, parameters: Column, ts: Column) -> Column:
+    """The record of how a measurement was made; the content is hashed whole."""
+    data = content.cast("binary")
+    return F.struct(
+        source_file.alias("source_file"), F.coalesce(F.length(data), F.lit(0)).cast("long").alias("file_size_bytes"), F.sha2(F.coalesce(data, F.lit("").cast("binary")), 256).alias("file_sha256"),
+        tool.alias("tool"), F.lit(TOOL_VERSION).alias("tool_version"), operation.alias("operation"), parameters.alias("parameters"), ts.alias("timestamp"),
+    )
+
+
+def with_provenance(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """Nodes with the ``provenance`` of their record (node_id, provenance);
+    only measured evidence has one."""
+    found = nodes.join(records.select("node_id", "provenance"), "node_id", "left")
+    return found.select(*nodes.columns, F.when(F.col("node_type") == "MEASURED_EVIDENCE", F.col("provenance")).alias("provenance"))
+
+
+def rests_on(nodes: DataFrame, edges: DataFrame, kind: str = "DECISION") -> DataFrame:
+    """start, node_id, node_type, steps: all that each node of a kind rests on.
+
+    A decision rests on the gate that yields it, a gate on the measurement that
+    it verifies, a requirement on what proves it, a claim on its requirements,
+    and a measurement on the regions where it lies.
+    """
+    back = F.col("edge_type").isin(*BACKWARDS)
+    support = edges.select(F.when(back, F.col("target")).otherwise(F.col("source")).alias("a"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("b"))
+    starts = nodes.where(F.col("node_type") == kind).select(F.col("node_id").alias("node"))
+    found = reached(support, starts).where("steps > 0")
+    return found.join(nodes.select(F.col("node_id").alias("node"), "node_type"), "node").select("start", F.col("node").alias("node_id"), "node_type", "steps")
+
+
 def summary(claims: DataFrame) -> DataFrame:
     s = F.col("status")
     return claims.agg(

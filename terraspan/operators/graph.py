@@ -59,6 +59,22 @@ def _shortened(step: DataFrame) -> DataFrame:
     raise RuntimeError(f"paths did not end in {ROUNDS} rounds")
 
 
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, steps: the nodes that can be reached from each start
+    (``starts``: node) along edges (a to b), and in how few steps.  A round
+    goes one edge further from what the last one has found, and what is known
+    isn't found again, so circles end."""
+    edges = as_table(edges.select("a", "b").distinct(), "edges")
+    new = as_table(starts.select(F.col("node").alias("start"), "node").distinct(), "reached")
+    found, turn = new.withColumn("steps", F.lit(0)), 0
+    while not new.isEmpty():
+        turn += 1
+        further = new.join(edges, new["node"] == edges["a"]).select("start", F.col("b").alias("node")).distinct()
+        new = as_table(further.join(found, ["start", "node"], "left_anti"), "reached")
+        found = found.unionByName(new.withColumn("steps", F.lit(turn)))
+    return found.where("steps > 0 OR start = node")
+
+
 #: Rows (nodes and links) of a group that one task settles at once.
 WHOLE = 1_000_000
 #: Rounds in which nodes are settled by joins before groups are looked for.

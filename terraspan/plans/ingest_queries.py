@@ -12,7 +12,7 @@ from terraspan.functions import raster
 from terraspan.functions.resampling import resample
 from terraspan.lineage import shared_dir
 from terraspan.plans._base import query, table
-from terraspan.sources import ingest, pixels, rasters
+from terraspan.sources import ingest, lmdb, pixels, rasters
 from terraspan.sources.demo import tiff_bytes
 from terraspan.streaming import catalogue
 
@@ -163,6 +163,32 @@ def agg_file_statistics(spark, sf):
     return s.select("k", "band", "min", "max", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), "n")
 
 
+@query("""SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS key, sha256(repeat(o_orderpriority || '|', (o_orderkey % 300 + 1)::INT)) AS value FROM orders""")
+def src_lmdb(spark, sf):
+    """Orders as items of LMDB files that tasks write, some too large for a
+    page, read back by key range."""
+    home = f"{shared_dir(spark)}/lmdb-{uuid.uuid4().hex}"
+    key = F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
+    value = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 300 + 1).cast("int"))
+    items = table(spark, sf, "orders").select((F.floor(F.col("o_orderkey") / 5000)).alias("file"), key.cast("binary").alias("key"), value.cast("binary").alias("value"))
+
+    def write(group):
+        from pyarrow import fs
+
+        from terraspan.sources import encoders
+
+        system, root = fs.FileSystem.from_uri(home if "://" in home else f"file://{home}")
+        place = f"{root}/{group['file'][0].as_py()}"
+        system.create_dir(place)
+        with system.open_output_stream(f"{place}/data.mdb") as f:
+            f.write(encoders.lmdb(list(zip(group["key"].to_pylist(), group["value"].to_pylist(), strict=True))))
+        return group.select(["file"]).slice(0, 1)
+
+    items.groupBy("file").applyInArrow(write, "file long").collect()  # the number of each file
+    found = lmdb.read(spark, home, 8)
+    return found.select(F.col("key").cast("string").alias("key"), F.sha2("value", 256).alias("value"))
+
+
 #: Orders as the pixels of images of two sizes, row by row.
 IMAGES = """i AS (SELECT o_orderkey // 384 AS s, o_orderkey % 384 AS k, CASE WHEN o_orderkey // 384 % 2 = 0 THEN 24 ELSE 16 END AS w, floor(o_totalprice) % 1000 AS value FROM orders),
 p AS (SELECT s, w, 384 // w AS h, k % w AS x, k // w AS y, value FROM i)"""

@@ -255,6 +255,40 @@ def gr_audit_edges(spark, sf):
     return evidence.audit_graph(_audited(spark, sf))[1]
 
 
+@query(f"""WITH {AUDITED}, g AS (SELECT 'claim/' || k || '/decision/0' AS start, 'claim/' || k AS c, n FROM c)
+SELECT start, c || '/verification_gate/1' AS node_id, 'VERIFICATION_GATE' AS node_type, 1 AS steps FROM g UNION ALL SELECT start, c || '/measured_evidence/0', 'MEASURED_EVIDENCE', 2 FROM g
+UNION ALL SELECT start, c || '/spatial_region/' || n, 'SPATIAL_REGION', 3 FROM g""")
+def gr_rests_on(spark, sf):
+    """All that each decision rests on."""
+    return evidence.rests_on(*evidence.audit_graph(_audited(spark, sf)))
+
+
+@query(f"""WITH {AUDITED} SELECT 'claim/' || k AS start, count(*) AS supports, max(steps) AS farthest FROM (
+SELECT k, 1 AS steps FROM p UNION ALL SELECT k, 2 FROM p UNION ALL SELECT k, 3 FROM p) GROUP BY k""")
+def gr_claim_support(spark, sf):
+    """How much each claim rests on: its requirements, what proves them, and where."""
+    found = evidence.rests_on(*evidence.audit_graph(_audited(spark, sf)), "CLAIM")
+    return found.groupBy("start").agg(F.count(F.lit(1)).alias("supports"), F.max("steps").alias("farthest"))
+
+
+@query(f"""WITH {AUDITED} SELECT 'claim/' || k || '/measured_evidence/' || i AS node_id, c_name || '.tif' AS source_file, length(c_name) + 2 AS file_size_bytes, sha256(c_name || '/' || i) AS file_sha256, 'measureChange' AS tool,
+ '2.0.0-evidence-engine' AS tool_version, 'delta' AS operation, 'threshold=' || i AS parameters FROM p
+UNION ALL SELECT 'claim/' || k || '/required_evidence/' || i, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p""")
+def gr_provenance(spark, sf):
+    a = _audited(spark, sf)
+    nodes = evidence.audit_graph(a)[0]
+    each = a.select("claim_id", "text", F.posexplode("measurements").alias("i", "m"))
+    name = F.concat_ws("/", F.lit("claim"), F.col("claim_id").cast("string"), F.lit("measured_evidence"), F.col("i").cast("string"))
+    record = evidence.provenance(
+        F.concat("text", F.lit(".tif")), F.concat_ws("/", "text", F.col("i").cast("string")), F.lit("measureChange"), F.lit("delta"),
+        F.create_map(F.lit("threshold"), F.col("i").cast("string")), F.lit("2024-01-01").cast("timestamp"),
+    )
+    found = evidence.with_provenance(nodes, each.select(name.alias("node_id"), record.alias("provenance"))).where(F.col("node_type").isin("MEASURED_EVIDENCE", "REQUIRED_EVIDENCE"))
+    p = F.col("provenance")
+    parameters = F.array_join(F.transform(F.map_entries(p["parameters"]), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return found.select("node_id", *[p[c].alias(c) for c in ("source_file", "file_size_bytes", "file_sha256", "tool", "tool_version", "operation")], parameters.alias("parameters"))
+
+
 @query("""SELECT count(*) AS claims, count(*) FILTER (WHERE c_acctbal > 5000) AS verified, count(*) FILTER (WHERE c_acctbal < 0) AS conflicts,
  count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 5000) AS open FROM customer""")
 def agg_claim_summary(spark, sf):

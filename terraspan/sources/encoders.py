@@ -1,4 +1,5 @@
-"""Image files from arrays (rows, columns, bands): PNG and TIFF."""
+"""Image files from arrays (rows, columns, bands): PNG and TIFF; LMDB files
+from items."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import zlib
 
 import numpy as np
 
+from terraspan.sources import lmdb as pages
 from terraspan.sources.pixels import DEFLATE, LZW, PASSES, TAGS
 
 
@@ -113,3 +115,57 @@ def tiff(pixels: np.ndarray, compression: int = 1, predictor: int = 1, rows: int
         entries += struct.pack(order + "HHI", number, 4, len(values)) + place
     head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at)
     return head + b"".join(p + b"\0" * (len(p) % 2) for p in parts) + struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "I", 0) + more
+
+
+def lmdb(items: list[tuple[bytes, bytes]], page: int = 4096, most: int = 1 << 30) -> bytes:
+    """An LMDB data file of the items (distinct keys); ``most``: nodes of a page."""
+    body: list[bytes] = []  # from page 2
+
+    def full(kind: int, nodes: list[bytes]) -> int:
+        head, data, places = pages.HEAD + 2 * len(nodes), b"", []
+        for n in nodes:
+            data = n + b"\0" * (len(n) % 2) + data
+            places.append(page - len(data))
+        number = len(body) + 2
+        body.append(struct.pack(f"<QHHHH{len(nodes)}H", number, 0, kind, head, page - len(data), *places) + bytes(page - head - len(data)) + data)
+        return number
+
+    def level(kind: int, nodes: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int]]:
+        out, held, size = [], [], pages.HEAD
+        for key, n in [*nodes, (b"", b"")]:
+            if held and (not n or len(held) >= most or size + len(n) + 3 > page):
+                out.append((held[0][0], full(kind, [x for _, x in held])))
+                held, size = [], pages.HEAD
+            held.append((key, n))
+            size += len(n) + len(n) % 2 + 2
+        return out
+
+    leaves, big = [], 0
+    for key, value in sorted(items):
+        flags, data = 0, value
+        if len(key) + len(value) + 8 > (page - pages.HEAD) // 2 - 2:
+            n = -(-(pages.HEAD + len(value)) // page)
+            number = len(body) + 2
+            whole = struct.pack("<QHHI", number, 0, pages.OVERFLOW, n) + value
+            whole += bytes(n * page - len(whole))
+            body.extend(whole[k : k + page] for k in range(0, len(whole), page))
+            flags, data, big = pages.BIG, struct.pack("<Q", number), big + n
+        leaves.append((key, struct.pack("<HHHH", len(value) & 0xFFFF, len(value) >> 16, flags, len(key)) + key + data))
+    depth, nodes = (1, level(pages.LEAF, leaves)) if leaves else (0, [])
+    n_leaves, n_branches = len(nodes), 0
+    while len(nodes) > 1:
+        links = [(key, struct.pack("<HHHH", to & 0xFFFF, to >> 16 & 0xFFFF, to >> 32, len(key) if k else 0) + (key if k else b"")) for k, (key, to) in enumerate(nodes)]
+        nodes = level(pages.BRANCH, links)
+        n_branches, depth = n_branches + len(nodes), depth + 1
+    root = nodes[0][1] if nodes else pages.NO_PAGE
+
+    def meta(number: int, transaction: int) -> bytes:
+        none = struct.pack("<IHH5Q", page, 0, 0, 0, 0, 0, 0, pages.NO_PAGE)
+        if not transaction:
+            main = struct.pack("<IHH5Q", 0, 0, 0, 0, 0, 0, 0, pages.NO_PAGE)
+        else:
+            main = struct.pack("<IHH5Q", 0, 0, depth, n_branches, n_leaves, big, len(leaves), root)
+        data = struct.pack("<QHHHH", number, 0, pages.META, 0, 0) + struct.pack("<IIQQ", pages.MAGIC, 1, 0, 1 << 30) + none + main + struct.pack("<QQ", len(body) + 1, transaction)
+        return data + bytes(page - len(data))
+
+    return meta(0, 0) + meta(1, 1) + b"".join(body)
