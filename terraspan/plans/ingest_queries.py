@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
 from terraspan.lineage import shared_dir
+from terraspan.operators import tools
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, lmdb, pixels, rasters
 from terraspan.sources.demo import tiff_bytes
@@ -189,6 +190,22 @@ def src_lmdb(spark, sf):
     return found.select(F.col("key").cast("string").alias("key"), F.sha2("value", 256).alias("value"))
 
 
+@query(f"""WITH {PIXEL_SQL}, w AS (SELECT k, x, y, max(value) FILTER (WHERE b = 0) AS r, max(value) FILTER (WHERE b = 1) AS g, max(value) FILTER (WHERE b = 2) AS b FROM p WHERE k % 2 = 1 GROUP BY ALL),
+v AS (SELECT CASE WHEN k % 6 < 2 THEN 'PNG' ELSE 'TIFF' END AS format, k, CASE WHEN abs(r + g) > 1e-6 AND abs((r - g) / (r + g)) <= 1 THEN (r - g) / (r + g) END AS nd, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM w)
+SELECT format, count(DISTINCT k) AS files, round(avg(nd), 6) AS difference, round(avg(lum), 6) AS luminance FROM v GROUP BY format""")
+def udf_tools_in_sql(spark, sf):
+    """Four tools by name in one SQL statement: two over tables of files, two
+    measures of their pixels."""
+    tools.register(spark)
+    return spark.sql(
+        """WITH p AS (SELECT k, x, y, max(value) FILTER (WHERE band = 0) AS r, max(value) FILTER (WHERE band = 1) AS g, max(value) FILTER (WHERE band = 2) AS b
+           FROM read_pixels(TABLE({files})) WHERE problem IS NULL GROUP BY k, x, y)
+           SELECT h.format, count(DISTINCT p.k) AS files, round(avg(normalised_difference(r, g)), 6) AS difference, round(avg(luminance(r, g, b)), 6) AS luminance
+           FROM p JOIN validate_raster(TABLE({files})) h ON p.k = h.k GROUP BY h.format""",
+        files=_image_files(spark, sf).where("k % 2 = 1 AND k % 13 <> 0"),
+    )
+
+
 #: Orders as the pixels of images of two sizes, row by row.
 IMAGES = """i AS (SELECT o_orderkey // 384 AS s, o_orderkey % 384 AS k, CASE WHEN o_orderkey // 384 % 2 = 0 THEN 24 ELSE 16 END AS w, floor(o_totalprice) % 1000 AS value FROM orders),
 p AS (SELECT s, w, 384 // w AS h, k % w AS x, k // w AS y, value FROM i)"""
