@@ -79,13 +79,18 @@ def scene_feedback(feedback: DataFrame, scenes: DataFrame, key: str = "scene_id"
     """scene, decision: the newest feedback on each scene, by its reference
     scene or by a candidate id that contains the scene's id.
 
-    Two joins instead of one with OR: an equi-join, and a containment test
-    against the (few) scenes of a result, which are broadcast.
+    Two equi-joins: by the reference scene, and by the parts of the candidate
+    id that are as long as one of the scenes' ids.
     """
-    few = F.broadcast(scenes.select(key))
+    known = scenes.select(key, F.col(key).cast("string").alias("__name")).distinct()
+    lengths = sorted(r[0] for r in known.select(F.char_length("__name")).distinct().collect() if r[0])  # of ids, so a few
     fields = [F.col(key), "timestamp", "analyst_decision", "feedback_id"]
-    direct = feedback.join(few, F.col("reference_scene_id") == F.col(key)).select(*fields)
-    by_name = feedback.join(few, F.contains(F.col("candidate_id"), F.col(key))).select(*fields)
+    direct = feedback.join(known, F.col("reference_scene_id") == F.col(key)).select(*fields)
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("candidate_id"))
+    own = feedback.where("candidate_id <> ''").withColumn("__n", F.explode(fits))
+    own = own.withColumn("__at", F.explode(F.sequence(F.lit(1), F.char_length("candidate_id") - F.col("__n") + 1)))
+    own = own.withColumn("__part", F.substring(F.col("candidate_id"), F.col("__at"), F.col("__n")))
+    by_name = own.join(known, F.col("__part") == F.col("__name")).select(*fields)
     both = direct.unionByName(by_name)
     return both.groupBy(key).agg(F.max_by("analyst_decision", F.struct("timestamp", "feedback_id")).alias("decision"))
 

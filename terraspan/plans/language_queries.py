@@ -19,6 +19,54 @@ QUESTIONS = [
     "liss imagery of Gujarat", "cartosat city images", "count vessels", "describe the scene", "", "   ", "the a an of",
     "expansion around lake from 2015 to 2016", "cyclone rainfall over arabian sea", "tell me more about before and after",
 ]
+#: The words that have to be known, stated here once more, so that
+#: the SQL doesn't lean on the engine's tables.
+OBJECTS = [
+    ("build|structure|building", "built structures"), ("road|highway|street", "road network"), ("port|harbor|dock|pier|quay", "port infrastructure"), ("vessel|ship|boat", "maritime vessels"),
+    ("bridge", "bridge"), ("dam|reservoir", "reservoir / dam"), ("crop|farmland|field", "agricultural parcels"),
+]
+ACTIONS = [
+    ("newly built|new construction|construction|building", "new construction"), ("expansion|expanding|growth|growing", "expansion"), ("clearance|clearing|cleared", "clearing"),
+    ("deforestation|tree loss", "deforestation"), ("flood|inundation|water spread", "inundation"),
+]
+ENVIRONMENT = [
+    ("river|stream", "river"), ("water|lake|basin", "water body"), ("coast|coastal|shore", "coastal zone"), ("forest|vegetation|green", "vegetation / forest"), ("delta", "delta"),
+    ("urban|city|suburb", "urban zone"),
+]
+SATELLITES = [
+    (["sentinel-2", "sentinel 2", "s2"], "SENTINEL-2", "MSI", "optical"), (["sentinel-1", "sentinel 1", "s1"], "SENTINEL-1", "C-SAR", "sar"),
+    (["resourcesat", "rs2", "liss"], "RESOURCESAT-2A", "LISS-3", "multispectral"), (["cartosat", "carto"], "CARTOSAT-2", "PAN-MX", "optical"),
+    (["sar", "radar", "backscatter"], None, None, "sar"), (["multispectral", "ndvi", "nir"], None, None, "multispectral"), (["optical"], None, None, "optical"),
+]
+PLACES = "mumbai ahmedabad gujarat visakhapatnam godavari assam brahmaputra sundarbans bengaluru chennai delhi".split()
+STOP_WORDS = "find show search locate detect images imagery scenes where that with using between and from to in of the a an".split()
+TEMPORAL_WORDS = "change|expand|growth|newly|before|after|earliest|over time|transition"
+MULTIMODAL_WORDS = "multimodal|optical.*sar|sar.*optical|cross-modal|both optical and sar"
+INTENT_WORDS = {
+    "METADATA": ["metadata", "pixel dimension", "dimensions and bands", "band count", "resolution", "epsg", "crs", "raster header", "file size"],
+    "GEO_COORDINATES": ["latitude", "longitude", "exact coordinates", "gps coordinate", "lat/long", "exact location"],
+    "QUANTITATIVE_MEASUREMENT": [
+        "exact area", "square meter", "sq meter", "square kilometer", "sq km", "hectare", "acre", "exact measurement", "exact distance", "sub-pixel", "water depth in meters", "salinity percentage",
+    ],
+    "SPECTRAL_INDEX": ["ndvi", "ndwi", "evi", "savi", "vegetation index", "water index"],
+    "CAUSAL_ATTRIBUTION": [
+        "why did", "what caused", "cause of", "caused by", "attributed to", "attribution", "did construction occur", "was it construction", "deforestation", "deforested", "flood damage",
+        "disaster damage", "crop type", "specific crop", "cleared for agriculture",
+    ],
+}
+CHANGE_WORDS = [
+    "change", "difference between", "expand", "increase", "decrease", "shrink", "temporal", "before and after", "between these observations", "between these dates", "over time",
+]
+VISIBLE_WORDS = [
+    "what is visible", "is vegetation present", "is water visible", "is water present", "are buildings visible", "visible colors", "visible features", "colors and patterns", "shapes and geometric",
+    "textures and light", "visible in this image", "visible in these images", "visible patterns", "visible textures", "what do you see", "what is seen",
+]
+VISIBLE_STARTS = ["what is visible", "describe the visible", "describe what is visible", "describe visible"]
+LOOK_WORDS = ["visible", "color", "pattern", "texture", "shape", "feature", "vegetation", "appearance", "describe", "look like"]
+#: Every word in a question of its own, so that each rule is met.
+QUESTIONS += [f"about {w}" for words in (OBJECTS, ACTIONS, ENVIRONMENT) for pattern, _ in words for w in pattern.split("|")]
+QUESTIONS += [f"of {w}" for words in (*(x[0] for x in SATELLITES), PLACES, *INTENT_WORDS.values(), CHANGE_WORDS, VISIBLE_WORDS, LOOK_WORDS) for w in words]
+QUESTIONS += [*VISIBLE_STARTS, *(f"{w} it" for w in TEMPORAL_WORDS.split("|")), "multimodal", "optical then sar", "sar, optical", "cross-modal", "both optical and sar"]
 VALUES = ", ".join("(" + str(k) + ", '" + q.replace("'", "''") + "')" for k, q in enumerate(QUESTIONS))
 ALL_SQL = f"q AS (SELECT id, q AS raw, lower(trim(q)) AS q FROM (SELECT * FROM (VALUES {VALUES}) v(id, q) UNION ALL SELECT 1000000 + conv_id * 1000 + turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) FROM conversations))"
 
@@ -38,7 +86,7 @@ def tags(pairs: list[tuple[str, str]]) -> str:
     return f"array_to_string([x FOR x IN [{inner}] IF x IS NOT NULL], '|')"
 
 
-TAG_SQL = f"""WITH {ALL_SQL} SELECT id, {tags(lang.OBJECTS)} AS objects, {tags(lang.ACTIONS)} AS actions, {tags(lang.ENVIRONMENT)} AS environment FROM q"""
+TAG_SQL = f"""WITH {ALL_SQL} SELECT id, {tags(OBJECTS)} AS objects, {tags(ACTIONS)} AS actions, {tags(ENVIRONMENT)} AS environment FROM q"""
 
 
 @query(TAG_SQL)
@@ -72,7 +120,7 @@ def _case(rows, k: int) -> str:
     return out + " END"
 
 
-@query(f"WITH {ALL_SQL} SELECT id, {_case(lang.SATELLITES, 0)} AS satellite, {_case(lang.SATELLITES, 1)} AS sensor, {_case(lang.SATELLITES, 2)} AS modality FROM q")
+@query(f"WITH {ALL_SQL} SELECT id, {_case(SATELLITES, 0)} AS satellite, {_case(SATELLITES, 1)} AS sensor, {_case(SATELLITES, 2)} AS modality FROM q")
 def str_sensor_cascade(spark, sf):
     p = lang.with_plan(_questions(spark, sf), only=["satellite", "sensor", "modality"])
     return p.select("id", "plan.satellite", "plan.sensor", "plan.modality")
@@ -88,25 +136,25 @@ def str_spatial_relation(spark, sf):
     return p.select("id", F.col("plan.spatial_relation.relation").alias("relation"), F.col("plan.spatial_relation.feature").alias("feature"))
 
 
-STOPS = r"\b(" + "|".join(lang.STOP_WORDS) + r")\b"
+STOPS = r"\b(" + "|".join(STOP_WORDS) + r")\b"
 
 
-@query(f"""WITH {ALL_SQL}, t AS (SELECT id, q, array_to_string([x FOR x IN [{tags(lang.ACTIONS)}, {tags(lang.OBJECTS)}, {tags(lang.ENVIRONMENT)}] IF x <> ''], '|') AS tags FROM q)
+@query(f"""WITH {ALL_SQL}, t AS (SELECT id, q, array_to_string([x FOR x IN [{tags(ACTIONS)}, {tags(OBJECTS)}, {tags(ENVIRONMENT)}] IF x <> ''], '|') AS tags FROM q)
 SELECT id, CASE WHEN tags <> '' THEN replace(tags, '|', ' ') ELSE trim(regexp_replace(regexp_replace(q, '{STOPS}', ' ', 'g'), '\\s+', ' ', 'g')) END AS semantic_query FROM t""")
 def str_semantic_query(spark, sf):
     return lang.with_plan(_questions(spark, sf), only=["semantic_query"]).select("id", "plan.semantic_query")
 
 
-@query(f"WITH {ALL_SQL} SELECT id, CASE " + " ".join(f"WHEN contains(q, '{p}') THEN '{p.title()}'" for p in lang.PLACES) + " END AS aoi_hint FROM q")
+@query(f"WITH {ALL_SQL} SELECT id, CASE " + " ".join(f"WHEN contains(q, '{p}') THEN '{p.title()}'" for p in PLACES) + " END AS aoi_hint FROM q")
 def str_aoi_hint(spark, sf):
     return lang.with_plan(_questions(spark, sf), only=["aoi_hint"]).select("id", "plan.aoi_hint")
 
 
-TEMPORAL = "(" + _dates(1, "") + f") IS NOT NULL OR regexp_matches(q, 'newly built|new construction|construction|building|expansion|expanding|growth|growing|clearance|clearing|cleared|deforestation|tree loss|flood|inundation|water spread') OR regexp_matches(q, '{lang.TEMPORAL_WORDS}')"
+TEMPORAL = "(" + _dates(1, "") + f") IS NOT NULL OR regexp_matches(q, 'newly built|new construction|construction|building|expansion|expanding|growth|growing|clearance|clearing|cleared|deforestation|tree loss|flood|inundation|water spread') OR regexp_matches(q, '{TEMPORAL_WORDS}')"
 
 
-@query(f"""WITH {ALL_SQL}, k AS (SELECT id, q, {_case(lang.SATELLITES, 1)} AS sensor, {_case(lang.SATELLITES, 2)} AS modality, {tags(lang.OBJECTS)} AS objects FROM q)
-SELECT id, CASE WHEN q = '' THEN 'GENERAL_SEMANTIC' WHEN regexp_matches(q, '{lang.MULTIMODAL_WORDS}') THEN 'MULTIMODAL_SEARCH'
+@query(f"""WITH {ALL_SQL}, k AS (SELECT id, q, {_case(SATELLITES, 1)} AS sensor, {_case(SATELLITES, 2)} AS modality, {tags(OBJECTS)} AS objects FROM q)
+SELECT id, CASE WHEN q = '' THEN 'GENERAL_SEMANTIC' WHEN regexp_matches(q, '{MULTIMODAL_WORDS}') THEN 'MULTIMODAL_SEARCH'
  WHEN {TEMPORAL} THEN 'TEMPORAL_CHANGE_DISCOVERY'
  WHEN modality = 'sar' OR regexp_matches(q, 'sar|radar|microwave|backscatter') OR sensor IS NOT NULL THEN 'SENSOR_CONSTRAINED_SEARCH'
  WHEN regexp_matches(q, '{REL}') THEN 'RELATIONAL_SEARCH'
@@ -115,9 +163,9 @@ def str_search_intent(spark, sf):
     return lang.with_plan(_questions(spark, sf), only=["intent"]).select("id", "plan.intent")
 
 
-CHANGE, SEEN = any_of(lang.CHANGE_WORDS), "(" + any_of(lang.VISIBLE_WORDS) + " OR " + " OR ".join(f"starts_with(q, '{w}')" for w in lang.VISIBLE_STARTS) + ")"
-INTENT_SQL = "CASE " + " ".join(f"WHEN {any_of(w)} THEN '{n}'" for n, w in lang.INTENT_WORDS.items()) + f""" WHEN {SEEN} AND NOT {CHANGE} THEN 'VISUAL_OBSERVATION'
- WHEN {CHANGE} THEN 'TEMPORAL_CHANGE' WHEN {SEEN} OR {any_of(lang.LOOK_WORDS)} THEN 'VISUAL_OBSERVATION' ELSE 'GENERAL' END"""
+CHANGE, SEEN = any_of(CHANGE_WORDS), "(" + any_of(VISIBLE_WORDS) + " OR " + " OR ".join(f"starts_with(q, '{w}')" for w in VISIBLE_STARTS) + ")"
+INTENT_SQL = "CASE " + " ".join(f"WHEN {any_of(w)} THEN '{n}'" for n, w in INTENT_WORDS.items()) + f""" WHEN {SEEN} AND NOT {CHANGE} THEN 'VISUAL_OBSERVATION'
+ WHEN {CHANGE} THEN 'TEMPORAL_CHANGE' WHEN {SEEN} OR {any_of(LOOK_WORDS)} THEN 'VISUAL_OBSERVATION' ELSE 'GENERAL' END"""
 
 
 @query(f"WITH {ALL_SQL} SELECT id, {INTENT_SQL} AS intent FROM q")

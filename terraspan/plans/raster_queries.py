@@ -262,9 +262,17 @@ def agg_region_statistics(spark, sf):
     return s.select("scene", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), "n")
 
 
-@query("""SELECT count(*) AS n, sum(i)::BIGINT AS total FROM range(128 * 128 * 6) r(i)""")
+@query("""WITH g AS (SELECT s_suppkey AS scene, s_suppkey % 6 AS k, x, y, (x * 37 + y * 73 + s_suppkey % 6 * 11) % 40 AS n FROM supplier, range(128) a(x), range(128) b(y)),
+p AS (SELECT *, CASE WHEN k = 3 AND x > 70 OR k = 5 AND y > 80 THEN 'water' WHEN k IN (1, 5) AND x % 16 > 4 AND y % 16 > 4 AND x < 64 THEN 'built' WHEN abs(x - y) < 3 THEN 'road' ELSE 'field' END AS kind FROM g)
+SELECT scene, kind, count(*) AS pixels, sum(CASE kind WHEN 'water' THEN 20.0 WHEN 'built' THEN 190 WHEN 'road' THEN 120 ELSE n + 60 END)::DOUBLE AS r,
+ sum(CASE kind WHEN 'water' THEN 40.0 WHEN 'built' THEN 185 WHEN 'road' THEN 118 ELSE n + 90 END)::DOUBLE AS g, sum(CASE kind WHEN 'water' THEN 60.0 WHEN 'built' THEN 180 WHEN 'road' THEN 115 ELSE n + 40 END)::DOUBLE AS b,
+ sum(x * 1000 + y)::BIGINT AS places FROM p GROUP BY scene, kind""")
 def src_demo_scenes(spark, sf):
+    """A demo raster for each supplier, its pixels by what they show."""
     from terraspan.sources.demo import demo_pixels
 
-    p = demo_pixels(spark)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("scene") * 16384 + F.col("y") * 128 + F.col("x")).alias("total"))
+    p = demo_pixels(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene"), (F.col("s_suppkey") % 6).alias("kind")))
+    kind = F.when(F.col("r") == 20, "water").when(F.col("b") == 180, "built").when((F.col("r") == 120) & (F.col("g") == 118), "road").otherwise("field")
+    return p.groupBy("scene", kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in "rgb"], F.sum(F.col("x") * 1000 + F.col("y")).cast("long").alias("places")
+    )

@@ -360,19 +360,44 @@ def flt_facets(spark, sf):
     return faceted(_products(spark, sf), open_access=True, modality="SAR", max_cloud=10, cloud="cloud").select("l_orderkey", "l_linenumber")
 
 
-def _product_values() -> str:
-    from terraspan.sources.catalogs import sample_products
+#: Parts as products: their themes, regions and tags take turns.
+PRODUCT_THEMES = [
+    ("glacier", "OPTICAL", "retreat of a mountain glacier", ["glacier", "ice", "snow line"]), ("dune", "OPTICAL", "dunes that wander along a desert road", ["dune", "desert", "road"]),
+    ("orchard", "MSI", "orchards and vineyards through the season", ["orchard", "vegetation", "ndvi"]), ("reservoir", "C-SAR", "level of a reservoir behind a dam", ["reservoir", "flood", "radar"]),
+    ("suburb", "MSI", "houses and streets at the edge of a town", ["suburb", "urban", "built-up"]), ("quay", "C-SAR", "ships at the quays of a harbour at night", ["quay", "port", "coastal", "radar"]),
+    ("cyclone eye", "IMAGER", "clouds around the eye of a storm", ["storm", "cloud", "weather"]),
+]
+PRODUCT_REGIONS = ["Alda", "Brin", "Coro"]
+
+
+def _part_products(spark, sf):
+    k, own = F.col("p_partkey"), table(spark, sf, "part")
+
+    def turn(values, by):
+        return F.element_at(F.array(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values]), (k % by + 1).cast("int"))
+
+    pair = k % 3 == 2
+    tags = turn([t[3] for t in PRODUCT_THEMES], 7)
+    return own.select(
+        F.concat(F.lit("P"), k.cast("string")).alias("product_id"), F.concat_ws(" ", turn([t[0] for t in PRODUCT_THEMES], 7), F.lit("of"), turn(PRODUCT_REGIONS, 3)).alias("title"),
+        F.col("p_brand").alias("satellite"), turn([t[1] for t in PRODUCT_THEMES], 7).alias("sensor"), F.col("p_type").alias("product_type"), pair.alias("is_temporal_pair"),
+        F.concat_ws(" ", turn([t[2] for t in PRODUCT_THEMES], 7), F.col("p_name")).alias("semantic_description"), F.when(pair, F.concat(tags, F.array(F.lit("before after")))).otherwise(tags).alias("semantic_tags"),
+    )
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_list(v) if isinstance(v, list) else f"'{v}'" for v in values) + "]"
 
-    def literal(x) -> str:
-        return "[" + ", ".join(map(literal, x)) + "]" if isinstance(x, list) else "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
-    return "VALUES " + ", ".join("(" + ", ".join(map(literal, p)) + ")" for p in sample_products())
+PRODUCT_SQL = f"""SELECT 'P' || p_partkey AS product_id, {_list([t[0] for t in PRODUCT_THEMES])}[p_partkey % 7 + 1] || ' of ' || {_list(PRODUCT_REGIONS)}[p_partkey % 3 + 1] AS title, p_brand AS satellite,
+ {_list([t[1] for t in PRODUCT_THEMES])}[p_partkey % 7 + 1] AS sensor, p_type AS product_type, p_partkey % 3 = 2 AS pair, {_list([t[2] for t in PRODUCT_THEMES])}[p_partkey % 7 + 1] || ' ' || p_name AS description,
+ {_list([t[3] for t in PRODUCT_THEMES])}[p_partkey % 7 + 1] || CASE WHEN p_partkey % 3 = 2 THEN ['before after'] ELSE [] END AS tags FROM part"""
 
 
 SEARCHES = ["Urban suburb, before after", "radar quay port ships at night", "vegetation growth in Coro", "cloud weather storm", "reservoir flood level", "?"]
 
 
-@query(f"""WITH p AS (SELECT * FROM ({_product_values()}) v(source, product_id, title, satellite, sensor, t, bbox, resolution, product_type, access, dl, cloud, pair, description, tags)),
+@query(f"""WITH p AS ({PRODUCT_SQL}),
 s AS (SELECT unnest({SEARCHES!r}) AS query), t AS (SELECT *, lower(query) AS q, [x FOR x IN regexp_split_to_array(lower(query), '[\\s,.;:!?]+') IF length(x) > 1] AS terms,
  lower(concat_ws(' ', title, description, array_to_string(tags, ' '), satellite, sensor, product_type)) AS words, array_to_string(tags, '|') AS tag FROM p, s),
 r AS (SELECT query, product_id, 20 + coalesce(list_sum([CASE WHEN NOT contains(words, x) THEN 0 WHEN contains(tag, x) THEN 15 ELSE 8 END FOR x IN terms]), 0)
@@ -387,9 +412,9 @@ r AS (SELECT query, product_id, 20 + coalesce(list_sum([CASE WHEN NOT contains(w
 f AS (SELECT query, product_id, CASE WHEN n = 0 THEN 80 ELSE least(99, floor(s + 0.5)) END::DOUBLE AS score FROM r)
 SELECT query, product_id, score FROM f WHERE score >= 35""")
 def src_eo_catalogue_search(spark, sf):
-    from terraspan.sources.catalogs import eo_products, search_products
+    from terraspan.sources.catalogs import search_products
 
-    found = [search_products(eo_products(spark), q).select(F.lit(q).alias("query"), "product_id", "score") for q in SEARCHES]
+    found = [search_products(_part_products(spark, sf), q).select(F.lit(q).alias("query"), "product_id", "score") for q in SEARCHES]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -103,8 +103,9 @@ def str_match_reasons(spark, sf):
 
 
 FEEDBACK_SQL = SCORED + """, top AS (SELECT * FROM r ORDER BY score DESC, doc_id LIMIT 15),
-f AS (SELECT t.*, CASE WHEN l.toxic = 1 THEN 'REJECTED' WHEN l.quality = 1 THEN 'CONFIRMED' WHEN l.doc_id IS NOT NULL THEN 'UNCERTAIN' END AS decision
- FROM top t LEFT JOIN labels l USING (doc_id)),
+c AS (SELECT t.doc_id, arg_max(CASE WHEN l.toxic = 1 THEN 'REJECTED' WHEN l.quality = 1 THEN 'CONFIRMED' ELSE 'UNCERTAIN' END, l.doc_id) AS decision
+ FROM top t JOIN labels l ON (l.doc_id % 2 = 0 AND l.doc_id = t.doc_id) OR contains('cand_' || (l.doc_id * 37) || '_x', t.doc_id::VARCHAR) GROUP BY 1),
+f AS (SELECT t.*, decision FROM top t LEFT JOIN c USING (doc_id)),
 a AS (SELECT *, CASE decision WHEN 'CONFIRMED' THEN 0.05 WHEN 'REJECTED' THEN -0.10 ELSE 0.0 END AS adj FROM f)
 SELECT doc_id, decision, adj::DOUBLE AS adjustment, round(least(1, greatest(0, score + adj)), 4)::DOUBLE AS final_score,
  row_number() OVER (ORDER BY round(least(1, greatest(0, score + adj)), 4) DESC, doc_id) AS final_rank FROM a"""
@@ -116,7 +117,7 @@ def search_feedback_rerank(spark, sf):
     labels = table(spark, sf, "labels")
     decision = F.when(F.col("toxic") == 1, "REJECTED").when(F.col("quality") == 1, "CONFIRMED").otherwise("UNCERTAIN")
     feedback = labels.select(
-        F.col("doc_id").alias("reference_scene_id"), F.lit("cand").alias("candidate_id"), F.lit("x").alias("change_type"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("reference_scene_id"), F.concat(F.lit("cand_"), (F.col("doc_id") * 37).cast("string"), F.lit("_x")).alias("candidate_id"), F.lit("x").alias("change_type"),
         decision.alias("analyst_decision"), F.lit(0).cast("timestamp").alias("timestamp"), F.col("doc_id").alias("feedback_id"),
     )
     decisions = search.scene_feedback(feedback, results.select(F.col("doc_id")), "doc_id")

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions.rules import cascade
 
-SIDE, SCENES = 128, 6
+SIDE, KINDS = 128, 6
 
 
-def demo_pixels(spark: SparkSession) -> DataFrame:
-    """scene (0-5), x, y, r, g, b: fields, a road, water, a harbour, built-up
-    blocks and speckle."""
-    i = F.col("id")
-    base = spark.range(SIDE * SIDE * SCENES).select(
-        F.floor(i / (SIDE * SIDE)).cast("int").alias("scene"), (i % SIDE).cast("int").alias("x"), F.floor(i % (SIDE * SIDE) / SIDE).cast("int").alias("y")
-    )
-    x, y, s = F.col("x"), F.col("y"), F.col("scene")
+def demo_pixels(scenes: DataFrame) -> DataFrame:
+    """scene, x, y, r, g, b of a demo raster for each row of ``scenes`` (scene,
+    and kind: 0 to 5): fields, a road, water, a harbour, built-up blocks and
+    speckle."""
+    rows = scenes.select("scene", "kind", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
+    base = rows.select("scene", "kind", "y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
+    x, y, s = F.col("x"), F.col("y"), F.col("kind")
     water = (s == 3) & (x > 70) | (s == 5) & (y > 80)
     built = (s.isin(1, 5)) & (x % 16 > 4) & (y % 16 > 4) & (x < 64)
     road = F.abs(x - y) < 3
@@ -28,7 +27,7 @@ def demo_pixels(spark: SparkSession) -> DataFrame:
         "r": cascade([(water, F.lit(20.0)), (built, F.lit(190.0)), (road, F.lit(120.0))], (noise + 60).cast("double")),
         "g": cascade([(water, F.lit(40.0)), (built, F.lit(185.0)), (road, F.lit(118.0))], (noise + 90).cast("double")),
         "b": cascade([(water, F.lit(60.0)), (built, F.lit(180.0)), (road, F.lit(115.0))], (noise + 40).cast("double")),
-    })
+    }).drop("kind")
 
 
 def _little(x: Column, size: int) -> Column:

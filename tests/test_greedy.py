@@ -119,6 +119,18 @@ def test_one_stem_for_all_makes_no_pairs(spark):
     assert temporal.seed_groups(df).where("seed = 0").count() == n
 
 
+def plain_kmeans(v, k):
+    """(cluster from 0, similarity) of unit vectors in order."""
+    c = [v[0]]
+    while len(c) < min(k, len(v)):
+        c.append(v[np.argmin((v @ np.array(c).T).max(1))])
+    c = np.array(c)
+    for _ in range(discovery.ITERATIONS if len(c) > 1 else 0):
+        own = (v @ c.T).argmax(1)
+        c = np.array([v[own == j].sum(0) / np.linalg.norm(v[own == j].sum(0)) if (own == j).any() else c[j] for j in range(len(c))])
+    return (v @ c.T).argmax(1), (v @ c.T).max(1)
+
+
 def test_kmeans_against_numpy(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(3, 8))
@@ -126,19 +138,49 @@ def test_kmeans_against_numpy(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").repartition(5)
     got = {r.id: r for r in discovery.spherical_kmeans(df, F.col("v"), "id", 3).collect()}
-    c = [v[0]]
-    while len(c) < 3:
-        c.append(v[np.argmin((v @ np.array(c).T).max(1))])
-    c = np.array(c)
-    for _ in range(discovery.ITERATIONS):
-        own = (v @ c.T).argmax(1)
-        c = np.array([v[own == j].sum(0) / np.linalg.norm(v[own == j].sum(0)) if (own == j).any() else c[j] for j in range(3)])
-    own, sims = (v @ c.T).argmax(1), (v @ c.T).max(1)
+    own, sims = plain_kmeans(v, 3)
     assert [got[k].cluster for k in range(90)] == (own + 1).tolist() and np.allclose([got[k].similarity for k in range(90)], sims)
     assert {k for k, r in got.items() if r.medoid} == {int(np.flatnonzero(own == j)[sims[own == j].argmax()]) for j in range(3)}
     assert discovery.cluster_count(5, 4) == 2 and discovery.cluster_count(5, 1) == 1
 
 
+@pytest.mark.parametrize("k", [4, 15])
+def test_discovery_of_similar_sites(spark, k):
+    """The whole of it against a loop: copies, the own scene, a filter, too
+    little likeness, overlapping footprints, clusters."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(3, 10))
+    v = np.array([base[i % 3] + 0.7 * rng.normal(size=10) for i in range(70)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist(), f"h{i % 50}", float(i % 9), float(i % 7), "sar" if i % 6 == 5 else "optical") for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, h string, x double, y double, modality string").repartition(4)
+    box = [F.col("x"), F.col("y"), F.col("x") + 2, F.col("y") + 2]
+    got = {r.id: r for r in discovery.discover(df, 3, k, 3, id_col="id", vector="v", hash_col=F.col("h"), box=box, keep=F.col("modality") != "sar").collect()}
+    cos = [round(float(x @ v[3]), 4) for x in v]
+    best = {}
+    for i in sorted(range(70), key=lambda i: (-cos[i], i))[: 3 * k]:
+        if i != 3 and rows[i][2] != rows[3][2]:
+            best.setdefault(rows[i][2], i)
+    kept = []
+    for i in sorted(best.values(), key=lambda i: (-cos[i], i)):
+        if rows[i][5] == "sar" or (cos[i] + 1) / 2 < discovery.MIN_SIMILARITY:
+            continue
+
+        def iou(a, b):
+            w, h = max(0, 2 - abs(a[3] - b[3])), max(0, 2 - abs(a[4] - b[4]))
+            return w * h / (8 - w * h)
+
+        if all(iou(rows[i], rows[j]) <= discovery.DUPLICATE_IOU for j in kept):
+            kept.append(i)
+    kept = sorted(kept[:k])
+    own, sims = plain_kmeans(v[kept], discovery.cluster_count(3, len(kept)))
+    assert sorted(got) == kept and [got[i].cluster for i in kept] == (own + 1).tolist()
+    assert [got[i].similarity_to_reference for i in kept] == pytest.approx([(cos[i] + 1) / 2 for i in kept], abs=1e-4)
+    assert {i for i in kept if got[i].medoid} == {kept[int(np.flatnonzero(own == j)[sims[own == j].argmax()])] for j in set(own)}
+    with pytest.raises(ValueError, match="no vector"):
+        discovery.discover(df, 999, k, 3, id_col="id", vector="v", hash_col=F.col("h"))
+
+
 def test_top_k_against_numpy(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(200, 16))
