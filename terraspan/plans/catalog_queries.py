@@ -3,10 +3,15 @@ sensor, n_chars: file size)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from terraspan import schemas
+from terraspan.lineage import shared_dir
 from terraspan.operators import catalog
 from terraspan.plans._base import query, table
+from terraspan.sources import readers
 
 COLUMNS = {"file_name": "text", "scene_id": "doc_id", "sensor": "source", "satellite": "source", "modality": "lang", "format": "lang", "status": "lang"}
 
@@ -248,3 +253,48 @@ FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM doc
 def agg_ingest_counters(spark, sf):
     d = table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return d.agg(F.sum("n").alias("received"), F.count(F.lit(1)).alias("stored"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"))
+
+
+def _written(df, name: str):
+    """Where ``df`` is written as a table of the engine, in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+@query("""SELECT 's' || o_orderkey AS scene_id, o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 AS is_georeferenced, CASE WHEN o_orderkey % 3 <> 0 THEN 'EPSG:32643' END AS crs,
+ CASE WHEN o_orderkey % 5 <> 0 THEN 'MSI' END AS sensor, o_orderkey % 10 / 10.0 AS enl FROM orders""")
+def src_catalogue(spark, sf):
+    """Scenes written and read by the catalogue's schema, sentinels as null."""
+    k = F.col("o_orderkey")
+    kind = schemas.schema(schemas.SCENE)
+    quality = F.struct(F.when(k % 2 == 0, "AVAILABLE").otherwise("MISSING").alias("georeferencing_status"), F.struct((k % 10 / 10.0).alias("enl")).alias("sar_quality"))
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("scene_id"), F.when(k % 3 == 0, "unavailable").otherwise("EPSG:32643").alias("crs"), F.when(k % 5 == 0, "UNKNOWN").otherwise("MSI").alias("sensor"),
+        quality.alias("quality"), F.lit(None).cast("string").alias("satellite"),
+    )
+    s = schemas.missing_as_null(readers.scenes(spark, _written(rows, "scenes")))
+    assert [f.name for f in kind][:2] == s.columns[:2]
+    return s.select("scene_id", "is_georeferenced", "crs", "sensor", F.col("quality.sar_quality.enl").alias("enl"))
+
+
+@query("""SELECT vec_id::VARCHAR AS scene_id, md5(vec_id::VARCHAR) AS file_hash, len(embedding) AS dimension, round(list_sum(embedding::DOUBLE[]), 9) AS total FROM embeddings""")
+def src_vector_index(spark, sf):
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("scene_id"), F.md5(F.col("vec_id").cast("string")).alias("file_hash"), F.col("embedding").cast("array<double>").alias("vector"), F.size("embedding").alias("dimension")
+    )
+    v = readers.vector_index(spark, _written(e, "vectors"))
+    return v.select("scene_id", "file_hash", "dimension", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+
+
+@query("""SELECT CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'r' || doc_id END AS id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'S1' ELSE 'S2' END AS modality,
+ CASE WHEN doc_id % 11 <> 0 THEN text END AS question, doc_id % 11 = 0 AS broken FROM documents""")
+def src_training_records(spark, sf):
+    """Documents as JSON lines, every eleventh cut off, read as training records."""
+    d = F.col("doc_id")
+    image = F.struct(F.lit("a.png").alias("path"), F.when(d % 2 == 0, "S1").otherwise("S2").alias("modality"))
+    line = F.to_json(F.struct(F.concat(F.lit("r"), d.cast("string")).alias("id"), F.array(image).alias("images"), F.col("text").alias("question")))
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select(F.when(d % 11 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    r = readers.training_records(spark, path)
+    return r.select("id", F.get("images.modality", F.lit(0)).alias("modality"), "question", F.col("_corrupt_record").isNotNull().alias("broken"))

@@ -273,17 +273,23 @@ def jn_common_grid(spark, sf):
     return m.select("s", "pixels", F.round("mad", 5).alias("mad"), F.round("max_delta", 5).alias("most"))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS candidate_id, 20 AS fields, 'Share: ' || printf('%.2f%%', (o_orderkey % 100)::DOUBLE) AS share, 'CRS: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'Not available' END AS crs,
- 'Analyst: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS analyst, 'Reason: ' || CASE WHEN o_orderkey % 7 = 0 THEN 'too "cloudy"' ELSE 'Not available' END AS reason FROM orders""")
-def snk_audit_text(spark, sf):
-    from terraspan.plans.review_queries import _candidates
+def _part_sql(title: str, *lines: str) -> str:
+    return f"'', '{title}', '{'-' * len(title)}', " + ", ".join(lines)
 
-    r = ingest.audit_text(_candidates(spark, sf))
 
-    def line(name):
-        return F.regexp_extract("report", rf"(?m)^({name}: .*)$", 1)
+REPORT = ", ".join([
+    "repeat('=', 60), 'EVIDENCE AND AUDIT REPORT', repeat('=', 60)",
+    _part_sql("Candidate", "'Id: ' || o_orderkey", "'Status: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'NEW' END", "'Origin: SEARCH'", "'Run: R' || o_orderkey"),
+    _part_sql("Scene", "'Location: Lo\"c ' || o_orderkey", "'CRS: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32643' ELSE 'Not available' END", "'Sensors: MSI, C-SAR'", "'Modality: OPTICAL'", "'Dates: 2020 to 2024'"),
+    _part_sql("Retrieval", "'Similarity: ' || printf('%.3f', (o_orderkey % 1000) / 1000.0)"),
+    _part_sql("Change", "'Class: ROAD'", "'Share: ' || printf('%.2f%%', (o_orderkey % 100)::DOUBLE)", "'Pixels: 5 of 100'", "'First supported: ' || CASE WHEN o_orderkey % 5 = 0 THEN '2021-06' ELSE 'Not available' END"),
+    _part_sql("Quality", "'Overall: USABLE'", "'Registration: ALIGNED'", "'Season: ' || CASE WHEN o_orderkey % 4 = 1 THEN 'HIGH' ELSE 'Not available' END", "'Cloud: Not available'"),
+    _part_sql("Decision", "'Analyst: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' ELSE 'PENDING' END", "'Reason: ' || CASE WHEN o_orderkey % 7 = 0 THEN 'too \"cloudy\"' ELSE 'Not available' END"),
+])
 
-    return r.select(
-        "candidate_id", F.regexp_count("report", F.lit(r"(?m)^[A-Z][A-Za-z ]*: ")).alias("fields"), line("Share").alias("share"), line("CRS").alias("crs"),
-        line("Analyst").alias("analyst"), line("Reason").alias("reason"),
-    )
+
+@query(f"SELECT o_orderkey::VARCHAR AS candidate_id, array_to_string([{REPORT}], chr(10)) AS report FROM orders")
+def snk_audit_text(spark, sf):
+    from terraspan.plans.review_queries import _candidates
+
+    return ingest.audit_text(_candidates(spark, sf))
