@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
@@ -43,9 +50,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     ``drop_tables`` or when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._terraspan_path = path
     return table

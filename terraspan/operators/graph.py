@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terraspan.lineage import as_table, drop_tables
 
 #: Rounds at most; their number is about the logarithm of the longest path.
 ROUNDS = 60
+#: Links that one task joins up at once.
+FEW = 200_000
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -21,21 +24,26 @@ def connected(links: DataFrame) -> DataFrame:
     Every node points to a smaller one of its group.  A round lets the links
     meet at what their ends point to and the paths shrink by half, so that
     only links between different groups are left; all are equi-joins and
-    aggregations that combine before the shuffle.
+    aggregations that combine before the shuffle.  As soon as no more than
+    FEW links are left, one task joins them up.
     """
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     ends = as_table(ends.distinct(), "links")
     nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
     state = as_table(nodes.withColumn("group", F.col("node")), "groups")
     for _ in range(ROUNDS):
-        if ends.isEmpty():
+        left = ends.count()
+        if not left:
             drop_tables(ends)
             return state
         # each root takes the smallest root that it is linked with
         step = ends.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "root")
-        chain = as_table(_shortened(step), "roots")
+        chain = as_table(_shortened(step) if left > FEW else _joined(ends), "roots")
         moved = state.join(chain.withColumnRenamed("root", "group"), "group", "left").select("node", F.coalesce("to", "group").alias("group"))
         new_state = as_table(moved, "groups")
+        if left <= FEW:
+            drop_tables(state, ends, chain)
+            return new_state
         hop = chain.select(F.col("root").alias("a"), F.col("to").alias("x"))
         met = ends.join(hop, "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
         met = met.join(hop.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("x", "b").alias("b")).where("a <> b")
@@ -45,6 +53,41 @@ def connected(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {ROUNDS} rounds")
 
 
+def _joined(ends: DataFrame) -> DataFrame:
+    """root, to: where each end of the links (a, b) goes, in one task."""
+    kind, arrow = ends.schema["a"].dataType.simpleString(), to_arrow_type(ends.schema["a"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        shown: dict = {}
+
+        def named(column: pa.Array) -> list:
+            values = column.to_pylist()
+            if not pa.types.is_struct(column.type):
+                return values
+            names = [tuple(v.values()) for v in values]
+            shown.update(zip(names, values, strict=True))
+            return names
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for batch in batches:
+            for a, b in zip(named(batch.column(0)), named(batch.column(1)), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        moved = list(up)
+        for k in range(0, len(moved), 10_000):
+            part = moved[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([shown.get(x, x) for x in c], arrow) for c in (part, map(top, part))], ["root", "to"])
+
+    return ends.select("a", "b").repartition(1).mapInArrow(run, f"root {kind}, to {kind}")
+
+
 def _shortened(step: DataFrame) -> DataFrame:
     """root, to with every path (root to to, each smaller) followed to its end
     by doubling."""
@@ -186,7 +229,5 @@ def _settled(free: DataFrame, links: DataFrame, whole: int) -> DataFrame:
         if node is not None:
             yield pa.RecordBatch.from_arrays([pa.array([node[0]], out), pa.array([known[node[0]]], pa.bool_())], ["id", "seed"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     out = to_arrow_type(free.schema["id"].dataType)
     return ordered.mapInArrow(run, f"id {kind}, seed boolean")

@@ -3,12 +3,10 @@ sensor, n_chars: file size)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from terraspan import schemas
-from terraspan.lineage import shared_dir
+from terraspan.lineage import own_path
 from terraspan.operators import catalog
 from terraspan.plans._base import query, table
 from terraspan.sources import readers
@@ -257,7 +255,7 @@ def agg_ingest_counters(spark, sf):
 
 def _written(df, name: str):
     """Where ``df`` is written as a table of the engine, in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
 
@@ -294,7 +292,7 @@ def src_training_records(spark, sf):
     d = F.col("doc_id")
     image = F.struct(F.lit("a.png").alias("path"), F.when(d % 2 == 0, "S1").otherwise("S2").alias("modality"))
     line = F.to_json(F.struct(F.concat(F.lit("r"), d.cast("string")).alias("id"), F.array(image).alias("images"), F.col("text").alias("question")))
-    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = own_path(spark, "records")
     table(spark, sf, "documents").select(F.when(d % 11 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
     r = readers.training_records(spark, path)
     return r.select("id", F.get("images.modality", F.lit(0)).alias("modality"), "question", F.col("_corrupt_record").isNotNull().alias("broken"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
-from terraspan.lineage import shared_dir
+from terraspan.lineage import own_path
 from terraspan.operators import tools
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, lmdb, pixels, rasters
@@ -84,7 +83,7 @@ def src_base64_image(spark, sf):
 
 def _streamed(spark, sf):
     """The orders' files, every fourth one twice, taken in as a stream of parts."""
-    home = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    home = own_path(spark, "archive")
     files = _files(spark, sf).drop("o_orderkey")
     again = F.when(F.pmod(F.xxhash64("file_name"), F.lit(4)) == 0, F.array(F.lit(""), F.lit("copy_of_"))).otherwise(F.array(F.lit("")))
     files = files.select(F.explode(again).alias("prefix"), "file_name", "content").select(F.concat("prefix", "file_name").alias("file_name"), "content")
@@ -168,7 +167,7 @@ def agg_file_statistics(spark, sf):
 def src_lmdb(spark, sf):
     """Orders as items of LMDB files that tasks write, some too large for a
     page, read back by key range."""
-    home = f"{shared_dir(spark)}/lmdb-{uuid.uuid4().hex}"
+    home = own_path(spark, "lmdb")
     key = F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
     value = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 300 + 1).cast("int"))
     items = table(spark, sf, "orders").select((F.floor(F.col("o_orderkey") / 5000)).alias("file"), key.cast("binary").alias("key"), value.cast("binary").alias("value"))

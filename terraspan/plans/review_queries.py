@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from terraspan.lineage import shared_dir
+from terraspan.lineage import own_path
 from terraspan.operators import evidence, review, training
 from terraspan.plans._base import query, table
 from terraspan.streaming import reviews
@@ -475,7 +473,7 @@ def st_review_steps(spark, sf):
 def st_review_stream(spark, sf):
     """The same by the state machine over the table as a stream: all that the
     watermark has passed."""
-    home = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    home = own_path(spark, "reviews")
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # a pattern may also be one file
     reviews.keep_steps(_review_events(stream), f"{home}/steps", f"{home}/checkpoint").awaitTermination()

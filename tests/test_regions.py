@@ -39,8 +39,9 @@ def masks():
     yield "one", [(5, 9)]
 
 
-@pytest.mark.parametrize("tile", [1, 4, 7, 512])
-def test_regions_of_tiles(spark, tile):
+@pytest.mark.parametrize(("tile", "few"), [(1, graph.FEW), (4, 0), (7, graph.FEW), (512, graph.FEW)])
+def test_regions_of_tiles(spark, tile, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
     want = {(s, x, y): r for s, pixels in masks() for (x, y), r in flood(pixels).items()}
     rows = [(s, x, y, float(x * y % 13), "d") for s, pixels in masks() for x, y in pixels]
     rows += [("one", 5, 9, 2.0, "again"), (None, 1, 1, 1.0, "d"), ("one", None, 1, 1.0, "d"), ("one", 9, None, 1.0, "d"), ("gap", 0, 0, None, "d")]
@@ -69,7 +70,9 @@ def test_runs_of_a_tile(pixels):
     assert got == flood(pixels)
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("few", [0, 60, graph.FEW])
+def test_connected(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(100)] + [(999, 600 + k) for k in range(50)] + [(7, 7)]
     rng.shuffle(links)
