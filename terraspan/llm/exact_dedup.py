@@ -50,8 +50,8 @@ def exact_dedup(
     empty) the row with the smallest id stays.  Rows that repeat an id and a
     text are numbered by ``copy`` from 0; only copy 0 can stay.  Null ids lose
     against any other; a group of null ids only keeps one of them (keep_id
-    null).  Columns other than id and text are ignored.  An empty table gives
-    an empty result.
+    null).  Columns other than id and text are ignored, whatever their names.
+    Texts of any length count whole.  An empty table gives an empty result.
 
     ``digest`` may be replaced by a weaker function; the result stays exact.
     """

@@ -150,7 +150,10 @@ def mix_sources(
     ``size`` is the number of words (null text: 0), ``copies`` how often the
     mix repeats the document (0 to 3), ``taken`` = size * copies.  Documents
     without words are never taken (copies 0).  Repeated rows count each.  With
-    no words at all every target is 0.  Equal seeds give equal mixes.
+    no words at all every target is 0.  Equal seeds give equal mixes.  Rows with
+    a null id are rows like any other.  Texts of any length count whole.  An
+    empty table gives an empty one.  Extra columns are ignored, whatever their
+    names.
     """
     ensure_importable(docs.sparkSession)
     base = cut(docs.select(

@@ -53,7 +53,8 @@ def judge_urls(
     No fit, or no rules at all: rule null, verdict ``default``.  Rules without
     host or path (null) fit nothing; one without a verdict gives ``default``.
     Rows that repeat an id and URL are judged once and returned as often as
-    they occur, with null ids as well.  Null URLs have empty host and path.
+    they occur, with null ids as well.  Null URLs have empty host and path;
+    URLs of any length are judged whole.
     Extra columns are ignored, whatever their names.  An empty table gives an
     empty one.
 
