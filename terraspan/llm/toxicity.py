@@ -13,6 +13,7 @@ Terms, exceptions, weights and curve are learned from labelled rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -320,8 +321,21 @@ def fit(
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     known = known.where(crc_mod(id_col, held_out[0]) != held_out[1])
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("label"))
-    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, train_rows).toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(np.int64))
+    ensure_importable(docs.sparkSession)
+    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from terraspan.llm.toxicity import train
+
+        texts, own = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            own += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(own, np.int64)).parts())], pa.binary())], ["parts"])
+
+    # the sample is bounded, so a task can hold it; the driver gets the lexicon only
+    found = rows.repartition(1).sortWithinPartitions("id", "text").select("text", "label").mapInArrow(run, "parts binary").first()
+    return Lexicon(*pickle.loads(found["parts"])) if found else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
