@@ -15,10 +15,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 #: name: (parameters, type, expression, tasks, modalities).
 MEASURES = {
     "normalised_difference": (
-        "a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN abs(a + b) > 1e-6 AND (a - b) / (a + b) BETWEEN -1 AND 1 THEN (a - b) / (a + b) END", {"SCENE_INTERPRETATION"}, {"MULTISPECTRAL", "OPTICAL"},
+        "a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN a + b > 1e-6 AND (a - b) / (a + b) BETWEEN -1 AND 1 THEN (a - b) / (a + b) END", {"SCENE_INTERPRETATION"}, {"MULTISPECTRAL", "OPTICAL"},
     ),
     "luminance": ("r DOUBLE, g DOUBLE, b DOUBLE", "DOUBLE", "0.299D * r + 0.587D * g + 0.114D * b", {"SCENE_INTERPRETATION", "BI_TEMPORAL_ANALYSIS"}, {"OPTICAL"}),
-    "equivalent_looks": ("mean DOUBLE, deviation DOUBLE", "DOUBLE", "CASE WHEN deviation > 0 THEN mean * mean / (deviation * deviation) END", {"SAR_ANALYSIS"}, {"SAR"}),
+    "equivalent_looks": ("mean DOUBLE, deviation DOUBLE", "DOUBLE", "CASE WHEN deviation > 0 THEN pow(mean / deviation, 2) ELSE 1 END", {"SAR_ANALYSIS"}, {"SAR"}),
 }
 
 

@@ -190,7 +190,7 @@ def src_lmdb(spark, sf):
 
 
 @query(f"""WITH {PIXEL_SQL}, w AS (SELECT k, x, y, max(value) FILTER (WHERE b = 0) AS r, max(value) FILTER (WHERE b = 1) AS g, max(value) FILTER (WHERE b = 2) AS b FROM p WHERE k % 2 = 1 GROUP BY ALL),
-v AS (SELECT CASE WHEN k % 6 < 2 THEN 'PNG' ELSE 'TIFF' END AS format, k, CASE WHEN abs(r + g) > 1e-6 AND abs((r - g) / (r + g)) <= 1 THEN (r - g) / (r + g) END AS nd, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM w)
+v AS (SELECT CASE WHEN k % 6 < 2 THEN 'PNG' ELSE 'TIFF' END AS format, k, CASE WHEN r + g > 1e-6 AND abs((r - g) / (r + g)) <= 1 THEN (r - g) / (r + g) END AS nd, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM w)
 SELECT format, count(DISTINCT k) AS files, round(avg(nd), 6) AS difference, round(avg(lum), 6) AS luminance FROM v GROUP BY format""")
 def udf_tools_in_sql(spark, sf):
     """Four tools by name in one SQL statement: two over tables of files, two

@@ -84,7 +84,7 @@ def plain_first_come(pairs, nodes, agree=None):
     return seed
 
 
-@pytest.mark.parametrize("whole", [25, 10**6])
+@pytest.mark.parametrize("whole", [60, 10**6])
 def test_first_come_in_parts(spark, whole):
     """Chains, cliques and random pairs; groups over the bound go part by part."""
     rng = random.Random(9)
