@@ -109,7 +109,8 @@ def cluster_sums(items: DataFrame, vector: str, centroids: list[list[float]]) ->
                 best = (m @ c.T).argmax(1)
                 np.add.at(sums, best, m)
                 seen[best] = True
-        yield pd.DataFrame({"cluster": np.flatnonzero(seen).astype(np.int32), "part": [list(x) for x in sums[seen]]})
+        if seen.any():  # pandas has no type for the sums of a task without rows
+            yield pd.DataFrame({"cluster": np.flatnonzero(seen).astype(np.int32), "part": [list(x) for x in sums[seen]]})
 
     parts = items.select(vector).mapInPandas(run, "cluster int, part array<double>")
     each = parts.select("cluster", F.posexplode("part").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"))

@@ -37,12 +37,18 @@ def spherical_kmeans(items: DataFrame, vector: Column, id_col: str, k: int, iter
     (ties: first).  Items are assigned by a matrix product per Arrow batch, and
     every task sums its items per cluster before anything is shuffled; only
     the k centroids come to the driver, so any number of items can be
-    clustered.  An empty cluster keeps its centroid.
+    clustered.  An empty cluster keeps its centroid.  Items without a vector,
+    with null or non-finite entries or of another length than the first item's
+    are in no cluster: cluster and similarity are null.
     """
-    base = cut(items.select(F.col(id_col).alias("id"), vectors.doubles(vector).alias("v")))
-    first = base.orderBy("id").first()
+    every = items.select(F.col(id_col).alias("id"), vectors.doubles(vector).alias("v"))
+    whole = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    first = every.where(whole).orderBy("id").first()
+    fits = whole & (F.size("v") == F.lit(len(first["v"]) if first else 0))
+    none = every.where(~fits).select(F.col("id").alias(id_col), F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("medoid"))
     if first is None:
-        return base.select(F.col("id").alias(id_col), F.lit(1).alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(True).alias("medoid"))
+        return none
+    base = cut(every.where(fits))
     centroids = [list(first["v"])]
     n = base.count()
     while len(centroids) < min(k, n):
@@ -60,7 +66,7 @@ def spherical_kmeans(items: DataFrame, vector: Column, id_col: str, k: int, iter
     final = cut(base.withColumn("best", vectors.nearest(F.col("v"), centroids)).select("id", "best.cluster", "best.similarity"))
     medoids = final.groupBy("cluster").agg(F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("middle"))
     out = final.join(F.broadcast(medoids), "cluster")  # k rows
-    return out.select(F.col("id").alias(id_col), (F.col("cluster") + 1).alias("cluster"), "similarity", (F.col("id") == F.col("middle")).alias("medoid"))
+    return out.select(F.col("id").alias(id_col), (F.col("cluster") + 1).alias("cluster"), "similarity", (F.col("id") == F.col("middle")).alias("medoid")).unionByName(none)
 
 
 def distinct_hits(hits: DataFrame, hash_col: str, order: list[Column]) -> DataFrame:

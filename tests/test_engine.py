@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraspan.functions import gates, geo, language, raster
-from terraspan.operators import discovery, temporal
+from terraspan.operators import discovery, evidence, temporal
 from terraspan.sources import readers
 from terraspan.streaming import observations
 
@@ -122,3 +122,13 @@ def test_language_queries_take_every_row(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_chars long")
     texts = [r.t for r in df.select("doc_id", lang.bytes_text(F.col("n_chars")).alias("t")).orderBy("doc_id").collect()]
     assert texts == ["0 B", "1023 B", "1.0 KB", "1.3 KB", "1023.5 KB", "1.0 MB", "1023.3 MB", "2.00 GB", "1300.00 GB"]
+
+
+def test_clusters_odd_vectors(spark):
+    """Items that can't be compared stay in the result, in no cluster."""
+    rows = [(0, None), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, None]), (5, [math.nan, 1.0]), (6, [math.inf, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [])]
+    for n in (1, 16):  # tasks without rows, too
+        got = {r.id: r for r in discovery.spherical_kmeans(spark.createDataFrame(rows, "id long, v array<double>").repartition(n), F.col("v"), "id", 2).collect()}
+        assert sorted(got) == list(range(9))
+        assert got[1].cluster == got[2].cluster == 1 and got[3].cluster == 2 and sum(r.medoid for r in got.values()) == 2
+        assert all(got[k].cluster is None and got[k].similarity is None and got[k].medoid is False for k in (0, 4, 5, 6, 7, 8))
