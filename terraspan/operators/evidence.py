@@ -131,12 +131,13 @@ def summary(claims: DataFrame) -> DataFrame:
 
 def cross_modal(optical: DataFrame, radar: DataFrame, by: str) -> DataFrame:
     """Agreement of optical (category) and radar (kind) regions of a scene;
-    boxes xmin, ymin, xmax, ymax on the 0-1 scale.  Regions of one scene are a
-    handful, and the join is by scene."""
+    boxes xmin, ymin, xmax, ymax on the 0-1 scale.  The join is by scene; whether
+    a pair agrees follows from classes and boxes, so regions alike in these
+    count once."""
     a = optical.select(by, "category", *[F.col(c).alias(f"a_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     b = radar.select(by, "kind", *[F.col(c).alias(f"b_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     box = [tuple(F.col(f"{p}_{c}") for c in ("xmin", "ymin", "xmax", "ymax")) for p in "ab"]
-    pairs = a.join(b, by).withColumn("o", geo.box_overlap(*box))
+    pairs = a.distinct().join(b.distinct(), by).withColumn("o", geo.box_overlap(*box))
     pairs = pairs.where((F.col("o.iou") > OVERLAP_IOU) | (F.col("o.pct_a") > OVERLAP_PCT) | (F.col("o.pct_b") > OVERLAP_PCT))
     pairs = pairs.withColumn("agreement", gates.cross_modal_pair(F.col("category"), F.col("kind")))
     found = pairs.groupBy(by).agg(

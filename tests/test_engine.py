@@ -132,3 +132,25 @@ def test_clusters_odd_vectors(spark):
         assert sorted(got) == list(range(9))
         assert got[1].cluster == got[2].cluster == 1 and got[3].cluster == 2 and sum(r.medoid for r in got.values()) == 2
         assert all(got[k].cluster is None and got[k].similarity is None and got[k].medoid is False for k in (0, 4, 5, 6, 7, 8))
+
+
+def test_cross_modal_of_copies(spark):
+    """Regions alike in class and box meet once: 5,000 by 5,000 make one pair."""
+    box = [F.lit(x).alias(n) for n, x in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 0.3), ("ymax", 0.3))]
+    a = spark.range(5000).select(F.lit(1).alias("s"), F.lit("WATER_CANDIDATE").alias("category"), *box)
+    b = spark.range(5000).select(F.lit(1).alias("s"), F.lit("LOW_BACKSCATTER_SPECULAR").alias("kind"), *box)
+    a, b = (spark.createDataFrame(x.collect(), x.schema) for x in (a, b))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = evidence.cross_modal(a, b, "s")
+        plan = found._jdf.queryExecution().executedPlan()
+        assert [tuple(r) for r in found.collect()] == [(1, "AGREEMENT")]
+
+        def joined(p):
+            out = [p.metrics().apply("numOutputRows").value()] if "Join" in p.nodeName() else []
+            return out + [n for k in range(p.children().size()) for n in joined(p.children().apply(k))]
+
+        found._jdf.collectToPython()
+        assert max(joined(plan)) <= 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
