@@ -3,6 +3,8 @@
 import datetime
 import random
 
+from pyspark.sql import Row
+
 from terraspan.streaming import reviews
 
 SCHEMA = "candidate_id long, event_id string, ts timestamp, seq long, action string"
@@ -60,3 +62,64 @@ def test_stream(spark, tmp_path):
     got = spark.read.schema(f"candidate_id long, {reviews.STEP}").parquet(out).collect()
     assert sorted((tuple(r) for r in got), key=repr) == plain(rows)
     assert told == sorted(told) and told[0] < 60  # what is above the watermark waits
+
+
+def test_one_timer_waits(spark):
+    """However many events wait, a candidate has one timer, its state is read
+    once when that fires, and all that is due takes effect at once."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Waiting:
+        held = []
+
+        def get(self):
+            calls.append("read")
+            return iter(self.held)
+
+        def appendValue(self, value):
+            self.held = [*self.held, value]
+
+        def appendList(self, values):
+            self.held = [*self.held, *values]
+
+        def put(self, values):
+            self.held = list(values)
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return Waiting()
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    events = [Row(event_id=f"e{k}", ts=START + datetime.timedelta(seconds=k), seq=k, action="ENQUEUED" if k == 0 else "CONFIRMED", ms=1000 * k) for k in range(200)]
+    review = reviews.Review()
+    review.init(Handle())
+    assert not list(review.handleInputRows((1,), iter(events[::-1]), At(0)))
+    assert calls == ["read", 0]
+    done = list(review.handleExpiredTimer((1,), At(150_000), At(0)))
+    assert [r.event_id for r in done] == [f"e{k}" for k in range(151)] and done[-1].step == 151
+    assert calls == ["read", 0, "read", 151_000]
+    assert len(list(review.handleExpiredTimer((1,), At(500_000), At(151_000)))) == 49 and calls[-1] == "read"
