@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
-from terraspan.lineage import own_path
+from terraspan.lineage import own_path, spread
 from terraspan.operators import tools
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, lmdb, pixels, rasters
@@ -28,7 +28,8 @@ def _files(spark, sf):
         F.when(k % 3 == 0, 32643).when(k % 3 == 1, 32767).otherwise(4326), F.date_format("o_orderdate", "yyyy:MM:dd '10:20:30'"),
     )
     damaged = F.when(k % 11 == 0, F.substring(content, 1, 60)).when(k % 13 == 0, F.lit("plain text").cast("binary")).when(k % 17 == 0, F.lit("").cast("binary")).otherwise(content)
-    return table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("s2_"), k.cast("string"), F.lit(".tif")).alias("file_name"), damaged.alias("content"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(spread(spark), "o_orderkey")  # few bytes, files of many
+    return orders.select("o_orderkey", F.concat(F.lit("s2_"), k.cast("string"), F.lit(".tif")).alias("file_name"), damaged.alias("content"))
 
 
 WHOLE = "o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0"
@@ -87,8 +88,9 @@ def _streamed(spark, sf):
     files = _files(spark, sf).drop("o_orderkey")
     again = F.when(F.pmod(F.xxhash64("file_name"), F.lit(4)) == 0, F.array(F.lit(""), F.lit("copy_of_"))).otherwise(F.array(F.lit("")))
     files = files.select(F.explode(again).alias("prefix"), "file_name", "content").select(F.concat("prefix", "file_name").alias("file_name"), "content")
-    files.repartition(4).write.parquet(f"{home}/files")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/files")
+    n = max(4, spread(spark))
+    files.repartition(n).write.parquet(f"{home}/files")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", n // 2).parquet(f"{home}/files")
     catalogue.ingest_stream(stream, f"{home}/catalogue", f"{home}/checkpoint").awaitTermination()
     return f"{home}/catalogue"
 
@@ -116,7 +118,8 @@ p AS (SELECT k, x, y, b, ((k * 7 + x * 3 + y * 5 + b * 11) % 256)::DOUBLE AS val
 
 
 def _image_files(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
+    # a file of keys is small and would be one task's, what is made of them isn't
+    c = table(spark, sf, "customer").select("c_custkey").repartition(spread(spark), "c_custkey")
 
     def run(batches):
         import numpy as np
@@ -170,7 +173,7 @@ def src_lmdb(spark, sf):
     home = own_path(spark, "lmdb")
     key = F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
     value = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 300 + 1).cast("int"))
-    items = table(spark, sf, "orders").select((F.floor(F.col("o_orderkey") / 5000)).alias("file"), key.cast("binary").alias("key"), value.cast("binary").alias("value"))
+    items = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").repartition(spread(spark), "o_orderkey").select((F.floor(F.col("o_orderkey") / 5000)).alias("file"), key.cast("binary").alias("key"), value.cast("binary").alias("value"))
 
     def write(group):
         from pyarrow import fs

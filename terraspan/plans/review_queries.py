@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraspan.lineage import own_path
+from terraspan.lineage import own_path, spread
 from terraspan.operators import evidence, review, training
 from terraspan.plans._base import query, table
 from terraspan.streaming import reviews
@@ -495,7 +495,7 @@ f AS (SELECT patch, band, y.n AS i, x.n AS j, sum(value * y.w * x.w) AS value FR
 FROM f GROUP BY patch""")
 def ras_band_stack(spark, sf):
     names = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).alias("side")) for b, n in zip(S2_BANDS, (2, 8, 4), strict=True)])
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("patch"), F.explode(names).alias("b")).select("patch", "b.*").where("patch % 7 <> 0 OR band <> 'B02'")
+    c = table(spark, sf, "customer").select("c_custkey").repartition(spread(spark), "c_custkey").select(F.col("c_custkey").alias("patch"), F.explode(names).alias("b")).select("patch", "b.*").where("patch % 7 <> 0 OR band <> 'B02'")
     places = F.sequence(F.lit(0), F.col("side") * F.col("side") - 1)
     value = F.transform(places, lambda k: ((F.col("patch") * 31 + F.floor(k / F.col("side")) * 7 + k % F.col("side") * 13 + F.col("side")) % 200).cast("double"))
     s = training.stack_bands(c.withColumn("values", value), "patch", S2_BANDS, 8)

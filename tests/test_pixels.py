@@ -134,3 +134,17 @@ def test_decoded_tables(spark):
     assert {k: v for k, v in got.items() if k[0] in "ab"} == want
     assert {(r.scene, r.problem) for r in pixels.problems(rows, "scene").collect()} == {("c", "EMPTY"), ("d", "UNSUPPORTED"), ("a2", "BROKEN")}
     assert pixels.decoded(df.limit(0), "scene").count() == 0
+
+
+def test_small_files_are_spread(spark):
+    """Keys of few bytes are one split, the images made of them aren't; parts go
+    on in batches of many, however small a file is."""
+    from terraspan.lineage import spread
+    from terraspan.plans import ingest_queries
+
+    files = ingest_queries._image_files(spark, "/root/testdata/sf0.001").cache()
+    assert files.rdd.getNumPartitions() == spread(spark) >= 8
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert pixels.decoded(files, "k").rdd.getNumPartitions() == spread(spark)
+    assert ingest_queries._files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spread(spark)
+    files.unpersist()
