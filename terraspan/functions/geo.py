@@ -260,6 +260,19 @@ def bbox_join(left: DataFrame, right: DataFrame, prefix: tuple[str, str] = ("a_"
     return found[0].unionByName(found[1])
 
 
+def meetings(boxes: DataFrame, keys: Sequence[str] = ()) -> int:
+    """The pairs (x0, y0, x1, y1) that ``bbox_join`` of a table with itself
+    looks at, about, from counts by cell; none is made."""
+    box = _box("")
+    df = boxes.where((box[0] <= box[2]) & (box[1] <= box[3])).select(*keys, *box).withColumn("__z", _level(*box))
+    there = sorted(r[0] for r in df.select("__z").distinct().collect())  # of 91 at most
+    larger = F.filter(F.array(*[F.lit(x) for x in there]).cast("array<int>"), lambda x: x >= F.col("__z"))
+    housed = df.select(*keys, F.explode(_cells(F.col("__z"), *box)).alias("__cell")).groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("n"))
+    visits = df.withColumn("__at", F.explode(larger)).select(*keys, F.explode(_cells(F.col("__at"), *box)).alias("__cell")).groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("m"))
+    found = housed.join(visits, [*keys, "__cell"]).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    return int(2 * (found or 0))
+
+
 #: Words of a label that allow a box over the whole image.
 WHOLE_WORDS = ["entire", "full", "whole", "scene"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -186,6 +186,60 @@ def first_come(pairs: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFr
     return every.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("other.id")).alias("seed"))
 
 
+#: Nodes of the first turn, and of any at least.
+FIRST, LEAST = 50_000, 1_000
+#: Pairs that a turn looks at, about.
+AT_ONCE = 5_000_000
+
+
+def first_come_in_turns(nodes: DataFrame, pairs: Callable[[DataFrame, DataFrame], DataFrame], work: Callable[[DataFrame], int],
+                        at_once: int = AT_ONCE, first: int = FIRST, least: int = LEAST) -> DataFrame:
+    """id, seed as ``first_come`` gives them, where the pairs may be too many to
+    be made: ``pairs(a, b)`` are those of rows of two tables (a_id, b_id),
+    ``work`` tells how many it takes about to pair a table with itself.
+
+    A turn settles the earliest free nodes, so many that their pairs are about
+    ``at_once``; its seeds then take what they are paired with of all later
+    nodes, which needs no pairs among these.  Since seeds aren't paired with
+    each other there are few of them at any place.  Nodes with the same
+    ``ord`` are settled together.
+    """
+    free, done, turn = as_table(nodes, "free"), [], first
+    keyed = "key" in nodes.columns
+    place = F.struct("ord", "id")
+    n = free.count()
+    while n:
+        while True:
+            turn = min(turn, n)
+            limit = None if turn == n else free.agg(F.percentile_approx("ord", turn / n, F.lit(10_000))).first()[0]
+            batch = free if limit is None else free.where(F.col("ord") <= F.lit(limit))
+            looked_at = work(batch) if turn * turn > at_once else 0
+            if looked_at <= at_once or turn <= least:
+                break
+            turn = max(least, int(turn * max(1 / 16, 0.9 * (at_once / looked_at) ** 0.5)))
+        chosen = as_table(first_come(pairs(batch, batch).where("a_id < b_id"), batch.select("id", "ord", *(["key", "geo", "code"] if keyed else []))), "chosen")
+        done.append(chosen)
+        if limit is None:
+            break
+        seeds = as_table(batch.join(chosen.where("id = seed").select("id"), "id", "left_semi"), "seeds")
+        rest = free.where(F.col("ord") > F.lit(limit))
+        taken = pairs(seeds, rest).join(seeds.select(F.col("id").alias("a_id"), place.alias("other")), "a_id").select(F.col("b_id").alias("id"), "other")
+        if keyed:
+            earliest = seeds.where("key IS NOT NULL").groupBy("key", F.col("geo").alias("g"), F.col("code").alias("c")).agg(F.min(place).alias("other"))
+            alike = rest.join(earliest, "key").where(_agree(F.col("geo"), F.col("code"), F.col("g"), F.col("c")))
+            taken = taken.unionByName(alike.select("id", "other"))
+        taken = as_table(taken.groupBy("id").agg(F.min("other").alias("other")).select("id", F.col("other.id").alias("seed")), "chosen")
+        done.append(taken)
+        left = as_table(rest.join(taken.select("id"), "id", "left_anti"), "free")
+        drop_tables(free, seeds)
+        free, n = left, left.count()
+        turn = max(least, int(turn * min(8, 0.9 * (at_once / looked_at) ** 0.5 if looked_at else 8)))
+    out = done[0] if done else free.select("id", F.col("id").alias("seed"))
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def _settled(free: DataFrame, links: DataFrame, whole: int) -> DataFrame:
     """id, seed (whether it is one) for the groups of the free nodes, or of
     large groups for their first part."""

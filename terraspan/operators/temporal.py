@@ -10,7 +10,7 @@ from terraspan.functions import gates
 from terraspan.functions import geo as geo_functions
 from terraspan.functions.geo import bbox_join
 from terraspan.functions.rules import cascade
-from terraspan.operators.graph import first_come
+from terraspan.operators.graph import AT_ONCE, FIRST, LEAST, first_come_in_turns
 
 #: Fixed value: overlap as a share of the smaller footprint that makes one place.
 SAME_PLACE = 0.35
@@ -102,19 +102,8 @@ def overlaps(boxes: DataFrame, names: bool = True) -> DataFrame:
     py1) likewise, under one EPSG code; equal stems of the file names, unless
     ``names`` is false.  All three are equi-joins, of boxes on cells.
     """
-    columns, geo, placed = boxes.columns, _geographic(), _projected(boxes)
-
-    def pairs(rows: DataFrame, box: list[str], extra: list[str]) -> DataFrame:
-        kept = rows.select("id", geo.alias("geo"), *extra, *[F.col(n).alias(c) for n, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
-        sides = [kept.select(*[F.col(c).alias(f"{p}{c}") for c in kept.columns]) for p in ("a_", "b_")]
-        found = bbox_join(sides[0], sides[1], keys=extra).where("a_id < b_id")
-        corners = [tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in ("a_", "b_")]
-        return found.where(geo_functions.share_of_smaller(*corners) >= SAME_PLACE)
-
-    out = pairs(boxes.where(geo), ["x0", "y0", "x1", "y1"], []).select("a_id", "b_id")
-    if "epsg" in columns:
-        near = pairs(boxes.where(placed), ["px0", "py0", "px1", "py1"], ["epsg"])
-        out = out.unionByName(near.where("NOT (a_geo AND b_geo)").select("a_id", "b_id"))
+    columns = boxes.columns
+    out = _near(boxes, boxes).where("a_id < b_id")
     if names and "stem" in columns:
         named = _named(boxes).where("key IS NOT NULL")
         a, b = (named.select(*[F.col(c).alias(f"{p}{c}") for c in named.columns]) for p in ("a_", "b_"))
@@ -123,6 +112,34 @@ def overlaps(boxes: DataFrame, names: bool = True) -> DataFrame:
     return out
 
 
+def _near(first: DataFrame, second: DataFrame) -> DataFrame:
+    """a_id, b_id: scenes of two tables whose boxes share SAME_PLACE of the
+    smaller one, by the first rule of ``overlaps`` that both allow."""
+
+    def pairs(box: list[str], extra: list[str], have) -> DataFrame:
+        sides = []
+        for rows, p in ((first, "a_"), (second, "b_")):
+            kept = rows.where(have(rows)).select("id", _geographic().alias("geo"), *extra, *[F.col(n).alias(c) for n, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+            sides.append(kept.select(*[F.col(c).alias(f"{p}{c}") for c in kept.columns]))
+        found = bbox_join(*sides, keys=extra).where("a_id <> b_id")
+        corners = [tuple(F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")) for p in ("a_", "b_")]
+        return found.where(geo_functions.share_of_smaller(*corners) >= SAME_PLACE)
+
+    out = pairs(["x0", "y0", "x1", "y1"], [], lambda _: _geographic()).select("a_id", "b_id")
+    if "epsg" in first.columns:
+        near = pairs(["px0", "py0", "px1", "py1"], ["epsg"], _projected)
+        out = out.unionByName(near.where("NOT (a_geo AND b_geo)").select("a_id", "b_id"))
+    return out
+
+
+def _meetings(scenes: DataFrame) -> int:
+    """The pairs that ``_near`` of a table with itself looks at, about."""
+    n = geo_functions.meetings(scenes.where(_geographic()))
+    if "epsg" in scenes.columns:
+        n += geo_functions.meetings(scenes.where(_projected(scenes)).select("epsg", *[F.col(f"p{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]), ["epsg"])
+    return n
+
+
 def _geographic() -> Column:
     return F.col("x0").isNotNull() & F.col("x1").isNotNull()
 
@@ -137,11 +154,12 @@ def _named(boxes: DataFrame) -> DataFrame:
     return boxes.select("id", F.when(F.col("stem") != "", F.col("stem")).alias("key"), _geographic().alias("geo"), code.alias("code"))
 
 
-def seed_groups(scenes: DataFrame) -> DataFrame:
+def seed_groups(scenes: DataFrame, at_once: int = AT_ONCE, first: int = FIRST, least: int = LEAST) -> DataFrame:
     """id, seed: greedy groups of scenes (as for ``overlaps``, and ord) by place.
     A group is a star around its seed: two members needn't overlap.  Scenes of
-    one stem are kept together by that key, without a row per pair."""
-    nodes = scenes.select("id", "ord")
+    one stem are kept together by that key, and pairs of boxes are made for a
+    part of the scenes at a time, so that their number doesn't grow with the
+    square of those at a place."""
     if "stem" in scenes.columns:
-        nodes = nodes.join(_named(scenes), "id")
-    return first_come(overlaps(scenes, names=False), nodes)
+        scenes = scenes.drop("stem").join(_named(scenes), "id")
+    return first_come_in_turns(scenes, _near, _meetings, at_once, first, least)

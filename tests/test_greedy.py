@@ -205,3 +205,27 @@ def test_greedy_dedup_against_a_loop(spark):
             kept.append(r)
     df = spark.createDataFrame(rows, "id long, rank long, x0 double, y0 double, x1 double, y1 double")
     assert {r.id for r in discovery.greedy_dedup(df).collect()} == {r[0] for r in kept}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_location_groups_in_turns(spark, monkeypatch, seed):
+    """A few scenes at a time, with the groups of one pass over all."""
+    turns = []
+    whole = temporal.first_come_in_turns.__globals__["first_come"]
+    monkeypatch.setitem(temporal.first_come_in_turns.__globals__, "first_come", lambda p, n: turns.append(n.count()) or whole(p, n))
+    df = _crowd(spark, seed)
+    want = {r.id: r.seed for r in temporal.seed_groups(df).collect()}
+    assert turns == [240]
+    assert {r.id: r.seed for r in temporal.seed_groups(df, at_once=400, first=60, least=20).collect()} == want
+    assert len(turns) > 3 and max(turns[1:]) < 120
+
+
+def _crowd(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(240):
+        x, y, w = rng.uniform(0, 6), rng.uniform(0, 6), rng.choice([1.0, 2.0, 4.0])
+        g, p = rng.random() < 0.6, rng.random() < 0.6
+        box = [x, y, x + w, y + w]
+        rows.append((k, 240 - k, *(box if g else [None] * 4), rng.choice([1, 2]) if p else None, *([v * 10 for v in box] if p else [None] * 4), rng.choice(["", "", "a", "b"])))
+    return spark.createDataFrame(rows, "id long, ord long, x0 double, y0 double, x1 double, y1 double, epsg int, px0 double, py0 double, px1 double, py1 double, stem string")
