@@ -76,7 +76,7 @@ hits AS (SELECT e.vec_id, round({COS}, 4) AS similarity FROM embeddings e, q WHE
 s AS (SELECT h.vec_id AS doc_id, d.source, greatest(0, least(1, (similarity + 1) / 2)) AS sim,
   0.5 + CASE WHEN contains(lower(d.source), 'src1') THEN 0.3 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 0.2 ELSE 0 END AS meta,
   0.5 AS temp, coalesce(nullif(d.n_chars % 101, 0), 70) / 100.0 AS qual FROM hits h JOIN documents d ON d.doc_id = h.vec_id),
-r AS (SELECT *, round(sim * 0.5 + meta * 0.25 + temp * 0.15 + qual * 0.1, 4) AS score FROM s)"""
+r AS (SELECT *, round((sim * 0.5 + meta * 0.25 + temp * 0.15 + qual * 0.1)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS score FROM s)"""
 
 
 def _scored(spark, sf):
@@ -95,7 +95,7 @@ def search_composite(spark, sf):
     return _scored(spark, sf).select("doc_id", "source", F.round("sim", 6).alias("sim"), "meta", "temp", "qual", "score", "quality_band", F.col("rank").cast("long").alias("rank"))
 
 
-@query(SCORED + """ SELECT doc_id, array_to_string([x FOR x IN ['similarity ' || printf('%.1f', floor(sim * 1000 + 0.5) / 10) || '%', CASE WHEN contains(lower(source), 'src1') THEN 'sensor ' || source END,
+@query(SCORED + """ SELECT doc_id, array_to_string([x FOR x IN ['similarity ' || printf('%.1f', sim * 100) || '%', CASE WHEN contains(lower(source), 'src1') THEN 'sensor ' || source END,
  'modality EN', 'quality ' || CASE WHEN qual >= 0.75 THEN 'USABLE' WHEN qual >= 0.5 THEN 'DEGRADED' ELSE 'UNUSABLE' END] IF x IS NOT NULL], '; ') AS why
 FROM r ORDER BY score DESC, doc_id LIMIT 15""")
 def str_match_reasons(spark, sf):
