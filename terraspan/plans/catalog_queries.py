@@ -216,7 +216,7 @@ def flt_format_status(spark, sf):
     return catalog.filter_scenes(table(spark, sf, "documents"), format="src3", status="en", search="THE", columns=columns).select("doc_id")
 
 
-@query("""SELECT p_partkey, CASE WHEN a > 1000000 THEN format('{:,.2f} km²', round(a / 1000000, 2)) ELSE format('{:,}', round(a)::BIGINT) || ' m²' END AS area
+@query("""SELECT p_partkey, CASE WHEN a > 1000000 THEN format('{:,.2f} km²', a / 1000000) ELSE format('{:,}', round(a)::BIGINT) || ' m²' END AS area
 FROM (SELECT p_partkey, p_partkey * 1237.0::DOUBLE AS a FROM part)""")
 def str_area_text(spark, sf):
     from terraspan.functions.language import area_text

@@ -154,3 +154,20 @@ def test_cross_modal_of_copies(spark):
         assert max(joined(plan)) <= 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_sql_rounds_as_the_texts_do(spark, tmp_path):
+    """Numbers that lie about half-way between two texts."""
+    import duckdb
+
+    from terraspan.plans import registry
+
+    spark.range(0, 2_000_000, 5000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["str_area_text"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(db.execute(registry.ORACLE_SQL["str_area_text"]).fetchall())
+    sim = [k / 20000 for k in range(10001, 20000, 2)]
+    shown = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(sim)], "k int, sim double").orderBy("k").select(F.format_number(F.col("sim") * 100, 1)).collect()]
+    assert "printf('%.1f', sim * 100)" in registry.ORACLE_SQL["str_match_reasons"]
+    assert shown == [db.execute("SELECT printf('%.1f', ?::DOUBLE * 100)", [x]).fetchone()[0] for x in sim]
