@@ -369,7 +369,7 @@ PRODUCT_REGIONS = ["Alda", "Brin", "Coro"]
 
 
 def _part_products(spark, sf):
-    k, own = F.col("p_partkey"), table(spark, sf, "part")
+    k, own = F.col("p_partkey"), table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type").repartition(spread(spark), "p_partkey")
 
     def turn(values, by):
         return F.element_at(F.array(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values]), (k % by + 1).cast("int"))
