@@ -248,7 +248,7 @@ v AS (SELECT a.scene, d, CASE WHEN d < 80 THEN built * sin(d * pi() / 40) WHEN d
  WHEN d < 270 THEN green * sin((d - 190) * pi() / 40) WHEN d < 340 THEN radar * cos((d - 270) * pi() / 35) ELSE coalesce(mean_value, 0) * 0.4 END AS v
  FROM a, range(500) t(d) LEFT JOIN c ON c.scene = a.scene AND c.cell = (d - 340) // 10),
 n AS (SELECT scene, sqrt(sum(v * v)) AS length FROM v GROUP BY 1)
-SELECT scene, d::INT AS dim, round(v / length * 1000000)::BIGINT AS millionths FROM v JOIN n USING (scene) WHERE abs(v / length) > 0.001""")
+SELECT scene, d::INT AS dim, round(round(v / length, 6) * 1000000)::BIGINT AS millionths FROM v JOIN n USING (scene) WHERE abs(round(v / length, 6)) > 0.001""")
 def vec_image_embedding(spark, sf):
     img = _image(spark, sf)
     v = vectors.embed_image(raster.image_moments(img, ["scene"]), raster.grid_cells(img, ["scene"]), ["scene"], F.lit(False))

@@ -171,3 +171,18 @@ def test_sql_rounds_as_the_texts_do(spark, tmp_path):
     shown = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(sim)], "k int, sim double").orderBy("k").select(F.format_number(F.col("sim") * 100, 1)).collect()]
     assert "printf('%.1f', sim * 100)" in registry.ORACLE_SQL["str_match_reasons"]
     assert shown == [db.execute("SELECT printf('%.1f', ?::DOUBLE * 100)", [x]).fetchone()[0] for x in sim]
+
+
+def test_embedding_sql_compares_rounded_values(spark, tmp_path):
+    """Values that exceed the limit of 0.001 before they are rounded only."""
+    import duckdb
+
+    from terraspan.plans import registry
+
+    first, shift = 82 * 6272, 450_000  # of the 6,272 orders of an image, in the fourth copy of the table
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + shift)
+    orders.where(F.col("o_orderkey").between(first, first + 6271)).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["vec_image_embedding"](spark, str(tmp_path)).collect()]
+    assert got and sorted(got) == sorted(db.execute(registry.ORACLE_SQL["vec_image_embedding"]).fetchall())
