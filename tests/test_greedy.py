@@ -52,6 +52,29 @@ def test_location_groups_are_greedy(spark, seed):
     assert temporal.seed_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dense", [geo.DENSE, 3])
+def test_overlaps_are_counted(spark, monkeypatch, dense):
+    """Number and sum of a scene's pairs, with copies, points and boxes of many
+    sizes; 3,000 copies make as many rows, not their square."""
+    monkeypatch.setattr(geo, "DENSE", dense)
+    rows = list(scenes(150, 4))
+    rows += [(200 + k, 0, *r[2:]) for k, r in enumerate(rows[:40])] + [(300, 0, 1.0, 1.0, 1.0, 1.0, None, *[None] * 4, "a"), (301, 0, -900.0, -900.0, 900.0, 900.0, 1, 10.0, 10.0, 90.0, 90.0, "b")]
+    names = "id long, ord long, x0 double, y0 double, x1 double, y1 double, epsg int, px0 double, py0 double, px1 double, py1 double, stem string"
+    got = {r.id: r for r in temporal.overlap_counts(spark.createDataFrame(rows, names)).collect()}
+    assert len(got) == len(rows)
+
+    def place(r):
+        return r[2:6] if r[2] is not None else r[6:11] if r[6] else r[11] or r[0]
+
+    for a in rows:
+        near = [b[0] for b in rows if a[0] != b[0] and same_place(a, b)]
+        assert (got[a[0]].links, got[a[0]].linked) == (len(near), sum(near))
+        assert got[a[0]].class_id == min(b[0] for b in rows if place(a) == place(b))
+    copies = spark.range(3000).select("id", *[F.lit(x).alias(c) for c, x in (("x0", 0.0), ("y0", 0.0), ("x1", 1.0), ("y1", 2.0))])
+    out = temporal.overlap_counts(copies).collect()
+    assert len(out) == 3000 and all((r.class_id, r.links, r.linked) == (0, 2999, 2999 * 1500 - r.id) for r in out)
+
+
 def test_boxes_of_all_sizes(spark, monkeypatch):
     """Points, boxes from 1/1000 to 10,000 wide, reversed and missing ones."""
     rng = random.Random(3)
