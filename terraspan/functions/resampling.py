@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraspan.lineage import as_table, spread
+
 #: Fixed value: the cubic kernel's parameter.
 CUBIC = -0.75
 #: Share of a new pixel's weight that has to be there.
@@ -49,8 +51,8 @@ def weights(lengths: DataFrame, new: int, kernel: str = "bilinear") -> DataFrame
     return taps.groupBy("n", "new", "old").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
-def _along(pixels: DataFrame, axis: str, length: str, new: int, by: list[str], value: str, kernel: str) -> DataFrame:
-    w = weights(pixels.select(F.col(length).alias("n")), new, kernel).select(F.col("n").alias("__n"), F.col("new").alias("__new"), F.col("old").alias("__old"), "weight")
+def _along(pixels: DataFrame, axis: str, length: str, taps: DataFrame, by: list[str], value: str) -> DataFrame:
+    w = taps.select(F.col("n").alias("__n"), F.col("new").alias("__new"), F.col("old").alias("__old"), "weight")
     joined = pixels.join(w, (F.col(length) == F.col("__n")) & (F.col(axis) == F.col("__old")))
     sums = joined.groupBy(*by, F.col("__new").alias(axis)).agg(F.sum(F.col(value) * F.col("weight")).alias("__sum"), F.sum("weight").alias("__there"))
     return sums.where(F.col("__there") >= LEAST_WEIGHT).select(*by, axis, (F.col("__sum") / F.col("__there")).alias(value))
@@ -65,5 +67,9 @@ def resample(pixels: DataFrame, size: tuple[Column, Column], grid: tuple[int, in
     """
     kept = pixels.where(F.col(value).isNotNull()).select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias(value),
                                                         size[0].cast("long").alias("__w"), size[1].cast("long").alias("__h"))
-    wide = _along(kept, "x", "__w", grid[0], [*by, "y", "__h"], value, kernel)
-    return _along(wide, "y", "__h", grid[1], [*by, "x"], value, kernel).select(*by, "x", "y", value)
+    # small tables, as the planner then knows: pixels aren't shuffled for them
+    across, down = (as_table(weights(kept.select(F.col(c).alias("n")), n, kernel), "weights") for c, n in zip(("__w", "__h"), grid, strict=True))
+    wide = _along(kept, "x", "__w", across, [*by, "y", "__h"], value)
+    if kernel != "box":  # columns of an image are kept together, so that what a row gives to several new ones isn't shuffled
+        wide = wide.repartition(spread(pixels.sparkSession), *by, "x")
+    return _along(wide, "y", "__h", down, [*by, "x"], value).select(*by, "x", "y", value)

@@ -62,3 +62,11 @@ def test_stack_of_bands(spark):
     want = [bands["B02"], *(dense(n, 12, "cubic") @ bands[b] @ dense(n, 12, "cubic").T for b, n in (("B05", 6), ("B01", 2)))]
     assert np.allclose(np.array(got["p"].stack), np.array(want)) and got["p"].missing == []
     assert got["q"].missing == ["B05"] and got["q"].stack is None and got["r"].missing == ["B02", "B05", "B01"]
+
+
+def test_pixels_are_shuffled_twice(spark):
+    """Once to a row's new pixels and once to their columns, not for the
+    weights nor for what a row gives to several new ones."""
+    df = spark.range(384).select((F.col("id") % 2).alias("s"), (F.col("id") % 24).alias("x"), F.floor(F.col("id") / 24).alias("y"), F.col("id").cast("double").alias("v"))
+    plan = resampling.resample(df, (F.lit(24), F.lit(16)), (40, 40), ["s"], "v", "cubic")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("BroadcastHashJoin") == 2
