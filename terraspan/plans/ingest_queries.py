@@ -197,12 +197,13 @@ v AS (SELECT CASE WHEN k % 6 < 2 THEN 'PNG' ELSE 'TIFF' END AS format, k, CASE W
 SELECT format, count(DISTINCT k) AS files, round(avg(nd), 6) AS difference, round(avg(lum), 6) AS luminance FROM v GROUP BY format""")
 def udf_tools_in_sql(spark, sf):
     """Four tools by name in one SQL statement: two over tables of files, two
-    measures of their pixels."""
+    measures of their pixels.  The planner sees keys, not how many pixels come of
+    them, so the join is told to merge: neither side has a bound."""
     tools.register(spark)
     return spark.sql(
         """WITH p AS (SELECT k, x, y, max(value) FILTER (WHERE band = 0) AS r, max(value) FILTER (WHERE band = 1) AS g, max(value) FILTER (WHERE band = 2) AS b
            FROM read_pixels(TABLE({files})) WHERE problem IS NULL GROUP BY k, x, y)
-           SELECT h.format, count(DISTINCT p.k) AS files, round(avg(normalised_difference(r, g)), 6) AS difference, round(avg(luminance(r, g, b)), 6) AS luminance
+           SELECT /*+ MERGE(p, h) */ h.format, count(DISTINCT p.k) AS files, round(avg(normalised_difference(r, g)), 6) AS difference, round(avg(luminance(r, g, b)), 6) AS luminance
            FROM p JOIN validate_raster(TABLE({files})) h ON p.k = h.k GROUP BY h.format""",
         files=_image_files(spark, sf).where("k % 2 = 1 AND k % 13 <> 0"),
     )

@@ -27,3 +27,11 @@ def test_tools_in_sql(spark):
 def test_tools_for_a_task(spark):
     assert [r.name for r in tools.tools_for(spark, "SAR_ANALYSIS", "SAR").collect()] == ["equivalent_looks", "validate_raster"]
     assert tools.tools_for(spark).count() == 5 and tools.tools_for(spark, "NONE").count() == 0
+
+
+def test_pixels_are_not_broadcast(spark):
+    """The planner takes the pixels of files for as small as the files' keys."""
+    from terraspan.plans import registry
+
+    plan = registry.QUERIES["udf_tools_in_sql"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
