@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions import raster
 from terraspan.functions.resampling import resample
-from terraspan.lineage import own_path, spread
+from terraspan.lineage import drop_path, own_path, spread
 from terraspan.operators import tools
 from terraspan.plans._base import query, table
 from terraspan.sources import ingest, lmdb, pixels, rasters
@@ -166,14 +166,15 @@ def agg_file_statistics(spark, sf):
     return s.select("k", "band", "min", "max", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), "n")
 
 
-@query("""SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS key, sha256(repeat(o_orderpriority || '|', (o_orderkey % 300 + 1)::INT)) AS value FROM orders""")
-def src_lmdb(spark, sf):
-    """Orders as items of LMDB files that tasks write, some too large for a
-    page, read back by key range."""
-    home = own_path(spark, "lmdb")
+#: Keys of an LMDB file, and of the files that exist at a time, about (4 GB).
+KEYS_OF_A_FILE, KEYS_OF_A_TURN = 5000, 2_000_000
+
+
+def _write_lmdb(spark, orders, home):
+    """A file in a folder of its own for each ``file`` of the orders; their number."""
     key = F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
     value = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 300 + 1).cast("int"))
-    items = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").repartition(spread(spark), "o_orderkey").select((F.floor(F.col("o_orderkey") / 5000)).alias("file"), key.cast("binary").alias("key"), value.cast("binary").alias("value"))
+    items = orders.repartition(spread(spark), "o_orderkey").select("file", key.cast("binary").alias("key"), value.cast("binary").alias("value"))
 
     def write(group):
         from pyarrow import fs
@@ -187,9 +188,28 @@ def src_lmdb(spark, sf):
             f.write(encoders.lmdb(list(zip(group["key"].to_pylist(), group["value"].to_pylist(), strict=True))))
         return group.select(["file"]).slice(0, 1)
 
-    items.groupBy("file").applyInArrow(write, "file long").collect()  # the number of each file
-    found = lmdb.read(spark, home, 8)
-    return found.select(F.col("key").cast("string").alias("key"), F.sha2("value", 256).alias("value"))
+    return items.groupBy("file").applyInArrow(write, "file long").count()
+
+
+@query("""SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS key, sha256(repeat(o_orderpriority || '|', (o_orderkey % 300 + 1)::INT)) AS value FROM orders""")
+def src_lmdb(spark, sf):
+    """Orders as items of LMDB files that tasks write, some too large for a
+    page, read back by key range.  The files are about fifty times as large as
+    the table, so they are written, read and removed for a part of the keys at a
+    time."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").withColumn("file", F.floor(F.col("o_orderkey") / KEYS_OF_A_FILE))
+    turns = -(-orders.count() // KEYS_OF_A_TURN)
+    cuts = sorted(set(orders.approxQuantile("file", [k / turns for k in range(1, turns)], 0.001))) if turns > 1 else []
+    out = own_path(spark, "read")
+    for turn, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = orders if low is None else orders.where(F.col("file") >= int(low))
+        part = part if high is None else part.where(F.col("file") < int(high))
+        home = own_path(spark, "lmdb")
+        items = lmdb.read(spark, home, 8) if _write_lmdb(spark, part, home) else spark.createDataFrame([], "key binary, value binary")
+        found = items.select(F.col("key").cast("string").alias("key"), F.sha2("value", 256).alias("value"))
+        found.write.option("compression", "zstd").parquet(f"{out}/turn={turn}")
+        drop_path(spark, home)
+    return spark.read.schema("key string, value string").parquet(out).select("key", "value")
 
 
 @query(f"""WITH {PIXEL_SQL}, w AS (SELECT k, x, y, max(value) FILTER (WHERE b = 0) AS r, max(value) FILTER (WHERE b = 1) AS g, max(value) FILTER (WHERE b = 2) AS b FROM p WHERE k % 2 = 1 GROUP BY ALL),

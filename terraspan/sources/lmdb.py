@@ -2,7 +2,8 @@
 
 ``spark.read.format("lmdb").load(path)`` reads a data file, the folder that
 holds one, or a folder of such folders.  A partition is a set of neighbouring
-subtrees of one file's B+ tree; its task reads the pages below them.
+subtrees of one file's B+ tree, or of many files some whole ones; its task reads
+the pages below them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BIG, SUB, DUPLICATES = 1, 2, 4
 HEAD, NO_PAGE = 16, (1 << 64) - 1
 #: Partitions of a file at most, and bytes of a batch, about.
 PARTS, BATCH = 64, 1 << 22
+#: Partitions of all files, or as many as have so many bytes, if that is more.
+MOST, PART_BYTES = 128, 1 << 26
 
 
 class Damaged(ValueError):
@@ -110,14 +113,15 @@ class Tree:
                 yield key, x
 
 
-def _files(path: str) -> list[str]:
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the data files."""
     system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
     prefix = path[: len(path) - len(root)] if path.endswith(root) else ""
-    return sorted(prefix + f.path for f in found if f.base_name == "data.mdb")
+    return sorted((prefix + f.path, f.size) for f in found if f.base_name == "data.mdb")
 
 
 def _opened(path: str) -> Tree:
@@ -126,8 +130,10 @@ def _opened(path: str) -> Tree:
 
 
 class Subtrees(InputPartition):
-    def __init__(self, path: str, pages: list[int]):
-        self.path, self.pages = path, pages
+    """(path, pages) of files; no pages: the whole file."""
+
+    def __init__(self, parts: list[tuple[str, list[int] | None]]):
+        self.parts = parts
 
 
 class LmdbReader(DataSourceReader):
@@ -135,24 +141,40 @@ class LmdbReader(DataSourceReader):
         self.path, self.parts = options["path"], int(options.get("partitions", PARTS))
 
     def partitions(self) -> list[Subtrees]:
-        out = []
-        for path in _files(self.path):
-            pages = _opened(path).subtrees(self.parts)
-            step = max(1, -(-len(pages) // self.parts))
-            out += [Subtrees(path, pages[k : k + step]) for k in range(0, len(pages), step)]
-        return out or [Subtrees("", [])]
+        files = _files(self.path)
+        most = max(MOST, sum(size for _, size in files) // PART_BYTES)
+        if len(files) * self.parts <= most:
+            return [x for path, _ in files for x in self._split(path, self.parts)] or [Subtrees([])]
+        # many files: none is opened here but those that are larger than a partition
+        share, out, held, size = sum(n for _, n in files) / most, [], [], 0
+        for path, n in files:
+            if n >= 2 * share and self.parts > 1:
+                out += self._split(path, min(self.parts, int(n / share)))
+                continue
+            held.append((path, None))
+            size += n
+            if size >= share:
+                out.append(Subtrees(held))
+                held, size = [], 0
+        return out + [Subtrees(held)] if held else out
+
+    @staticmethod
+    def _split(path: str, parts: int) -> list[Subtrees]:
+        pages = _opened(path).subtrees(parts)
+        step = max(1, -(-len(pages) // parts))
+        return [Subtrees([(path, pages[k : k + step])]) for k in range(0, len(pages), step)]
 
     def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
-        if not partition.pages:
-            return
-        tree, held, size = _opened(partition.path), [], 0
-        for page in partition.pages:
-            for item in tree.items(page):
-                held.append(item)
-                size += len(item[1])
-                if size > BATCH:
-                    yield _batch(held)
-                    held, size = [], 0
+        held, size = [], 0
+        for path, pages in partition.parts:
+            tree = _opened(path)
+            for page in tree.subtrees(1) if pages is None else pages:
+                for item in tree.items(page):
+                    held.append(item)
+                    size += len(item[1])
+                    if size > BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
         if held:
             yield _batch(held)
 
@@ -162,7 +184,7 @@ def _batch(items: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 class LmdbSource(DataSource):
-    """key, value of every item; option ``partitions``: of a file, about."""
+    """key, value of every item; option ``partitions``: of a file, at most about."""
 
     @classmethod
     def name(cls) -> str:

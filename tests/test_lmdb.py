@@ -51,6 +51,42 @@ def test_source(spark, tmp_path):
     assert one.count() == 250
 
 
+def test_many_files(spark, tmp_path, monkeypatch):
+    """Of many files a partition reads some whole ones, and large ones are split."""
+    monkeypatch.setattr(lmdb, "MOST", 6)
+    have = items(900)
+    for k, kept in enumerate([sorted(have.items())[:400], *[sorted(have.items())[400 + k :: 30] for k in range(30)]]):
+        (tmp_path / f"part{k}").mkdir()
+        (tmp_path / f"part{k}" / "data.mdb").write_bytes(encoders.lmdb(kept, most=6))
+    opened = []
+    monkeypatch.setattr(lmdb, "_opened", lambda path, f=lmdb._opened: opened.append(path) or f(path))
+    reader = lmdb.LmdbReader({"path": str(tmp_path), "partitions": "8"})
+    parts = reader.partitions()
+    assert len(opened) == 1 and 4 <= len(parts) <= 8
+    assert {k.as_py(): v.as_py() for p in parts for b in reader.read(p) for k, v in zip(b.column(0), b.column(1), strict=True)} == have
+
+
+def test_files_exist_for_a_turn_only(spark, monkeypatch):
+    """The query's files are removed before those of the next keys are written."""
+    from pathlib import Path
+
+    from terraspan.plans import ingest_queries as plans
+
+    monkeypatch.setattr(plans, "KEYS_OF_A_FILE", 50)
+    want = sorted(plans.src_lmdb(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(plans, "KEYS_OF_A_TURN", 300)
+    files = []
+
+    def drop(spark, path, f=plans.drop_path):
+        files.append(len(list(Path(path.removeprefix("file://")).rglob("data.mdb"))))
+        f(spark, path)
+        assert not Path(path.removeprefix("file://")).exists()
+
+    monkeypatch.setattr(plans, "drop_path", drop)
+    assert sorted(plans.src_lmdb(spark, "/root/testdata/sf0.001").collect()) == want
+    assert len(want) == 1500 and sum(files) == 30 and len(files) == 5 and max(files) <= 8
+
+
 def test_patches(spark, tmp_path):
     rng = np.random.default_rng(1)
     patch = {"B02": rng.integers(0, 9, (4, 4), np.uint16), "B01": rng.normal(size=(2, 2))}
