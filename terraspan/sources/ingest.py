@@ -17,7 +17,8 @@ from terraspan.sources import rasters
 def described(files: DataFrame) -> DataFrame:
     """A row per file (file_name, content) with what its header and name tell,
     and why it can't be a scene (``refused``: EMPTY_BUFFER, UNSUPPORTED,
-    DAMAGED, else null).  Nothing is shuffled; files may be a stream."""
+    DAMAGED, else null).  A day that doesn't exist (20200231) is part of the id
+    but no date.  Nothing is shuffled; files may be a stream."""
     df = files.withColumns({"file_hash": F.sha2("content", 256), "file_size_bytes": F.length("content").cast("long")})
     df = rasters.raw_headers(df, "file_name", "file_hash", "file_size_bytes")
     s, m, told = rasters.scene_header(F.col("h")), rasters.chat_metadata(F.col("h")), from_file_name(F.col("file_name"), F.coalesce(F.col("h.samples"), F.lit(3)))
@@ -27,7 +28,7 @@ def described(files: DataFrame) -> DataFrame:
     return df.select(
         scene_id(F.col("told.sensor"), day, F.col("file_hash")).alias("scene_id"), "file_name", "file_hash", "file_size_bytes", F.col("h.kind").alias("format"),
         "h.width", "h.height", F.coalesce("s.band_count", "m.bands").alias("band_count"), "s.bands", "s.crs", "s.epsg", "s.transform", "m.bounds",
-        F.coalesce(F.to_timestamp("s.acquisition_date"), F.to_timestamp(day)).alias("acquisition_date"), "told.sensor", "told.satellite",
+        F.coalesce(F.try_to_timestamp("s.acquisition_date"), F.try_to_timestamp(day)).alias("acquisition_date"), "told.sensor", "told.satellite",
         F.coalesce("told.modality", "s.modality").alias("modality"), refused.alias("refused"),
     )
 

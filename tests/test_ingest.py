@@ -131,3 +131,13 @@ def test_csv_file_has_the_lines_of_the_export(spark, tmp_path):
     assert sorted(lines[1:]) == sorted(r.line for r in review.csv_lines(q).collect())
     report = {r.candidate_id: r.report for r in ingest.audit_text(q).collect()}
     assert len(report) == 50 and all("Analyst: " in t and "None" not in t for t in report.values())
+
+
+def test_days_that_do_not_exist(spark):
+    """A number in a file's name, or a tag, that looks like a day but is none."""
+    tagged = tiff(**BASE, t306=(2, b"2021:02:31 04:05:06\0"))
+    files = [("s2_20200231.tif", tiff(**BASE)), ("s2_20200229.tif", tiff(**BASE)), ("tagged.tif", tagged)]
+    rows = {r.file_name: r for r in ingest.described(spark.createDataFrame(files, "file_name string, content binary")).collect()}
+    assert {k: r.scene_id.split("_")[1] for k, r in rows.items()} == {"s2_20200231.tif": "20200231", "s2_20200229.tif": "20200229", "tagged.tif": "20210231"}
+    assert rows["s2_20200231.tif"].acquisition_date is None and rows["tagged.tif"].acquisition_date is None
+    assert str(rows["s2_20200229.tif"].acquisition_date) == "2020-02-29 00:00:00"
