@@ -1,9 +1,12 @@
 """The catalogue as the sink of a stream: batches that run again, totals."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terraspan.operators import catalog
+from terraspan.plans import registry
 from terraspan.sources import encoders, readers
 from terraspan.streaming import catalogue
 
@@ -45,3 +48,13 @@ def test_broken_files_are_passed_over(spark, tmp_path):
         p.unlink()
     part.write_bytes(b"broken")
     assert readers.scenes(spark, path).select("scene_id").distinct().count() == 20 - lost > 0
+
+
+@pytest.mark.parametrize("name", ["src_stream_totals", "src_stream_ingest"])
+def test_keys_that_look_like_days(spark, tmp_path, name):
+    """Keys of eight digits, as large tables have them, with 20000230 and 20000231."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey < 300")
+    orders.withColumn("o_orderkey", F.col("o_orderkey") + 20_000_100).write.parquet(str(tmp_path / "orders.parquet"))
+    found = duckdb.execute(registry.ORACLE_SQL[name].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'"))
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, df.select([c[0] for c in found.description]).collect()))) == sorted(map(str, found.fetchall()))
