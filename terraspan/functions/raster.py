@@ -213,13 +213,15 @@ def image_moments(pixels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def grid_cells(pixels: DataFrame, by: list[str], side: int = 224, cells: int = 4, stride: int = 8) -> DataFrame:
-    """Mean standardised value (summed over channels) of the grid cells."""
+def grid_cells(pixels: DataFrame, by: list[str], side: int = 224, cells: int = 4, stride: int = 1) -> DataFrame:
+    """Mean standardised value (summed over channels) of the grid cells, from all
+    their pixels, or from every ``stride``-th column and row (the reference: 8)."""
     size = side // cells
     total = standardised(F.col("r"), 0) + standardised(F.col("g"), 1) + standardised(F.col("b"), 2)
-    sample = pixels.where((F.pmod("x", F.lit(stride)) == 0) & (F.pmod("y", F.lit(stride)) == 0))
+    if stride > 1:
+        pixels = pixels.where((F.pmod("x", F.lit(stride)) == 0) & (F.pmod("y", F.lit(stride)) == 0))
     cell = F.floor(F.col("y") / size) * cells + F.floor(F.col("x") / size)
-    return sample.groupBy(*by, cell.cast("int").alias("cell")).agg(F.avg(total).alias("mean_value"))
+    return pixels.groupBy(*by, cell.cast("int").alias("cell")).agg(F.avg(total).alias("mean_value"))
 
 
 def synthetic_delta(width: int, height: int, x: Column, y: Column, kind: str) -> Column:

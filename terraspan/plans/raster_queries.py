@@ -209,14 +209,15 @@ def jn_pixel_aligned(spark, sf):
 
 
 #: Every order stands for eight pixels of square images, row by row.
-IMAGE = """i AS (SELECT o_orderkey * 8 + k AS i, floor(o_totalprice + 31 * k) % 256 AS r, ((o_custkey * 7 + 3 * k) % 256)::DOUBLE AS g, (o_orderkey * (3 + k) % 256)::DOUBLE AS b FROM orders, range(8) t(k)),
+SAMPLED = " WHERE x % 8 = 0 AND y % 8 = 0"
+IMAGE = f"""i AS (SELECT o_orderkey * 8 + k AS i, floor(o_totalprice + 31 * k) % 256 AS r, ((o_custkey * 7 + 3 * k) % 256)::DOUBLE AS g, (o_orderkey * (3 + k) % 256)::DOUBLE AS b FROM orders, range(8) t(k)),
 p AS (SELECT i // 50176 AS scene, i % 224 AS x, i // 224 % 224 AS y, r, g, b, 0.299 * r + 0.587 * g + 0.114 * b AS lum FROM i),
 e AS (SELECT *, lag(lum) OVER (PARTITION BY scene, y ORDER BY x) AS pl FROM p),
 m AS (SELECT scene, avg(lum) AS mean_luminance, var_pop(lum) AS variance, CASE WHEN min(lum) > 0 THEN max(lum) / min(lum) ELSE max(lum) END AS contrast_ratio,
  sum(abs(lum - pl)) / count(*) AS edge_density, (avg(g) - avg(r)) / (avg(g) + avg(r) + 1) AS vegetation_proxy, (avg(b) - avg(r)) / (avg(b) + avg(r) + 1) AS water_proxy,
  sqrt(var_pop(lum)) / (avg(lum) + 1) AS roughness_proxy FROM e GROUP BY scene),
 c AS (SELECT scene, ((y // 56) * 4 + x // 56)::INT AS cell, avg((r / 255.0 - 0.485) / 0.229 + (g / 255.0 - 0.456) / 0.224 + (b / 255.0 - 0.406) / 0.225) AS mean_value
- FROM p WHERE x % 8 = 0 AND y % 8 = 0 GROUP BY ALL)"""
+ FROM p{SAMPLED} GROUP BY ALL)"""
 MOMENTS = ["mean_luminance", "variance", "contrast_ratio", "edge_density", "vegetation_proxy", "water_proxy", "roughness_proxy"]
 
 
@@ -236,10 +237,10 @@ def agg_image_moments(spark, sf):
 
 @query(f"WITH {IMAGE} SELECT scene, cell, round(mean_value, 6) AS mean_value FROM c")
 def agg_grid_cells(spark, sf):
-    return raster.grid_cells(_image(spark, sf), ["scene"]).select("scene", "cell", F.round("mean_value", 6).alias("mean_value"))
+    return raster.grid_cells(_image(spark, sf), ["scene"], stride=8).select("scene", "cell", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query(f"""WITH {IMAGE}, k AS (SELECT scene, round(edge_density, 2) AS edge, round(contrast_ratio, 2) AS contrast, round(water_proxy, 3) AS water, round(vegetation_proxy, 3) AS plants,
+@query(f"""WITH {IMAGE.replace(SAMPLED, "")}, k AS (SELECT scene, round(edge_density, 2) AS edge, round(contrast_ratio, 2) AS contrast, round(water_proxy, 3) AS water, round(vegetation_proxy, 3) AS plants,
  round(roughness_proxy, 3) AS rough, round(mean_luminance, 2) AS lum FROM m WHERE scene IN (SELECT scene FROM c)),
 a AS (SELECT scene, edge * 2.5 + CASE WHEN contrast > 5 THEN 1.5 ELSE 0.5 END AS built, CASE WHEN water > 0.05 THEN water * 3 + edge * 1.5 ELSE 0 END AS port,
  water * 4 + CASE WHEN lum < 60 THEN 1.5 ELSE 0 END AS wet, CASE WHEN plants > 0.02 THEN plants * 5 ELSE 0 END AS green,

@@ -186,3 +186,13 @@ def test_embedding_sql_compares_rounded_values(spark, tmp_path):
     db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = [tuple(r) for r in registry.QUERIES["vec_image_embedding"](spark, str(tmp_path)).collect()]
     assert got and sorted(got) == sorted(db.execute(registry.ORACLE_SQL["vec_image_embedding"]).fetchall())
+
+
+def test_grid_cells_look_at_every_pixel(spark):
+    """One bright pixel between those that a stride of 8 would meet."""
+    p = raster.grid(spark, 224, 224).withColumn("r", F.when((F.col("x") == 61) & (F.col("y") == 3), 255.0).otherwise(0.0)).withColumns({"g": F.lit(0.0), "b": F.lit(0.0)})
+    means = {r.cell: r.mean_value for r in raster.grid_cells(p.withColumn("s", F.lit(1)), ["s"]).collect()}
+    dark = -sum(m / s for m, s in zip(raster.CHANNEL_MEAN, raster.CHANNEL_STD, strict=True))
+    assert len(means) == 16 and means[1] == pytest.approx(dark + 1 / 0.229 / 56**2) and means[0] == pytest.approx(dark)
+    sampled = {r.cell: r.mean_value for r in raster.grid_cells(p.withColumn("s", F.lit(1)), ["s"], stride=8).collect()}
+    assert sampled == pytest.approx(dict.fromkeys(range(16), dark))
