@@ -75,6 +75,29 @@ def test_overlaps_are_counted(spark, monkeypatch, dense):
     assert len(out) == 3000 and all((r.class_id, r.links, r.linked) == (0, 2999, 2999 * 1500 - r.id) for r in out)
 
 
+@pytest.mark.parametrize("alike", [2048, 3])
+def test_overlaps_are_pairs(spark, monkeypatch, alike):
+    """Every pair is a row, however many tasks a stem's scenes are dealt over."""
+    monkeypatch.setattr(temporal, "ALIKE", alike)
+    rows = list(scenes(150, 4))
+    rows += [(200 + k, 0, *r[2:]) for k, r in enumerate(rows[:40])]
+    names = "id long, ord long, x0 double, y0 double, x1 double, y1 double, epsg int, px0 double, py0 double, px1 double, py1 double, stem string"
+    got = sorted((r.a_id, r.b_id) for r in temporal.overlaps(spark.createDataFrame(rows, names)).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and same_place(a, b))
+
+
+def test_overlap_query_gives_every_pair(spark):
+    """The query returns the pairs themselves, and broadcasts no scenes."""
+    from terraspan.plans import geo_queries, registry
+
+    sf, some = "/root/testdata/sf0.001", 1500
+    df = registry.QUERIES["jn_spatial_overlap"](spark, sf)
+    assert df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 5  # two directions of two rules, and stems
+    rows = geo_queries._placed(spark, sf).where(F.col("id") < some).select("id", "ord", "x0", "y0", "x1", "y1", "epsg", "px0", "py0", "px1", "py1", "stem").collect()
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and same_place(a, b))
+    assert want and sorted((r.a_id, r.b_id) for r in df.where(f"a_id < {some} AND b_id < {some}").collect()) == want
+
+
 def test_boxes_of_all_sizes(spark, monkeypatch):
     """Points, boxes from 1/1000 to 10,000 wide, reversed and missing ones."""
     rng = random.Random(3)
