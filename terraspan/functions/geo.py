@@ -279,6 +279,23 @@ def touching(left: DataFrame, right: DataFrame, kinds: tuple[str, str]) -> DataF
     return pairs.unionByName(members[0]).unionByName(members[1])
 
 
+#: Ids of a list of equal boxes, about.
+LISTED = 1024
+
+
+def touching_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b: the ids of all pairs of touching boxes (id, x0, y0, x1, y1) of two
+    tables.  Equal boxes of the left one are joined once, as lists of their ids,
+    and make their pairs behind the join; many equal boxes are several lists."""
+    box = ["x0", "y0", "x1", "y1"]
+    whole = left.where("x0 <= x1 AND y0 <= y1").select("id", *box)
+    counts = whole.groupBy(*box).agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("__parts"))
+    dealt = whole.join(counts, box).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int"))
+    lists = as_table(dealt.groupBy(*box, "__part").agg(F.collect_list("id").alias("ids")).drop("__part"), "lists")
+    a, b = (df.select(*[F.col(c).alias(p + c) for c in (name, *box)]) for df, name, p in ((lists, "ids", "a_"), (right, "id", "b_")))
+    return bbox_join(a, b).select(F.explode("a_ids").alias("a"), F.col("b_id").alias("b"))
+
+
 #: Pairs of boxes that are compared at once.
 AT_ONCE = 1 << 16
 

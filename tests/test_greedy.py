@@ -136,6 +136,38 @@ def test_touching_boxes_of_copies(spark):
     assert geo.touching(same, same, ("A", "B")).count() == 4001
 
 
+@pytest.mark.parametrize("listed", [1024, 2])
+def test_touching_pairs_are_all_rows(spark, monkeypatch, listed):
+    """Every pair is a row, copies too, however many lists equal boxes make."""
+    monkeypatch.setattr(geo, "LISTED", listed)
+    rng = random.Random(6)
+
+    def boxes(n, at):
+        return [(at + k, x := rng.randrange(9) / 1.0, y := rng.randrange(9) / 1.0, x + rng.choice([0, 1, 3]), y + 1.0) for k in range(n)]
+
+    a, b = boxes(120, 0) + [(500, None, 0.0, 1.0, 1.0), (501, 5.0, 0.0, 4.0, 1.0)], boxes(120, 1000) + [(2000, None, 0.0, 1.0, 1.0), (2001, 5.0, 0.0, 4.0, 1.0)]
+    names = "id long, x0 double, y0 double, x1 double, y1 double"
+    got = sorted((r.a, r.b) for r in geo.touching_pairs(spark.createDataFrame(a, names), spark.createDataFrame(b, names)).collect())
+    whole = [[r for r in rows if r[1] is not None and r[1] <= r[3]] for rows in (a, b)]
+    assert got == sorted((p[0], q[0]) for p in whole[0] for q in whole[1] if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    assert len({r[1:] for r in whole[0]}) < len(whole[0])
+    assert geo.touching_pairs(spark.createDataFrame(a, names).limit(0), spark.createDataFrame(b, names)).count() == 0
+
+
+def test_viewport_query_gives_every_pair(spark, tmp_path):
+    """Four copies of the viewports make four times the rows."""
+    from terraspan.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    once = registry.QUERIES["flt_bbox_intersects"](spark, sf)
+    assert once.columns == ["q", "id"]
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    supplier.crossJoin(spark.range(4)).withColumn("s_suppkey", F.col("s_suppkey") + 336 * F.col("id")).drop("id").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((r.q + 336 * k, r.id) for r in once.collect() for k in range(4))
+    assert want and sorted((r.q, r.id) for r in registry.QUERIES["flt_bbox_intersects"](spark, str(tmp_path)).collect()) == want
+
+
 def plain_first_come(pairs, nodes, agree=None):
     near = {}
     for a, b in pairs:
